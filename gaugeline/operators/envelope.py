@@ -64,9 +64,14 @@ def heldout_scores(cells: DataFrame, keys: list[str], fold: str, column: str, va
     """Score every row against bounds fitted on all other folds. Fold bounds come from per-fold
     extremes (folds x columns rows), never from a second pass over the rows per fold."""
     per_fold = fit_bounds(cells, column, value, [fold])
-    folds = per_fold.select(F.col(fold).alias("_held")).distinct()
-    others = per_fold.join(folds, F.col(fold) != F.col("_held"))
-    bounds = others.groupBy(F.col("_held").alias(fold), column).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    by_column = Window.partitionBy(column).orderBy(fold)
+    left = by_column.rowsBetween(Window.unboundedPreceding, -1)
+    right = by_column.rowsBetween(1, Window.unboundedFollowing)
+    bounds = per_fold.select(
+        fold, column,
+        F.least(F.min("lo").over(left), F.min("lo").over(right)).alias("lo"),
+        F.greatest(F.max("hi").over(left), F.max("hi").over(right)).alias("hi"),
+    )
     return score(cells, bounds, [fold, *keys], column, value, n_columns)
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("envelope",)
+THEMES = ("envelope", "windows")
 
 
 def load_all() -> None:

@@ -51,13 +51,8 @@ def with_views(sql: str) -> str:
     if not needed:
         return sql
     ctes = ",\n".join(f"{name} AS ({SQL_VIEWS[name]})" for name in needed)
-    if re.match(r"\s*WITH\s+RECURSIVE\b", sql, re.I):
-        rest = re.sub(r"^\s*WITH\s+RECURSIVE\b", "", sql, count=1, flags=re.I)
-        return f"WITH RECURSIVE {ctes},\n{rest}"
-    if re.match(r"\s*WITH\b", sql, re.I):
-        rest = re.sub(r"^\s*WITH\b", "", sql, count=1, flags=re.I)
-        return f"WITH {ctes},\n{rest}"
-    return f"WITH {ctes}\n{sql}"
+    rest = re.sub(r"^\s*WITH(\s+RECURSIVE)?\b", ",", sql, count=1, flags=re.I)
+    return f"WITH RECURSIVE {ctes}\n{rest}"
 
 
 def query(name: str, covers: str, sql: str | None = None):

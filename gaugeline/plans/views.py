@@ -56,6 +56,28 @@ SQL_VIEWS = {
 }
 
 
+def _machine(source: str, name: str, live: str = "r.status = 'scored'") -> str:
+    """Check SQL of the alarm machine: one recursive step per reading (1, 2, 3 debounce)."""
+    return f"""SELECT user_id, tick, us, status, suspect, act, 'warming_up' AS prev, 'warming_up' AS state,
+  CAST(0 AS BIGINT) AS ca, CAST(0 AS BIGINT) AS cs, CAST(0 AS BIGINT) AS q FROM {source} WHERE tick = 0
+  UNION ALL SELECT user_id, tick, us, status, suspect, act, prev,
+  CASE WHEN NOT live THEN 'unknown' WHEN ca >= 2 THEN 'act' WHEN base = 'act' THEN CASE WHEN q >= 3 THEN 'normal' ELSE 'act' END
+    WHEN cs >= 1 THEN 'suspect' WHEN base = 'suspect' THEN CASE WHEN q >= 3 THEN 'normal' ELSE 'suspect' END ELSE 'normal' END AS state,
+  ca, cs, q FROM (SELECT r.*, {live} AS live, m.state AS prev,
+    CASE WHEN m.state IN ('warming_up', 'unknown') THEN 'normal' ELSE m.state END AS base,
+    CASE WHEN {live} AND r.act THEN m.ca + 1 ELSE 0 END AS ca,
+    CASE WHEN {live} AND (r.act OR r.suspect) THEN m.cs + 1 ELSE 0 END AS cs,
+    CASE WHEN {live} AND NOT (r.act OR r.suspect) THEN m.q + 1 ELSE 0 END AS q
+    FROM {name} m JOIN {source} r ON r.user_id = m.user_id AND r.tick = m.tick + 1)"""
+
+
+SQL_VIEWS["trace"] = _machine("readings", "trace")
+SQL_VIEWS["zones"] = "SELECT user_id, event_type, us AS z0, us + 86400000000 AS z1 FROM readings WHERE k % 20 = 5"
+SQL_VIEWS["readings_s"] = """SELECT r.*, coalesce((suspect OR act) AND EXISTS (SELECT 1 FROM zones z WHERE z.user_id = r.user_id
+  AND z.event_type = r.event_type AND z.z0 <= r.us AND r.us < z.z1), false) AS held FROM readings r"""
+SQL_VIEWS["trace_s"] = _machine("readings_s", "trace_s", "(r.status = 'scored' AND NOT r.held)")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
