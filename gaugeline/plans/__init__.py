@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("envelope", "windows")
+THEMES = ("envelope", "windows", "alarm")
 
 
 def load_all() -> None:

@@ -39,13 +39,14 @@ def tidy(df: DataFrame) -> DataFrame:
 def with_views(sql: str) -> str:
     """Put the needed view definitions in front of a statement as common table expressions."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name, body in SQL_VIEWS.items():
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)
                 visit(body)
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(sql)
     if not needed:
