@@ -41,11 +41,12 @@ def states(
     run = S.streaks(
         stepped.where("_step"), keys, order, chunk,
         {"_ca": F.col("_live") & F.col("act"), "_cs": F.col("_live") & alarming, "_calm": F.col("_live") & ~alarming},
+        settle=True,
     )
     off = ~F.col("_live") | (F.col("_calm") >= rule.release_m)
     latch = lambda on: F.when(on, 1).when(off, 0)
     run = S.scan(
-        run, keys, order, chunk,
+        run, keys, order, chunk, True,
         _a=S.last_known(latch(F.col("_ca") >= rule.n_act)), _s=S.last_known(latch(F.col("_cs") >= rule.n_suspect)),
     )
     level = F.when(F.col("_a") == 1, "act").when(F.col("_s") == 1, "suspect").otherwise("normal")
@@ -65,7 +66,7 @@ def with_rejected(stepped: DataFrame, rejected: DataFrame, keys: list[str], orde
 
 def transitions(trace: DataFrame, keys: list[str], order: list[str], chunk: Column) -> DataFrame:
     """Add ``prev`` (warming_up before the first reading), ``changed`` and ``entry``."""
-    out = S.scan(trace, keys, order, chunk, _p=S.previous(F.col("state")))
+    out = S.scan(trace, keys, order, chunk, True, _p=S.previous(F.col("state")))
     out = out.withColumn("prev", F.coalesce("_p", F.lit("warming_up"))).drop("_p")
     return out.withColumns({
         "changed": F.col("state") != F.col("prev"),
@@ -77,7 +78,7 @@ def range_guard(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     """On when the load passes the limit, off after ``exit_ticks`` calm readings in a row; a
     missing load keeps the state and neither counts nor breaks the calm streak."""
     df = df.withColumn("_lim", limit)
-    known = S.streaks(df.where(F.col(load).isNotNull()), keys, order, chunk, {"_quiet": F.col(load) <= F.col("_lim")})
+    known = S.streaks(df.where(F.col(load).isNotNull()), keys, order, chunk, {"_quiet": F.col(load) <= F.col("_lim")}, settle=True)
     rows = known.unionByName(df.where(F.col(load).isNull()), allowMissingColumns=True)
     latch = F.when(F.col(load) > F.col("_lim"), 1).when(F.col("_quiet") >= exit_ticks, 0)
     out = S.scan(rows, keys, order, chunk, _on=S.last_known(latch))
@@ -87,7 +88,7 @@ def range_guard(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
 def accepted(df: DataFrame, keys: list[str], arrival: list[str], chunk: Column, event_time: str, digest: str) -> DataFrame:
     """Order check on arrival: ``verdict`` accepted, duplicate (same time and content as the last
     accepted), conflict (same time, other content), late (earlier) or invalid (no time)."""
-    ordered = S.scan(df, keys, arrival, chunk, _top=S.highest(F.col(event_time), before=True))
+    ordered = S.scan(df, keys, arrival, chunk, True, _top=S.highest(F.col(event_time), before=True))
     t, top = F.col(event_time), F.col("_top")
     kind = F.when(t.isNull(), "invalid").when(top.isNull() | (t > top), "accepted").when(t < top, "late").otherwise("same")
     marked = ordered.withColumn("_kind", kind)
@@ -102,7 +103,7 @@ def entries_and_rises(trace: DataFrame, keys: list[str], order: list[str], chunk
     raw = S.scan(trace, keys, order, chunk, _p=S.previous(F.col("state")))
     acts = raw.groupBy(*keys).agg(F.count_if((F.col("state") == "act") & ~F.col("_p").eqNullSafe(F.lit("act"))).alias("act_entries"))
     seen = trace.where(F.col("state").isin("normal", "suspect", "act"))
-    moves = S.scan(seen, keys, order, chunk, _p=S.previous(F.col("state"))).where(~F.col("_p").eqNullSafe(F.col("state")))
+    moves = S.scan(seen, keys, order, chunk, True, _p=S.previous(F.col("state"))).where(~F.col("_p").eqNullSafe(F.col("state")))
     rank = lambda c: F.when(c == "act", 2).when(c == "suspect", 1).when(c == "normal", 0)
     fell = rank(F.col("state")) < rank(F.col("_p"))
     path = S.scan(moves, keys, order, chunk, _fallen=S.highest(fell.cast("int"), before=True), _pp=S.previous(F.col("_p")))

@@ -16,7 +16,7 @@ def wanted_level(
     seen = df.where(trusted)
     run = S.streaks(seen, keys, order, chunk, {
         "_hi": F.col(rho) > high, "_lo": F.col(rho) < low, "_dn": F.col(link_down), "_up": ~F.col(link_down),
-    })
+    }, settle=True)
     out = S.scan(
         run, keys, order, chunk,
         load=S.last_known(F.when(F.col("_hi") >= n_up, 1).when(F.col("_lo") >= n_down, 0)),

@@ -60,18 +60,30 @@ def decide(scores: DataFrame, e_limit: Column, k1: Column, k2: Column) -> DataFr
     )
 
 
-def heldout_scores(cells: DataFrame, keys: list[str], fold: str, column: str, value: str, n_columns: int) -> DataFrame:
-    """Score every row against bounds fitted on all other folds. Fold bounds come from per-fold
-    extremes (folds x columns rows), never from a second pass over the rows per fold."""
+def bounds_without(cells: DataFrame, fold: str, column: str, value: str) -> DataFrame:
+    """Extremes per (fold, column) over all other folds, from one row per fold and column."""
     per_fold = fit_bounds(cells, column, value, [fold])
     by_column = Window.partitionBy(column).orderBy(fold)
     left = by_column.rowsBetween(Window.unboundedPreceding, -1)
     right = by_column.rowsBetween(1, Window.unboundedFollowing)
-    bounds = per_fold.select(
+    return per_fold.select(
         fold, column,
         F.least(F.min("lo").over(left), F.min("lo").over(right)).alias("lo"),
         F.greatest(F.max("hi").over(left), F.max("hi").over(right)).alias("hi"),
     )
+
+
+def extremes_without(cells: DataFrame, fold: str, column: str, value: str) -> DataFrame:
+    """Upper extreme with one fold left out, and how far it falls below the full one."""
+    rest = bounds_without(cells, fold, column, value).where(F.col("hi").isNotNull())
+    full = fit_bounds(cells, column, value).select(column, F.col("hi").alias("_top"))
+    return rest.join(full, column).select(fold, column, "hi", (F.col("_top") - F.col("hi")).alias("drop"))
+
+
+def heldout_scores(cells: DataFrame, keys: list[str], fold: str, column: str, value: str, n_columns: int) -> DataFrame:
+    """Score every row against bounds fitted on all other folds. Fold bounds come from per-fold
+    extremes (folds x columns rows), never from a second pass over the rows per fold."""
+    bounds = bounds_without(cells, fold, column, value)
     return score(cells, bounds, [fold, *keys], column, value, n_columns)
 
 

@@ -12,9 +12,9 @@ def monotone(df: DataFrame, keys: list[str], order: list[str], chunk: Column, bo
     """Which messages may be shown. The first message of a boot id is always taken and retires
     the boot before it, so the current boot is the one that appeared last; inside it ``seq`` must
     rise. ``confirmed_at`` is the time of the last taken message after the very first one."""
-    by_boot = S.scan(df, [*keys, boot], order, chunk, _seen=S.count(before=True), _top=S.highest(F.col(seq), before=True))
+    by_boot = S.scan(df, [*keys, boot], order, chunk, True, _seen=S.count(before=True), _top=S.highest(F.col(seq), before=True))
     fresh = F.when(F.col("_seen") == 0, F.col(boot))
-    cur = S.scan(by_boot, keys, order, chunk, _boot=S.last_known(fresh), _nth=S.count(before=True))
+    cur = S.scan(by_boot, keys, order, chunk, True, _boot=S.last_known(fresh), _nth=S.count(before=True))
     taken = (F.col("_seen") == 0) | ((F.col(boot) == F.col("_boot")) & (F.col(seq) > F.col("_top")))
     cur = cur.withColumn("accepted", taken).withColumn("_confirm", F.when(F.col("accepted") & (F.col("_nth") > 0), F.col(at)))
     out = S.scan(cur, keys, order, chunk, confirmed_at=S.last_known(F.col("_confirm")))

@@ -22,7 +22,7 @@ def merge(df: DataFrame, keys: list[str], start: str, end: str, width: float) ->
     """Union of overlapping or touching intervals per key. ``width`` is the time range per chunk."""
     unique = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).groupBy(*keys, "_s").agg(F.max("_e").alias("_e"))
     chunk = F.floor(F.col("_s") / F.lit(float(width))).cast("bigint")
-    reach = S.scan(unique, keys, ["_s"], chunk, _reach=S.highest(F.col("_e"), before=True))
+    reach = S.scan(unique, keys, ["_s"], chunk, True, _reach=S.highest(F.col("_e"), before=True))
     opens = F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach")), 1).otherwise(0)
     numbered = S.scan(reach, keys, ["_s"], F.floor(F.col("_s") / F.lit(float(width))).cast("bigint"), _span=S.total(opens))
     return numbered.groupBy(*keys, "_span").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_span")
@@ -38,7 +38,7 @@ def active_counts(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     times = points.select(*keys, F.col(at).cast("double").alias("_at")).distinct()
     moves = edges.unionByName(times.withColumn("_step", F.lit(0).cast("bigint")))
     merged = moves.groupBy(*keys, "_at").agg(F.sum("_step").alias("_step"))
-    swept = S.scan(merged, keys, ["_at"], F.floor(F.col("_at") / F.lit(float(width))).cast("bigint"), **{name: S.total(F.col("_step"))})
+    swept = S.scan(merged, keys, ["_at"], F.floor(F.col("_at") / F.lit(float(width))).cast("bigint"), True, **{name: S.total(F.col("_step"))})
     return points.withColumn("_at", F.col(at).cast("double")).join(swept.drop("_step"), [*keys, "_at"], "left").drop("_at")
 
 

@@ -5,6 +5,10 @@ into chunks along its order (tick ranges, time buckets, value buckets). Each chu
 own window, each chunk is also reduced to one summary row, and a window over the summary rows
 gives the value carried into the chunk. The large side is shuffled once on (keys, chunk), and
 no task holds more than one chunk of detail rows.
+
+Both passes start from the same input, so a chain of k scans would read its source 2^k times.
+With ``settle=True`` the small carry table is written to the shared folder first; a chain then
+reads its source k + 1 times, and the written table has a known size for the join.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.session import cut_lineage
+
 TICKS_PER_CHUNK = 4096
 CHUNK = "_chunk"
 
@@ -73,7 +79,7 @@ def _frame(window, before: bool):
 
 
 def scan(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column, **specs: Running
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, settle: bool = False, **specs: Running
 ) -> DataFrame:
     """``df`` with one more column per spec. ``order`` must be a total order inside a key and
     ``chunk`` must not fall along it."""
@@ -120,6 +126,8 @@ def scan(
 
     summary = df.groupBy(*keys, CHUNK).agg(*reduced)
     carry = summary.select(*keys, CHUNK, *carried)
+    if settle:
+        carry = cut_lineage(carry)
     detail = df.select("*", *local)
     joined = detail.join(carry, [*keys, CHUNK], "left")
     kept = [c for c in df.columns if c != CHUNK and c not in specs]
@@ -128,7 +136,7 @@ def scan(
 
 def streaks(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column,
-    conditions: dict[str, Column], index: str | None = None,
+    conditions: dict[str, Column], index: str | None = None, settle: bool = False,
 ) -> DataFrame:
     """Length of the current run of consecutive rows on which each condition holds (0 where it
     does not), and on request the 0-based row index inside the key. A NULL condition breaks."""
@@ -152,6 +160,8 @@ def streaks(
             for n in conditions
         ],
     )
+    if settle:
+        carry = cut_lineage(carry)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     detail = placed.select("*", *[F.max(b).over(running).alias(f"_r_{n}") for n, b in breaks.items()])
     joined = detail.join(carry, [*keys, CHUNK], "left")
@@ -166,9 +176,9 @@ def streaks(
     return joined.select(*kept, *[v.alias(n) for n, v in out.items()])
 
 
-def row_index(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str = "idx") -> DataFrame:
+def row_index(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str = "idx", settle: bool = False) -> DataFrame:
     """0-based position of each row inside its key."""
-    return streaks(df, keys, order, chunk, {}, index=name)
+    return streaks(df, keys, order, chunk, {}, index=name, settle=settle)
 
 
 def lookback(
@@ -200,6 +210,6 @@ def segments(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, name: str = "segment"
 ) -> DataFrame:
     """Number the stretches of equal consecutive values, from 1."""
-    marked = scan(df, keys, order, chunk, _prev=previous(F.struct(F.col(value).alias("x"))))
+    marked = scan(df, keys, order, chunk, True, _prev=previous(F.struct(F.col(value).alias("x"))))
     change = F.when(F.col("_prev").isNull() | ~F.col("_prev.x").eqNullSafe(F.col(value)), 1).otherwise(0)
     return scan(marked, keys, order, chunk, **{name: total(change)}).drop("_prev")

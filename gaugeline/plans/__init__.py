@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("envelope", "windows", "alarm")
+THEMES = ("envelope", "windows", "alarm", "evaluation")
 
 
 def load_all() -> None:

@@ -224,7 +224,7 @@ def run_loads(spark, sf):
 
 def run_readings(spark, sf):
     scored = E.scores(spark, sf).select("run_id", "tick", "k", "judgeable")
-    told = S.scan(scored, ["run_id"], ["tick"], chunk(), i=S.count(before=True), p=S.previous(F.col("tick")))
+    told = S.scan(scored, ["run_id"], ["tick"], chunk(), True, i=S.count(before=True), p=S.previous(F.col("tick")))
     status = (
         F.when(F.col("i") < 1, "warming_up").when((F.col("tick") - F.col("p") > 1) | ~F.col("judgeable"), "unknown").otherwise("scored")
     )

@@ -135,7 +135,7 @@ def valid_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def series(spark: SparkSession, sf: str, day: float = 1.0) -> DataFrame:
     base = ev(spark, sf).drop("tick")
-    return S.row_index(base, ["user_id"], ["us", "event_id"], S.time_chunk("us", 86400.0 * day), "tick").select(
+    return S.row_index(base, ["user_id"], ["us", "event_id"], S.time_chunk("us", 86400.0 * day), "tick", settle=True).select(
         "user_id", "event_id", "us", "value", "k", "event_type", "run_id", "tick"
     )
 
