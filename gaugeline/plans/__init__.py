@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("envelope", "windows", "alarm", "evaluation")
+THEMES = ("envelope", "windows", "alarm", "evaluation", "quality")
 
 
 def load_all() -> None:

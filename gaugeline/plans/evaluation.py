@@ -42,13 +42,13 @@ def label_table(spark, sf):
 
 
 @query("label_coverage", "JN1 SET2", """
-WITH s AS (SELECT run_id, tick, count(*) AS n FROM cells WHERE tick % 13 <> 5 GROUP BY ALL),
+WITH s AS (SELECT run_id, tick, count(*) AS n FROM cells GROUP BY ALL HAVING count(*) = 5),
 l AS (SELECT run_id, unnest(range(0, n_ticks)) AS tick FROM runs)
 SELECT coalesce(s.run_id, l.run_id) AS run_id, count(*) FILTER (WHERE s.tick IS NOT NULL AND l.tick IS NOT NULL) AS n_matched,
  count(*) FILTER (WHERE l.tick IS NULL) AS n_unlabelled, count(*) FILTER (WHERE s.tick IS NULL) AS n_label_only
 FROM s FULL JOIN l ON s.run_id = l.run_id AND s.tick = l.tick GROUP BY 1""")
 def label_coverage(spark, sf):
-    snaps = V.cells(spark, sf).where("tick % 13 <> 5").groupBy("run_id", "tick").agg(F.count(F.lit(1)).alias("n"))
+    snaps = V.cells(spark, sf).groupBy("run_id", "tick").agg(F.count(F.lit(1)).alias("n")).where("n = 5")
     labels = V.runs(spark, sf).select("run_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_ticks") - 1)).alias("tick"), F.lit(1).alias("l"))
     both = snaps.join(labels, ["run_id", "tick"], "full_outer")
     return both.groupBy("run_id").agg(
@@ -58,10 +58,10 @@ def label_coverage(spark, sf):
 
 
 @query("frame_violations", "JN1 PRJ24", """
-WITH p AS (SELECT run_id, max(grp) AS grp, max(fault) AS fault, count(*) FILTER (WHERE y) AS n_y, max(tick) FILTER (WHERE y) - min(tick) FILTER (WHERE y) + 1 AS span FROM evalframe WHERE k < 3 GROUP BY run_id)
+WITH p AS (SELECT run_id, max(grp) AS grp, max(fault) AS fault, count(*) FILTER (WHERE y) AS n_y, max(tick) FILTER (WHERE y) - min(tick) FILTER (WHERE y) + 1 AS span FROM evalframe WHERE judgeable GROUP BY run_id)
 SELECT run_id, 'y_block' AS kind FROM p WHERE grp = 'F' AND (n_y = 0 OR span <> n_y)""")
 def frame_violations(spark, sf):
-    return M.frame_faults(frame(spark, sf).where("k < 3"))
+    return M.frame_faults(frame(spark, sf).where("judgeable"))
 
 
 CONF = """count(*) FILTER (WHERE y AND alarm) AS tp, count(*) FILTER (WHERE NOT y AND alarm) AS fp, count(*) FILTER (WHERE y AND NOT alarm) AS fn,
