@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("envelope", "windows", "alarm", "evaluation", "quality")
+THEMES = ("envelope", "windows", "alarm", "evaluation", "quality", "network")
 
 
 def load_all() -> None:
