@@ -50,11 +50,9 @@ def holders(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start
     listed = spans.withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), F.greatest(bucket(F.col(start)), last))))
     placed = points.withColumn("_b", bucket(F.col(at)))
     test = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
-    cond = [placed[k] == listed[k] for k in keys] + [placed["_b"] == listed["_b"], test]
-    joined = placed.join(listed.drop(*[]), cond, how)
-    for k in [*keys, "_b"]:
-        joined = joined.drop(listed[k])
-    return joined.drop("_b")
+    renamed = listed.withColumnsRenamed({k: f"_k_{k}" for k in [*keys, "_b"]})
+    cond = [F.col(k) == F.col(f"_k_{k}") for k in [*keys, "_b"]] + [test]
+    return placed.join(renamed, cond, how).drop("_b", *[f"_k_{k}" for k in [*keys, "_b"]])
 
 
 def overlap_seconds(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, width: float) -> DataFrame:
