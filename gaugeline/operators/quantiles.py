@@ -87,13 +87,16 @@ def quantiles(
 
 def ranked_sums(df: DataFrame, keys: list[str], value: str, side: str) -> DataFrame:
     """Rank AUC per key from tie-folded counts: P(positive > negative) + P(tie)/2, where
-    ``side`` is the boolean class column."""
+    ``side`` is the boolean class column; ``n_at_or_above`` counts the pairs whose positive is not
+    below the negative."""
     clean = df.select(*keys, F.col(value).cast("double").alias("_v"), F.col(side).alias("_y")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v") & F.col("_y").isNotNull()
     )
     folded = clean.groupBy(*keys, "_v").agg(
         F.count_if(F.col("_y")).alias("_p"), F.count_if(~F.col("_y")).alias("_q")
     )
+    if not keys:
+        keys, folded = ["_all"], folded.withColumn("_all", F.lit(0))
     placed = with_buckets(folded, keys, "_v")
     past = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy(*keys, "_bucket").agg(F.sum("_q").alias("_bq"))
@@ -105,4 +108,5 @@ def ranked_sums(df: DataFrame, keys: list[str], value: str, side: str) -> DataFr
     return scored.groupBy(*keys).agg(
         F.try_divide(won, (F.sum("_p") * F.sum("_q")).cast("double")).alias("auc"),
         F.sum("_p").alias("n_positive"), F.sum("_q").alias("n_negative"),
+        F.sum(F.col("_p") * (F.col("_below") + F.col("_q"))).alias("n_at_or_above"),
     )

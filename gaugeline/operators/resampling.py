@@ -6,10 +6,13 @@ the cluster at position hash(seed, b, i) mod n, so any engine can repeat the dra
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.functions import stats
+from gaugeline.operators import quantiles as Q
 from gaugeline.operators import scan as S
+from gaugeline.session import cut_lineage
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -24,13 +27,9 @@ def block_diffs(trials: DataFrame, block: str, arm: str, value: str, a: str = "A
     return trials.groupBy(block).agg((mean(a) - mean(b)).alias("diff")).where("diff is not null")
 
 
-def numbered(clusters: DataFrame, keys: list[str], order: str, buckets: int = 64) -> DataFrame:
-    """0-based position and size per stratum, ordered by ``order`` inside hash buckets, so no task
-    holds a whole stratum."""
-    placed = S.row_index(clusters, keys, ["_bucket", order], F.col("_bucket"), "_pos") if "_bucket" in clusters.columns else \
-        S.row_index(clusters.withColumn("_bucket", F.pmod(F.xxhash64(order), F.lit(buckets))), keys, ["_bucket", order], F.col("_bucket"), "_pos")
-    size = clusters.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return placed.join(size, keys).drop("_bucket")
+def numbered(clusters: DataFrame, keys: list[str], order: str, width: int = 4096) -> DataFrame:
+    """0-based ``pos`` per stratum along a whole-number column, cut into ranges of ``width``."""
+    return S.row_index(clusters, keys, [order], S.tick_chunk(order, width), "pos")
 
 
 def bootstrap_sums(clusters: DataFrame, stratum: str, order: str, sums: list[str], replicates: int, seed: int) -> DataFrame:
@@ -64,3 +63,65 @@ def sign_flips(diffs: DataFrame, value: str, index: str, n: int, draws: int = 20
     seen = diffs.agg(F.abs(F.sum(value)).alias("_o"), F.count(value).alias("_n"))
     hit = (F.abs(F.col("s")) / F.col("_n") >= F.col("_o") / F.col("_n") - 1e-12).cast("double")
     return sums.join(F.broadcast(seen)).agg(F.avg(hit).alias("p_two_sided"), F.lit(exact).alias("exact"), F.count(F.lit(1)).alias("n_perm"))
+
+
+def logistic_fits(points: DataFrame, keys: list[str], x: str, y: str, weight: str | None = None, rounds: int = 100) -> DataFrame:
+    """Two-parameter logistic fits, one per key, all keys advancing one Newton step per round.
+
+    A step needs five sums per key, so a round is one partial aggregation over the rows. Fits
+    that separate, diverge, fall or would extrapolate end with ``why`` and no estimate."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), w.alias("_w"))
+    shape = rows.groupBy(*keys).agg(F.min("_y").alias("_y0"), F.max("_y").alias("_y1"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"))
+    one_class = F.col("_y0") == F.col("_y1")
+    state = cut_lineage(shape.select(
+        *keys, "_x0", "_x1", F.lit(0.0).alias("b0"), F.lit(0.0).alias("b1"), F.when(one_class, "one_class").alias("why"), (~one_class).alias("_live"),
+    ))
+    for _ in range(rounds):
+        live = state.where("_live")
+        p = 1 / (1 + F.exp(-F.greatest(F.least(F.col("b0") + F.col("b1") * F.col("_x"), F.lit(35.0)), F.lit(-35.0))))
+        step = rows.join(live.select(*keys, "b0", "b1"), keys).select(*keys, "_x", "_y", "_w", p.alias("_p"))
+        step = step.withColumn("_v", F.col("_p") * (1 - F.col("_p")))
+        g, h = F.col("_w") * (F.col("_y") - F.col("_p")), F.col("_w") * F.col("_v")
+        sums = step.groupBy(*keys).agg(
+            F.sum(h).alias("_a"), F.sum(h * F.col("_x")).alias("_b"), F.sum(h * F.col("_x") ** 2).alias("_c"), F.sum(g).alias("_g0"), F.sum(g * F.col("_x")).alias("_g1"), F.min("_v").alias("_vmin"),
+        )
+        det = F.col("_a") * F.col("_c") - F.col("_b") ** 2
+        d0 = F.when(det != 0, (F.col("_c") * F.col("_g0") - F.col("_b") * F.col("_g1")) / det)
+        d1 = F.when(det != 0, (F.col("_a") * F.col("_g1") - F.col("_b") * F.col("_g0")) / det)
+        moved = state.join(sums, keys, "left").withColumns({"_n0": F.col("b0") + d0, "_n1": F.col("b1") + d1, "_d": F.greatest(F.abs(d0), F.abs(d1))})
+        ed = -F.col("_n0") / F.col("_n1")
+        settled = F.col("_d") < 1e-10
+        why = (
+            F.when(~F.col("_live"), F.col("why")).when(F.col("_vmin") < 1e-10, "separation").when(F.col("_d").isNull(), "singular")
+            .when(F.greatest(F.abs("_n0"), F.abs("_n1")) > 1e3, "diverged").when(settled & (F.col("_n1") <= 0), "slope")
+            .when(settled & ~ed.between(F.col("_x0") - 1, F.col("_x1") + 1), "extrapolated")
+        )
+        goes_on = F.col("_live") & why.isNull() & ~settled
+        keep = ~F.col("_live")
+        state = cut_lineage(moved.select(
+            *keys, "_x0", "_x1", F.when(keep, F.col("b0")).otherwise(F.col("_n0")).alias("b0"), F.when(keep, F.col("b1")).otherwise(F.col("_n1")).alias("b1"), why.alias("why"), goes_on.alias("_live"),
+        ))
+        if state.where("_live").isEmpty():
+            break
+    why = F.when(F.col("_live"), "rounds").otherwise(F.col("why"))
+    ok = why.isNull()
+    return state.select(
+        *keys, ok.alias("converged"), F.coalesce(why, F.lit("")).alias("why"), F.when(ok, F.col("b0")).alias("b0"), F.when(ok, F.col("b1")).alias("b1"),
+        F.when(ok, F.pow(F.lit(10.0), -F.col("b0") / F.col("b1"))).alias("ed50"),
+    )
+
+
+def dose_bracket(points: DataFrame, keys: list[str], x: str, hit: str) -> DataFrame:
+    """Largest miss below the smallest hit: geometric midpoint. Otherwise the number of pairs in
+    the wrong order, from ranked counts."""
+    h, m = F.when(F.col(hit), F.col(x)), F.when(~F.col(hit), F.col(x))
+    per = points.groupBy(*keys).agg(F.count(h).alias("n_hits"), F.count(m).alias("n_misses"), F.max(m).alias("top_miss"), F.min(h).alias("low_hit"))
+    wrong = Q.ranked_sums(points.withColumn("_miss", ~F.col(hit)), keys, x, "_miss").select(*keys, F.col("n_at_or_above").alias("n_inversions"))
+    kind = (
+        F.when(F.col("n_misses") == 0, "censored_all_hit").when(F.col("n_hits") == 0, "censored_all_miss")
+        .when(F.col("top_miss") < F.col("low_hit"), "bracket").otherwise("overlap")
+    )
+    out = per.join(wrong, keys, "left").withColumn("kind", kind)
+    middle = (stats.log_separation(F.col("top_miss")) + stats.log_separation(F.col("low_hit"))) / 2
+    return out.select(*keys, "n_hits", "n_misses", "kind", F.when(F.col("kind") == "bracket", F.pow(F.lit(10.0), middle)).alias("ed50"), F.when(F.col("kind") == "overlap", F.col("n_inversions")).alias("n_inversions"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("envelope", "windows", "alarm", "evaluation", "quality", "network", "ingest", "records", "latency")
+THEMES = ("envelope", "windows", "alarm", "evaluation", "quality", "network", "ingest", "records", "latency", "modelling", "streams")
 
 
 def load_all() -> None:

@@ -107,7 +107,7 @@ def command_latency(spark, sf):
 
 
 # Trials: each urgent order of a customer is a command; the customer's device runs the timeline.
-SQL_VIEWS["trials"] = "SELECT user_id, tick AS trial, us AS ta, us + 3600000000 AS tb, k % 10 = 0 AS warmup FROM series WHERE event_type = 'signup'"
+SQL_VIEWS["trials"] = "SELECT user_id, tick AS trial, us + k * 36000000 AS ta, us + k * 36000000 + 3600000000 AS tb, k % 10 = 0 AS warmup FROM series WHERE event_type = 'signup'"
 SQL_VIEWS["tline"] = "SELECT user_id, us AS t_in, us + k * 10000 AS t1, us + k * 20000 + 500000 AS t2, tick AS seq, CASE WHEN value > 100 THEN 'act' WHEN value > 60 THEN 'suspect' ELSE 'normal' END AS published, value > 50 AS observed, k % 4 <> 0 AS ok FROM series"
 SQL_VIEWS["parts"] = """SELECT t.user_id, t.trial, t.warmup, t.ta, t.tb,
   (SELECT max(t_in) FROM tline l WHERE l.user_id = t.user_id AND t_in <= ta) AS prev_in, (SELECT min(t_in) FROM tline l WHERE l.user_id = t.user_id AND t_in > tb) AS next_in, (SELECT min(t_in) FROM tline l WHERE l.user_id = t.user_id AND t_in > tb AND observed) AS t_obs,
@@ -117,7 +117,7 @@ SQL_VIEWS["decomp"] = """SELECT p.*, a.t1, a.t2, (SELECT min(seq) FROM tline l W
 
 def decomposed(spark, sf):
     s = V.series(spark, sf)
-    trials = s.where("event_type = 'signup'").select("user_id", F.col("tick").alias("trial"), F.col("us").alias("ta"), (F.col("us") + 3600000000).alias("tb"), (F.col("k") % 10 == 0).alias("warmup"))
+    trials = s.where("event_type = 'signup'").select("user_id", F.col("tick").alias("trial"), (F.col("us") + F.col("k") * 36000000).alias("ta"), (F.col("us") + F.col("k") * 36000000 + 3600000000).alias("tb"), (F.col("k") % 10 == 0).alias("warmup"))
     line = cut_lineage(s.select(
         "user_id", F.col("us").alias("t_in"), (F.col("us") + F.col("k") * 10000).alias("t1"), (F.col("us") + F.col("k") * 20000 + 500000).alias("t2"), F.col("tick").alias("seq"),
         F.when(F.col("value") > 100, "act").when(F.col("value") > 60, "suspect").otherwise("normal").alias("published"), (F.col("value") > 50).alias("observed"), (F.col("k") % 4 != 0).alias("ok"),
@@ -169,9 +169,9 @@ def latency_budget(spark, sf):
 
 
 @query("phase_quartiles", "AG49", """
-SELECT CAST(least(floor(p * 4), 3) AS BIGINT) AS quartile, count(*) AS n FROM (SELECT ((tb - prev_in) % 86400000000) / 86400000000.0 AS p FROM decomp WHERE NOT warmup) GROUP BY 1""")
+SELECT CAST(least(floor(p * 4), 3) AS BIGINT) AS quartile, count(*) AS n FROM (SELECT ((ta - prev_in) % 3600000000) / 3600000000.0 AS p FROM decomp WHERE NOT warmup) GROUP BY 1""")
 def phase_quartiles(spark, sf):
-    share = ((F.col("tb") - F.col("prev_in")) % 86400000000) / 86400000000.0
+    share = ((F.col("ta") - F.col("prev_in")) % 3600000000) / 3600000000.0
     return decomposed(spark, sf).where("not warmup").groupBy(F.least(F.floor(share * 4), F.lit(3)).alias("quartile")).agg(F.count(F.lit(1)).alias("n"))
 
 
