@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,15 @@ def fisher_two_sided(tables: DataFrame, keys: list[str], a: str, b: str, c: str,
     and the terms no larger than the observed one are summed per key."""
     row, col, n = F.col(a) + F.col(b), F.col(a) + F.col(c), F.col(a) + F.col(b) + F.col(c) + F.col(d)
     sized = tables.select(*keys, F.col(a).alias("_a"), row.alias("_r"), col.alias("_c"), n.alias("_n"))
-    lo = F.greatest(F.lit(0).cast("bigint"), F.col("_c") - (F.col("_n") - F.col("_r")))
-    spread = sized.withColumn("_k", F.explode(F.sequence(lo, F.least(F.col("_r"), F.col("_c")))))
+    r, k, whole = (F.col(x).cast("double") for x in ("_r", "_c", "_n"))
+    middle = r * k / whole
+    spread_ = F.sqrt(middle * (1 - r / whole) * (1 - k / whole)) * 45 + 60
+    zero = F.lit(0).cast("bigint")
+    lo = F.greatest(zero, F.col("_c") - (F.col("_n") - F.col("_r")), F.floor(middle - spread_))
+    hi = F.least(F.col("_r"), F.col("_c"), F.ceil(middle + spread_))
+    # Two levels keep each array short; terms 45 deviations out are zero in double precision.
+    blocks = sized.withColumns({"_hi": hi, "_b": F.explode(F.sequence(lo, F.greatest(lo, hi), F.lit(65536).cast("bigint")))})
+    spread = blocks.withColumn("_k", F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + 65535, F.greatest(F.col("_hi"), F.col("_b"))))))
 
     def choose(total: Column, part: Column) -> Column:
         return ln_factorial(total) - ln_factorial(part) - ln_factorial(total - part)
@@ -47,10 +55,13 @@ def fisher_two_sided(tables: DataFrame, keys: list[str], a: str, b: str, c: str,
     return spread.groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(kept)).alias("p"))
 
 
-def poisson_upper(k: Column, alpha: float = 0.05) -> Column:
-    """One-sided upper bound of a Poisson mean: P(X <= k) = alpha, by 200 bisection steps."""
+def poisson_upper(k: Column, alpha: float = 0.05, exact_to: int = 500) -> Column:
+    """One-sided upper bound of a Poisson mean: P(X <= k) = alpha, by 200 bisection steps. Above
+    ``exact_to`` counts exp(-rate) leaves double range; there the cube-root (Wilson-Hilferty) form
+    is used, whose relative error is below 1e-6."""
+    exact = F.when(k <= exact_to, k)
     steps = F.sequence(F.lit(1), F.lit(200))
-    counts = F.filter(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint")), lambda i: i > 0)
+    counts = F.filter(F.sequence(F.lit(0).cast("bigint"), exact.cast("bigint")), lambda i: i > 0)
 
     def cdf(rate: Column) -> Column:
         first = F.exp(-rate)
@@ -59,7 +70,7 @@ def poisson_upper(k: Column, alpha: float = 0.05) -> Column:
             (acc["term"] * rate / i).alias("term"), (acc["total"] + acc["term"] * rate / i).alias("total")
         ), lambda acc: acc["total"])
 
-    top = F.greatest(F.lit(10.0), 10.0 * (k + 1))
+    top = F.greatest(F.lit(10.0), 10.0 * (exact + 1))
     start = F.struct(F.lit(0.0).alias("lo"), top.alias("hi"))
 
     def halve(acc: Column, _: Column) -> Column:
@@ -67,7 +78,9 @@ def poisson_upper(k: Column, alpha: float = 0.05) -> Column:
         above = cdf(mid) > alpha
         return F.struct(F.when(above, mid).otherwise(acc["lo"]).alias("lo"), F.when(above, acc["hi"]).otherwise(mid).alias("hi"))
 
-    return F.when(k.isNotNull(), F.aggregate(steps, start, halve, lambda acc: acc["hi"]))
+    z = NormalDist().inv_cdf(1 - alpha)
+    big = (k + 1) * F.pow(1 - 1 / (9.0 * (k + 1)) + z / (3 * F.sqrt(k + 1)), F.lit(3.0))
+    return F.coalesce(F.aggregate(steps, start, halve, lambda acc: acc["hi"]), big)
 
 
 def log_separation(value: Column, floor: float = 1e-3) -> Column:

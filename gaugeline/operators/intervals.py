@@ -18,17 +18,18 @@ def clip(df: DataFrame, start: str, end: str, lo: Column, hi: Column) -> DataFra
     return cut.where(F.col(end) > F.col(start))
 
 
-def merge(df: DataFrame, keys: list[str], start: str, end: str, width: float) -> DataFrame:
-    """Union of overlapping or touching intervals per key. ``width`` is the time range per chunk."""
+def merge(df: DataFrame, keys: list[str], start: str, end: str, width: float | None = None) -> DataFrame:
+    """Union of overlapping or touching intervals per key. ``width`` is the time range per chunk,
+    taken from the data when it is not given."""
     unique = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).groupBy(*keys, "_s").agg(F.max("_e").alias("_e"))
-    chunk = F.floor(F.col("_s") / F.lit(float(width))).cast("bigint")
+    chunk = S.range_chunk("_s", width or S.even_width(unique, keys, "_s"))
     reach = S.scan(unique, keys, ["_s"], chunk, True, _reach=S.highest(F.col("_e"), before=True))
     opens = F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach")), 1).otherwise(0)
-    numbered = S.scan(reach, keys, ["_s"], F.floor(F.col("_s") / F.lit(float(width))).cast("bigint"), _span=S.total(opens))
+    numbered = S.scan(reach, keys, ["_s"], chunk, _span=S.total(opens))
     return numbered.groupBy(*keys, "_span").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_span")
 
 
-def active_counts(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, name: str = "n_active") -> DataFrame:
+def active_counts(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, width: float | None = None, name: str = "n_active") -> DataFrame:
     """Number of intervals [start, end) that hold each point, by one sweep over sorted edges: no
     point meets an interval in a join, so a crowded key costs its size and not its pairs."""
     edges = spans.select(*keys, F.explode(F.array(
@@ -38,24 +39,33 @@ def active_counts(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     times = points.select(*keys, F.col(at).cast("double").alias("_at")).distinct()
     moves = edges.unionByName(times.withColumn("_step", F.lit(0).cast("bigint")))
     merged = moves.groupBy(*keys, "_at").agg(F.sum("_step").alias("_step"))
-    swept = S.scan(merged, keys, ["_at"], F.floor(F.col("_at") / F.lit(float(width))).cast("bigint"), True, **{name: S.total(F.col("_step"))})
+    chunk = S.range_chunk("_at", width or S.even_width(merged, keys, "_at"))
+    swept = S.scan(merged, keys, ["_at"], chunk, True, **{name: S.total(F.col("_step"))})
     return points.withColumn("_at", F.col(at).cast("double")).join(swept.drop("_step"), [*keys, "_at"], "left").drop("_at")
 
 
-def holders(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, how: str = "inner") -> DataFrame:
-    """Pairs (point, interval holding it). Each interval is listed once per time bucket it
-    touches, so the join is an equality on (keys, bucket) with the exact test on top."""
-    bucket = lambda c: F.floor(c / F.lit(float(width))).cast("bigint")
-    last = F.when(F.col(end) > F.col(start), bucket(F.col(end) - F.lit(1e-9)))
-    listed = spans.withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), F.greatest(bucket(F.col(start)), last))))
-    placed = points.withColumn("_b", bucket(F.col(at)))
-    test = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
-    renamed = listed.withColumnsRenamed({k: f"_k_{k}" for k in [*keys, "_b"]})
-    cond = [F.col(k) == F.col(f"_k_{k}") for k in [*keys, "_b"]] + [test]
-    return placed.join(renamed, cond, how).drop("_b", *[f"_k_{k}" for k in [*keys, "_b"]])
+def owners(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, columns: list[str], width: float | None = None) -> DataFrame:
+    """Each point with the earliest-started interval [start, end) that holds it, as ``owner``.
 
+    In start order an interval owns what the furthest end before it leaves over: any earlier
+    interval that reaches past t started before t and so holds t. The owned stretches do not
+    overlap, one running maximum yields them, and a point finds its own by the nearest start."""
+    from gaugeline.operators.matching import as_of
 
-def overlap_seconds(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, width: float) -> DataFrame:
+    best = F.min(F.struct(*columns, F.col(end).alias("_e")))
+    longest = spans.where(F.col(end) > F.col(start)).groupBy(*keys, F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_end")).agg(best.alias("_first"))
+    chunk = S.range_chunk("_s", width or S.even_width(longest, keys, "_s"))
+    order = ["_s", "_first", "_end"]
+    reach = S.scan(longest, keys, order, chunk, True, _reach=S.highest(F.col("_end"), before=True))
+    owned = reach.withColumn("_from", F.greatest("_s", "_reach")).where(F.col("_end") > F.col("_from"))
+    stretch = owned.select(*keys, F.col("_from").alias(at), F.col("_end"), F.struct(F.col("_s").alias(start), *[F.col(f"_first.{c}").alias(c) for c in columns]).alias("_o"))
+    asked = points.withColumn("_t", F.col(at).cast("double"))
+    found = as_of(asked, stretch.withColumnRenamed(at, "_t"), keys, "_t", ["_end", "_o"], width)
+    inside = F.when(F.col("_t") < F.col("_hit._end"), F.col("_hit._o"))
+    return found.withColumn("owner", inside).drop("_hit", "_t")
+
+
+def overlap_seconds(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, width: float | None = None) -> DataFrame:
     """Total length per key of the intersection of two sets of merged intervals, by a sweep:
     the stretch after an edge counts when both sets are open."""
     def edges(df: DataFrame, side: str) -> DataFrame:
@@ -65,8 +75,9 @@ def overlap_seconds(left: DataFrame, right: DataFrame, keys: list[str], start: s
         return steps.select(*keys, "_x._at", F.lit(0).alias("_l"), F.lit(0).alias("_r"), "_x._d").withColumn(side, F.col("_d")).drop("_d")
 
     moves = edges(left, "_l").unionByName(edges(right, "_r")).groupBy(*keys, "_at").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    chunk = S.range_chunk("_at", width or S.even_width(moves, keys, "_at"))
     swept = S.scan(
-        moves, keys, ["_at"], F.floor(F.col("_at") / F.lit(float(width))).cast("bigint"),
+        moves, keys, ["_at"], chunk,
         _ol=S.total(F.col("_l")), _or=S.total(F.col("_r")), _to=S.following(F.col("_at")),
     )
     both = swept.where((F.col("_ol") > 0) & (F.col("_or") > 0))

@@ -36,7 +36,7 @@ def completeness(expected: DataFrame, actual: DataFrame, keys: list[str], by: li
     )
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, columns: list[str], width: float, forward: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, columns: list[str], width: float | None = None, forward: bool = False) -> DataFrame:
     """Each left row with the nearest right row at or before it (or at or after it) per key.
     Both sides are merged into one ordered sequence and the value is carried along it, so the
     work grows with the rows and not with row pairs. At equal times a backward match counts."""
@@ -44,11 +44,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, columns:
     seen = seen.groupBy(*keys, "_at", "_side").agg(F.max("_r").alias("_r"))
     asks = left.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side")).distinct()
     rows = asks.unionByName(seen, allowMissingColumns=True)
-    if forward:
-        rows = rows.withColumn("_pos", -F.col("_at"))
-    else:
-        rows = rows.withColumn("_pos", F.col("_at"))
-    chunk = F.floor(F.col("_pos") / F.lit(float(width))).cast("bigint")
+    rows = rows.withColumn("_pos", -F.col("_at") if forward else F.col("_at"))
+    chunk = S.range_chunk("_pos", width or S.even_width(rows, keys, "_at"))
     carried = S.scan(rows, keys, ["_pos", "_side"], chunk, _hit=S.last_known(F.col("_r")))
     found = carried.where("_side = 1").select(*keys, F.col("_at").alias(at), F.col("_hit"))
     return left.join(found, [*keys, at], "left")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.session import cut_lineage
+
 BUCKETS = 128
 
 # Rank rules: position(s) counted from 0 in the sorted values of a key with n values.
@@ -26,9 +28,9 @@ RULES = {
 def with_buckets(folded: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
     """Add ``_bucket``, which never falls as ``value`` grows, with about equal distinct values."""
     grid = [i / buckets for i in range(1, buckets)]
-    cuts = folded.groupBy(*keys).agg(F.percentile_approx(value, grid, 10000).alias("_cuts"))
-    joined = folded.join(cuts, keys) if keys else folded.crossJoin(F.broadcast(cuts))
-    below = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value)))
+    cuts = folded.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, grid, 10000)).alias("_cuts"))
+    joined = folded.join(cut_lineage(cuts), keys)  # written, so the join sees its real size
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     return joined.withColumn("_bucket", below.cast("bigint")).drop("_cuts")
 
 

@@ -69,9 +69,20 @@ def tick_chunk(tick: str | Column, width: int = TICKS_PER_CHUNK) -> Column:
     return F.floor(column / F.lit(width)).cast("bigint")
 
 
-def time_chunk(micros: str | Column, seconds: float = 86400.0) -> Column:
-    column = F.col(micros) if isinstance(micros, str) else micros
-    return F.floor(column / F.lit(seconds * 1e6)).cast("bigint")
+def even_width(df: DataFrame, keys: list[str], at: str, rows_per_chunk: int = 500_000) -> float:
+    """Chunk width along ``at`` for the most crowded key: one pass over two columns gives rows
+    and span per key, and only the largest density comes back. Crowded data gets narrow chunks,
+    sparse data one chunk per key."""
+    position = F.col(at).cast("double")
+    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(position) - F.min(position)).alias("span"))
+    dense = grouped.where("span > 0").agg(F.max(F.col("n") / F.col("span")).alias("d")).first()["d"]
+    return float(rows_per_chunk) / dense if dense else float("inf")
+
+
+def range_chunk(at: str | Column, width: float) -> Column:
+    """Chunk number for a width from :func:`even_width`; an infinite width is one chunk."""
+    column = F.col(at) if isinstance(at, str) else at
+    return F.lit(0).cast("bigint") if width == float("inf") else F.floor(column / F.lit(width)).cast("bigint")
 
 
 def _frame(window, before: bool):

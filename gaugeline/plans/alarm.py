@@ -38,7 +38,7 @@ def alarm_states(spark, sf):
 def held_readings(spark, sf):
     base = V.readings(spark, sf)
     zones = base.where("k % 20 = 5").select("user_id", "event_type", F.col("us").alias("z0"), (F.col("us") + 86400000000).alias("z1"))
-    counted = I.active_counts(base, zones, ["user_id", "event_type"], "us", "z0", "z1", 7 * 86400e6)
+    counted = I.active_counts(base, zones, ["user_id", "event_type"], "us", "z0", "z1")
     return counted.withColumn("held", (F.col("suspect") | F.col("act")) & (F.col("n_active") > 0)).drop("n_active")
 
 
@@ -312,7 +312,9 @@ def redelivered_messages(spark, sf):
 SELECT user_id, event_type AS target, us + 172800000000 AS expired_at FROM (SELECT *, lead(us) OVER (PARTITION BY user_id, event_type ORDER BY us, event_id) AS nx FROM series)
 WHERE nx IS NULL OR nx > us + 172800000000""")
 def expired_leases(spark, sf):
-    out = R.lease_expiries(V.ev(spark, sf), ["user_id", "event_type"], ["us", "event_id"], S.time_chunk("us", 7 * 86400.0), "us", 172800e6)
+    rows = V.ev(spark, sf)
+    chunk = S.range_chunk("us", S.even_width(rows, ["user_id", "event_type"], "us"))
+    out = R.lease_expiries(rows, ["user_id", "event_type"], ["us", "event_id"], chunk, "us", 172800e6)
     return out.select("user_id", F.col("event_type").alias("target"), F.col("expired_at").cast("bigint").alias("expired_at"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gaugeline.operators import envelope as O
 from gaugeline.plans import views as V
 from gaugeline.plans.registry import query, r6
+from gaugeline.session import cut_lineage
 
 FAMILIES = {"indicator": list(V.INDICATORS), "rate": [e for e in V.ENTITIES if e not in V.INDICATORS]}
 
@@ -18,7 +19,8 @@ def train_cells(spark, sf):
 
 
 def bounds(spark, sf):
-    return O.fit_bounds(train_cells(spark, sf), "entity", "rate")
+    """The fitted model is an artifact: it is stored, and its readers know its size."""
+    return cut_lineage(O.fit_bounds(train_cells(spark, sf), "entity", "rate"))
 
 
 def scores(spark, sf):

@@ -122,11 +122,10 @@ def decomposed(spark, sf):
         "user_id", F.col("us").alias("t_in"), (F.col("us") + F.col("k") * 10000).alias("t1"), (F.col("us") + F.col("k") * 20000 + 500000).alias("t2"), F.col("tick").alias("seq"),
         F.when(F.col("value") > 100, "act").when(F.col("value") > 60, "suspect").otherwise("normal").alias("published"), (F.col("value") > 50).alias("observed"), (F.col("k") % 4 != 0).alias("ok"),
     ))
-    week = 7 * 86400e6
 
     def nearest(left, right, at, columns, name, forward):
         keyed = right.withColumnRenamed("t_in", at)
-        return M.as_of(left, keyed, ["user_id"], at, columns, week, forward).withColumnRenamed("_hit", name)
+        return M.as_of(left, keyed, ["user_id"], at, columns, forward=forward).withColumnRenamed("_hit", name)
 
     alarm = line.where("published <> 'normal'")
     after = trials.withColumn("tb1", F.col("tb") + 1)
@@ -136,7 +135,7 @@ def decomposed(spark, sf):
     out = cut_lineage(nearest(out, alarm.select("user_id", "t_in", "t1", "t2", "seq"), "tb1", ["seq", "t1", "t2"], "alarm", True))
     out = out.select("*", F.col("alarm.seq").alias("seq_alarm"))
     writes = alarm.where("ok").select("user_id", F.col("seq").alias("seq_alarm"))
-    out = M.as_of(out, writes, ["user_id"], "seq_alarm", [], 4096, True).withColumn("seq_written", F.col("_hit.at"))
+    out = M.as_of(out, writes, ["user_id"], "seq_alarm", [], S.TICKS_PER_CHUNK, True).withColumn("seq_written", F.col("_hit.at"))
     return out.select(
         "user_id", "trial", "warmup", "ta", "tb", F.col("prev.at").alias("prev_in"), F.col("next.at").alias("next_in"), F.col("obs.at").alias("t_obs"), "seq_alarm",
         F.col("alarm.t1").alias("t1"), F.col("alarm.t2").alias("t2"), "seq_written",
@@ -207,7 +206,7 @@ SELECT i.user_id, {r6('base')} AS baseline, n_valid, n_invalid, {r6('(SELECT avg
 def degraded_fraction(spark, sf):
     rows = V.ev(spark, sf)
     spans = rows.where("k % 10 = 5").select("user_id", F.col("us").alias("lo"), (F.col("us") + 43200000000).alias("hi"))
-    held = cut_lineage(I.active_counts(rows.select("user_id", "us", "value", (F.col("k") % 8 != 0).alias("valid")), spans, ["user_id"], "us", "lo", "hi", 7 * 86400e6))
+    held = cut_lineage(I.active_counts(rows.select("user_id", "us", "value", (F.col("k") % 8 != 0).alias("valid")), spans, ["user_id"], "us", "lo", "hi"))
     base = Q.quantiles(held.where("valid and n_active = 0"), ["user_id"], "value", {"baseline": ("middle", 0.5)})
     inside = F.col("n_active") > 0
     per = held.join(base, "user_id", "left").groupBy("user_id", "baseline").agg(

@@ -21,14 +21,13 @@ DAY = 86400 * 10**6
 
 @query("active_interventions", "JN4", """
 WITH x AS (SELECT actor, id, t_start, coalesce(t_revert + 8, t_start + 120) AS e FROM orders_x)
-SELECT p.actor, p.id, p.t_start AS at, count(x.id) AS n_active, min(x.id) AS first_id FROM orders_x p LEFT JOIN x ON x.actor = p.actor AND x.t_start <= p.t_start AND p.t_start < x.e GROUP BY ALL""")
+SELECT p.actor, p.id, p.t_start AS at, arg_min(x.id, (x.t_start, x.id)) AS owner, min(x.t_start) AS since FROM orders_x p LEFT JOIN x ON x.actor = p.actor AND x.t_start <= p.t_start AND p.t_start < x.e GROUP BY ALL""")
 def active_interventions(spark, sf):
     x = V.interventions(spark, sf)
     end = I.lease_end(F.col("t_start"), F.col("t_revert"), 8.0, 120.0)
-    spans = x.select("actor", F.col("id").alias("other"), F.col("t_start").cast("double").alias("s"), end.cast("double").alias("e"))
-    points = x.select("actor", "id", F.col("t_start").alias("at"))
-    held = I.holders(points, spans, ["actor"], "at", "s", "e", 90.0, "left")
-    return held.groupBy("actor", "id", "at").agg(F.count("other").alias("n_active"), F.min("other").alias("first_id"))
+    spans = x.select("actor", F.col("id").alias("other"), F.col("t_start").alias("s"), end.cast("double").alias("e"))
+    held = I.owners(x.select("actor", "id", F.col("t_start").alias("at")), spans, ["actor"], "at", "s", "e", ["other"])
+    return held.select("actor", "id", "at", F.col("owner.other").alias("owner"), F.col("owner.s").cast("bigint").alias("since"))
 
 
 @query("active_counts", "JN4 ST4", """
@@ -38,7 +37,7 @@ def active_counts(spark, sf):
     x = V.interventions(spark, sf)
     end = I.lease_end(F.col("t_start"), F.col("t_revert"), 8.0, 120.0).cast("double")
     spans = x.select("actor", F.col("t_start").alias("s"), end.alias("e")).where("e > s")
-    return I.active_counts(x.select("actor", "id", "t_start"), spans, ["actor"], "t_start", "s", "e", 365.0).select("actor", "id", "n_active")
+    return I.active_counts(x.select("actor", "id", "t_start"), spans, ["actor"], "t_start", "s", "e").select("actor", "id", "n_active")
 
 
 @query("stale_leases", "JN5", "SELECT actor, id FROM orders_x WHERE t_revert IS NULL AND (SELECT max(t_start) FROM orders_x) >= t_start + 120")
@@ -121,13 +120,12 @@ def act_attribution(spark, sf):
     rows = V.ev(spark, sf)
     spans = rows.where("k % 10 = 5").select("user_id", F.col("event_id").alias("iid"), F.col("event_type").alias("zone"), F.col("us").alias("s"), (F.col("us") + 86400000000).alias("e"))
     acts = rows.where("value > 100").select("user_id", "event_id", "event_type", "us")
-    held = I.holders(acts, spans, ["user_id"], "us", "s", "e", 86400e6)
-    owner = held.groupBy("event_id").agg(F.min(F.struct("s", "iid", "zone")).alias("o"))
+    held = I.owners(acts, spans, ["user_id"], "us", "s", "e", ["iid", "zone"])
     starts = spans.select("user_id", F.col("s").alias("us"), F.col("s").alias("t"))
-    before = M.as_of(acts, starts, ["user_id"], "us", ["t"], 7 * 86400e6).withColumnRenamed("_hit", "_b")
-    near = M.as_of(before, starts, ["user_id"], "us", ["t"], 7 * 86400e6, forward=True)
+    before = M.as_of(held, starts, ["user_id"], "us", ["t"]).withColumnRenamed("_hit", "_b")
+    near = M.as_of(before, starts, ["user_id"], "us", ["t"], forward=True)
     gap = F.least(F.col("us") - F.col("_b.at"), F.col("_hit.at") - F.col("us"))
-    out = near.join(owner, "event_id", "left")
+    out = near.withColumnRenamed("owner", "o")
     kind = F.when(F.col("o").isNull(), "unattributed").when(F.col("o.zone") == F.col("event_type"), "type_i").otherwise("type_ii")
     return out.select("event_id", kind.alias("class"), F.col("o.iid").alias("owner"), F.when(F.col("o").isNull(), gap).alias("nearest_us"))
 

@@ -133,9 +133,10 @@ def valid_rates(spark: SparkSession, sf: str) -> DataFrame:
     return cells(spark, sf).withColumn("rate", F.when(F.col("ok"), F.col("rate")))
 
 
-def series(spark: SparkSession, sf: str, day: float = 1.0) -> DataFrame:
+def series(spark: SparkSession, sf: str) -> DataFrame:
     base = ev(spark, sf).drop("tick")
-    return S.row_index(base, ["user_id"], ["us", "event_id"], S.time_chunk("us", 86400.0 * day), "tick", settle=True).select(
+    chunk = S.range_chunk("us", S.even_width(base, ["user_id"], "us"))
+    return S.row_index(base, ["user_id"], ["us", "event_id"], chunk, "tick", settle=True).select(
         "user_id", "event_id", "us", "value", "k", "event_type", "run_id", "tick"
     )
 

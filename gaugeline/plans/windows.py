@@ -14,10 +14,6 @@ RUN = ["run_id", "entity"]
 DAY_US = 86400 * 10**6
 
 
-def by_day():
-    return S.time_chunk("us", 86400.0)
-
-
 @query("tick_delta", "WIN1", f"""
 WITH v AS (SELECT run_id, entity, tick, CASE WHEN ok THEN rate END AS rate FROM cells)
 SELECT run_id, entity, tick, {r6('rate - lag(rate) OVER (PARTITION BY run_id, entity ORDER BY tick)')} AS delta FROM v""")
@@ -223,12 +219,12 @@ def leases(spark, sf):
 
 @query("merged_intervals", "WIN14", LEASE_SQL + f"SELECT actor, {r6('s')} AS s, {r6('e')} AS e FROM m")
 def merged_intervals(spark, sf):
-    return I.merge(leases(spark, sf), ["actor"], "s", "e", 90.0)
+    return I.merge(leases(spark, sf), ["actor"], "s", "e")
 
 
 @query("interval_totals", "WIN14", LEASE_SQL + f"""SELECT actor, count(*) AS n_spans, {r6('sum(e - s)')} AS total, {r6('max(e - s)')} AS longest FROM m GROUP BY actor""")
 def interval_totals(spark, sf):
-    return I.merge(leases(spark, sf), ["actor"], "s", "e", 90.0).groupBy("actor").agg(
+    return I.merge(leases(spark, sf), ["actor"], "s", "e").groupBy("actor").agg(
         F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("e") - F.col("s")).alias("total"), F.max(F.col("e") - F.col("s")).alias("longest")
     )
 
@@ -247,16 +243,16 @@ SELECT b.actor, {r6('blind')} AS blind_s, {r6('blind / 2000.0')} AS of_uptime, {
 FROM b LEFT JOIN k USING (actor) LEFT JOIN o USING (actor)""")
 def blind_time(spark, sf):
     lo, hi = F.lit(9200.0), F.lit(11200.0)
-    blind = I.merge(I.clip(leases(spark, sf), "s", "e", lo, hi), ["actor"], "s", "e", 90.0)
+    blind = I.merge(I.clip(leases(spark, sf), "s", "e", lo, hi), ["actor"], "s", "e")
     orders = V.table(spark, sf, "orders")
     day = F.floor(V.micros(orders, "o_orderdate") / DAY_US).cast("double")
     incidents = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("actor"), day.alias("s"), (day + 30).alias("e"))
-    incident = I.merge(I.clip(incidents, "s", "e", lo, hi), ["actor"], "s", "e", 90.0)
+    incident = I.merge(I.clip(incidents, "s", "e", lo, hi), ["actor"], "s", "e")
     per = blind.groupBy("actor").agg(
         F.sum(F.col("e") - F.col("s")).alias("blind_s"), F.max(F.col("e") - F.col("s")).alias("longest_s"), F.count(F.lit(1)).alias("n_spans")
     )
     size = incident.groupBy("actor").agg(F.sum(F.col("e") - F.col("s")).alias("incident_s"))
-    both = I.overlap_seconds(blind, incident, ["actor"], "s", "e", 90.0)
+    both = I.overlap_seconds(blind, incident, ["actor"], "s", "e")
     out = per.join(size, "actor", "left").join(both, "actor", "left")
     return out.select(
         "actor", "blind_s", (F.col("blind_s") / 2000.0).alias("of_uptime"),
@@ -270,7 +266,8 @@ SELECT actor, count(*) FILTER (WHERE nxt IS NOT NULL AND t_revert IS NOT NULL) A
  min(CASE WHEN t_revert IS NOT NULL THEN nxt - t_revert END) AS gap_min, count(t_revert) AS n_holds, {r6('avg(t_revert - t_start)')} AS hold_mean FROM p GROUP BY actor""")
 def intervention_gaps(spark, sf):
     x = V.interventions(spark, sf)
-    out = S.scan(x, ["actor"], ["t_start", "id"], F.floor(F.col("t_start") / 365).cast("bigint"), nxt=S.following(F.col("t_start")))
+    chunk = S.range_chunk("t_start", S.even_width(x, ["actor"], "t_start"))
+    out = S.scan(x, ["actor"], ["t_start", "id"], chunk, nxt=S.following(F.col("t_start")))
     gap = F.when(F.col("t_revert").isNotNull(), F.col("nxt") - F.col("t_revert"))
     return out.groupBy("actor").agg(
         F.count(gap).alias("n_gaps"), F.avg(gap).alias("gap_mean"), F.min(gap).alias("gap_min"),
