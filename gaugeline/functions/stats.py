@@ -23,7 +23,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def ln_factorial(n: Column) -> Column:
     """ln(n!) by Stirling's series, shifted by 8 so that small n are exact to 1e-12."""
     x = n.cast("double") + 8
-    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7) + 1 / (1188 * x**9)
     shift = F.lit(0.0)
     for i in range(1, 9):
         shift = shift + F.log(n.cast("double") + i)
@@ -80,7 +80,7 @@ def poisson_upper(k: Column, alpha: float = 0.05, exact_to: int = 500) -> Column
 
     z = NormalDist().inv_cdf(1 - alpha)
     big = (k + 1) * F.pow(1 - 1 / (9.0 * (k + 1)) + z / (3 * F.sqrt(k + 1)), F.lit(3.0))
-    return F.coalesce(F.aggregate(steps, start, halve, lambda acc: acc["hi"]), big)
+    return F.when(k <= exact_to, F.aggregate(steps, start, halve, lambda acc: acc["hi"])).otherwise(big)
 
 
 def log_separation(value: Column, floor: float = 1e-3) -> Column:

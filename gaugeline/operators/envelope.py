@@ -61,16 +61,18 @@ def decide(scores: DataFrame, e_limit: Column, k1: Column, k2: Column) -> DataFr
 
 
 def bounds_without(cells: DataFrame, fold: str, column: str, value: str) -> DataFrame:
-    """Extremes per (fold, column) over all other folds, from one row per fold and column."""
+    """Extremes per (fold, column) over all other folds, from one row per fold and column. A
+    column that no other fold measured has none."""
     per_fold = fit_bounds(cells, column, value, [fold])
     by_column = Window.partitionBy(column).orderBy(fold)
     left = by_column.rowsBetween(Window.unboundedPreceding, -1)
     right = by_column.rowsBetween(1, Window.unboundedFollowing)
-    return per_fold.select(
+    others = per_fold.select(
         fold, column,
         F.least(F.min("lo").over(left), F.min("lo").over(right)).alias("lo"),
         F.greatest(F.max("hi").over(left), F.max("hi").over(right)).alias("hi"),
     )
+    return others.where(F.col("lo").isNotNull())
 
 
 def extremes_without(cells: DataFrame, fold: str, column: str, value: str) -> DataFrame:

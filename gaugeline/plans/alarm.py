@@ -39,7 +39,8 @@ def held_readings(spark, sf):
     base = V.readings(spark, sf)
     zones = base.where("k % 20 = 5").select("user_id", "event_type", F.col("us").alias("z0"), (F.col("us") + 86400000000).alias("z1"))
     counted = I.active_counts(base, zones, ["user_id", "event_type"], "us", "z0", "z1")
-    return counted.withColumn("held", (F.col("suspect") | F.col("act")) & (F.col("n_active") > 0)).drop("n_active")
+    held = counted.withColumn("held", (F.col("suspect") | F.col("act")) & (F.col("n_active") > 0))
+    return cut_lineage(held.select("user_id", "tick", "us", "status", "suspect", "act", "held"))
 
 
 @query("suppressed_states", "ST4 JN4", "SELECT user_id, tick, state, prev FROM trace_s")
@@ -216,14 +217,14 @@ SQL_VIEWS["trace_n"] = _machine("readings_n", "trace_n")
 def run_loads(spark, sf):
     cells = V.cells(spark, sf).join(E.bounds(spark, sf), "entity")
     out = F.col("ok") & ((F.col("rate") < F.col("lo")) | (F.col("rate") > F.col("hi")))
-    return cells.groupBy("run_id", "tick").agg(
+    return cut_lineage(cells.groupBy("run_id", "tick").agg(
         F.when(F.count_if("ok") == len(V.ENTITIES), F.min("rate")).alias("load"),
         F.array_join(F.array_sort(F.collect_set(F.when(out, F.col("entity")))), ",").alias("affected"),
-    )
+    ))
 
 
 def run_readings(spark, sf):
-    scored = E.scores(spark, sf).select("run_id", "tick", "k", "judgeable")
+    scored = cut_lineage(E.scores(spark, sf).select("run_id", "tick", "k", "judgeable"))
     told = S.scan(scored, ["run_id"], ["tick"], chunk(), True, i=S.count(before=True), p=S.previous(F.col("tick")))
     status = (
         F.when(F.col("i") < 1, "warming_up").when((F.col("tick") - F.col("p") > 1) | ~F.col("judgeable"), "unknown").otherwise("scored")
