@@ -30,3 +30,10 @@ def account(rows: DataFrame, keys: list[str], noise_factor: float = 3.0, closure
         .when((leaf >= low) & (queue >= low), "QUEUE_THEN_DROP").otherwise("UNEXPLAINED")
     )
     return out.withColumn("class", kind).drop("mpb", "backlog")
+
+
+def conclude(probes: DataFrame, keys: list[str], finding: str, at_least: int = 2) -> DataFrame:
+    """A finding counts when every repeat shows it; one repeat proves nothing."""
+    n, every, some = F.count(F.lit(1)), F.bool_and(finding), F.bool_or(finding)
+    kind = F.when(n < at_least, "too_few").when(every, "confirmed").when(some, "mixed").otherwise("refuted")
+    return probes.groupBy(*keys).agg(n.alias("n_repeats"), every.alias("all_missing"), some.alias("any_missing"), kind.alias("conclusion"))

@@ -332,3 +332,19 @@ def wanted_capacity(spark, sf):
     rows = V.series(spark, sf).select("user_id", "tick", "k", (F.col("value") / 100.0).alias("rho"), (F.col("k") % 4 == 0).alias("down"))
     out = P.wanted_level(rows, USER, ["tick"], chunk(), "rho", "down", F.col("k") % 9 != 0)
     return out.select("user_id", "tick", "load", "failover", "target")
+
+
+@query("scored_set", "AG37 ST6", """
+SELECT r.grp, l.run_id, count(*) AS n_ticks, count(*) FILTER (WHERE m.active) AS guard_ticks, count(*) FILTER (WHERE t.state IN ('suspect', 'act')) AS raw_alarm_ticks,
+ count(*) FILTER (WHERE t.state IN ('suspect', 'act') AND NOT m.active) AS published_alarm_ticks, count(*) FILTER (WHERE t.state IN ('suspect', 'act') AND t.prev NOT IN ('suspect', 'act')) AS n_entries
+FROM loads l JOIN trace_n t ON t.user_id = l.g AND t.tick = l.rn JOIN guards m ON m.g = l.g AND m.rn = l.rn JOIN runs r ON r.run_id = l.run_id GROUP BY r.grp, l.run_id""")
+def scored_set(spark, sf):
+    stepped = A.states(run_readings(spark, sf), ["run_id"], ["tick"], chunk())
+    moved = A.transitions(stepped, ["run_id"], ["tick"], chunk()).select("run_id", "tick", "state", "entry")
+    guarded = A.range_guard(run_loads(spark, sf), ["run_id"], ["tick"], chunk(), "load", F.lit(50.0), 3).select("run_id", "tick", "guard")
+    rows = moved.join(guarded, ["run_id", "tick"]).join(V.runs(spark, sf).select("run_id", "grp"), "run_id")
+    alarm = F.col("state").isin(*A.ALARM)
+    return rows.groupBy("grp", "run_id").agg(
+        F.count(F.lit(1)).alias("n_ticks"), F.count_if("guard").alias("guard_ticks"), F.count_if(alarm).alias("raw_alarm_ticks"),
+        F.count_if(alarm & ~F.col("guard")).alias("published_alarm_ticks"), F.count_if("entry").alias("n_entries"),
+    )

@@ -221,3 +221,16 @@ def numeric_coercion(spark, sf):
     m = F.col("k") % 10
     text = F.when(m == 0, "NaN").when(m == 1, "Infinity").when(m == 2, "abc").otherwise(F.col("value").cast("string"))
     return V.ev(spark, sf).select("event_id", O.finite(text).alias("number"))
+
+
+@query("variant_training_set", "SRC6", """
+WITH t AS (SELECT run_id, g, n_events FROM runs WHERE split = 'train'), o AS (SELECT min(g) AS old FROM t), s AS (SELECT min(g) AS new FROM runs WHERE split = 'test' AND grp = 'C'),
+v AS (SELECT run_id, g, n_events FROM t WHERE g <> (SELECT old FROM o) UNION ALL SELECT run_id, g, n_events FROM runs WHERE g = (SELECT new FROM s))
+SELECT v.run_id, v.n_events, (SELECT count(DISTINCT g % 2) FROM v) = 1 AS one_version FROM v""")
+def variant_training_set(spark, sf):
+    r = V.runs(spark, sf)
+    train = r.where("split = 'train'")
+    old, new = F.broadcast(train.agg(F.min("g").alias("old"))), F.broadcast(r.where("split = 'test' and grp = 'C'").agg(F.min("g").alias("new")))
+    rows = K.replace_run(train.join(old), r.join(new), F.col("g") == F.col("old"), F.col("g") == F.col("new"), ["run_id", "g", "n_events"])
+    versions = F.broadcast(rows.agg((F.count_distinct(F.col("g") % 2) == 1).alias("one_version")))
+    return rows.join(versions).select("run_id", "n_events", "one_version")

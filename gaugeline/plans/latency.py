@@ -320,3 +320,41 @@ def loss_accounting(spark, sf):
     )
     phase = F.when(F.col("tick") < 20, "pre").when(F.col("tick") < 40, "fault").otherwise("post")
     return account(rows.withColumn("phase", phase), ["run_id"], noise_factor=0.1, closure_tolerance=0.6)
+
+
+SQL_VIEWS["losscls"] = """SELECT r.run_id, r.profile, r.grp, w.missing > 0 AS hit FROM runs r JOIN (SELECT q.run_id, sum(bal - bias) AS missing FROM probe q JOIN (SELECT run_id, avg(bal) AS bias FROM probe WHERE phase = 'pre' AND tick >= 2 GROUP BY run_id) p USING (run_id) WHERE phase = 'fault' GROUP BY q.run_id) w USING (run_id)"""
+
+
+@query("loss_conclusions", "AG60", """
+SELECT profile, count(*) AS n_repeats, bool_and(hit) AS all_missing, bool_or(hit) AS any_missing, CASE WHEN count(*) < 2 THEN 'too_few' WHEN bool_and(hit) THEN 'confirmed' WHEN bool_or(hit) THEN 'mixed' ELSE 'refuted' END AS conclusion FROM losscls GROUP BY profile""")
+def loss_conclusions(spark, sf):
+    from gaugeline.operators.losses import account, conclude
+
+    value = lambda *kinds: F.sum(F.when(F.col("event_type").isin(*kinds), F.col("value")).otherwise(0.0))
+    rows = V.ev(spark, sf).groupBy("run_id", "tick").agg(
+        (value("click", "view") - value("purchase", "signup")).alias("bal"), F.count_if(F.col("k") % 10 == 0).alias("drops"), F.count(F.lit(1)).alias("packets"), F.sum("value").alias("bytes")
+    )
+    phase = F.when(F.col("tick") < 20, "pre").when(F.col("tick") < 40, "fault").otherwise("post")
+    probes = account(rows.withColumn("phase", phase), ["run_id"]).join(V.runs(spark, sf).select("run_id", "profile"), "run_id")
+    return conclude(probes.withColumn("some", F.col("missing") > 0), ["profile"], "some")
+
+
+@query("replacement_segments", "AG57", f"""
+WITH t AS (SELECT user_id, us AS t0, k AS victim FROM series WHERE tick = 3),
+d AS (SELECT t.*, (SELECT min(us) FROM series s WHERE s.user_id = t.user_id AND us >= t0 AND value < 20) AS t_drop FROM t),
+n AS (SELECT d.*, (SELECT min(us) FROM series s WHERE s.user_id = d.user_id AND us >= t0 AND event_type = 'signup') AS t_new, (SELECT min(us) FROM series s WHERE s.user_id = d.user_id AND us >= t0 AND value >= 20 AND k <> victim AND event_type = 'view') AS t_back FROM d)
+SELECT user_id, {r6('(t_drop - t0) / 1e6')} AS to_drop_s, {r6('(t_new - t0) / 1e6')} AS to_new_s, {r6('(t_back - t0) / 1e6')} AS to_restored_s, {r6('(t_back - t_drop) / 1e6')} AS degraded_s,
+ CASE WHEN t_back IS NULL THEN 'FAIL not restored' WHEN (SELECT bool_or(k = 0) FROM series s WHERE s.user_id = n.user_id AND us >= t0 AND us <= t_back) THEN 'FAIL desired changed' ELSE 'PASS' END AS outcome FROM n""")
+def replacement_segments(spark, sf):
+    s = cut_lineage(V.series(spark, sf).select("user_id", "tick", "k", "value", "event_type", F.col("us").alias("t")))
+    trials = s.where("tick = 3").select("user_id", F.col("t").alias("t0"), F.col("k").alias("victim"))
+    seen = s.join(trials.select("user_id", "victim"), "user_id")
+    back = (F.col("value") >= 20) & (F.col("k") != F.col("victim")) & (F.col("event_type") == "view")
+    for test, name in ((F.col("value") < 20, "t_drop"), (F.col("event_type") == "signup", "t_new"), (back, "t_back")):
+        trials = P.first_time(seen, trials, ["user_id"], test, "t0", name)
+    moved = s.where("k = 0").join(trials.select("user_id", "t0", "t_back"), "user_id").where("t between t0 and t_back").select("user_id").distinct().withColumn("moved", F.lit(True))
+    sec = lambda a, b: (F.col(b) - F.col(a)) / 1e6
+    outcome = F.when(F.col("t_back").isNull(), "FAIL not restored").when(F.col("moved"), "FAIL desired changed").otherwise("PASS")
+    return trials.join(moved, "user_id", "left").select(
+        "user_id", sec("t0", "t_drop").alias("to_drop_s"), sec("t0", "t_new").alias("to_new_s"), sec("t0", "t_back").alias("to_restored_s"), sec("t_drop", "t_back").alias("degraded_s"), outcome.alias("outcome")
+    )

@@ -329,3 +329,16 @@ def scalar_figures(spark, sf):
         "p_partkey", stats.log_separation(F.col("p_retailprice") / 1000.0 - 1.0).alias("log_sep"),
         stats.saturation_ratio(F.col("p_retailprice") * 100, size, F.lit(0.9)).alias("rho"), stats.fill_seconds(size, F.lit(25.0)).alias("fill_s"),
     )
+
+
+@query("affected_links", "GR2", """
+WITH t AS (SELECT link, min(link) OVER () AS cut FROM hopl WHERE a LIKE 's%' AND b LIKE 's%'), c AS (SELECT DISTINCT cut FROM t),
+f AS (SELECT DISTINCT src, dst FROM hopl JOIN c ON hopl.link = c.cut)
+SELECT h.link, count(*) AS n_flows, h.link = any_value(c.cut) AS is_target FROM (SELECT DISTINCT src, dst, link FROM hopl) h JOIN f USING (src, dst), c GROUP BY h.link""")
+def affected_links(spark, sf):
+    _, hops = routed(spark, sf)
+    used = hops.select("src", "dst", link_key(F.col("a"), F.col("b")).alias("link"), "a", "b")
+    cut = F.broadcast(used.where(F.col("a").startswith("s") & F.col("b").startswith("s")).agg(F.min("link").alias("cut")))  # one link
+    hit = used.join(cut, F.col("link") == F.col("cut"), "left_semi").select("src", "dst").distinct()
+    parts = used.select("src", "dst", "link").distinct().join(hit, ["src", "dst"], "left_semi").groupBy("link").agg(F.count(F.lit(1)).alias("n_flows"))
+    return parts.join(cut).select("link", "n_flows", (F.col("link") == F.col("cut")).alias("is_target"))

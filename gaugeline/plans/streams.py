@@ -124,3 +124,12 @@ def stream_snapshots(spark, sf):
     long = flatten(D.snapshot_feed(spark, lines)).where("prop = 'txRate'").select("run_id", "tick", "entity", F.col("num").alias("tx_rate"))
     D.run_available(long, D.append_batches(path), label="snapshots")
     return spark.read.schema("run_id string, tick bigint, entity string, tx_rate double").parquet(f"{path}/epoch=*")
+
+
+@query("stream_expired_leases", "ST18", """
+SELECT user_id, event_type AS target, pv + 172800000000 AS expired_at FROM (SELECT *, lag(us) OVER (PARTITION BY user_id, event_type ORDER BY us) AS pv FROM ev) WHERE us > pv + 172800000000""")
+def stream_expired_leases(spark, sf):
+    rows = V.ev(spark, sf).select("user_id", "event_type", "us")
+    schema = "user_id bigint, event_type string, us bigint, expired_at double, rejected boolean"
+    out = folded(spark, staged(spark, rows, "renewals", CUTS), ["user_id", "event_type"], G.lease_step(172800000000), "us", schema, "leases")
+    return out.where("expired_at is not null").select("user_id", F.col("event_type").alias("target"), F.col("expired_at").cast("bigint").alias("expired_at"))

@@ -37,3 +37,8 @@ def latest_state(updates: DataFrame, keys: list[str], order: list[str], values:
     """Last value per key; ties follow ``order``."""
     best = F.max(F.struct(*order, *values)).alias("_b")
     return updates.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in (*order, *values)])
+
+
+def replace_run(train: DataFrame, pool: DataFrame, old: Column, new: Column, columns: list[str]) -> DataFrame:
+    """Training set with one run taken out and another one put in."""
+    return train.where(~old).select(*columns).unionByName(pool.where(new).select(*columns))

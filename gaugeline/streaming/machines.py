@@ -103,3 +103,14 @@ def delta_step(tolerance: float, refresh: int) -> Step:
         return {"send": last is None or abs(now - last) >= tolerance or row["tick"] % refresh == 0}
 
     return step
+
+
+def lease_step(lease: int) -> Step:
+    """A renewal after the deadline shows that the lease ran out at the deadline."""
+
+    def step(state: dict, row: dict) -> dict:
+        deadline = state.get("deadline")
+        state["deadline"] = int(row["us"]) + lease
+        return {"expired_at": deadline if deadline is not None and row["us"] > deadline else None}
+
+    return step
