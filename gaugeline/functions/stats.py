@@ -51,8 +51,10 @@ def fisher_two_sided(tables: DataFrame, keys: list[str], a: str, b: str, c: str,
     def weight(k: Column) -> Column:
         return choose(F.col("_r"), k) + choose(F.col("_n") - F.col("_r"), F.col("_c") - k) - choose(F.col("_n"), F.col("_c"))
 
-    kept = F.when(weight(F.col("_k")) <= weight(F.col("_a")) + 1e-9, F.exp(weight(F.col("_k"))))
-    return spread.groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(kept)).alias("p"))
+    # All terms sum to one; dividing by their sum takes the rounding of the logarithms out.
+    terms = spread.select(*keys, F.exp(weight(F.col("_k"))).alias("_p"), (weight(F.col("_k")) <= weight(F.col("_a")) + 1e-9).alias("_in"))
+    share = F.sum(F.when(F.col("_in"), F.col("_p"))) / F.sum("_p")
+    return terms.groupBy(*keys).agg(F.least(F.lit(1.0), share).alias("p"))
 
 
 def poisson_upper(k: Column, alpha: float = 0.05, exact_to: int = 500) -> Column:
