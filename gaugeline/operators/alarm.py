@@ -37,16 +37,16 @@ def states(
     held = F.coalesce(suppressed, F.lit(False)) if suppressed is not None else F.lit(False)
     alarming = F.col("suspect") | F.col("act")
     live = (F.col("status") == "scored") & ~(held & alarming)
-    stepped = readings.withColumns({"_live": live, "_step": F.col("status") != "rejected"})
+    stepped = readings.withColumns({"_live": live, "_step": F.col("status") != "rejected", "_k": chunk})
     run = S.streaks(
-        stepped.where("_step"), keys, order, chunk,
+        stepped.where("_step"), keys, order, "_k",
         {"_ca": F.col("_live") & F.col("act"), "_cs": F.col("_live") & alarming, "_calm": F.col("_live") & ~alarming},
         settle=True,
     )
     off = ~F.col("_live") | (F.col("_calm") >= rule.release_m)
     latch = lambda on: F.when(on, 1).when(off, 0)
     run = S.scan(
-        run, keys, order, chunk, True,
+        run, keys, order, "_k", True,
         _a=S.last_known(latch(F.col("_ca") >= rule.n_act)), _s=S.last_known(latch(F.col("_cs") >= rule.n_suspect)),
     )
     level = F.when(F.col("_a") == 1, "act").when(F.col("_s") == 1, "suspect").otherwise("normal")
@@ -54,7 +54,7 @@ def states(
         "state",
         F.when(F.col("status") == "warming_up", "warming_up").when(~F.col("_live"), "unknown").otherwise(level),
     )
-    return run.drop("_live", "_step", "_ca", "_cs", "_calm", "_a", "_s")
+    return run.drop("_k", "_live", "_step", "_ca", "_cs", "_calm", "_a", "_s")
 
 
 def with_rejected(stepped: DataFrame, rejected: DataFrame, keys: list[str], order: list[str], chunk: Column) -> DataFrame:
@@ -88,13 +88,13 @@ def range_guard(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
 def accepted(df: DataFrame, keys: list[str], arrival: list[str], chunk: Column, event_time: str, digest: str) -> DataFrame:
     """Order check on arrival: ``verdict`` accepted, duplicate (same time and content as the last
     accepted), conflict (same time, other content), late (earlier) or invalid (no time)."""
-    ordered = S.scan(df, keys, arrival, chunk, True, _top=S.highest(F.col(event_time), before=True))
+    ordered = S.scan(df.withColumn("_k", chunk), keys, arrival, "_k", True, _top=S.highest(F.col(event_time), before=True))
     t, top = F.col(event_time), F.col("_top")
     kind = F.when(t.isNull(), "invalid").when(top.isNull() | (t > top), "accepted").when(t < top, "late").otherwise("same")
     marked = ordered.withColumn("_kind", kind)
-    holder = S.scan(marked, keys, arrival, chunk, _d=S.last_known(F.when(F.col("_kind") == "accepted", F.col(digest)), before=True))
+    holder = S.scan(marked, keys, arrival, "_k", _d=S.last_known(F.when(F.col("_kind") == "accepted", F.col(digest)), before=True))
     verdict = F.when(F.col("_kind") != "same", F.col("_kind")).when(F.col("_d") == F.col(digest), "duplicate").otherwise("conflict")
-    return holder.withColumn("verdict", verdict).drop("_top", "_kind", "_d")
+    return holder.withColumn("verdict", verdict).drop("_top", "_kind", "_d", "_k")
 
 
 def entries_and_rises(trace: DataFrame, keys: list[str], order: list[str], chunk: Column) -> DataFrame:

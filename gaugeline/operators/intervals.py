@@ -23,9 +23,9 @@ def merge(df: DataFrame, keys: list[str], start: str, end: str, width: float | N
     taken from the data when it is not given."""
     unique = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).groupBy(*keys, "_s").agg(F.max("_e").alias("_e"))
     chunk = S.range_chunk("_s", width or S.even_width(unique, keys, "_s"))
-    reach = S.scan(unique, keys, ["_s"], chunk, True, _reach=S.highest(F.col("_e"), before=True))
+    reach = S.scan(unique.withColumn("_k", chunk), keys, ["_s"], "_k", True, _reach=S.highest(F.col("_e"), before=True))
     opens = F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach")), 1).otherwise(0)
-    numbered = S.scan(reach, keys, ["_s"], chunk, _span=S.total(opens))
+    numbered = S.scan(reach, keys, ["_s"], "_k", _span=S.total(opens))
     return numbered.groupBy(*keys, "_span").agg(F.min("_s").alias(start), F.max("_e").alias(end)).drop("_span")
 
 

@@ -9,6 +9,9 @@ no task holds more than one chunk of detail rows.
 Both passes start from the same input, so a chain of k scans would read its source 2^k times.
 With ``settle=True`` the small carry table is written to the shared folder first; a chain then
 reads its source k + 1 times, and the written table has a known size for the join.
+
+``chunk`` may also name a column of the input. It is then kept, and a following scan on the same
+keys and column finds its rows already in place and does not shuffle them again.
 """
 
 from __future__ import annotations
@@ -85,18 +88,22 @@ def range_chunk(at: str | Column, width: float) -> Column:
     return F.lit(0).cast("bigint") if width == float("inf") else F.floor(column / F.lit(width)).cast("bigint")
 
 
+def _place(df: DataFrame, chunk: Column | str) -> tuple[DataFrame, str]:
+    return (df, chunk) if isinstance(chunk, str) else (df.withColumn(CHUNK, chunk), CHUNK)
+
+
 def _frame(window, before: bool):
     return window.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
 
 
 def scan(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column, settle: bool = False, **specs: Running
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column | str, settle: bool = False, **specs: Running
 ) -> DataFrame:
     """``df`` with one more column per spec. ``order`` must be a total order inside a key and
     ``chunk`` must not fall along it."""
-    df = df.withColumn(CHUNK, chunk)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(CHUNK)
+    df, at = _place(df, chunk)
+    inside = Window.partitionBy(*keys, at).orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy(at)
     position = F.struct(*order)
 
     local, reduced, carried, result = [], [], [], {}
@@ -135,36 +142,36 @@ def scan(
         else:
             raise ValueError(f"unknown running value: {spec.how}")
 
-    summary = df.groupBy(*keys, CHUNK).agg(*reduced)
-    carry = summary.select(*keys, CHUNK, *carried)
+    summary = df.groupBy(*keys, at).agg(*reduced)
+    carry = summary.select(*keys, at, *carried)
     if settle:
         carry = cut_lineage(carry)
     detail = df.select("*", *local)
-    joined = detail.join(carry, [*keys, CHUNK], "left")
+    joined = detail.join(carry, [*keys, at], "left")
     kept = [c for c in df.columns if c != CHUNK and c not in specs]
     return joined.select(*kept, *[value.alias(name) for name, value in result.items()])
 
 
 def streaks(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column,
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column | str,
     conditions: dict[str, Column], index: str | None = None, settle: bool = False,
 ) -> DataFrame:
     """Length of the current run of consecutive rows on which each condition holds (0 where it
     does not), and on request the 0-based row index inside the key. A NULL condition breaks."""
     flags = {f"_b_{name}": F.coalesce(cond, F.lit(False)) for name, cond in conditions.items()}
-    df = df.withColumn(CHUNK, chunk).withColumns(flags) if flags else df.withColumn(CHUNK, chunk)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(CHUNK)
+    df, at = _place(df.withColumns(flags) if flags else df, chunk)
+    inside = Window.partitionBy(*keys, at).orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy(at)
     past = across.rowsBetween(Window.unboundedPreceding, -1)
 
     placed = df.withColumn("_pos", F.row_number().over(inside).cast("bigint"))
     breaks = {name: F.when(~F.col(f"_b_{name}"), F.col("_pos")) for name in conditions}
-    summary = placed.groupBy(*keys, CHUNK).agg(
+    summary = placed.groupBy(*keys, at).agg(
         F.count(F.lit(1)).alias("_n"), *[F.max(b).alias(f"_x_{n}") for n, b in breaks.items()]
     )
     summary = summary.withColumn("_before", F.coalesce(F.sum("_n").over(past), F.lit(0)))
     carry = summary.select(
-        *keys, CHUNK, "_before",
+        *keys, at, "_before",
         *[
             (F.col("_before") - F.coalesce(F.max(F.col("_before") + F.col(f"_x_{n}")).over(past), F.lit(0)))
             .alias(f"_c_{n}")
@@ -175,7 +182,7 @@ def streaks(
         carry = cut_lineage(carry)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     detail = placed.select("*", *[F.max(b).over(running).alias(f"_r_{n}") for n, b in breaks.items()])
-    joined = detail.join(carry, [*keys, CHUNK], "left")
+    joined = detail.join(carry, [*keys, at], "left")
     out = {
         n: F.when(F.col(f"_r_{n}").isNull(), F.col("_pos") + F.col(f"_c_{n}"))
         .otherwise(F.col("_pos") - F.col(f"_r_{n}"))
@@ -221,6 +228,6 @@ def segments(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: str, name: str = "segment"
 ) -> DataFrame:
     """Number the stretches of equal consecutive values, from 1."""
-    marked = scan(df, keys, order, chunk, True, _prev=previous(F.struct(F.col(value).alias("x"))))
+    marked = scan(df.withColumn("_k", chunk), keys, order, "_k", True, _prev=previous(F.struct(F.col(value).alias("x"))))
     change = F.when(F.col("_prev").isNull() | ~F.col("_prev.x").eqNullSafe(F.col(value)), 1).otherwise(0)
-    return scan(marked, keys, order, chunk, **{name: total(change)}).drop("_prev")
+    return scan(marked, keys, order, "_k", **{name: total(change)}).drop("_prev", "_k")
