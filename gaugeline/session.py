@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_LOCAL: dict[str, str] = {}
+
 
 def build(app: str = "gaugeline", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings the operators expect; cluster settings stay untouched."""
@@ -28,14 +31,17 @@ def build(app: str = "gaugeline", master: str | None = None, **extra: str) -> Sp
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not named:
-        named = tempfile.mkdtemp(prefix="gaugeline-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset a session in local
+    mode gets a temporary folder; on a cluster, whose executors do not share one, that is an error."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="gaugeline-")
+    return _LOCAL[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
