@@ -220,7 +220,7 @@ def candidates(reps: DataFrame, percent: int, trees: int, small: int, chunk: int
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "rep"), "rep"))
         hubs = large.withColumn("_rank", rank).where(F.col("_rank") <= HUBS).select("key", "rep", "sig", "n")
         chunks = F.ceil(F.col("n") / chunk)
-        hubs = hubs.select("key", "rep", "sig", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"))
+        hubs = hubs.select(*[F.col(c).alias(c) for c in ("key", "rep", "sig")], F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"))
         dealt = large.select("key", "rep", "label", "sig", F.pmod(F.xxhash64("rep"), chunks).alias("chunk"))
         compared = cut_lineage(hubs.groupBy("key", "chunk").cogroup(dealt.groupBy("key", "chunk")).applyInPandas(hub_chunk, "key bigint, rep bigint, label bigint, edges array<bigint>"))
         found.append(compared.select("rep", F.explode("edges").alias("b")).select(F.col("rep").alias("a"), "b").where("a <> b"))
@@ -310,7 +310,8 @@ def confirm_large(members: DataFrame, percent: int, chunk: int = 512) -> DataFra
             return labels.groupBy("label").agg(F.min("rep").alias("least")).join(labels, "label").select("rep", F.col("least").alias("root"))
         held = members.join(pivots.select("rep"), "rep", "left_semi")
         chunks = F.ceil(F.col("n") / chunk)
-        ask = held.select("root", "rep", "items", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"))
+        # new names for the second use of the same table
+        ask = held.select(*[F.col(c).alias(c) for c in ("root", "rep", "items")], F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"))
         dealt = members.join(pivots.select(F.col("part").alias("root")).distinct(), "root", "left_semi").select("root", "rep", "items", F.pmod(F.xxhash64("rep"), chunks).alias("chunk"))
         found = ask.groupBy("root", "chunk").cogroup(dealt.groupBy("root", "chunk")).applyInPandas(pivot_chunk(percent), "a bigint, b bigint")
         edges = cut_lineage(found if edges is None else edges.union(found))
