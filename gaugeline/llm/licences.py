@@ -10,7 +10,8 @@ the nearest directory above them that has a licence file.
 
 Defined results: null, empty and blank texts have no header; ties go to the smaller licence name, in
 a directory to the higher cosine and then the smaller path; a null path has neither directory nor
-inheritance; rows that share a path are files of their own; other columns are kept.
+inheritance; rows that share a path are files of their own; columns with the name of a result are
+replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -98,7 +99,8 @@ def headers(files: DataFrame, least: float = 0.7, templates: dict[str, str] | No
     weights = term_weights(files, templates)
     needed = "\\b(" + "|".join(needed_terms(templates, weights, least)) + ")\\b"
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.lower(x).alias("text"), i.alias("line"))), lambda x: x["text"].rlike(needed))
-    rows = files.withColumn("_lines", F.when(F.lower("text").rlike(needed), lines).otherwise(F.array().cast("array<struct<text:string,line:int>>")))
+    kept = F.struct(*[F.col(f"`{c}`") for c in files.columns if c != "header"])
+    rows = files.select(kept.alias("_row"), "text").withColumn("_lines", F.when(F.lower("text").rlike(needed), lines).otherwise(F.array().cast("array<struct<text:string,line:int>>")))
     rows = rows.withColumn("_lines", F.transform("_lines", lambda x: F.struct(x["line"].alias("line"), terms(x["text"]).alias("terms"))))
     weight = F.create_map(*[F.lit(v) for pair in weights.items() for v in pair])
 
@@ -117,7 +119,7 @@ def headers(files: DataFrame, least: float = 0.7, templates: dict[str, str] | No
     best = F.array_sort("_scores", lambda a, b: F.when(a["cosine"] > b["cosine"], -1).when(a["cosine"] < b["cosine"], 1)
                         .when(a["licence"] < b["licence"], -1).when(a["licence"] > b["licence"], 1).otherwise(a["line"] - b["line"]))
     header = F.when(F.size("_scores") > 0, F.struct(best[0]["licence"].alias("licence"), best[0]["cosine"].alias("cosine"), best[0]["line"].alias("line")))
-    return rows.withColumn("header", header).drop("_lines", "_scores")
+    return rows.select("_row.*", header.alias("header"))
 
 
 def folder(path: Column) -> Column:
@@ -128,15 +130,17 @@ def folder(path: Column) -> Column:
 def licensed(files: DataFrame, header: str = "header", path: str = "path") -> DataFrame:
     """``files`` (path, header) with ``licence``, ``origin`` (header, inherited or null) and ``inherited_from``.
     ``files`` is read twice, so store it first."""
-    named = files.where(F.col(path).rlike(LICENCE_FILE) & F.col(header).isNotNull())
-    best = F.min_by(F.struct(F.col(f"{header}.licence").alias("licence"), F.col(path).alias("from")), F.struct(-F.col(f"{header}.cosine"), F.col(path), F.col(f"{header}.licence")))
-    granted = named.groupBy(folder(F.col(path)).alias("_above")).agg(best.alias("_grant"))
-    folders = files.where(F.col(path).isNotNull()).select(folder(F.col(path)).alias("_folder")).distinct()
+    kept = [F.col(f"`{c}`") for c in files.columns if c not in ("licence", "origin", "inherited_from")]
+    files = files.select(F.struct(*kept).alias("_row"), F.col(path).alias("_path"), F.col(header).alias("_header"), folder(F.col(path)).alias("_folder"))
+    named = files.where(F.col("_path").rlike(LICENCE_FILE) & F.col("_header").isNotNull())
+    best = F.min_by(F.struct(F.col("_header.licence").alias("licence"), F.col("_path").alias("from")), F.struct(-F.col("_header.cosine"), F.col("_path"), F.col("_header.licence")))
+    granted = named.groupBy(F.col("_folder").alias("_above")).agg(best.alias("_grant"))
+    folders = files.where("_path is not null").select("_folder").distinct()
     parts = F.split("_folder", "/")
     above = folders.select("_folder", F.posexplode(F.concat(F.array(F.lit("")), F.transform(parts, lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "/")))).alias("_depth", "_above"))
     nearest = above.join(granted, "_above").groupBy("_folder").agg(F.max_by("_grant", "_depth").alias("_grant"))
-    out = join_ids(files.withColumn("_folder", folder(F.col(path))), cut_lineage(nearest), "_folder", "left")
-    own = F.col(f"{header}.licence")
+    out = join_ids(files, cut_lineage(nearest), "_folder", "left")
+    own = F.col("_header.licence")
     return out.select(
-        *files.columns, F.coalesce(own, F.col("_grant.licence")).alias("licence"),
+        "_row.*", F.coalesce(own, F.col("_grant.licence")).alias("licence"),
         F.when(own.isNotNull(), "header").when(F.col("_grant").isNotNull(), "inherited").alias("origin"), F.when(own.isNull(), F.col("_grant.from")).alias("inherited_from"))

@@ -145,8 +145,10 @@ def with_targets(sized: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 1, **settings) -> DataFrame:
     """The mixed documents: rows of ``docs``, repeated as often as taken, with ``shard`` and the
-    ``pass`` that took them, one shard after another in its own random order."""
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", document_size(F.col("text")).alias("size"))
+    ``pass`` that took them, one shard after another in its own random order. Columns of these
+    two names are replaced."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "pass")]
+    sized = docs.select(F.struct(*kept).alias("_row"), "doc_id", "source", document_size(F.col("text")).alias("size"))
     drawn = draw_mix(sized, with_targets(sized.select("source", "size")), seed, **settings)
     rows = drawn.select("_row", "_key", F.explode("drawn").alias("_d"))
     rows = rows.select("_row", F.col("_d.shard").alias("_shard"), F.col("_d.pass").alias("_pass"), F.xxhash64(F.lit(seed), "_key", F.col("_d.shard"), F.col("_d.pass")).alias("_order"))

@@ -24,6 +24,7 @@ from gaugeline.session import cut_lineage
 #: Fixed values of the contract: white space between words, and symbols.
 SPACES = " \t\n\u000b\u000c\r"
 SYMBOLS = "#*$%&|<>"
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts")
 
 
 @dataclass(frozen=True)
@@ -36,11 +37,11 @@ class Rule:
 
 
 RULES = (
-    Rule("symbols", "n_symbols / n_words", (2.5, 2.0, 1.5, 1.0, 0.75, 0.5, 0.35, 0.25, 0.15, 0.1)),
-    Rule("shouting", "n_shouts / n_words", (1.8, 1.5, 1.2, 1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1)),
+    Rule("symbols", "n_symbols / nullif(n_words, 0)", (2.5, 2.0, 1.5, 1.0, 0.75, 0.5, 0.35, 0.25, 0.15, 0.1)),
+    Rule("shouting", "n_shouts / nullif(n_words, 0)", (1.8, 1.5, 1.2, 1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1)),
     Rule("dup_lines", "n_dup_lines / greatest(n_lines, 1)", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15)),
-    Rule("repeats", "n_repeat_words / n_words", (0.48, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)),
-    Rule("long_words", "word_chars / n_words", (40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 13.0, 12.0, 11.0)),
+    Rule("repeats", "n_repeat_words / nullif(n_words, 0)", (0.48, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)),
+    Rule("long_words", "word_chars / nullif(n_words, 0)", (40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 13.0, 12.0, 11.0)),
 )
 
 
@@ -62,9 +63,10 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     window found at least twice), and with n_lines and n_shouts, which the thresholds use besides.
 
     Equal windows become neighbours by one sort of (hash, place); texts whose windows are all
-    different skip it. No column of ``docs`` is touched, whatever its name."""
+    different skip it. Columns of ``docs`` that have the name of a result are replaced, all others kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text.alias("_text"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in STATISTICS]
+    row = docs.select(F.struct(*kept).alias("_row"), text.alias("_text"))
     marks = F.when(F.col("_text").rlike(f"[{SYMBOLS}!]"), F.regexp_replace("_text", f"[^{SYMBOLS}!]+", "")).otherwise("")
     out = row.withColumns({
         "_words": words_of(F.col("_text")),
