@@ -60,8 +60,14 @@ def test_one_document_of_each_component_stays(odd, empty):
     assert near_duplicates(empty).count() == 0 and deduplicated(empty).count() == 0
 
 
+def cut(text):
+    """Spans of the units: after each newline, and after a stop before white space."""
+    ends = [i + 1 for i, c in enumerate(text) if c == "\n" or (c in ".!?" and text[i + 1 : i + 2] in tuple(" \t\n\x0b\x0c\r"))]
+    edges = sorted({0, *ends, len(text)})
+    return list(zip(edges, edges[1:], strict=False))
+
+
 def brute_passages(rows, min_words, unit_words):
-    cut = lambda t: [m.span() for m in re.finditer(r"(?s).+?(?:\n|[.!?](?=[ \t-\r])|\Z)", t)]
     first = {}
     for i, text in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
         for k, (a, b) in enumerate(cut(text)):
