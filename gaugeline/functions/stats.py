@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +34,9 @@ def fisher_two_sided(tables: DataFrame, keys: list[str], a: str, b: str, c: str,
     and the terms no larger than the observed one are summed per key."""
     row, col, n = F.col(a) + F.col(b), F.col(a) + F.col(c), F.col(a) + F.col(b) + F.col(c) + F.col(d)
     sized = tables.select(*keys, F.col(a).alias("_a"), row.alias("_r"), col.alias("_c"), n.alias("_n"))
-    r, k, whole = (F.col(x).cast("double") for x in ("_r", "_c", "_n"))
-    middle = r * k / whole
-    spread_ = F.sqrt(middle * (1 - r / whole) * (1 - k / whole)) * 45 + 60
-    zero = F.lit(0).cast("bigint")
-    lo = F.greatest(zero, F.col("_c") - (F.col("_n") - F.col("_r")), F.floor(middle - spread_))
-    hi = F.least(F.col("_r"), F.col("_c"), F.ceil(middle + spread_))
-    # Two levels keep each array short; terms 45 deviations out are zero in double precision.
+    lo = F.greatest(F.lit(0).cast("bigint"), F.col("_c") - (F.col("_n") - F.col("_r")))
+    hi = F.least(F.col("_r"), F.col("_c"))
+    # Two levels keep each array short; every possible corner count is a term.
     blocks = sized.withColumns({"_hi": hi, "_b": F.explode(F.sequence(lo, F.greatest(lo, hi), F.lit(65536).cast("bigint")))})
     spread = blocks.withColumn("_k", F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + 65535, F.greatest(F.col("_hi"), F.col("_b"))))))
 
@@ -57,32 +52,25 @@ def fisher_two_sided(tables: DataFrame, keys: list[str], a: str, b: str, c: str,
     return terms.groupBy(*keys).agg(F.least(F.lit(1.0), share).alias("p"))
 
 
-def poisson_upper(k: Column, alpha: float = 0.05, exact_to: int = 500) -> Column:
-    """One-sided upper bound of a Poisson mean: P(X <= k) = alpha, by 200 bisection steps. Above
-    ``exact_to`` counts exp(-rate) leaves double range; there the cube-root (Wilson-Hilferty) form
-    is used, whose relative error is below 1e-6."""
-    exact = F.when(k <= exact_to, k)
-    steps = F.sequence(F.lit(1), F.lit(200))
-    counts = F.filter(F.sequence(F.lit(0).cast("bigint"), exact.cast("bigint")), lambda i: i > 0)
+def poisson_upper(k: Column, alpha: float = 0.05) -> Column:
+    """One-sided upper bound of a Poisson mean: P(X <= k) = alpha, by bisection of the logarithm of
+    the sum. The bound lies above k, where the terms fall from k downwards, so the sum is the term
+    at k times a falling series and nothing leaves double range, whatever k is."""
+    k = k.cast("bigint")
+    falling = F.when(k > 0, F.sequence(k, F.lit(1).cast("bigint"), F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
-    def cdf(rate: Column) -> Column:
-        first = F.exp(-rate)
-        start = F.struct(first.alias("term"), first.alias("total"))
-        return F.aggregate(counts, start, lambda acc, i: F.struct(
-            (acc["term"] * rate / i).alias("term"), (acc["total"] + acc["term"] * rate / i).alias("total")
-        ), lambda acc: acc["total"])
-
-    top = F.greatest(F.lit(10.0), 10.0 * (exact + 1))
-    start = F.struct(F.lit(0.0).alias("lo"), top.alias("hi"))
+    def log_cdf(rate: Column) -> Column:
+        series = F.aggregate(falling, one, lambda s, i: F.struct((s["term"] * i / rate).alias("term"), (s["total"] + s["term"] * i / rate).alias("total")), lambda s: s["total"])
+        return k * F.log(rate) - rate - ln_factorial(k) + F.log(series)
 
     def halve(acc: Column, _: Column) -> Column:
         mid = (acc["lo"] + acc["hi"]) / 2
-        above = cdf(mid) > alpha
+        above = log_cdf(mid) > math.log(alpha)
         return F.struct(F.when(above, mid).otherwise(acc["lo"]).alias("lo"), F.when(above, acc["hi"]).otherwise(mid).alias("hi"))
 
-    z = NormalDist().inv_cdf(1 - alpha)
-    big = (k + 1) * F.pow(1 - 1 / (9.0 * (k + 1)) + z / (3 * F.sqrt(k + 1)), F.lit(3.0))
-    return F.when(k <= exact_to, F.aggregate(steps, start, halve, lambda acc: acc["hi"])).otherwise(big)
+    start = F.struct(k.cast("double").alias("lo"), F.greatest(F.lit(10.0), 10.0 * (k + 1)).alias("hi"))
+    return F.when(k.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(100)), start, halve, lambda acc: acc["hi"]))
 
 
 def log_separation(value: Column, floor: float = 1e-3) -> Column:

@@ -41,7 +41,7 @@ def active_counts(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     merged = moves.groupBy(*keys, "_at").agg(F.sum("_step").alias("_step"))
     chunk = S.range_chunk("_at", width or S.even_width(merged, keys, "_at"))
     swept = S.scan(merged, keys, ["_at"], chunk, True, **{name: S.total(F.col("_step"))})
-    return points.withColumn("_at", F.col(at).cast("double")).join(swept.drop("_step"), [*keys, "_at"], "left").drop("_at")
+    return S.join_null_safe(points.withColumn("_at", F.col(at).cast("double")), swept.drop("_step"), [*keys, "_at"]).drop("_at")
 
 
 def owners(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, columns: list[str], width: float | None = None) -> DataFrame:

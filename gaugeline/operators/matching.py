@@ -48,7 +48,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, columns:
     chunk = S.range_chunk("_pos", width or S.even_width(rows, keys, "_at"))
     carried = S.scan(rows, keys, ["_pos", "_side"], chunk, _hit=S.last_known(F.col("_r")))
     found = carried.where("_side = 1").select(*keys, F.col("_at").alias(at), F.col("_hit"))
-    return left.join(found, [*keys, at], "left")
+    return S.join_null_safe(left, found, [*keys, at])
 
 
 def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.operators.scan import join_null_safe
 from gaugeline.session import cut_lineage
 
 BUCKETS = 128
@@ -29,7 +30,7 @@ def with_buckets(folded: DataFrame, keys: list[str], value: str, buckets: int =
     """Add ``_bucket``, which never falls as ``value`` grows, with about equal distinct values."""
     grid = [i / buckets for i in range(1, buckets)]
     cuts = folded.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, grid, 10000)).alias("_cuts"))
-    joined = folded.join(cut_lineage(cuts), keys)  # written, so the join sees its real size
+    joined = join_null_safe(folded, cut_lineage(cuts), keys, "inner") if keys else folded.join(cut_lineage(cuts))  # written, so the join sees its real size
     below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     return joined.withColumn("_bucket", below.cast("bigint")).drop("_cuts")
 
@@ -67,7 +68,7 @@ def quantiles(
     needed = hits.groupBy(*keys, "_bucket").agg(F.max("_n").alias("_n"), F.collect_list(F.struct("name", "side", "_at")).alias("_hits"))
     upto = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picked = (
-        placed.join(needed, [*keys, "_bucket"])
+        join_null_safe(placed, needed, [*keys, "_bucket"], "inner")
         .withColumn("_upto", F.sum("_w").over(upto))
         .withColumn("_h", F.explode(F.filter("_hits", lambda h: (h["_at"] < F.col("_upto")) & (h["_at"] >= F.col("_upto") - F.col("_w")))))
     )
@@ -105,7 +106,7 @@ def ranked_sums(df: DataFrame, keys: list[str], value: str, side: str) -> DataFr
     base = base.select(*keys, "_bucket", F.coalesce(F.sum("_bq").over(past), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("_base") + F.coalesce(F.sum("_q").over(inside), F.lit(0))
-    scored = placed.join(base, [*keys, "_bucket"]).withColumn("_below", below)
+    scored = join_null_safe(placed, base, [*keys, "_bucket"], "inner").withColumn("_below", below)
     won = F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2))
     return scored.groupBy(*keys).agg(
         F.try_divide(won, (F.sum("_p") * F.sum("_q")).cast("double")).alias("auc"),

@@ -10,33 +10,50 @@ from pyspark.sql import functions as F
 from gaugeline.functions.names import link_key
 from gaugeline.session import cut_lineage
 
-MAX_HOPS = 64
+OK, NO_ROUTE, LOOP = "ok", "no route", "loop"
 
 
-def expand(pairs: DataFrame, next_hop: DataFrame, max_hops: int = MAX_HOPS) -> tuple[DataFrame, DataFrame]:
+def resolve(next_hop: DataFrame) -> DataFrame:
+    """(node, dst, status): whether following ``next_hop(node, dst, next)`` ends at dst, at a node
+    without a next hop, or never.
+
+    The table is squared: after round k every row knows where 2^k hops lead, arrival and dead ends
+    being final. With as many hops as a destination has nodes, a row that is still under way has met
+    a node twice, which proves the loop. Rounds grow with the logarithm of the longest path."""
+    table = next_hop.select("node", "dst", F.col("next").alias("at")).where("node <> dst")
+    ends = F.when(F.col("at").isNull(), NO_ROUTE).when(F.col("at") == F.col("dst"), OK)
+    jump = cut_lineage(table.withColumn("status", ends))
+    most = jump.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    hops = 1
+    while hops <= most and not jump.where("status is null").isEmpty():
+        ahead = jump.select(F.col("node").alias("at"), "dst", F.col("at").alias("_at"), F.coalesce("status", F.lit("")).alias("_status"))
+        under_way = jump.where("status is null").join(ahead, ["at", "dst"], "left")
+        known = F.when(F.col("_status").isNull(), NO_ROUTE).when(F.col("_status") != "", F.col("_status"))
+        jump = cut_lineage(jump.where("status is not null").unionByName(under_way.select("node", "dst", F.col("_at").alias("at"), known.alias("status"))))
+        hops *= 2
+    return jump.select("node", "dst", F.coalesce("status", F.lit(LOOP)).alias("status"))
+
+
+def expand(pairs: DataFrame, next_hop: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Follow ``next_hop(node, dst, next)`` from every (src, dst), all pairs one hop per round.
 
-    Returns the hops (src, dst, hop, a, b) and the pairs that are not there after ``max_hops``
-    rounds or have no next hop. Rounds are bounded by the longest path; each is written to the
-    shared folder, so a lost executor never replays earlier rounds."""
+    Returns the hops (src, dst, hop, a, b) of all pairs that arrive, and the others with the reason.
+    Only pairs that are known to arrive are followed, so the rounds end with the longest path; each
+    is written to the shared folder, so a lost executor never replays earlier rounds."""
     table = cut_lineage(next_hop.select("node", "dst", "next"))
-    front = pairs.select("src", "dst", F.col("src").alias("node")).distinct()
-    rounds, stuck = [], []
-    for hop in range(max_hops):
-        moved = cut_lineage(front.join(table, ["node", "dst"], "left").select(
-            "src", "dst", F.lit(hop).alias("hop"), F.col("node").alias("a"), F.col("next").alias("b")
-        ))
-        rounds.append(moved.where(F.col("b").isNotNull()))
-        stuck.append(moved.where(F.col("b").isNull()).select("src", "dst"))
-        front = moved.where(F.col("b").isNotNull() & (F.col("b") != F.col("dst"))).select("src", "dst", F.col("b").alias("node"))
-        if front.isEmpty():
-            break
-    hops = reduce(DataFrame.unionByName, rounds)
-    return hops, reduce(DataFrame.unionByName, stuck, front.select("src", "dst"))
+    known = pairs.select("src", "dst").distinct().join(resolve(table).withColumnRenamed("node", "src"), ["src", "dst"], "left")
+    known = cut_lineage(known.select("src", "dst", F.when(F.col("src") == F.col("dst"), OK).otherwise(F.coalesce("status", F.lit(NO_ROUTE))).alias("status")))
+    front = known.where((F.col("status") == OK) & (F.col("src") != F.col("dst"))).select("src", "dst", F.col("src").alias("node"))
+    rounds = []
+    while not rounds or not front.isEmpty():
+        moved = cut_lineage(front.join(table, ["node", "dst"]).select("src", "dst", F.lit(len(rounds)).alias("hop"), F.col("node").alias("a"), F.col("next").alias("b")))
+        rounds.append(moved)
+        front = moved.where(F.col("b") != F.col("dst")).select("src", "dst", F.col("b").alias("node"))
+    return reduce(DataFrame.unionByName, rounds), known.where(F.col("status") != OK).select("src", "dst", F.col("status").alias("reason"))
 
 
 def path_arrays(hops: DataFrame) -> DataFrame:
-    """One ordered node list per pair (at most ``MAX_HOPS`` entries)."""
+    """One ordered node list per pair; as long as its path."""
     steps = F.array_sort(F.collect_list(F.struct("hop", "b")))
     return hops.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_hops"), F.transform(steps, lambda s: s["b"]).alias("via"))
 
@@ -53,15 +70,16 @@ def zone(hops: DataFrame, touched: DataFrame) -> DataFrame:
     return hit.join(parts, ["src", "dst"]).select("link", "kind", "entity").distinct()
 
 
-def detours(edges: DataFrame, cuts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def detours(edges: DataFrame, cuts: DataFrame) -> DataFrame:
     """Shortest node path between the ends of each cut link without using it, the first by name
-    among equals. All cuts search at once: one round grows every frontier by one hop."""
+    among equals. All cuts search at once: one round grows every frontier by one hop, to nodes not
+    seen before, until no frontier is left."""
     both = cut_lineage(edges.select(F.col("a").alias("u"), F.col("b").alias("w")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("w"))).distinct())
     front = cuts.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path"))
     seen = cut_lineage(front.select("a", "b", "node"))
     found = []
-    for _ in range(max_hops):
+    while True:
         grown = front.join(both, front["node"] == both["u"]).where(
             ~(((F.col("u") == F.col("a")) & (F.col("w") == F.col("b"))) | ((F.col("u") == F.col("b")) & (F.col("w") == F.col("a"))))
         )

@@ -17,6 +17,8 @@ keys and column finds its rows already in place and does not shuffle them again.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,6 +69,13 @@ def following(value: Column) -> Running:
     return Running("next", value)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join in which a NULL key meets a NULL key; the key columns of ``left`` remain."""
+    renamed = right.select(*[F.col(c).alias(f"_of_{c}" if c in keys else c) for c in right.columns])
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return left.join(renamed, match, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def tick_chunk(tick: str | Column, width: int = TICKS_PER_CHUNK) -> Column:
     column = F.col(tick) if isinstance(tick, str) else tick
     return F.floor(column / F.lit(width)).cast("bigint")
@@ -147,7 +156,7 @@ def scan(
     if settle:
         carry = cut_lineage(carry)
     detail = df.select("*", *local)
-    joined = detail.join(carry, [*keys, at], "left")
+    joined = join_null_safe(detail, carry, [*keys, at])
     kept = [c for c in df.columns if c != CHUNK and c not in specs]
     return joined.select(*kept, *[value.alias(name) for name, value in result.items()])
 
@@ -182,7 +191,7 @@ def streaks(
         carry = cut_lineage(carry)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     detail = placed.select("*", *[F.max(b).over(running).alias(f"_r_{n}") for n, b in breaks.items()])
-    joined = detail.join(carry, [*keys, at], "left")
+    joined = join_null_safe(detail, carry, [*keys, at])
     out = {
         n: F.when(F.col(f"_r_{n}").isNull(), F.col("_pos") + F.col(f"_c_{n}"))
         .otherwise(F.col("_pos") - F.col(f"_r_{n}"))
@@ -206,9 +215,8 @@ def lookback(
     range in the next one, so a frame of at most ``back`` rows never leaves its range.
 
     Returns the frame, the partition columns and the filter that drops the repeated rows; the
-    caller runs its windows in between. Needs ``back`` <= ``width``."""
-    if back > width:
-        raise ValueError("look-back is longer than a range")
+    caller runs its windows in between. A range is never shorter than the look-back."""
+    width = max(width, back)
     home = F.floor(F.col(index) / width).cast("bigint")
     last_rows = F.col(index) % width >= width - back
     spread = df.withColumn("_home", home).withColumn(

@@ -17,14 +17,17 @@ from gaugeline.plans.views import SQL_VIEWS
 from gaugeline.session import cut_lineage
 
 # Suppliers are hosts on the switch of their nation; the lowest nation of a region is its core
-# switch. Demands run from the customer's switch to the supplier.
+# switch. Demands run from the customer's switch to the supplier. Core switches of other regions do
+# not know every 25th host, so some demands have no route.
 SQL_VIEWS["sw"] = "SELECT n_nationkey AS n, n_regionkey AS r, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS head FROM nation"
 SQL_VIEWS["nh"] = """SELECT 's' || s.n AS node, 'h' || p.s_suppkey AS dst, CASE WHEN s.n = d.n THEN 'h' || p.s_suppkey WHEN s.r = d.r THEN 's' || d.n
-  WHEN s.n = s.head THEN 's' || d.head ELSE 's' || s.head END AS next FROM sw s CROSS JOIN supplier p JOIN sw d ON d.n = p.s_nationkey"""
+  WHEN s.n = s.head THEN 's' || d.head ELSE 's' || s.head END AS next FROM sw s CROSS JOIN supplier p JOIN sw d ON d.n = p.s_nationkey
+  WHERE NOT (s.r <> d.r AND s.n = s.head AND p.s_suppkey % 25 = 3)"""
 SQL_VIEWS["demand"] = """SELECT 's' || c_nationkey AS src, 'h' || l_suppkey AS dst, round(sum(l_quantity) / 100.0, 4) AS mbps, CASE WHEN count(*) % 2 = 0 THEN 'tcp' ELSE 'udp' END AS kind
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""
-SQL_VIEWS["hop"] = """SELECT src, demand.dst, 0 AS hop, src AS a, next AS b FROM demand JOIN nh ON nh.node = src AND nh.dst = demand.dst
-  UNION ALL SELECT h.src, h.dst, h.hop + 1 AS hop, h.b AS a, nh.next AS b FROM hop h JOIN nh ON nh.node = h.b AND nh.dst = h.dst WHERE h.b <> h.dst AND h.hop < 63"""
+SQL_VIEWS["hop0"] = """SELECT src, demand.dst, 0 AS hop, src AS a, next AS b FROM demand JOIN nh ON nh.node = src AND nh.dst = demand.dst
+  UNION ALL SELECT h.src, h.dst, h.hop + 1 AS hop, h.b AS a, nh.next AS b FROM hop0 h JOIN nh ON nh.node = h.b AND nh.dst = h.dst WHERE h.b <> h.dst"""
+SQL_VIEWS["hop"] = "SELECT * FROM hop0 SEMI JOIN (SELECT src, dst FROM hop0 WHERE b = dst) USING (src, dst)"
 SQL_VIEWS["hopl"] = "SELECT *, least(a, b) || '-' || greatest(a, b) AS link FROM hop"
 SQL_VIEWS["caps_l"] = "SELECT link, 20.3 + (CAST(substr(any_value(a), 2) AS BIGINT) + CAST(substr(any_value(b), 2) AS BIGINT)) % 60 AS capacity FROM hopl GROUP BY link"
 SQL_VIEWS["dload"] = """SELECT a, b, any_value(link) AS link, sum(mbps) AS load, count(*) AS n_flows, any_value(capacity) AS capacity, sum(mbps) / any_value(capacity) AS rho
@@ -52,7 +55,8 @@ def next_hops(spark, sf):
         F.when(F.col("s.n") == F.col("dn"), tag("h", F.col("s_suppkey"))).when(F.col("s.r") == F.col("dr"), tag("s", F.col("dn")))
         .when(F.col("s.n") == F.col("s.head"), tag("s", F.col("dhead"))).otherwise(tag("s", F.col("s.head")))
     )
-    return rows.select(tag("s", F.col("s.n")).alias("node"), tag("h", F.col("s_suppkey")).alias("dst"), nxt.alias("next"))
+    unknown = (F.col("s.r") != F.col("dr")) & (F.col("s.n") == F.col("s.head")) & (F.col("s_suppkey") % 25 == 3)
+    return rows.where(~unknown).select(tag("s", F.col("s.n")).alias("node"), tag("h", F.col("s_suppkey")).alias("dst"), nxt.alias("next"))
 
 
 def demands(spark, sf):
@@ -107,7 +111,7 @@ def influence_zones(spark, sf):
 @query("detour_paths", "GR4", """
 WITH e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM hop WHERE b LIKE 's%'), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 w AS (SELECT e.a, e.b, e.a AS node, [e.a] AS path FROM e
- UNION ALL SELECT w.a, w.b, u.b AS node, list_append(w.path, u.b) AS path FROM w JOIN u ON u.a = w.node WHERE NOT list_contains(w.path, u.b) AND len(w.path) < 5 AND w.node <> w.b AND NOT (u.a = w.a AND u.b = w.b))
+ UNION ALL SELECT w.a, w.b, u.b AS node, list_append(w.path, u.b) AS path FROM w JOIN u ON u.a = w.node WHERE NOT list_contains(w.path, u.b) AND w.node <> w.b AND NOT (u.a = w.a AND u.b = w.b))
 SELECT a, b, array_to_string(path, '>') AS path FROM w WHERE node = b QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY len(path), path) = 1""")
 def detour_paths(spark, sf):
     _, hops = routed(spark, sf)
@@ -117,8 +121,8 @@ def detour_paths(spark, sf):
 
 @query("routing_loops", "GR6", """
 WITH bad AS (SELECT node, dst, CASE WHEN CAST(substr(dst, 2) AS BIGINT) % 10 = 7 AND next LIKE 's%' AND node IN (SELECT 's' || head FROM sw) THEN CASE WHEN node = 's0' THEN 's1' ELSE 's0' END ELSE next END AS next FROM nh),
-x AS (SELECT node AS src, dst, node AS pos, 0 AS i FROM bad UNION ALL SELECT x.src, x.dst, b.next AS pos, i + 1 AS i FROM x JOIN bad b ON b.node = x.pos AND b.dst = x.dst WHERE x.pos <> x.dst AND i < 12)
-SELECT dst, count(*) AS n_unfinished FROM x WHERE i = 12 AND pos <> dst GROUP BY dst""")
+x AS (SELECT node AS src, dst, node AS pos, 0 AS i FROM bad UNION ALL SELECT x.src, x.dst, b.next AS pos, i + 1 AS i FROM x JOIN bad b ON b.node = x.pos AND b.dst = x.dst WHERE x.pos <> x.dst AND i <= (SELECT count(*) FROM sw))
+SELECT dst, count(*) AS n_unfinished FROM x WHERE i > (SELECT count(*) FROM sw) AND pos <> dst GROUP BY dst""")
 def routing_loops(spark, sf):
     table = next_hops(spark, sf)
     heads = switches(spark, sf).select(tag("s", F.col("head")).alias("node")).distinct().withColumn("core", F.lit(True))
@@ -127,8 +131,7 @@ def routing_loops(spark, sf):
     bad = table.join(heads, "node", "left").select(
         "node", "dst", F.when(odd & F.col("next").startswith("s") & F.coalesce("core", F.lit(False)), wrong).otherwise(F.col("next")).alias("next")
     )
-    _, stuck = G.expand(bad.select(F.col("node").alias("src"), "dst"), bad, 12)
-    return stuck.groupBy("dst").agg(F.count(F.lit(1)).alias("n_unfinished"))
+    return G.resolve(bad).where(F.col("status") == G.LOOP).groupBy("dst").agg(F.count(F.lit(1)).alias("n_unfinished"))
 
 
 @query("link_loads", "AG44 PRJ11", f"SELECT a, b, link, {r6('load')} AS load, n_flows, {r6('capacity')} AS capacity, {r6('rho')} AS rho, {r6('CASE WHEN rho > 1 + 1e-9 THEN 1 - 1 / rho ELSE 0.0 END')} AS loss FROM dload")
@@ -137,48 +140,56 @@ def link_loads(spark, sf):
     return W.link_loads(flows, hops, capacities(hops))
 
 
-OUTCOME = """o AS (SELECT src, dst, mbps, kind, max(rho) AS rho_max, arg_min(a || '->' || b, (-rho, hop)) AS dlink FROM demand JOIN hop USING (src, dst) JOIN dload USING (a, b) GROUP BY ALL)"""
+OUTCOME = """o AS (SELECT src, dst, mbps, kind, max(rho) AS rho_max, arg_min(a || '->' || b, (-rho, hop)) AS dlink, bool_or(a IS NOT NULL) AS routed
+  FROM demand LEFT JOIN hop USING (src, dst) LEFT JOIN dload USING (a, b) GROUP BY ALL)"""
 
 
 @query("flow_outcomes", "AG44 SRT7", f"""WITH {OUTCOME}
-SELECT src, dst, {r6('mbps')} AS mbps, kind, {r6('rho_max')} AS rho_max, {r6('mbps * least(1.0, 1 / rho_max)')} AS delivered, CASE WHEN rho_max > 1 + 1e-9 THEN dlink END AS bottleneck, kind = 'tcp' AND rho_max > 1 + 1e-9 AS outside_validity FROM o""")
+SELECT src, dst, {r6('mbps')} AS mbps, kind, {r6('rho_max')} AS rho_max, {r6('CASE WHEN routed THEN mbps * least(1.0, 1 / rho_max) ELSE 0.0 END')} AS delivered, CASE WHEN rho_max > 1 + 1e-9 THEN dlink END AS bottleneck,
+ kind = 'tcp' AND coalesce(rho_max > 1 + 1e-9, false) AS outside_validity, routed AS reachable, CASE WHEN NOT routed THEN 'no route' END AS reason FROM o""")
 def flow_outcomes(spark, sf):
     flows, hops = routed(spark, sf)
     return W.flow_outcomes(flows, hops, W.link_loads(flows, hops, capacities(hops)))
 
 
-SQL_VIEWS["opts"] = "SELECT 'base' AS option, -1 AS head UNION ALL SELECT DISTINCT 'cut-' || r, head FROM sw"
-SQL_VIEWS["caps_o"] = """SELECT option, link, CASE WHEN head >= 0 AND (split_part(link, '-', 1) = 's' || head OR split_part(link, '-', 2) = 's' || head) AND link NOT LIKE 'h%' THEN 10.0 ELSE capacity END AS capacity FROM opts CROSS JOIN caps_l"""
-SQL_VIEWS["load_o"] = """SELECT option, a, b, any_value(link) AS link, sum(mbps) / any_value(capacity) AS rho FROM demand JOIN hopl USING (src, dst) JOIN caps_o USING (link) GROUP BY option, a, b"""
-SQL_VIEWS["out_o"] = """SELECT option, src, dst, mbps, kind, max(rho) AS rho_max, mbps * least(1.0, 1 / max(rho)) AS delivered FROM demand JOIN hop USING (src, dst) JOIN load_o USING (a, b) GROUP BY option, src, dst, mbps, kind"""
+# Options: the core switch of a region is slowed or taken down and brought back slower; a demand is added.
+SQL_VIEWS["opts"] = """SELECT 'base' AS option, -1 AS head UNION ALL SELECT DISTINCT 'cut-' || r, head FROM sw UNION ALL SELECT DISTINCT 'down-' || r, head FROM sw WHERE r < 2
+  UNION ALL SELECT DISTINCT 'back-' || r, head FROM sw WHERE r = 1 UNION ALL SELECT 'more', -1"""
+SQL_VIEWS["caps_o"] = """SELECT option, link, CASE WHEN head >= 0 AND (split_part(link, '-', 1) = 's' || head OR split_part(link, '-', 2) = 's' || head) AND link NOT LIKE 'h%'
+  THEN CASE split_part(option, '-', 1) WHEN 'down' THEN 0.0 WHEN 'back' THEN 15.0 ELSE 10.0 END ELSE capacity END AS capacity FROM opts CROSS JOIN caps_l"""
+SQL_VIEWS["demand_o"] = """SELECT option, src, dst, mbps, kind FROM opts CROSS JOIN demand UNION ALL SELECT 'more', src, dst, 12.5, 'udp' FROM demand WHERE CAST(substr(dst, 2) AS BIGINT) % 10 = 1"""
+SQL_VIEWS["load_o"] = """SELECT option, a, b, any_value(link) AS link, CASE WHEN any_value(capacity) > 0 THEN sum(mbps) / any_value(capacity) END AS rho FROM demand_o JOIN hopl USING (src, dst) JOIN caps_o USING (option, link) GROUP BY option, a, b"""
+SQL_VIEWS["out_o"] = """SELECT option, src, dst, mbps, kind, max(rho) AS rho_max, bool_or(a IS NOT NULL) AND NOT bool_or(a IS NOT NULL AND rho IS NULL) AS reachable,
+  CASE WHEN bool_or(a IS NOT NULL) AND NOT bool_or(a IS NOT NULL AND rho IS NULL) THEN mbps * least(1.0, 1 / max(rho)) ELSE 0.0 END AS delivered
+  FROM demand_o LEFT JOIN hop USING (src, dst) LEFT JOIN load_o USING (option, a, b) GROUP BY option, src, dst, mbps, kind"""
 
 
 def option_tables(spark, sf):
     flows, hops = routed(spark, sf)
     caps = cut_lineage(capacities(hops))
     heads = switches(spark, sf).select("r", "head").distinct()
-    options = heads.select(F.concat(F.lit("cut-"), F.col("r").cast("string")).alias("option")).unionByName(spark.createDataFrame([("base",)], "option string"))
+    name = lambda kind: F.concat(F.lit(f"{kind}-"), F.col("r").cast("string")).alias("option")
+    # (option, core switch, order, capacity): the last one of a link counts
+    steps = heads.select(name("cut"), "head", F.lit(1).alias("seq"), F.lit(10.0).alias("mbps")).unionByName(
+        heads.where("r < 2").select(name("down"), "head", F.lit(1).alias("seq"), F.lit(0.0).alias("mbps"))).unionByName(
+        heads.where("r = 1").select(name("back"), "head", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit(0.0).alias("mbps")), F.struct(F.lit(2).alias("seq"), F.lit(15.0).alias("mbps")))).alias("_s")).select("option", "head", "_s.*"))
+    options = steps.select("option").distinct().unionByName(spark.createDataFrame([("base",), ("more",)], "option string"))
     ends = [F.split_part("link", F.lit("-"), F.lit(i)) for i in (1, 2)]
-    core = heads.select(F.concat(F.lit("cut-"), F.col("r").cast("string")).alias("option"), tag("s", F.col("head")).alias("hd"))
-    trunk = caps.where(~F.col("link").startswith("h"))
-    touch = trunk.select("link", F.explode(F.array(*ends)).alias("hd")).join(core, "hd")
-    changed = touch.select("option", "link", F.lit(10.0).alias("mbps"), F.lit(1).alias("seq")).distinct()
-    return flows, hops, W.override(caps, options, changed), options
-
-
-def optioned(flows, options):
-    names = options.agg(F.collect_list("option").alias("_o"))
-    return flows.join(F.broadcast(names)).select("src", "dst", "mbps", "kind", F.explode("_o").alias("option"))
+    trunk = caps.where(~F.col("link").startswith("h")).select("link", F.explode(F.array(*ends)).alias("hd"))
+    changed = trunk.join(steps.withColumn("hd", tag("s", F.col("head"))), "hd").select("option", "link", "mbps", "seq").distinct()
+    added = flows.where(F.substring("dst", 2, 12).cast("bigint") % 10 == 1).select(F.lit("more").alias("option"), "src", "dst", F.lit(12.5).alias("mbps"), F.lit("udp").alias("kind"))
+    return W.optional_flows(flows, options, added), hops, W.override(caps, options, changed)
 
 
 @query("option_comparison", "AG45 JN21", f"""
-SELECT o.option, count(*) AS n_flows, {r6('sum(o.delivered - b.delivered)')} AS delta, count(*) FILTER (WHERE o.delivered - b.delivered < -0.05) AS n_victims, {r6('sum(o.mbps - o.delivered)')} AS lost,
- count(*) FILTER (WHERE o.kind = 'tcp' AND o.rho_max > 1 + 1e-9) AS n_outside FROM out_o o JOIN out_o b ON b.option = 'base' AND b.src = o.src AND b.dst = o.dst GROUP BY o.option""")
+WITH h AS (SELECT option, arg_min(a || '->' || b, (-rho, a, b)) AS hottest FROM load_o WHERE rho IS NOT NULL GROUP BY option)
+SELECT o.option, count(*) AS n_flows, {r6('sum(o.delivered - coalesce(b.delivered, 0))')} AS delta, count(*) FILTER (WHERE o.delivered - coalesce(b.delivered, 0) < -0.05) AS n_victims, {r6('sum(o.mbps - o.delivered)')} AS lost,
+ count(*) FILTER (WHERE o.kind = 'tcp' AND o.rho_max > 1 + 1e-9 AND o.reachable) AS n_outside, count(*) FILTER (WHERE NOT o.reachable) AS n_unreachable, any_value(hottest) AS hottest
+FROM out_o o LEFT JOIN out_o b ON b.option = 'base' AND b.src = o.src AND b.dst = o.dst AND b.mbps = o.mbps AND b.kind = o.kind LEFT JOIN h ON h.option = o.option GROUP BY o.option""")
 def option_comparison(spark, sf):
-    flows, hops, caps, options = option_tables(spark, sf)
-    spread = optioned(flows, options)
-    loads = W.link_loads(spread, hops, caps, ["option"])
-    return W.compare(W.flow_outcomes(spread, hops, loads, ["option"]), "base")
+    flows, hops, caps = option_tables(spark, sf)
+    loads = cut_lineage(W.link_loads(flows, hops, caps, ["option"]))
+    return W.compare(W.flow_outcomes(flows, hops, loads, ["option"]), loads, "base")
 
 
 @query("hot_links", "SRT6", f"""
@@ -186,8 +197,8 @@ SELECT option, rank, a, b, {r6('rho')} AS rho FROM (SELECT *, row_number() OVER
 def hot_links(spark, sf):
     from gaugeline.operators.ranking import top_per_key
 
-    flows, hops, caps, options = option_tables(spark, sf)
-    loads = W.link_loads(optioned(flows, options), hops, caps, ["option"]).where("rho >= 0.9")
+    flows, hops, caps = option_tables(spark, sf)
+    loads = W.link_loads(flows, hops, caps, ["option"]).where("rho >= 0.9")
     return top_per_key(loads, ["option"], "rho", ["a", "b"], 3).select("option", "rank", "a", "b", "rho")
 
 

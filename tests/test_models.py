@@ -11,7 +11,7 @@ def test_paths_loops_and_detours(spark):
     table = [("s1", "h2", "s2"), ("s2", "h2", "h2"), ("s3", "h2", "s2"), ("s1", "h9", "s2"), ("s2", "h9", "s1"), ("s3", "h9", "s1")]
     nh = spark.createDataFrame(table, "node string, dst string, next string")
     pairs = spark.createDataFrame([("s1", "h2"), ("s3", "h9"), ("s4", "h2")], "src string, dst string")
-    hops, stuck = routing.expand(pairs, nh, 6)
+    hops, stuck = routing.expand(pairs, nh)
     paths = {(r.src, r.dst): r.via for r in routing.path_arrays(hops).collect()}
     assert paths[("s1", "h2")] == ["s2", "h2"]
     assert sorted((r.src, r.dst) for r in stuck.collect()) == [("s3", "h9"), ("s4", "h2")]
