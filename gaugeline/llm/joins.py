@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,14 +52,43 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, root) for the edges of one task, by smallest labels and pointer jumps."""
+    parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(side) for side in zip(*parts, strict=True))
+    names, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = codes[: len(a)], codes[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)  # the roots learn, so whole trees move at once
+        np.minimum.at(new, root[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["v", "root"])
+
+
+def components(edges: DataFrame, per_task: int = 500_000) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (a, b: bigint): equal roots mean connected.
 
-    Contraction: in each round every vertex joins its neighbour, or itself, with the smallest hash of
-    the round, and edges are carried over to the joined vertices, until none is left. The vertices
-    shrink by a constant factor per round whatever the shape of a component."""
-    edges = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = cut_lineage(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("root", F.col("v")))
+    Each task first reduces at most about ``per_task`` edges to a forest; if one task was enough, that is
+    the result. Otherwise the trees are contracted over all tasks: in each round every vertex joins
+    its neighbour, or itself, with the smallest hash of the round, and edges are carried over to the
+    joined vertices, until none is left. The vertices shrink by a constant factor per round whatever
+    the shape of a component."""
+    edges = cut_lineage(edges.where("a <> b").select("a", "b"))
+    tasks = math.ceil(edges.count() / per_task)
+    trees = cut_lineage(edges.coalesce(max(1, tasks)).mapInArrow(forest, "v bigint, root bigint"))
+    if tasks <= 1:
+        return trees
+    edges = cut_lineage(trees.where("v <> root").select(F.least("v", "root").alias("a"), F.greatest("v", "root").alias("b")).distinct())
+    found = cut_lineage(trees.select("v").distinct().withColumn("root", F.col("v")))
     rounds = 0
     while not edges.isEmpty():
         rounds += 1
