@@ -7,7 +7,7 @@ A document is the set of its distinct word shingles (64-bit hashes); two documen
    on average) and sends a class to the child named by the coordinate's minwise token, so a pair at the
    threshold keeps one common child on average and pairs below it thin out level by level. Nodes with
    at most ``small`` members are compared exhaustively by signature; larger ones compare all members
-   with a few hubs, stop if everything in them is joined by now, and branch again otherwise. Nodes
+   with a few hubs, then with the few that no hub joined to the rest, and branch again where many are left. Nodes
    with the same members, which repeat from tree to tree, are compared once. Trees are independent;
    a pair at the threshold is missed by all of them with a probability far below one in a million.
 2. Candidate edges are star-shaped and joined to candidate components.
@@ -40,7 +40,7 @@ from gaugeline.session import cut_lineage
 WIDTH = 64  # coordinates of a signature
 LIKELY = 36  # equal coordinates of a candidate pair; at a similarity of 0.8 fewer have a chance of 2 in a million
 HUBS = 32
-PIVOTS = 256
+PIVOTS, PIVOT_BYTES = 1024, 32 << 20  # of one component and round
 FACTORS = numbers(WIDTH, 101) | np.uint64(1)
 
 
@@ -206,11 +206,24 @@ def split(rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     return members.where(F.col("n") <= small), members.where(F.col("n") > small)
 
 
+def compared(hubs: DataFrame, members: DataFrame, chunk: int) -> DataFrame:
+    """Members (key, rep, label, sig, n) against the hubs of their node, in chunks of bounded size."""
+    chunks = F.ceil(F.col("n") / chunk)
+    # new names for the second use of the same table
+    names = [F.col(c).alias(c) for c in ("key", "rep", "sig")]
+    asked = hubs.select(*names, F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"))
+    dealt = members.select("key", "rep", "label", "sig", F.pmod(F.xxhash64("rep"), chunks).alias("chunk"))
+    return asked.groupBy("key", "chunk").cogroup(dealt.groupBy("key", "chunk")).applyInPandas(hub_chunk, "key bigint, rep bigint, label bigint, edges array<bigint>")
+
+
 def candidates(reps: DataFrame, percent: int, trees: int, small: int, chunk: int = 4096) -> DataFrame:
-    """Candidate edges (a, b) between classes ``reps`` (rep, sig)."""
-    spark = reps.sparkSession
+    """Candidate edges (a, b) between classes ``reps`` (rep, sig).
+
+    After its hubs a large node has a largest part, all joined, and the rest. At most ``small`` rest
+    members are compared with the whole node, which finishes it; with more it branches."""
     few, many = split(cut_lineage(branches(reps, percent, trees)), small)
     found = []
+    edges = lambda df: df.select(F.col("rep").alias("a"), F.explode("edges").alias("b")).where("a <> b")
     while True:
         near = few.select("key", "rep").join(reps, "rep").repartition("key").sortWithinPartitions("key", "rep")
         found.append(cut_lineage(near.mapInArrow(small_nodes, "a bigint, b bigint")))
@@ -218,15 +231,14 @@ def candidates(reps: DataFrame, percent: int, trees: int, small: int, chunk: int
             break
         large = cut_lineage(many.join(reps, "rep"))
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "rep"), "rep"))
-        hubs = large.withColumn("_rank", rank).where(F.col("_rank") <= HUBS).select("key", "rep", "sig", "n")
-        chunks = F.ceil(F.col("n") / chunk)
-        hubs = hubs.select(*[F.col(c).alias(c) for c in ("key", "rep", "sig")], F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"))
-        dealt = large.select("key", "rep", "label", "sig", F.pmod(F.xxhash64("rep"), chunks).alias("chunk"))
-        compared = cut_lineage(hubs.groupBy("key", "chunk").cogroup(dealt.groupBy("key", "chunk")).applyInPandas(hub_chunk, "key bigint, rep bigint, label bigint, edges array<bigint>"))
-        found.append(compared.select("rep", F.explode("edges").alias("b")).select(F.col("rep").alias("a"), "b").where("a <> b"))
-        open_ = compared.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        left = compared.select("key", "rep", "label").join(open_, "key").join(reps, "rep")
-        few, many = split(cut_lineage(branches(left, percent)), small)
+        told = cut_lineage(compared(large.withColumn("_rank", rank).where(F.col("_rank") <= HUBS), large, chunk))
+        found.append(edges(told))
+        parts = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max("m").alias("m"), F.max_by("label", F.struct("m", "label")).alias("main"))
+        parts = cut_lineage(parts.where("m < n").select("key", "n", "main", (F.col("n") - F.col("m") <= small).alias("last")))
+        left = cut_lineage(told.select("key", "rep", "label").join(parts, "key").join(reps, "rep"))
+        last = left.where("last")
+        found.append(edges(cut_lineage(compared(last.where("label <> main"), last, chunk))))
+        few, many = split(cut_lineage(branches(left.where("not last").select("key", "rep", "label", "sig"), percent)), small)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -299,13 +311,15 @@ def pivot_chunk(percent: int):
 
 def confirm_large(members: DataFrame, percent: int, chunk: int = 512) -> DataFrame:
     """(rep, root) by true links in candidate components ``members`` (root, rep, n, items) of any size."""
-    labels = members.select(F.col("root").alias("part"), "rep", F.col("rep").alias("label"), F.lit(False).alias("asked"))
+    labels = cut_lineage(members.select(F.col("root").alias("part"), "rep", F.col("rep").alias("label"), F.lit(False).alias("asked"), F.octet_length("items").alias("size")))
     edges = None
     while True:
         sizes = labels.groupBy("part", "label").count()
         largest = sizes.groupBy("part").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        order = F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64("rep"), "rep"))
-        pivots = cut_lineage(labels.join(largest, "part").where("not asked and label <> main").withColumn("_o", order).where(F.col("_o") <= PIVOTS).select("part", "rep"))
+        order = Window.partitionBy("part").orderBy(F.xxhash64("rep"), "rep")
+        few = labels.join(largest, "part").where("not asked and label <> main").withColumn("_o", F.row_number().over(order)).where(F.col("_o") <= PIVOTS)
+        heavy = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        pivots = cut_lineage(few.withColumn("_b", heavy).where((F.col("_o") == 1) | (F.col("_b") <= PIVOT_BYTES)).select("part", "rep"))
         if pivots.isEmpty():
             return labels.groupBy("label").agg(F.min("rep").alias("least")).join(labels, "label").select("rep", F.col("least").alias("root"))
         held = members.join(pivots.select("rep"), "rep", "left_semi")
@@ -317,7 +331,7 @@ def confirm_large(members: DataFrame, percent: int, chunk: int = 512) -> DataFra
         edges = cut_lineage(found if edges is None else edges.union(found))
         roots = components(edges).withColumnRenamed("v", "rep")
         asked = pivots.select("rep", F.lit(True).alias("now"))
-        labels = cut_lineage(labels.join(roots, "rep", "left").join(asked, "rep", "left").select("part", "rep", F.coalesce("root", "rep").alias("label"), (F.col("asked") | F.coalesce("now", F.lit(False))).alias("asked")))
+        labels = cut_lineage(labels.join(roots, "rep", "left").join(asked, "rep", "left").select("part", "rep", F.coalesce("root", "rep").alias("label"), (F.col("asked") | F.coalesce("now", F.lit(False))).alias("asked"), "size"))
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
