@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.session import cut_lineage
@@ -16,13 +16,10 @@ from gaugeline.session import cut_lineage
 BROADCAST_IDS = 1_000_000
 
 
-def join_ids(df: DataFrame, small: DataFrame, on: str | list[str], how: str, weight: Column | None = None) -> DataFrame:
+def join_ids(df: DataFrame, small: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """``df`` joined to a stored table of ids (and few narrow columns), without moving ``df`` while
-    the table is counted to be small; beyond that by an ordinary join. ``weight`` is the number of
-    narrow values of a row, where rows are not alike."""
-    if (small.agg(F.sum(F.lit(1) if weight is None else 1 + weight)).first()[0] or 0) <= BROADCAST_IDS:
-        small = F.broadcast(small)
-    return df.join(small, on, how)
+    the table is counted to be small; beyond that by an ordinary join."""
+    return df.join(F.broadcast(small) if small.count() <= BROADCAST_IDS else small, on, how)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

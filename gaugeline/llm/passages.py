@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.llm.blocks import LOWER, SPACE, Block, blocks, mixed, range_hashes, word_ranges
-from gaugeline.llm.joins import join_ids
 from gaugeline.session import cut_lineage
 
 STOP = np.zeros(256, bool)
@@ -81,7 +80,8 @@ def marked_units(docs: DataFrame, unit_words: int) -> DataFrame:
     units = cut_lineage(hashed_units(docs, unit_words))
     place = F.struct("doc_id", "unit")
     repeated = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    found = join_ids(units, cut_lineage(repeated.select("h1", "h2", "first")), ["h1", "h2"], "inner").where(F.struct("doc_id", "unit") != F.col("first"))
+    # a plain join: both sides grow with the input, and a digest that many texts hold is split as a skewed key
+    found = units.join(cut_lineage(repeated.select("h1", "h2", "first")), ["h1", "h2"]).where(F.struct("doc_id", "unit") != F.col("first"))
     return cut_lineage(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("unit")).alias("_units")))
 
 
@@ -137,7 +137,7 @@ def without_repeats(docs: DataFrame, min_words: int = 25, unit_words: int = 4) -
 
     fields = {f.name: f for f in docs.schema.fields}
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), "text", F.col("doc_id").cast("bigint").alias("_id"))
-    joined = join_ids(held, marked.withColumnRenamed("doc_id", "_id"), "_id", "left", weight=F.size("_units")).drop("_id")
+    joined = held.join(marked.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
     out = joined.mapInArrow(run, T.StructType([joined.schema["_row"], fields["text"], T.StructField("removed", SPAN)]))
     columns = [F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "removed"]
     return out.select(*columns, "removed")
