@@ -6,6 +6,8 @@ any number of columns; the bounds table has one row per column.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +109,35 @@ def owner_of_max(df: DataFrame, keys: list[str], value: str, order: list[str]) -
         F.min(F.struct((-F.col(value)).alias("_neg"), *order)).alias("_best")
     )
     return best.select(*keys, (-F.col("_best._neg")).alias(value), *[F.col(f"_best.{c}").alias(c) for c in order])
+
+
+REQUIRED_FAMILIES = ("primary", "indicator", "rate_shared", "loss_only")
+
+
+def contract_violations(columns: DataFrame, families: DataFrame, bounds: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
+    """Where a model's tables break their contract: (keys, rule, name). Columns are unique; bounds exist
+    for all of them and no other, are finite and lo <= hi; the required families exist and have a
+    threshold; the primary family is the columns; indicator and rate families are disjoint and together the
+    columns; no family has an unknown column. ``keys`` tell models apart."""
+    cols, fams = columns.select(*keys, "column").distinct(), families.select(*keys, "family", "column").distinct()
+    named = lambda df, rule, name: df.select(*keys, F.lit(rule).alias("rule"), F.col(name).alias("name"))
+    low, high = F.col("lo").cast("double"), F.col("hi").cast("double")
+    bad = low.isNull() | high.isNull() | F.isnan(low) | F.isnan(high) | (F.abs(low) == float("inf")) | (F.abs(high) == float("inf")) | (low > high)
+    models = columns.select(*keys).distinct()
+    wanted = models.select("*", F.explode(F.array(*map(F.lit, REQUIRED_FAMILIES))).alias("family"))
+    family = lambda n: fams.where(F.col("family") == n).select(*keys, "column")
+    split = family("indicator").unionByName(family("rate_shared")).distinct()
+    in_model = [*keys, "column"]
+    parts = [
+        named(columns.groupBy(*in_model).count().where("count > 1"), "duplicate column", "column"),
+        named(cols.join(bounds.select(*in_model), in_model, "left_anti"), "no bounds", "column"),
+        named(bounds.join(cols, in_model, "left_anti").select(*in_model).distinct(), "bounds of no column", "column"),
+        named(bounds.where(F.coalesce(bad, F.lit(True))), "bad bounds", "column"),
+        named(wanted.join(fams, [*keys, "family"], "left_anti"), "no family", "family"),
+        named(fams.select(*keys, "family").distinct().join(thresholds.where("threshold is not null"), [*keys, "family"], "left_anti"), "no threshold", "family"),
+        named(fams.join(cols, in_model, "left_anti").withColumn("x", F.concat_ws(":", "family", "column")), "unknown column", "x"),
+        named(cols.join(family("primary"), in_model, "left_anti"), "not in primary", "column"),
+        named(family("indicator").join(family("rate_shared"), in_model, "left_semi"), "in both parts", "column"),
+        named(cols.join(split, in_model, "left_anti"), "in no part", "column"),
+    ]
+    return reduce(DataFrame.unionByName, parts)

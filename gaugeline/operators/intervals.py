@@ -13,6 +13,24 @@ def lease_end(start: Column, revert: Column, cooldown: float, max_open: float) -
     return F.coalesce(revert + F.lit(cooldown), start + F.lit(max_open))
 
 
+def active_until(kind: Column, start: Column, revert: Column, cooldown: float, max_open: float) -> Column:
+    """End of activity by kind: a transient act lasts its cooldown; a lasting one its cooldown after
+    the revert, or its lease while it has none."""
+    return F.when(kind == "transient", start + F.lit(cooldown)).otherwise(lease_end(start, revert, cooldown, max_open))
+
+
+def all_covered(violating: DataFrame, spans: DataFrame, keys: list[str], at: str, entity: str, start: str, end: str, radius: str, width: float | None = None) -> DataFrame:
+    """Per (keys, at) the violating entities, how many lie in the union of the radii of the active
+    spans, and ``suppressed``: there are some and all lie in it.
+
+    ``violating`` has a row per entity, ``spans`` an array ``radius``. Each (point, entity) asks one sweep
+    per entity how many spans hold it; the subset test is a count, so no point meets the spans."""
+    covering = spans.select(*keys, F.explode(radius).alias(entity), start, end)
+    asked = active_counts(violating.select(*keys, at, entity).distinct(), covering, [*keys, entity], at, start, end, width, "_n")
+    out = asked.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("n_violating"), F.count_if(F.col("_n") > 0).alias("n_covered"))
+    return out.withColumn("suppressed", F.col("n_covered") == F.col("n_violating"))
+
+
 def clip(df: DataFrame, start: str, end: str, lo: Column, hi: Column) -> DataFrame:
     cut = df.withColumn(start, F.greatest(F.col(start), lo)).withColumn(end, F.least(F.col(end), hi))
     return cut.where(F.col(end) > F.col(start))

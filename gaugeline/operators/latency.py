@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gaugeline.operators import quantiles as Q
 from gaugeline.operators import scan as S
 
-BUDGETS_MS = {"s4_like_from_cmd": 3000, "twin_ui": 1000, "e2e_from_event": 5000}
 
 
 def summarize(df: DataFrame, keys: list[str], value: str) -> DataFrame:

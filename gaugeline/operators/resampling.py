@@ -35,30 +35,29 @@ def numbered(clusters: DataFrame, keys: list[str], order: str, width: int = 4096
 def bootstrap_sums(clusters: DataFrame, stratum: str, order: str, sums: list[str], replicates: int, seed: int) -> DataFrame:
     """Per replicate the sums over as many drawn clusters per stratum as it holds. ``clusters`` has
     one row per cluster, numbered by ``order`` inside its stratum through ``pos``."""
-    spark = clusters.sparkSession
     size = clusters.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    reps = spark.range(replicates).withColumnRenamed("id", "replicate")
     draws = size.select(stratum, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_i"))
-    wanted = draws.join(F.broadcast(reps), how="cross")  # replicates: a parameter, not data
+    wanted = draws.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))).alias("replicate"))
     wanted = wanted.select(stratum, "replicate", (draw(seed, F.col(stratum), F.col("replicate"), F.col("_i")) % F.col("_n")).alias("pos"))
     counted = wanted.groupBy(stratum, "replicate", "pos").agg(F.count(F.lit(1)).alias("_times"))
     picked = counted.join(clusters, [stratum, "pos"])
     return picked.groupBy("replicate").agg(*[F.sum(F.col(s) * F.col("_times")).alias(s) for s in sums])
 
 
-def sign_flips(diffs: DataFrame, value: str, index: str, n: int, draws: int = 20000, seed: int = 20260920) -> DataFrame:
-    """Two-sided sign-flip test of the mean: all 2^n sign patterns up to n = 20, else hashed draws.
-    ``index`` numbers the diffs from 0."""
-    spark = diffs.sparkSession
-    exact = n <= 20
-    patterns = spark.range(2**n if exact else draws).withColumnRenamed("id", "m")
-    if exact:
+def sign_flips(diffs: DataFrame, value: str, index: str, method: str = "exact", draws: int = 20000, seed: int = 20260920) -> DataFrame:
+    """Two-sided sign-flip test of the mean: over all 2^n sign patterns (``exact``) or over hashed draws
+    (``sampled``). ``index`` numbers the diffs from 0. The choice is the caller's, as the two differ."""
+    if method not in ("exact", "sampled"):
+        raise ValueError(f"unknown method: {method}")
+    exact = method == "exact"
+    packed = diffs.agg(F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v")))).alias("_d"))
+    if exact:  # as many numbers as can be enumerated
+        patterns = F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2.0), F.size("_d")).cast("bigint") - 1)
         signs = F.aggregate("_d", F.lit(0.0), lambda acc, x: acc + F.when(F.getbit(F.col("m"), x["i"].cast("int")) == 1, -x["v"]).otherwise(x["v"]))
-        packed = diffs.agg(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v"))).alias("_d"))  # at most 20 numbers
-        sums = patterns.join(F.broadcast(packed)).select("m", signs.alias("s"))
+        sums = packed.select("_d", F.explode(patterns).alias("m")).select("m", signs.alias("s"))
     else:
         heads = draw(seed, F.col("m"), F.col(index)) % 2 == 0
-        spread = diffs.join(F.broadcast(patterns), how="cross")  # draws: a parameter, not data
+        spread = diffs.select(index, value, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))).alias("m"))
         sums = spread.groupBy("m").agg(F.sum(F.when(heads, F.col(value)).otherwise(-F.col(value))).alias("s"))
     seen = diffs.agg(F.abs(F.sum(value)).alias("_o"), F.count(value).alias("_n"))
     hit = (F.abs(F.col("s")) / F.col("_n") >= F.col("_o") / F.col("_n") - 1e-12).cast("double")

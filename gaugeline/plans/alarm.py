@@ -8,6 +8,7 @@ from gaugeline.operators import alarm as A
 from gaugeline.operators import capacity as P
 from gaugeline.operators import freshness as R
 from gaugeline.operators import intervals as I
+from gaugeline.operators import quantiles as Q
 from gaugeline.operators import scan as S
 from gaugeline.plans import envelope as E
 from gaugeline.plans import views as V
@@ -233,7 +234,55 @@ def run_readings(spark, sf):
     return told.select("run_id", "tick", status.alias("status"), (good & (F.col("k") > 0)).alias("suspect"), (good & (F.col("k") > 1)).alias("act"))
 
 
-@query("range_guard", "ST5 AG41", f"""
+# Every 20th event of a run is an intervention on its entity, transient or lasting; a lasting one is
+# reverted two ticks later or stays an open lease. Its radius is the entity and the next by name.
+SQL_VIEWS["acts"] = """SELECT run_id, event_id AS id, tick::DOUBLE AS s, CASE k % 3 WHEN 0 THEN tick + 2 WHEN 1 THEN tick + 2 + 2 ELSE tick + 6 END::DOUBLE AS e,
+  unnest([entity, CASE entity WHEN 'link-click' THEN 'link-error' WHEN 'link-error' THEN 'link-purchase' WHEN 'link-purchase' THEN 'link-signup' WHEN 'link-signup' THEN 'link-view' ELSE 'link-click' END]) AS entity
+  FROM ev WHERE event_id % 20 = 5"""
+SQL_VIEWS["viol"] = "SELECT run_id, g, tick, entity FROM cells JOIN bounds USING (entity) WHERE ok AND (rate < lo OR rate > hi)"
+SQL_VIEWS["covered"] = """SELECT v.run_id, v.g, v.tick, count(*) AS n_violating, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM acts a WHERE a.run_id = v.run_id AND a.entity = v.entity AND a.s <= v.tick AND v.tick < a.e)) AS n_covered
+  FROM viol v GROUP BY ALL"""
+SQL_VIEWS["readings_r"] = """SELECT r.*, coalesce((suspect OR act) AND n_covered = n_violating, false) AS held FROM readings_n r LEFT JOIN covered c ON c.g = r.user_id AND c.tick = r.us"""
+SQL_VIEWS["trace_r"] = _machine("readings_r", "trace_r", "(r.status = 'scored' AND NOT r.held)")
+
+
+def radius_cover(spark, sf):
+    event = V.ev(spark, sf).where("event_id % 20 = 5")
+    following = F.element_at(F.create_map(*[F.lit(x) for pair in zip(V.ENTITIES, (*V.ENTITIES[1:], V.ENTITIES[0])) for x in pair]), F.col("entity"))
+    kind = F.when(F.col("k") % 3 == 0, "transient").otherwise("lasting")
+    end = I.active_until(kind, F.col("tick"), F.when(F.col("k") % 3 == 1, F.col("tick") + 2), 2.0, 6.0)
+    spans = event.select("run_id", F.col("tick").cast("double").alias("s"), end.cast("double").alias("e"), F.array("entity", following).alias("radius"))
+    cells = V.cells(spark, sf).join(E.bounds(spark, sf), "entity").where(F.col("ok") & ((F.col("rate") < F.col("lo")) | (F.col("rate") > F.col("hi"))))
+    return cut_lineage(I.all_covered(cells, spans, ["run_id"], "tick", "entity", "s", "e", "radius"))
+
+
+@query("radius_suppression", "ST4 JN4", "SELECT run_id, tick, n_violating, n_covered, n_covered = n_violating AS suppressed FROM covered")
+def radius_suppression(spark, sf):
+    return radius_cover(spark, sf)
+
+
+@query("radius_suppressed_states", "ST4 ST14", """SELECT 'R' || lpad(CAST(t.user_id AS VARCHAR), 6, '0') AS run_id, t.us AS tick, t.state, t.prev, r.held FROM trace_r t JOIN readings_r r USING (user_id, tick)""")
+def radius_suppressed_states(spark, sf):
+    told = run_readings(spark, sf).join(radius_cover(spark, sf).select("run_id", "tick", "suppressed"), ["run_id", "tick"], "left")
+    held = (F.col("suspect") | F.col("act")) & F.coalesce("suppressed", F.lit(False))
+    stepped = A.states(cut_lineage(told.withColumn("held", held)), ["run_id"], ["tick"], chunk(), suppressed=F.col("held"))
+    return A.transitions(stepped, ["run_id"], ["tick"], chunk()).select("run_id", "tick", "state", "prev", "held")
+
+
+@query("guard_feasibility", "AG41", f"""
+SELECT l.run_id, count(*) AS n_ticks, count(load) AS n_judgeable, count(*) FILTER (WHERE active AND load IS NOT NULL) AS n_guard_active,
+ {r6('count(*) FILTER (WHERE active AND load IS NOT NULL) / nullif(count(load), 0)')} AS frac_guard_active, {r6('median(round(load, 4))')} AS load_median
+FROM loads l JOIN guards m ON m.g = l.g AND m.rn = l.rn GROUP BY l.run_id""")
+def guard_feasibility(spark, sf):
+    out = cut_lineage(A.range_guard(run_loads(spark, sf), ["run_id"], ["tick"], chunk(), "load", F.lit(50.0), 3).select("run_id", "tick", "load", "guard"))
+    per = out.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_ticks"), F.count("load").alias("n_judgeable"), F.count_if(F.col("guard") & F.col("load").isNotNull()).alias("n_guard_active"))
+    middle = Q.quantiles(out.withColumn("load", F.round("load", 4)), ["run_id"], "load", {"load_median": ("middle", 0.5)})
+    share = F.try_divide(F.col("n_guard_active").cast("double"), F.col("n_judgeable").cast("double"))
+    return per.withColumn("frac_guard_active", share).join(middle, "run_id", "left")
+
+
+@query("range_guard", "ST5", f"""
 SELECT 'R' || lpad(CAST(l.g AS VARCHAR), 6, '0') AS run_id, l.tick, {r6('load')} AS load, active AS guard FROM loads l JOIN guards m ON m.g = l.g AND m.rn = l.rn""")
 def range_guard(spark, sf):
     out = A.range_guard(run_loads(spark, sf), ["run_id"], ["tick"], chunk(), "load", F.lit(50.0), 3)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gaugeline.operators import envelope as O
 from gaugeline.plans import views as V
 from gaugeline.plans.registry import query, r6
+from gaugeline.plans.views import SQL_VIEWS
 from gaugeline.session import cut_lineage
 
 FAMILIES = {"indicator": list(V.INDICATORS), "rate": [e for e in V.ENTITIES if e not in V.INDICATORS]}
@@ -120,3 +121,40 @@ def feature_selection(spark, sf):
         .otherwise("dead")
     )
     return audit.select("entity", "pct_null", "n_distinct", "lo", "hi", "n_valid", outcome.alias("outcome"))
+
+
+# The fitted model, and one that drifted: a column twice, one without bounds, bounds turned round and
+# of a strange column, an empty family, a family without threshold, an overlap and a gap of the parts.
+SQL_VIEWS["m_columns"] = "SELECT m, entity AS c FROM bounds, (VALUES ('fitted'), ('drifted')) v(m) UNION ALL SELECT 'drifted', 'link-click'"
+SQL_VIEWS["m_families"] = """SELECT m, f, entity AS c FROM bounds, (VALUES ('fitted'), ('drifted')) v(m), (VALUES ('primary'), ('indicator'), ('rate_shared'), ('loss_only')) w(f)
+  WHERE (f IN ('primary', 'loss_only') OR (f = 'indicator') = (entity IN ('link-error', 'link-signup'))) AND NOT (m = 'drifted' AND (f = 'loss_only' OR (f = 'rate_shared' AND entity = 'link-view')))
+  UNION ALL SELECT 'drifted', 'rate_shared', 'link-error' UNION ALL SELECT 'drifted', 'indicator', 'link-ghost'"""
+SQL_VIEWS["m_bounds"] = """SELECT m, entity AS c, CASE WHEN m = 'drifted' AND entity = 'link-error' THEN hi ELSE lo END AS lo, CASE WHEN m = 'drifted' AND entity = 'link-error' THEN lo ELSE hi END AS hi
+  FROM bounds, (VALUES ('fitted'), ('drifted')) v(m) WHERE NOT (m = 'drifted' AND entity = 'link-purchase') UNION ALL SELECT 'drifted', 'link-odd', 0, 1"""
+
+
+@query("model_contract", "PRJ24", """
+WITH th AS (SELECT DISTINCT m, f FROM m_families WHERE NOT (m = 'drifted' AND f = 'primary')), cc AS (SELECT DISTINCT m, c FROM m_columns),
+part AS (SELECT m, c, count(DISTINCT f) AS n FROM m_families WHERE f IN ('indicator', 'rate_shared') GROUP BY m, c)
+SELECT m AS model, 'duplicate column' AS rule, c AS name FROM m_columns GROUP BY m, c HAVING count(*) > 1 UNION ALL SELECT m, 'no bounds', c FROM cc ANTI JOIN m_bounds USING (m, c)
+UNION ALL SELECT m, 'bounds of no column', c FROM m_bounds ANTI JOIN cc USING (m, c) UNION ALL SELECT m, 'bad bounds', c FROM m_bounds WHERE lo > hi
+UNION ALL SELECT m, 'no family', f FROM (VALUES ('fitted'), ('drifted')) v(m), (VALUES ('primary'), ('indicator'), ('rate_shared'), ('loss_only')) w(f) WHERE (m, f) NOT IN (SELECT m, f FROM m_families)
+UNION ALL SELECT m, 'no threshold', f FROM (SELECT DISTINCT m, f FROM m_families) x ANTI JOIN th USING (m, f) UNION ALL SELECT m, 'unknown column', f || ':' || c FROM m_families ANTI JOIN cc USING (m, c)
+UNION ALL SELECT m, 'not in primary', c FROM cc ANTI JOIN (SELECT * FROM m_families WHERE f = 'primary') p USING (m, c)
+UNION ALL SELECT m, 'in both parts', c FROM part WHERE n = 2 UNION ALL SELECT m, 'in no part', c FROM cc ANTI JOIN part USING (m, c)""")
+def model_contract(spark, sf):
+    fitted = bounds(spark, sf)
+    both = fitted.select(F.explode(F.array(F.lit("fitted"), F.lit("drifted"))).alias("model"), F.col("entity").alias("column"), "lo", "hi")
+    drifted = F.col("model") == "drifted"
+    row = lambda *values: spark.createDataFrame([values], "model string, family string, column string")
+    columns = both.select("model", "column").unionByName(row("drifted", "", "link-click").drop("family"))
+    member = F.col("family").isin("primary", "loss_only") | ((F.col("family") == "indicator") == F.col("column").isin(*V.INDICATORS))
+    lost = drifted & ((F.col("family") == "loss_only") | ((F.col("family") == "rate_shared") & (F.col("column") == "link-view")))
+    families = both.select("model", "column", F.explode(F.array(*map(F.lit, O.REQUIRED_FAMILIES))).alias("family")).where(member & ~lost)
+    families = families.unionByName(row("drifted", "rate_shared", "link-error")).unionByName(row("drifted", "indicator", "link-ghost"))
+    turned = drifted & (F.col("column") == "link-error")
+    limits = both.where(~(drifted & (F.col("column") == "link-purchase"))).select(
+        "model", "column", F.when(turned, F.col("hi")).otherwise(F.col("lo")).alias("lo"), F.when(turned, F.col("lo")).otherwise(F.col("hi")).alias("hi"))
+    limits = limits.unionByName(row("drifted", "", "link-odd").select("model", "column", F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))
+    thresholds = families.select("model", "family").distinct().where(~(drifted & (F.col("family") == "primary"))).withColumn("threshold", F.lit(1.0))
+    return O.contract_violations(columns, families, limits, thresholds, ["model"])

@@ -24,14 +24,14 @@ SUMS = ["tp", "fp", "fn", "tn", "n_unknown_positive", "n_unknown_negative"]
 
 @query("cluster_bootstrap", "ML6", f"""
 WITH c AS (SELECT run_id, grp, {PE.CONF} FROM evalframe WHERE in_eval GROUP BY run_id, grp), p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY run_id) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM c),
-d AS (SELECT b, s.grp, {DRAW.format(seed=7, parts="s.grp || ':' || b || ':' || i")} % s.n AS pos FROM (SELECT grp, n, unnest(range(0, n)) AS i FROM (SELECT DISTINCT grp, n FROM p)) s CROSS JOIN (SELECT unnest(range(0, 200)) AS b) r),
+d AS (SELECT b, s.grp, {DRAW.format(seed=7, parts="s.grp || ':' || b || ':' || i")} % s.n AS pos FROM (SELECT grp, n, unnest(range(0, n)) AS i FROM (SELECT DISTINCT grp, n FROM p)) s CROSS JOIN (SELECT unnest(range(0, 2000)) AS b) r),
 x AS (SELECT b, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM d JOIN p USING (grp, pos) GROUP BY b), m AS (SELECT tp / nullif(tp + fn, 0) AS recall, fp / nullif(fp + tn, 0) AS fpr FROM x)
 SELECT count(recall) AS n_recall, {r6('quantile_cont(recall, 0.025)')} AS recall_low, {r6('quantile_cont(recall, 0.975)')} AS recall_high, count(fpr) AS n_fpr, {r6('quantile_cont(fpr, 0.025)')} AS fpr_low, {r6('quantile_cont(fpr, 0.975)')} AS fpr_high FROM m""")
 def cluster_bootstrap(spark, sf):
     f = PE.frame(spark, sf).where("in_eval").withColumn("g", F.substring("run_id", 2, 12).cast("bigint"))
     counts = cut_lineage(f.groupBy("g", "grp").agg(*M.count_columns()))
     clusters = R.numbered(counts, ["grp"], "g")
-    reps = M.scores(R.bootstrap_sums(clusters, "grp", "pos", SUMS, 200, 7))
+    reps = M.scores(R.bootstrap_sums(clusters, "grp", "pos", SUMS, 2000, 7))
     # One row per replicate; their number is a parameter.
     return reps.agg(
         F.count("recall").alias("n_recall"), F.percentile("recall", 0.025).alias("recall_low"), F.percentile("recall", 0.975).alias("recall_high"),
@@ -40,13 +40,13 @@ def cluster_bootstrap(spark, sf):
 
 
 @query("block_bootstrap", "ML7", f"""
-WITH p AS (SELECT block, diff, row_number() OVER (ORDER BY block) - 1 AS pos, count(*) OVER () AS n FROM abdiff), d AS (SELECT b, {DRAW.format(seed=11, parts="'all:' || b || ':' || i")} % n AS pos, n FROM (SELECT n, unnest(range(0, n)) AS i FROM (SELECT DISTINCT n FROM p)) CROSS JOIN (SELECT unnest(range(0, 500)) AS b) r),
+WITH p AS (SELECT block, diff, row_number() OVER (ORDER BY block) - 1 AS pos, count(*) OVER () AS n FROM abdiff), d AS (SELECT b, {DRAW.format(seed=11, parts="'all:' || b || ':' || i")} % n AS pos, n FROM (SELECT n, unnest(range(0, n)) AS i FROM (SELECT DISTINCT n FROM p)) CROSS JOIN (SELECT unnest(range(0, 10000)) AS b) r),
 m AS (SELECT b, sum(diff) / any_value(d.n) AS v FROM d JOIN p ON p.pos = d.pos GROUP BY b), s AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM m)
-SELECT {r6('(SELECT avg(diff) FROM p)')} AS mean_diff, {r6('max(CASE WHEN i = floor(0.025 * 499) THEN v END)')} AS ci_low, {r6('max(CASE WHEN i = floor(0.975 * 499) THEN v END)')} AS ci_high FROM s""")
+SELECT {r6('(SELECT avg(diff) FROM p)')} AS mean_diff, {r6('max(CASE WHEN i = floor(0.025 * 9999) THEN v END)')} AS ci_low, {r6('max(CASE WHEN i = floor(0.975 * 9999) THEN v END)')} AS ci_high FROM s""")
 def block_bootstrap(spark, sf):
     diffs = cut_lineage(R.block_diffs(PL.ab_trials(spark, sf), "block", "arm", "v"))
     clusters = R.numbered(diffs.withColumn("stratum", F.lit("all")), ["stratum"], "block").withColumn("one", F.lit(1))
-    sums = R.bootstrap_sums(clusters, "stratum", "pos", ["diff", "one"], 500, 11).withColumn("v", F.col("diff") / F.col("one"))
+    sums = R.bootstrap_sums(clusters, "stratum", "pos", ["diff", "one"], 10000, 11).withColumn("v", F.col("diff") / F.col("one"))
     ci = Q.quantiles(cut_lineage(sums.select("v")), [], "v", {"ci_low": ("floor_last", 0.025), "ci_high": ("floor_last", 0.975)})
     return diffs.agg(F.avg("diff").alias("mean_diff")).join(ci)
 
@@ -55,23 +55,23 @@ SQL_VIEWS["kdiff"] = "SELECT event_type AS block, avg(value) FILTER (WHERE k % 2
 
 
 @query("sign_flip_exact", "ML8", f"""
-WITH p AS (SELECT diff, row_number() OVER (ORDER BY block) - 1 AS i, count(*) OVER () AS n FROM kdiff), s AS (SELECT m, sum(CASE WHEN (m >> i) & 1 = 1 THEN -diff ELSE diff END) AS s, any_value(n) AS n FROM p, (SELECT unnest(range(0, 32)) AS m) GROUP BY m)
+WITH p AS (SELECT diff, row_number() OVER (ORDER BY block) - 1 AS i, count(*) OVER () AS n FROM kdiff), s AS (SELECT m, sum(CASE WHEN (m >> i) & 1 = 1 THEN -diff ELSE diff END) AS s, any_value(n) AS n FROM p, (SELECT unnest(range(0, CAST(pow(2, (SELECT count(*) FROM kdiff)) AS BIGINT))) AS m) GROUP BY m)
 SELECT {r6('avg(CASE WHEN abs(s) / n >= abs((SELECT sum(diff) FROM p)) / n - 1e-12 THEN 1.0 ELSE 0.0 END)')} AS p_two_sided, true AS exact, count(*) AS n_perm FROM s""")
 def sign_flip_exact(spark, sf):
     rows = V.ev(spark, sf).select("event_type", F.when(F.col("k") % 2 == 0, "A").otherwise("B").alias("arm"), "value")
     diffs = cut_lineage(R.block_diffs(rows, "event_type", "arm", "value").withColumn("one", F.lit(0)))
     index = S.row_index(diffs, ["one"], ["event_type"], F.ascii("event_type").cast("bigint"), "i")
-    return R.sign_flips(index, "diff", "i", diffs.count())
+    return R.sign_flips(index, "diff", "i", "exact")
 
 
 @query("sign_flip_sampled", "ML8", f"""
 WITH p AS (SELECT diff, row_number() OVER (ORDER BY block) - 1 AS i, count(*) OVER () AS n FROM abdiff),
-s AS (SELECT m, sum(CASE WHEN {DRAW.format(seed=20260920, parts="m || ':' || i")} % 2 = 0 THEN diff ELSE -diff END) AS s, any_value(n) AS n FROM p, (SELECT unnest(range(0, 2000)) AS m) GROUP BY m)
+s AS (SELECT m, sum(CASE WHEN {DRAW.format(seed=20260920, parts="m || ':' || i")} % 2 = 0 THEN diff ELSE -diff END) AS s, any_value(n) AS n FROM p, (SELECT unnest(range(0, 20000)) AS m) GROUP BY m)
 SELECT {r6('avg(CASE WHEN abs(s) / n >= abs((SELECT sum(diff) FROM p)) / n - 1e-12 THEN 1.0 ELSE 0.0 END)')} AS p_two_sided, false AS exact, count(*) AS n_perm FROM s""")
 def sign_flip_sampled(spark, sf):
     diffs = cut_lineage(R.block_diffs(PL.ab_trials(spark, sf), "block", "arm", "v").withColumn("one", F.lit(0)))
     index = cut_lineage(R.numbered(diffs, ["one"], "block"))
-    return R.sign_flips(index, "diff", "pos", max(diffs.count(), 21), draws=2000)
+    return R.sign_flips(index, "diff", "pos", "sampled")
 
 
 SQL_VIEWS["dose"] = "SELECT event_type, log10(greatest(value, 0.001)) AS x, value, value + k * 2 > 150 AS hit FROM ev"

@@ -15,7 +15,7 @@ from gaugeline.streaming import machines as G
 
 def event_feed(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return D.file_feed(spark, sf, schema, glob="events.parquet")
+    return D.file_feed(spark, f"{sf}/events.parque[t]", schema)  # a pattern, so that one file and a folder of parts are both read
 
 
 def timed(stream):
@@ -39,19 +39,22 @@ CUTS = (V.T0_US + 10 * 2 * V.TICK_US, V.T0_US + 20 * 2 * V.TICK_US)
 
 
 def folded(spark, stream, keys, step, order, schema, label):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", D.ROCKSDB)
-    out = fresh_path(spark, label)
-    names = [c.split()[0] for c in schema.split(", ")]
-    D.run_available(G.fold(stream, keys, step, order, schema, names), D.append_batches(out), label=label)
+    out, provider = fresh_path(spark, label), "spark.sql.streaming.stateStore.providerClass"
+    names, before = [c.split()[0] for c in schema.split(", ")], spark.conf.get(provider, None)
+    spark.conf.set(provider, D.ROCKSDB)  # a session setting only; the caller's is put back
+    try:
+        D.run_available(G.fold(stream, keys, step, order, schema, names), D.append_batches(out), label=label)
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
     return spark.read.schema(schema).parquet(f"{out}/epoch=*")
 
 
-@query("stream_alarm_states", "ST3 ST1 SRC10", "SELECT user_id, tick, state, prev FROM trace")
+@query("stream_alarm_states", "ST3 ST1 SRC10", "SELECT user_id, tick, state, prev, false AS rejected FROM trace")
 def stream_alarm_states(spark, sf):
     rows = V.readings(spark, sf).select("user_id", "tick", "us", "status", "suspect", "act")
     schema = "user_id bigint, tick bigint, us bigint, status string, suspect boolean, act boolean, state string, prev string, rejected boolean"
     out = folded(spark, staged(spark, rows, "readings", CUTS), ["user_id"], G.alarm_step(), "tick", schema, "alarm")
-    return out.where("not rejected").select("user_id", "tick", "state", "prev")
+    return out.select("user_id", "tick", "state", "prev", "rejected")
 
 
 @query("stream_range_guard", "ST5", "SELECT 'R' || lpad(CAST(l.g AS VARCHAR), 6, '0') AS run_id, l.tick, active AS guard FROM loads l JOIN guards m ON m.g = l.g AND m.rn = l.rn")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ SETTINGS = {
 }
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def build(app: str = "gaugeline", master: str | None = None, **extra: str) -> SparkSession:
@@ -41,12 +44,23 @@ def scratch_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.applicationId not in _LOCAL:
         _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="gaugeline-")
+        atexit.register(shutil.rmtree, _LOCAL[context.applicationId], ignore_errors=True)
     return _LOCAL[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the scratch folder."""
-    return os.path.join(scratch_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new path below the scratch folder, remembered for :func:`drop_scratch`."""
+    path = os.path.join(scratch_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this application has written below the scratch folder. DataFrames that read it are
+    unusable afterwards, so call it when their results are stored."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

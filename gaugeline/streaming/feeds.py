@@ -33,11 +33,12 @@ def snapshot_feed(spark: SparkSession, path: str, files_per_trigger: int | None
     return reader.load(path).select(F.from_json("value", SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("_j")).select("_j.*")
 
 
-def run_available(stream: DataFrame, each_batch: Callable[[DataFrame, int], None], mode: str = "append", label: str = "stream") -> None:
-    """Drain what is there now in micro-batches; offsets and state live in the shared folder, so a
-    restarted query goes on where it stopped."""
+def run_available(stream: DataFrame, each_batch: Callable[[DataFrame, int], None], mode: str = "append", label: str = "stream", checkpoint: str | None = None) -> None:
+    """Drain what is there now in micro-batches. Offsets and state live in ``checkpoint``: a query that
+    is started again with the same folder goes on where it stopped. Without a name it is a new
+    folder below the shared one, for feeds that are drained once."""
     query: StreamingQuery = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", fresh_path(stream.sparkSession, f"{label}-checkpoint"))
+        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or fresh_path(stream.sparkSession, f"{label}-checkpoint"))
         .trigger(availableNow=True).foreachBatch(each_batch).start()
     )
     query.awaitTermination()

@@ -1,13 +1,16 @@
 """Cases that once gave wrong or lost rows."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gaugeline import session
 from gaugeline.functions import stats
-from gaugeline.operators import routing, scan, whatif
+from gaugeline.operators import intervals, routing, scan, whatif
+from gaugeline.streaming import feeds
 
 
 def test_a_route_of_eighty_hops_and_a_loop_of_any_length(spark):
@@ -61,3 +64,38 @@ def test_one_poisson_bound_for_every_count(spark, k):
     up = spark.range(1).select(stats.poisson_upper(F.lit(k)).alias("u")).first().u
     total = math.fsum(math.exp(i * math.log(up) - up - math.lgamma(i + 1)) for i in range(k + 1))
     assert total == pytest.approx(0.05, rel=1e-7)
+
+
+def test_suppression_needs_every_violating_entity_in_the_union_of_radii(spark):
+    violating = spark.createDataFrame([("r", 1, "a"), ("r", 1, "b"), ("r", 2, "a"), ("r", 2, "c"), ("r", 3, "a"), ("r", 9, "a"), (None, 1, "a")], "run string, tick bigint, entity string")
+    spans = spark.createDataFrame([("r", 0.0, 5.0, ["a", "x"]), ("r", 1.0, 2.0, ["b"]), (None, 0.0, 2.0, ["a"])], "run string, s double, e double, radius array<string>")
+    got = {(r.run, r.tick): (r.n_violating, r.n_covered, r.suppressed) for r in intervals.all_covered(violating, spans, ["run"], "tick", "entity", "s", "e", "radius").collect()}
+    assert got == {("r", 1): (2, 2, True), ("r", 2): (2, 1, False), ("r", 3): (1, 1, True), ("r", 9): (1, 0, False), (None, 1): (1, 1, True)}
+
+
+def test_activity_ends_by_kind(spark):
+    rows = spark.createDataFrame([("transient", 10.0, 50.0), ("lasting", 10.0, 50.0), ("lasting", 10.0, None)], "kind string, s double, r double")
+    ends = rows.select(intervals.active_until(F.col("kind"), F.col("s"), F.col("r"), 8.0, 120.0).alias("e")).collect()
+    assert [r.e for r in ends] == [18.0, 58.0, 130.0]
+
+
+def test_a_stream_goes_on_where_it_stopped_over_a_folder_of_parts(spark, tmp_path):
+    source, out, checkpoint = str(tmp_path / "events.parquet"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    schema = spark.range(1).schema
+    read = lambda: feeds.file_feed(spark, str(tmp_path / "events.parque[t]"), schema)
+    spark.range(0, 100).repartition(3).write.parquet(source)
+    feeds.run_available(read(), feeds.append_batches(out), checkpoint=checkpoint)
+    spark.range(100, 150).repartition(2).write.mode("append").parquet(source)
+    feeds.run_available(read(), feeds.append_batches(out), checkpoint=checkpoint)
+    rows = spark.read.parquet(out)
+    assert rows.count() == 150 and rows.groupBy("epoch").count().count() == 2
+
+
+def test_scratch_is_removed_on_request(spark):
+    kept = session.cut_lineage(spark.range(5))
+    path = session._WRITTEN[spark.sparkContext.applicationId][-1]
+    assert kept.count() == 5 and os.path.isdir(path)
+    others, session._WRITTEN[spark.sparkContext.applicationId] = session._WRITTEN[spark.sparkContext.applicationId], [path]
+    session.drop_scratch(spark)
+    session._WRITTEN[spark.sparkContext.applicationId] = others
+    assert not os.path.exists(path)

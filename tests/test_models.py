@@ -23,7 +23,7 @@ def test_paths_loops_and_detours(spark):
 def test_sign_flip_is_exact(spark):
     diffs = [1.0, -0.5, 2.0, 0.25]
     df = spark.createDataFrame(list(enumerate(diffs)), "i long, d double")
-    r = resampling.sign_flips(df, "d", "i", len(diffs)).first()
+    r = resampling.sign_flips(df, "d", "i", "exact").first()
     seen = abs(sum(diffs)) / 4
     hits = sum(abs(sum(s * d for s, d in zip(signs, diffs))) / 4 >= seen - 1e-12 for signs in itertools.product((1, -1), repeat=4))
     assert r.exact and r.n_perm == 16 and abs(r.p_two_sided - hits / 16) < 1e-12
