@@ -57,11 +57,28 @@ def label_coverage(spark, sf):
     )
 
 
-@query("frame_violations", "JN1 PRJ24", """
-WITH p AS (SELECT run_id, max(grp) AS grp, max(fault) AS fault, count(*) FILTER (WHERE y) AS n_y, max(tick) FILTER (WHERE y) - min(tick) FILTER (WHERE y) + 1 AS span FROM evalframe WHERE judgeable GROUP BY run_id)
-SELECT run_id, 'y_block' AS kind FROM p WHERE grp = 'F' AND (n_y = 0 OR span <> n_y)""")
+# The evaluation frame with one fault per run number: a strange group at one tick, a fault name lost or
+# invented, an alarm without judgement, a row twice; the rest shows what the data itself breaks.
+SQL_VIEWS["badframe"] = """SELECT run_id, tick, CASE WHEN d = 1 AND tick = 0 THEN 'X' ELSE grp END AS grp, CASE WHEN d <> 3 THEN fault WHEN grp = 'C' THEN 'degrade' END AS fault, y,
+  judgeable AND NOT (d = 5 AND tick = 2) AS judgeable, alarm OR (d = 5 AND tick = 2) AS alarm FROM (SELECT *, CAST(substr(run_id, 2) AS BIGINT) % 10 AS d FROM evalframe), (SELECT unnest(range(0, 2)) AS copy) WHERE copy = 0 OR (d = 7 AND tick = 0)"""
+
+
+@query("frame_violations", "JN1", """
+WITH p AS (SELECT run_id, count(DISTINCT grp) AS n_grp, max(grp) AS grp, max(fault) AS fault, count(*) FILTER (WHERE y) AS n_y, max(tick) FILTER (WHERE y) - min(tick) FILTER (WHERE y) + 1 AS span,
+ count(*) FILTER (WHERE alarm AND NOT judgeable) AS blind, count(*) - count(DISTINCT tick) AS again FROM badframe GROUP BY run_id)
+SELECT run_id, 'group' AS kind FROM p WHERE n_grp <> 1 UNION ALL SELECT run_id, 'control_with_fault' FROM p WHERE grp = 'C' AND (n_y > 0 OR fault IS NOT NULL)
+UNION ALL SELECT run_id, 'fault_missing' FROM p WHERE grp = 'F' AND fault IS NULL UNION ALL SELECT run_id, 'y_block' FROM p WHERE grp = 'F' AND (n_y = 0 OR span <> n_y)
+UNION ALL SELECT run_id, 'alarm_unjudgeable' FROM p WHERE blind > 0 UNION ALL SELECT run_id, 'repeated_key' FROM p WHERE again > 0""")
 def frame_violations(spark, sf):
-    return M.frame_faults(frame(spark, sf).where("judgeable"))
+    rows = frame(spark, sf).withColumn("d", F.substring("run_id", 2, 12).cast("bigint") % 10)
+    blind = (F.col("d") == 5) & (F.col("tick") == 2)
+    bad = rows.select(
+        "run_id", "tick", "y", F.when((F.col("d") == 1) & (F.col("tick") == 0), "X").otherwise(F.col("grp")).alias("grp"),
+        F.when(F.col("d") != 3, F.col("fault")).when(F.col("grp") == "C", "degrade").alias("fault"),
+        (F.col("judgeable") & ~blind).alias("judgeable"), (F.col("alarm") | blind).alias("alarm"),
+        F.explode(F.when((F.col("d") == 7) & (F.col("tick") == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return M.frame_faults(bad)
 
 
 CONF = """count(*) FILTER (WHERE y AND alarm) AS tp, count(*) FILTER (WHERE NOT y AND alarm) AS fp, count(*) FILTER (WHERE y AND NOT alarm) AS fn,
