@@ -100,23 +100,39 @@ def many_files_union(spark, sf):
     return kept.groupBy("run_id", "profile").agg(F.count(F.lit(1)).alias("n_rows"), F.count("n").alias("n_extra"))
 
 
+# Sidecars with planted drift: count, events, record, constants, hash of the data, event clock, acceptance.
 @query("sidecar_check", "SRC4", """
-SELECT run_id, concat_ws(',', CASE WHEN n_events % 3 = 0 THEN 'count' END, CASE WHEN (grp = 'F') <> (fault IS NOT NULL AND n_events % 2 = 0) THEN 'events' END, CASE WHEN n_events % 5 = 0 THEN 'not_passed' END) AS problems FROM runs""")
+WITH c AS (SELECT run_id, tick, max(us) AS us FROM ev GROUP BY ALL)
+SELECT r.run_id, concat_ws(',', CASE WHEN n_events % 3 = 0 THEN 'count' END, CASE WHEN (grp = 'F') <> (fault IS NOT NULL AND n_events % 2 = 0) THEN 'events' END, CASE WHEN g % 6 = 4 THEN 'record' END, CASE WHEN g % 5 = 1 THEN 'constants' END,
+ CASE WHEN n_events % 7 = 0 THEN 'hash' END, CASE WHEN fault IS NOT NULL AND n_events % 2 = 0 AND n_events % 11 < 5 AND c.us IS NOT NULL THEN 'clock' END, CASE WHEN n_events % 5 = 0 THEN 'not_passed' END) AS problems
+FROM runs r LEFT JOIN c ON c.run_id = r.run_id AND c.tick = r.inject""")
 def sidecar_check(spark, sf):
-    r = V.runs(spark, sf)
-    path = fresh_path(spark, "sidecar")
-    events = F.when(F.col("fault").isNotNull() & (F.col("n_events") % 2 == 0), F.array(F.struct(F.lit("inject").alias("kind"), F.col("inject").alias("tick"))))
+    clock = V.ev(spark, sf).groupBy("run_id", F.col("tick").alias("inject")).agg(F.max("us").alias("at"))
+    digest = F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum("event_id").cast("string")), 256)
+    data = V.ev(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), digest.alias("sha"))
+    r = V.runs(spark, sf).join(clock, ["run_id", "inject"], "left").join(data, "run_id")
+    path, n = fresh_path(spark, "sidecar"), F.col("n_events")
+    event = F.struct(F.lit("inject").alias("kind"), F.col("inject").alias("tick"), (F.col("at") + F.when(n % 11 < 5, 1).otherwise(0)).alias("t_source"))
+    events = F.when(F.col("fault").isNotNull() & (n % 2 == 0), F.array(event))
     r.select(
-        "run_id", F.struct("grp", "fault").alias("record"), F.coalesce(events, F.array().cast("array<struct<kind:string,tick:bigint>>")).alias("events"),
-        F.struct((F.col("n_events") + F.when(F.col("n_events") % 3 == 0, 1).otherwise(0)).alias("n_snapshots"), (F.col("n_events") % 5 != 0).alias("passed")).alias("checks"),
+        "run_id", F.struct(F.when(F.col("g") % 6 == 4, F.concat("grp", F.lit("?"))).otherwise(F.col("grp")).alias("grp"), "fault").alias("record"),
+        F.struct(F.when(F.col("g") % 5 == 1, 2).otherwise(1).cast("bigint").alias("warmup_ticks")).alias("constants"),
+        F.when(n % 7 == 0, F.reverse("sha")).otherwise(F.col("sha")).alias("sha256"),
+        F.coalesce(events, F.array().cast("array<struct<kind:string,tick:bigint,t_source:bigint>>")).alias("events"),
+        F.struct((n + F.when(n % 3 == 0, 1).otherwise(0)).alias("n_snapshots"), (n % 5 != 0).alias("passed")).alias("checks"),
     ).write.json(path)
-    schema = "run_id string, record struct<grp:string,fault:string>, events array<struct<kind:string,tick:bigint>>, checks struct<n_snapshots:bigint,passed:boolean>"
+    schema = ("run_id string, record struct<grp:string,fault:string>, constants struct<warmup_ticks:bigint>, sha256 string, events array<struct<kind:string,tick:bigint,t_source:bigint>>, "
+              "checks struct<n_snapshots:bigint,passed:boolean>")
     side = spark.read.schema(schema).json(path)
-    data = V.ev(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    joined = side.join(data, "run_id", "left")
+    contract = V.runs(spark, sf).select("run_id", F.struct("grp", "fault").alias("signed"))
+    told = side.select("run_id", F.explode("events").alias("e")).join(clock.select("run_id", F.col("inject").alias("tick"), "at"), (side["run_id"] == clock["run_id"]) & (F.col("e.tick") == F.col("tick")), "left").select(
+        side["run_id"], (~F.col("e.t_source").eqNullSafe(F.col("at"))).alias("off")).groupBy("run_id").agg(F.max("off").alias("off"))
+    joined = side.join(data, "run_id", "left").join(contract, "run_id", "left").join(told, "run_id", "left")
     notes = F.array(
-        F.when(~F.col("checks.n_snapshots").eqNullSafe(F.col("n")), "count"), F.when((F.col("record.grp") == "F") != (F.size("events") > 0), "events"),
-        F.when(~F.col("checks.passed"), "not_passed"),
+        F.when(~F.col("checks.n_snapshots").eqNullSafe(F.col("n")), "count"), F.when((F.col("signed.grp") == "F") != (F.size("events") > 0), "events"),
+        F.when(~(F.col("record.grp").eqNullSafe(F.col("signed.grp")) & F.col("record.fault").eqNullSafe(F.col("signed.fault"))), "record"),
+        F.when(~F.col("constants.warmup_ticks").eqNullSafe(F.lit(1)), "constants"), F.when(~F.col("sha256").eqNullSafe(F.col("sha")), "hash"),
+        F.when(F.col("off"), "clock"), F.when(~F.col("checks.passed"), "not_passed"),
     )
     return joined.select("run_id", F.array_join(F.filter(notes, lambda x: x.isNotNull()), ",").alias("problems"))
 
@@ -192,10 +208,24 @@ def csv_export(spark, sf):
 SELECT run_id, n_events, sha256('{"n_events":' || n_events || ',"n_ticks":' || n_ticks || ',"run_id":"' || run_id || '"}') AS seal FROM runs""")
 def sealed_results(spark, sf):
     path = fresh_path(spark, "result")
-    K.write_once(V.runs(spark, sf).select("run_id", "n_ticks", "n_events").withColumn("seal", K.sealed(["run_id", "n_ticks", "n_events"])), path)
+    runs = V.runs(spark, sf).select("run_id", "n_ticks", "n_events")
+    K.write_once(runs.withColumn("seal", K.sealed(runs, ["run_id", "n_ticks", "n_events"])), path)
     return spark.read.schema("run_id string, n_events bigint, seal string").json(path)
 
 
+@query("sealed_documents", "FN9", """
+WITH c AS (SELECT run_id, string_agg('"' || entity || '":{"n":' || n || ',"ok":' || ok || '}', ',' ORDER BY entity) AS t FROM (SELECT run_id, entity, count(*) AS n, bool_and(ok) AS ok FROM cells GROUP BY ALL) GROUP BY run_id),
+d AS (SELECT run_id, '{"cells":{' || t || '},"fault":' || coalesce('"' || fault || '"', 'null') || ',"window":{"from":' || coalesce(inject::VARCHAR, 'null') || ',"to":' || coalesce(revert::VARCHAR, 'null') || '}}' AS doc FROM runs JOIN c USING (run_id))
+SELECT run_id, doc, sha256(doc) AS seal FROM d""")
+def sealed_documents(spark, sf):
+    """Nested documents with maps and NULL fields, sealed by their canonical text."""
+    per = V.cells(spark, sf).groupBy("run_id", "entity").agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("ok"))
+    maps = per.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("ok", "n")))).alias("cells"))  # one entry per entity
+    docs = V.runs(spark, sf).join(maps, "run_id").select("run_id", "fault", F.struct(F.col("revert").alias("to"), F.col("inject").alias("from")).alias("window"), "cells")
+    parts = ["fault", "window", "cells"]
+    return docs.select("run_id", K.canonical_json(docs, parts).alias("doc"), K.sealed(docs, parts).alias("seal"))
+
+
 @query("append_tick_log", "SRC14", "SELECT us // 86400000000 - 19723 AS day, count(*) AS n, max(event_id) AS last_event FROM ev GROUP BY 1")
 def append_tick_log(spark, sf):
     path = fresh_path(spark, "ticklog")

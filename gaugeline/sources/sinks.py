@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -19,9 +20,28 @@ def bounds_drift(df: DataFrame, bounds: DataFrame, column: str, value: str, tole
     return both.select(column, "lo", "hi", F.coalesce(same, F.lit(False)).alias("reproduced"))
 
 
-def sealed(columns: list[str]) -> Column:
-    """SHA-256 of the JSON text of the columns in name order."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+def canonical(column: Column, kind: T.DataType) -> Column:
+    """The value with struct fields and map keys in name order, at every level."""
+    if isinstance(kind, T.StructType):
+        fields = [canonical(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(column.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(column), lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: canonical(x, kind.elementType))
+    return column
+
+
+def canonical_json(df: DataFrame, columns: list[str]) -> Column:
+    """JSON text of the columns with all names in order; NULL is written, as it is not the same as absent."""
+    fields = [canonical(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(columns)]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def sealed(df: DataFrame, columns: list[str]) -> Column:
+    """SHA-256 of the canonical JSON text of the columns."""
+    return F.sha2(canonical_json(df, columns), 256)
 
 
 def write_once(df: DataFrame, path: str) -> None:
