@@ -274,19 +274,42 @@ def scenario_table(spark, sf):
 SQL_VIEWS["scal"] = "SELECT user_id, max(us) FILTER (WHERE k = 50 OR tick = 5) AS t0 FROM series GROUP BY user_id"
 
 
+# A purchase is an intent; every fourth is not applied, the others k seconds later. Two instances are wanted while k >= 48.
+SQL_VIEWS["scalx"] = """WITH o AS (SELECT c.user_id, t0, min(us) FILTER (WHERE us >= t0 AND value > 80) AS onset FROM scal c JOIN series s USING (user_id) GROUP BY ALL),
+d AS (SELECT o.*, (SELECT arg_min({'d': us, 'a': us + k * 1000000}, us) FROM series s WHERE s.user_id = o.user_id AND us >= t0 AND event_type = 'purchase' AND k % 4 <> 0) AS p FROM o),
+i AS (SELECT d.*, p.d AS decided, p.a AS applied, (SELECT min(us) FROM series s WHERE s.user_id = d.user_id AND us >= p.a AND event_type IN ('view', 'signup')) AS serving,
+  (SELECT min(us) FROM series s WHERE s.user_id = d.user_id AND us >= p.a AND event_type = 'view') AS healthy FROM d)
+SELECT i.*, (SELECT count(*) FROM series s WHERE s.user_id = i.user_id AND us >= t0 AND event_type = 'purchase' AND k % 4 <> 0 AND (healthy IS NULL OR us <= healthy)) AS n_applied,
+  (SELECT max(CASE WHEN k >= 48 THEN 2 ELSE 1 END) FROM series s WHERE s.user_id = i.user_id AND us >= t0 AND (healthy IS NULL OR us <= healthy)) AS desired FROM i"""
+
+
 @query("scaling_segments", "AG57", f"""
-WITH o AS (SELECT c.user_id, t0, min(us) FILTER (WHERE us >= t0 AND value > 80) AS onset FROM scal c JOIN series s USING (user_id) GROUP BY ALL),
-d AS (SELECT o.*, (SELECT min(us) FROM series s WHERE s.user_id = o.user_id AND us >= onset AND event_type = 'purchase') AS applied FROM o),
-h AS (SELECT d.*, (SELECT min(us) FROM series s WHERE s.user_id = d.user_id AND us >= applied AND event_type = 'view') AS healthy FROM d)
-SELECT user_id, {r6('(onset - t0) / 1e6')} AS to_onset_s, {r6('(applied - onset) / 1e6')} AS to_applied_s, {r6('(healthy - applied) / 1e6')} AS to_healthy_s, CASE WHEN onset IS NULL THEN 'FAIL no onset' WHEN healthy IS NULL THEN 'FAIL not healthy' ELSE 'PASS' END AS outcome FROM h""")
+SELECT user_id, {r6('(onset - t0) / 1e6')} AS to_onset_s, {r6('(decided - onset) / 1e6')} AS to_decision_s, {r6('(applied - decided) / 1e6')} AS to_applied_s, {r6('(serving - applied) / 1e6')} AS to_serving_s,
+ {r6('(healthy - serving) / 1e6')} AS to_healthy_s, {r6('(healthy - onset) / 1e6')} AS total_s, n_applied, desired AS max_desired,
+ CASE WHEN onset IS NULL THEN 'FAIL no onset' WHEN healthy IS NULL THEN 'FAIL not healthy' WHEN n_applied <> 1 THEN 'FAIL not one action' WHEN desired > 1 THEN 'FAIL desired above one' ELSE 'PASS' END AS outcome FROM scalx""")
 def scaling_segments(spark, sf):
     s = cut_lineage(V.series(spark, sf).select("user_id", "tick", "k", "value", "event_type", F.col("us").alias("t")))
     trials = s.groupBy("user_id").agg(F.max(F.when((F.col("k") == 50) | (F.col("tick") == 5), F.col("t"))).alias("t0"))
-    for test, after, name in ((F.col("value") > 80, "t0", "onset"), (F.col("event_type") == "purchase", "onset", "applied"), (F.col("event_type") == "view", "applied", "healthy")):
-        trials = P.first_time(s, trials, ["user_id"], test, after, name)
+    trials = P.first_time(s, trials, ["user_id"], F.col("value") > 80, "t0", "onset")
+    intents = s.where("event_type = 'purchase' and k % 4 <> 0").select("user_id", F.col("t").alias("d"), (F.col("t") + F.col("k") * 1000000).alias("a"))
+    first = intents.join(trials.select("user_id", "t0"), "user_id").where("d >= t0").groupBy("user_id").agg(F.min("d").alias("decided"), F.min_by("a", "d").alias("applied"))
+    trials = cut_lineage(trials.join(first, "user_id", "left"))
+    for test, name in ((F.col("event_type").isin("view", "signup"), "serving"), (F.col("event_type") == "view", "healthy")):
+        trials = P.first_time(s, trials, ["user_id"], test, "applied", name)
+    trials = cut_lineage(trials)
+    open_ = lambda at: (F.col(at) >= F.col("t0")) & (F.col("healthy").isNull() | (F.col(at) <= F.col("healthy")))
+    ends = trials.select("user_id", "t0", "healthy")
+    acts = intents.join(ends, "user_id").where(open_("d")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_applied"))
+    wanted = s.join(ends, "user_id").where(open_("t")).groupBy("user_id").agg(F.max(F.when(F.col("k") >= 48, 2).otherwise(1)).alias("max_desired"))
+    out = trials.join(acts, "user_id", "left").join(wanted, "user_id", "left").withColumn("n_applied", F.coalesce("n_applied", F.lit(0)))
     sec = lambda a, b: (F.col(b) - F.col(a)) / 1e6
-    outcome = F.when(F.col("onset").isNull(), "FAIL no onset").when(F.col("healthy").isNull(), "FAIL not healthy").otherwise("PASS")
-    return trials.select("user_id", sec("t0", "onset").alias("to_onset_s"), sec("onset", "applied").alias("to_applied_s"), sec("applied", "healthy").alias("to_healthy_s"), outcome.alias("outcome"))
+    outcome = (
+        F.when(F.col("onset").isNull(), "FAIL no onset").when(F.col("healthy").isNull(), "FAIL not healthy").when(F.col("n_applied") != 1, "FAIL not one action")
+        .when(F.col("max_desired") > 1, "FAIL desired above one").otherwise("PASS")
+    )
+    return out.select(
+        "user_id", sec("t0", "onset").alias("to_onset_s"), sec("onset", "decided").alias("to_decision_s"), sec("decided", "applied").alias("to_applied_s"), sec("applied", "serving").alias("to_serving_s"),
+        sec("serving", "healthy").alias("to_healthy_s"), sec("onset", "healthy").alias("total_s"), "n_applied", "max_desired", outcome.alias("outcome"))
 
 
 @query("age_of_information", "AG59", f"""

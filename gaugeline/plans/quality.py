@@ -13,6 +13,7 @@ from gaugeline.operators import scan as S
 from gaugeline.plans import views as V
 from gaugeline.plans.registry import query, r6
 from gaugeline.plans.views import SQL_VIEWS
+from gaugeline.session import cut_lineage
 
 SQL_VIEWS["lab"] = """SELECT c.*, CASE WHEN ok THEN rate END AS v, profile, split, grp, inject, revert, coalesce(tick > inject AND tick <= revert, false) AS y FROM cells c JOIN runs USING (run_id)"""
 
@@ -96,23 +97,44 @@ def signal_separation(spark, sf):
     )
 
 
+# Gates look at more than ticks: the collector's version (one event in 1 999 has another), links seen down
+# (k = 49), and whether the fault moved any entity's mean by more than half of its spread before.
+SQL_VIEWS["gate_ev"] = """SELECT run_id, count(DISTINCT event_id % 1999 = 7) AS n_versions, coalesce(bool_or(k = 49), false) AS any_down, coalesce(bool_or(k = 49 AND tick > inject AND tick <= revert), false) AS down_in_fault
+  FROM ev JOIN runs USING (run_id, g) GROUP BY run_id"""
+SQL_VIEWS["gate_sig"] = """SELECT run_id, max(abs(m1 - m0) / greatest(s0, 1e-6)) AS sep FROM (SELECT run_id, entity, avg(v) FILTER (WHERE tick >= 1 AND tick <= inject) AS m0, stddev_pop(v) FILTER (WHERE tick >= 1 AND tick <= inject) AS s0,
+  avg(v) FILTER (WHERE tick > inject AND tick <= revert) AS m1 FROM lab WHERE inject IS NOT NULL GROUP BY run_id, entity) GROUP BY run_id"""
+
+
 @query("run_gates", "AG21", """
-WITH t AS (SELECT run_id, tick, max(us) AS us, count(*) AS n, count(v) AS nv, any_value(grp) AS grp, any_value(inject) AS inject, any_value(revert) AS revert FROM lab GROUP BY run_id, tick),
+WITH t AS (SELECT run_id, tick, max(us) AS us, count(*) AS n, count(v) AS nv, any_value(grp) AS grp, any_value(fault) AS fault, any_value(inject) AS inject, any_value(revert) AS revert FROM lab JOIN (SELECT run_id, fault FROM runs) f USING (run_id) GROUP BY run_id, tick),
 o AS (SELECT *, row_number() OVER w - 1 AS i, lag(us) OVER w AS pus FROM t WINDOW w AS (PARTITION BY run_id ORDER BY tick)),
-g AS (SELECT run_id, count(*) AS n_snapshots, bool_and(i = tick) AS seq, abs(count(*) - 60) <= 1 AS cnt, coalesce(bool_and(us > pus), true) AS mono, min(n) = 5 AS present,
+g AS (SELECT run_id, any_value(grp) AS grp, any_value(fault) AS fault, count(*) AS n_snapshots, bool_and(i = tick) AS seq, abs(count(*) - 60) <= 1 AS cnt, coalesce(bool_and(us > pus), true) AS mono, min(n) = 5 AS present,
  coalesce(sum(n - nv) FILTER (WHERE inject IS NULL OR tick <= inject) / sum(n) FILTER (WHERE inject IS NULL OR tick <= inject) < 0.05, false) AS valid, coalesce(any_value(revert) < count(*), any_value(grp) = 'C') AS ev FROM o GROUP BY run_id)
-SELECT run_id, n_snapshots, concat_ws(',', CASE WHEN NOT seq THEN 'ticks_ok' END, CASE WHEN NOT cnt THEN 'count_ok' END, CASE WHEN NOT mono THEN 'monotonic' END, CASE WHEN NOT present THEN 'links_present' END, CASE WHEN NOT valid THEN 'rate_invalid_ok' END, CASE WHEN NOT ev THEN 'events_ok' END) AS failed_gates FROM g""")
+SELECT run_id, n_snapshots, concat_ws(',', CASE WHEN NOT seq THEN 'ticks_ok' END, CASE WHEN NOT cnt THEN 'count_ok' END, CASE WHEN NOT mono THEN 'monotonic' END, CASE WHEN NOT present THEN 'links_present' END, CASE WHEN NOT valid THEN 'rate_invalid_ok' END, CASE WHEN NOT ev THEN 'events_ok' END,
+ CASE WHEN n_versions <> 1 THEN 'version_uniform' END, CASE WHEN grp = 'F' AND NOT coalesce(sep > 0.5, false) THEN 'signal_present' END, CASE WHEN fault = 'admin_down' AND NOT down_in_fault THEN 'down_observed' END, CASE WHEN grp = 'C' AND any_down THEN 'no_unexpected_down' END) AS failed_gates
+FROM g JOIN gate_ev USING (run_id) LEFT JOIN gate_sig USING (run_id)""")
 def run_gates(spark, sf):
-    ticks = labelled(spark, sf).groupBy("run_id", "tick", "grp", "inject", "revert").agg(F.max("us").alias("us"), F.count(F.lit(1)).alias("n"), F.count("v").alias("nv"))
+    cells = cut_lineage(labelled(spark, sf).join(V.runs(spark, sf).select("run_id", "fault"), "run_id"))
+    ticks = cells.groupBy("run_id", "tick", "grp", "fault", "inject", "revert").agg(F.max("us").alias("us"), F.count(F.lit(1)).alias("n"), F.count("v").alias("nv"))
     told = S.scan(ticks, ["run_id"], ["tick"], S.tick_chunk("tick"), i=S.count(before=True), p=S.previous(F.col("us")))
     quiet = F.col("inject").isNull() | (F.col("tick") <= F.col("inject"))
-    per = told.groupBy("run_id", "grp", "revert").agg(
+    per = told.groupBy("run_id", "grp", "fault", "revert").agg(
         F.count(F.lit(1)).alias("n_snapshots"), F.bool_and(F.col("i") == F.col("tick")).alias("seq"), F.bool_and(F.coalesce(F.col("us") > F.col("p"), F.lit(True))).alias("mono"),
         (F.min("n") == len(V.ENTITIES)).alias("present"), F.try_divide(F.sum(F.when(quiet, F.col("n") - F.col("nv"))).cast("double"), F.sum(F.when(quiet, F.col("n")))).alias("bad"),
     )
+    before, during = (F.col("tick") >= 1) & (F.col("tick") <= F.col("inject")), (F.col("tick") > F.col("inject")) & (F.col("tick") <= F.col("revert"))
+    moved = cells.where("inject is not null").groupBy("run_id", "entity").agg(
+        F.avg(F.when(before, F.col("v"))).alias("m0"), F.stddev_pop(F.when(before, F.col("v"))).alias("s0"), F.avg(F.when(during, F.col("v"))).alias("m1"))
+    signal = moved.groupBy("run_id").agg(F.max(F.abs(F.col("m1") - F.col("m0")) / F.greatest("s0", F.lit(1e-6))).alias("sep"))
+    down, span = F.col("k") == 49, V.runs(spark, sf).select("run_id", "inject", "revert")
+    seen = V.ev(spark, sf).join(span, "run_id").groupBy("run_id").agg(
+        F.count_distinct(F.col("event_id") % 1999 == 7).alias("n_versions"), F.coalesce(F.bool_or(down), F.lit(False)).alias("any_down"), F.coalesce(F.bool_or(down & during), F.lit(False)).alias("down_in_fault"))
+    per = per.join(seen, "run_id").join(signal, "run_id", "left")
     gates = {
         "ticks_ok": F.col("seq"), "count_ok": F.abs(F.col("n_snapshots") - 60) <= 1, "monotonic": F.col("mono"), "links_present": F.col("present"),
         "rate_invalid_ok": F.col("bad") < 0.05, "events_ok": F.coalesce(F.col("revert") < F.col("n_snapshots"), F.col("grp") == "C"),
+        "version_uniform": F.col("n_versions") == 1, "signal_present": (F.col("grp") != "F") | F.coalesce(F.col("sep") > 0.5, F.lit(False)),
+        "down_observed": ~F.col("fault").eqNullSafe(F.lit("admin_down")) | F.col("down_in_fault"), "no_unexpected_down": (F.col("grp") != "C") | ~F.col("any_down"),
     }
     return per.select("run_id", "n_snapshots", U.failed(gates).alias("failed_gates"))
 
