@@ -25,6 +25,7 @@ without doc_id is linked with nothing, its component_id is null and it is kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from gaugeline.llm.joins import components, join_ids, runs
 from gaugeline.session import cut_lineage
 
 WIDTH = 64  # coordinates of a signature
-LIKELY = 36  # equal coordinates of a candidate pair; at a similarity of 0.8 fewer have a chance of 2 in a million
+MISS = 2e-6  # chance that a pair at the threshold has fewer equal coordinates than a candidate needs
 HUBS = 32
 PIVOTS, PIVOT_BYTES = 1024, 32 << 20  # of one component and round
 FACTORS = numbers(WIDTH, 101) | np.uint64(1)
@@ -148,12 +149,22 @@ def groups_of(links: np.ndarray) -> np.ndarray:
         root = new
 
 
-def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def least_equal(percent: int) -> int:
+    """Equal coordinates that a candidate pair needs: fewer have a chance below :data:`MISS` at the threshold."""
+    p, total = percent / 100, 0.0
+    for t in range(WIDTH):
+        total += math.comb(WIDTH, t) * p**t * (1 - p) ** (WIDTH - t)
+        if total > MISS:
+            return t
+    return WIDTH
+
+
+def likely(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
     """Whether signatures (last axis) are those of a candidate pair."""
-    return (a == b).sum(axis=-1) >= LIKELY
+    return (a == b).sum(axis=-1) >= least
 
 
-def small_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def small_nodes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Star edges between candidate pairs inside each node, all pairs compared."""
     for table in runs(batches, "key"):
         key, rep, sig = table["key"].to_numpy(), table["rep"].to_numpy(), matrix(table["sig"])
@@ -161,26 +172,26 @@ def small_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(heads, append=len(key))
         edges = []
         pairs = heads[sizes == 2]
-        pairs = pairs[likely(sig[pairs], sig[pairs + 1])]
+        pairs = pairs[likely(sig[pairs], sig[pairs + 1], least)]
         edges.append(np.column_stack([rep[pairs], rep[pairs + 1]]))
         for at, size in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             own = sig[at : at + size]
-            root = groups_of(np.stack([likely(own, row) for row in own]))
+            root = groups_of(np.stack([likely(own, row, least) for row in own]))
             member = np.flatnonzero(root != np.arange(size))
             edges.append(np.column_stack([rep[at + root[member]], rep[at + member]]))
         both = np.concatenate(edges)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def hub_chunk(hubs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+def hub_chunk(hubs: pd.DataFrame, members: pd.DataFrame, least: int) -> pd.DataFrame:
     """Labels of a node's members after comparing them with its hubs, and the edges found."""
     if not len(members):
         return pd.DataFrame({"key": [], "rep": [], "label": [], "edges": []}).astype({"key": "int64", "rep": "int64", "label": "int64"})
     hubs = hubs.sort_values("rep")
     h, m = matrix(pa.array(hubs["sig"])), matrix(pa.array(members["sig"]))
     names, reps = hubs["rep"].to_numpy(), members["rep"].to_numpy()
-    root = groups_of(np.stack([likely(h, row) for row in h]))
-    hit = np.stack([likely(m, row) for row in h], axis=1)
+    root = groups_of(np.stack([likely(h, row, least) for row in h]))
+    hit = np.stack([likely(m, row, least) for row in h], axis=1)
     by_group = np.zeros_like(hit)
     for j, r in enumerate(root):
         by_group[:, r] |= hit[:, j]
@@ -192,7 +203,7 @@ def hub_chunk(hubs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
     place = {int(n): j for j, n in enumerate(names)}
     for i, rep in enumerate(reps.tolist()):  # a hub is tied to the hubs it is linked with
         if rep in place:
-            edges[i] += names[likely(h, h[place[rep]])].tolist()
+            edges[i] += names[likely(h, h[place[rep]], least)].tolist()
     label = np.where(by_group.any(axis=1), names[np.argmax(by_group, axis=1)], members["label"].to_numpy())
     return pd.DataFrame({"key": members["key"].to_numpy(), "rep": reps, "label": label, "edges": edges})
 
@@ -206,14 +217,14 @@ def split(rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     return members.where(F.col("n") <= small), members.where(F.col("n") > small)
 
 
-def compared(hubs: DataFrame, members: DataFrame, chunk: int) -> DataFrame:
+def compared(hubs: DataFrame, members: DataFrame, least: int, chunk: int) -> DataFrame:
     """Members (key, rep, label, sig, n) against the hubs of their node, in chunks of bounded size."""
     chunks = F.ceil(F.col("n") / chunk)
     # new names for the second use of the same table
     names = [F.col(c).alias(c) for c in ("key", "rep", "sig")]
     asked = hubs.select(*names, F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("chunk"))
     dealt = members.select("key", "rep", "label", "sig", F.pmod(F.xxhash64("rep"), chunks).alias("chunk"))
-    return asked.groupBy("key", "chunk").cogroup(dealt.groupBy("key", "chunk")).applyInPandas(hub_chunk, "key bigint, rep bigint, label bigint, edges array<bigint>")
+    return asked.groupBy("key", "chunk").cogroup(dealt.groupBy("key", "chunk")).applyInPandas(lambda h, m: hub_chunk(h, m, least), "key bigint, rep bigint, label bigint, edges array<bigint>")
 
 
 def candidates(reps: DataFrame, percent: int, trees: int, small: int, chunk: int = 4096) -> DataFrame:
@@ -221,23 +232,24 @@ def candidates(reps: DataFrame, percent: int, trees: int, small: int, chunk: int
 
     After its hubs a large node has a largest part, all joined, and the rest. At most ``small`` rest
     members are compared with the whole node, which finishes it; with more it branches."""
+    least = least_equal(percent)
     few, many = split(cut_lineage(branches(reps, percent, trees)), small)
     found = []
     edges = lambda df: df.select(F.col("rep").alias("a"), F.explode("edges").alias("b")).where("a <> b")
     while True:
         near = few.select("key", "rep").join(reps, "rep").repartition("key").sortWithinPartitions("key", "rep")
-        found.append(cut_lineage(near.mapInArrow(small_nodes, "a bigint, b bigint")))
+        found.append(cut_lineage(near.mapInArrow(lambda batches: small_nodes(batches, least), "a bigint, b bigint")))
         if many.isEmpty():
             break
         large = cut_lineage(many.join(reps, "rep"))
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "rep"), "rep"))
-        told = cut_lineage(compared(large.withColumn("_rank", rank).where(F.col("_rank") <= HUBS), large, chunk))
+        told = cut_lineage(compared(large.withColumn("_rank", rank).where(F.col("_rank") <= HUBS), large, least, chunk))
         found.append(edges(told))
         parts = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max("m").alias("m"), F.max_by("label", F.struct("m", "label")).alias("main"))
         parts = cut_lineage(parts.where("m < n").select("key", "n", "main", (F.col("n") - F.col("m") <= small).alias("last")))
         left = cut_lineage(told.select("key", "rep", "label").join(parts, "key").join(reps, "rep"))
         last = left.where("last")
-        found.append(edges(cut_lineage(compared(last.where("label <> main"), last, chunk))))
+        found.append(edges(cut_lineage(compared(last.where("label <> main"), last, least, chunk))))
         few, many = split(cut_lineage(branches(left.where("not last").select("key", "rep", "label", "sig"), percent)), small)
     out = found[0]
     for more in found[1:]:
