@@ -1,13 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-WORDS = [f"w{i}" for i in range(4000)]
-
-
-def prose(seed: int, n: int) -> str:
-    """Words without order, a full stop after every ninth."""
-    return " ".join(WORDS[(seed * 7919 + i * i * 31 + i * (seed + 13)) % 4000] + ("." if i % 9 == 8 else "") for i in range(n))
-
+from llm_texts import prose
 
 LONG = "\n".join(prose(900 + i, 300) for i in range(60))
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, _row int, ids string, removed int, rep int, key string, shard int"

@@ -2,9 +2,9 @@ import re
 
 import pytest
 
-from conftest import prose  # noqa: F401
 from gaugeline.llm.near_dups import deduplicated, near_duplicates
 from gaugeline.llm.passages import without_repeats
+from llm_texts import prose
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
