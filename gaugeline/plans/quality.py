@@ -53,6 +53,17 @@ def missing_positions(spark, sf):
     )
 
 
+@query("warmup_share", "AG16", f"""
+SELECT profile, count(*) FILTER (WHERE v IS NULL) AS n_missing, count(*) FILTER (WHERE v IS NULL AND tick < 1) AS n_in_warmup, {r6('count(*) FILTER (WHERE v IS NULL AND tick < 1) / nullif(count(*) FILTER (WHERE v IS NULL), 0)')} AS share,
+ count(*) FILTER (WHERE v IS NULL AND y AND tick >= 1) AS n_in_fault FROM lab GROUP BY profile""")
+def warmup_share(spark, sf):
+    """How much of the missingness the warm-up explains, and what is left inside faults."""
+    missing, early = F.col("v").isNull(), F.col("tick") < 1
+    out = labelled(spark, sf).groupBy("profile").agg(
+        F.count_if(missing).alias("n_missing"), F.count_if(missing & early).alias("n_in_warmup"), F.count_if(missing & F.col("y") & ~early).alias("n_in_fault"))
+    return out.withColumn("share", F.try_divide(F.col("n_in_warmup").cast("double"), F.col("n_missing").cast("double")))
+
+
 @query("missing_mechanism", "AG16 FN2", f"""
 WITH s AS (SELECT p, b, y, v, tick FROM lab CROSS JOIN (VALUES ('raw', 0), ('post_warmup', 1)) t(p, b) WHERE tick >= b),
 c AS (SELECT p AS part, count(*) FILTER (WHERE y AND v IS NULL) AS a, count(*) FILTER (WHERE y AND v IS NOT NULL) AS b, count(*) FILTER (WHERE NOT y AND v IS NULL) AS c, count(*) FILTER (WHERE NOT y AND v IS NOT NULL) AS d FROM s GROUP BY p),
@@ -240,6 +251,23 @@ def residual_alarms(spark, sf):
     return out.groupBy("run_id").agg(F.count_if(K.alarm(F.col("r_max"), F.col("lim"))).alias("n_alarm"), F.count_if("judgeable").alias("n_judgeable"))
 
 
+@query("residual_trace", "AG68", f"""
+WITH t AS (SELECT max(r_max) AS lim FROM worst_r JOIN runs USING (run_id) WHERE split = 'train' AND tick >= 1),
+x AS (SELECT w.run_id, w.tick, r_max, argmax_switch, r_max > lim AS alarm, s.k FROM worst_r w CROSS JOIN t JOIN scores s ON s.run_id = w.run_id AND s.tick = w.tick JOIN runs r ON r.run_id = w.run_id WHERE r.split = 'test' AND w.judgeable AND s.judgeable AND w.tick >= 1)
+SELECT run_id, tick, {r6('r_max')} AS r_max, argmax_switch, alarm, k, min(tick) FILTER (WHERE alarm) OVER (PARTITION BY run_id) AS first_alarm FROM x""")
+def residual_trace(spark, sf):
+    """Every scored tick of the test runs with its residual, and the run's first residual alarm."""
+    from gaugeline.plans import envelope as E
+
+    w, split = cut_lineage(worst_residual(spark, sf)), V.runs(spark, sf).select("run_id", "split")
+    lim = w.where("tick >= 1").join(split.where("split = 'train'"), "run_id", "left_semi").agg(F.max("r_max").alias("lim"))
+    scored = E.scores(spark, sf).where("judgeable").select("run_id", "tick", "k")
+    rows = w.where("judgeable and tick >= 1").join(split.where("split = 'test'"), "run_id", "left_semi").join(scored, ["run_id", "tick"]).join(F.broadcast(lim))  # one row
+    rows = cut_lineage(rows.select("run_id", "tick", "r_max", "argmax_switch", K.alarm(F.col("r_max"), F.col("lim")).alias("alarm"), "k"))
+    first = rows.where("alarm").groupBy("run_id").agg(F.min("tick").alias("first_alarm"))
+    return rows.join(first, "run_id", "left")
+
+
 SQL_VIEWS["resid_runs"] = """SELECT w.run_id, count(*) FILTER (WHERE y) AS fault_ticks, count(*) FILTER (WHERE y AND a) AS fault_alarms, count(*) FILTER (WHERE NOT y) AS background_ticks, count(*) FILTER (WHERE NOT y AND a) AS background_alarms,
   count(*) FILTER (WHERE a AND argmax_switch = 'S0') AS argmax_correct, count(*) FILTER (WHERE a) AS alarms, count(*) FILTER (WHERE y AND a AND NOT env) AS incremental, max(q.rho) AS rho
   FROM (SELECT w.*, e.y, coalesce(r_max > 0.5, false) AS a, e.alarm AS env FROM worst_r w JOIN evalframe e ON e.run_id = w.run_id AND e.tick = w.tick WHERE e.grp = 'F' AND e.in_eval) w
