@@ -119,6 +119,28 @@ def detour_paths(spark, sf):
     return G.detours(edges, edges).withColumn("path", F.array_join("path", ">"))
 
 
+@query("radius_with_detour", "GR4", f"""
+WITH e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM hop WHERE b LIKE 's%'), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+w AS (SELECT e.a, e.b, e.a AS node, [e.a] AS path FROM e
+ UNION ALL SELECT w.a, w.b, u.b AS node, list_append(w.path, u.b) AS path FROM w JOIN u ON u.a = w.node WHERE NOT list_contains(w.path, u.b) AND w.node <> w.b AND NOT (u.a = w.a AND u.b = w.b)),
+d AS (SELECT a || '-' || b AS link, path FROM w WHERE node = b QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY len(path), path) = 1),
+i AS (SELECT link, path, unnest(range(1, len(path))) AS i FROM d), k AS (SELECT link, unnest(path) AS entity FROM d UNION SELECT link, least(path[i], path[i + 1]) || '-' || greatest(path[i], path[i + 1]) FROM i),
+t AS (SELECT DISTINCT src, dst, link FROM hopl), z AS (SELECT DISTINCT t.link, h.link AS entity FROM t JOIN hopl h USING (src, dst) UNION SELECT DISTINCT t.link, unnest([h.a, h.b]) FROM t JOIN hopl h USING (src, dst)),
+x AS (SELECT coalesce(z.link, k.link) AS link, z.link IS NOT NULL AS r, k.link IS NOT NULL AS c FROM z FULL JOIN k ON z.link = k.link AND z.entity = k.entity)
+SELECT link, count(*) FILTER (WHERE r) AS n_radius, count(*) FILTER (WHERE c) AS n_corridor, count(*) AS n_all FROM x WHERE link NOT LIKE 'h%' GROUP BY link""")
+def radius_with_detour(spark, sf):
+    """The radius of each trunk link: all on a path that shares it, and the corridor of its detour."""
+    _, hops = routed(spark, sf)
+    hops = cut_lineage(hops)
+    edges = hops.where(F.col("b").startswith("s")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    trunk = edges.select(link_key(F.col("a"), F.col("b")).alias("link"))
+    path = F.col("path")
+    steps = F.zip_with(F.slice(path, F.lit(1), F.size(path) - 1), F.slice(path, F.lit(2), F.size(path) - 1), lambda x, y: link_key(x, y))
+    corridor = G.detours(edges, edges).select(link_key(F.col("a"), F.col("b")).alias("link"), F.explode(F.concat(path, steps)).alias("entity")).withColumn("c", F.lit(True))
+    both = G.zone(hops, trunk).select("link", "entity", F.lit(True).alias("r")).join(corridor, ["link", "entity"], "full")
+    return both.groupBy("link").agg(F.count("r").alias("n_radius"), F.count("c").alias("n_corridor"), F.count(F.lit(1)).alias("n_all"))
+
+
 @query("routing_loops", "GR6", """
 WITH bad AS (SELECT node, dst, CASE WHEN CAST(substr(dst, 2) AS BIGINT) % 10 = 7 AND next LIKE 's%' AND node IN (SELECT 's' || head FROM sw) THEN CASE WHEN node = 's0' THEN 's1' ELSE 's0' END ELSE next END AS next FROM nh),
 x AS (SELECT node AS src, dst, node AS pos, 0 AS i FROM bad UNION ALL SELECT x.src, x.dst, b.next AS pos, i + 1 AS i FROM x JOIN bad b ON b.node = x.pos AND b.dst = x.dst WHERE x.pos <> x.dst AND i <= (SELECT count(*) FROM sw))
