@@ -211,7 +211,12 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their columns."""
-    statistics = cut_lineage(features(docs.select("doc_id", "text")))
-    made = train(statistics, labels)
-    whole = features(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"))
-    return scored(whole, made).where(F.col("score") >= threshold).select("_row.*")
+    made = train(cut_lineage(features(docs.select("doc_id", "text"))), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                kept = made.score(block_statistics(block)) >= threshold
+                yield batch.slice(block.first, block.last - block.first).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
