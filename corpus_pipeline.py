@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.bpe import decode, encode
+from gaugeline.llm.bpe import round_trip
 from gaugeline.llm.mixing import mix
 from gaugeline.llm.near_dups import deduplicated
 from gaugeline.llm.passages import without_repeats
@@ -42,10 +42,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and whether these decode to the text."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = decode(encode(docs, path), path)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return decoded.withColumn("n_tokens", F.size("ids").cast("bigint")).withColumn("round_trip", same).drop("decoded")
+    encoded = round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded.withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
 STAGES = [

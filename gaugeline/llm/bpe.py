@@ -265,3 +265,22 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                 yield replaced(part, "decoded", pa.array(bpe.decode(flat, bounds), pa.string()))
 
     return encoded.mapInArrow(run, with_field(encoded, "decoded", T.StringType()))
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and ``round_trip``, whether decoding them gives the text back; both in one pass,
+    so neither ids nor decoded texts travel once more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            for block in blocks(batch.column(text)):
+                part = batch.slice(block.first, block.last - block.first)
+                ids, bounds = bpe.encode(block)
+                decoded = bpe.decode(ids.astype(np.int64), bounds)
+                same = [d == (t or "") for d, t in zip(decoded, part.column(text).to_pylist(), strict=True)]
+                part = replaced(part, "ids", pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
+                yield replaced(part, "round_trip", pa.array(same, pa.bool_()))
+
+    schema = [f for f in docs.schema.fields if f.name not in ("ids", "round_trip")]
+    return docs.mapInArrow(run, T.StructType([*schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]))
