@@ -113,3 +113,44 @@ def test_a_passage_inside_lines_goes_and_short_sentences_stay(spark):
     for i in range(1, 20):
         assert [s.words for s in got[i].removed] == [63] and passage not in got[i].text and got[i].text.endswith("five.")
         assert rows[i][1][got[i].removed[0].start : got[i].removed[0].end].strip() == passage
+
+
+def brute_runs(rows, n):
+    """Numbers of the words of each row in a run of ``n`` words that a document before it has, or the row itself before without overlap."""
+    first = {}
+    for i, text in rows:
+        for k in range(len(w := words_of(text or "")) - n + 1 if i is not None else 0):
+            first[w[k : k + n]] = min(first.get(w[k : k + n], i), i)
+    out = []
+    for i, text in rows:
+        own, gone = {}, set()
+        for k in range(len(w := words_of(text or "")) - n + 1 if i is not None else 0):
+            run = w[k : k + n]
+            if first[run] < i or own.setdefault(run, k) + n <= k:
+                gone |= set(range(k, k + n))
+        out.append(gone)
+    return out
+
+
+def test_runs_go_wherever_sentences_and_lines_end(spark, odd):
+    plain = lambda seed, n: prose(seed, n).replace(".", "")
+    verse, passage = plain(31, 90).replace(" ", "\n"), plain(32, 70)
+    texts = [
+        plain(41, 30) + " " + passage + " " + plain(42, 30), plain(43, 11) + " " + passage.upper() + " " + plain(44, 11) + ".", verse, "head\n" + verse + "\ntail", plain(45, 49), plain(45, 49) + " more",
+        "é " + " ".join(["ha"] * 180), plain(46, 60) + " x " + plain(46, 60) + " y", plain(47, 80) + "\n" + plain(48, 80), plain(49, 5) + " " + plain(47, 90).replace(" ", "\t") + plain(48, 70),
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(9, plain(50, 70)), (9, plain(50, 70)), (None, passage), (11, passage[:-1]), (12, None), (13, "")]
+    rows += [(r.doc_id + 20 if r.doc_id is not None else None, r.text) for r in odd.collect()]
+    got = without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), min_words=10**6, run_words=50).collect()
+    spans = {(r.doc_id, r.text): [tuple(s) for s in r.removed] for r in got}
+    assert len(got) == len(rows)
+    for (i, text), gone in zip(rows, brute_runs(rows, 50), strict=True):
+        places = [m.span() for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text or "")]
+        heads = [k for k in sorted(gone) if k - 1 not in gone]
+        want = [(k, next(m for m in range(k, len(places) + 1) if m not in gone)) for k in heads]
+        want = [(places[a][0], places[b - 1][1], b - a) for a, b in want]
+        left = text
+        for a, b, _ in reversed(want):
+            left = left[:a] + left[b:]
+        assert spans[i, left] == want
+    assert sum(map(bool, spans.values())) >= 6
