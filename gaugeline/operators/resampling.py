@@ -124,3 +124,26 @@ def dose_bracket(points: DataFrame, keys: list[str], x: str, hit: str) -> DataFr
     out = per.join(wrong, keys, "left").withColumn("kind", kind)
     middle = (stats.log_separation(F.col("top_miss")) + stats.log_separation(F.col("low_hit"))) / 2
     return out.select(*keys, "n_hits", "n_misses", "kind", F.when(F.col("kind") == "bracket", F.pow(F.lit(10.0), middle)).alias("ed50"), F.when(F.col("kind") == "overlap", F.col("n_inversions")).alias("n_inversions"))
+
+
+def bootstrap_ed50(points: DataFrame, x: str, hit: str, pos: str, replicates: int = 2000, seed: int = 20260918, least: float = 0.5) -> DataFrame:
+    """One row: median effective dose of ``points`` (one row per cluster, numbered from 0 by ``pos``) with
+    95 % percentile bounds over ``replicates`` fits. Where the fit of the points themselves failed, or no
+    more than ``least`` of the replicates converged, the dose is the bracket's and there are no bounds.
+    Without points all columns are null."""
+    rows = cut_lineage(points.select(F.col(pos).alias("pos"), F.col(x).alias("_dose"), stats.log_separation(F.col(x)).alias("_x"), F.col(hit).alias("_hit"), F.lit(0).alias("_all")))
+    wanted = rows.select("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))).alias("replicate"))
+    size = rows.agg(F.count(F.lit(1)).alias("_n"))
+    drawn = wanted.join(F.broadcast(size)).select("replicate", (draw(seed, F.col("replicate"), F.col("pos")) % F.col("_n")).alias("pos"))
+    counted = drawn.groupBy("replicate", "pos").agg(F.count(F.lit(1)).alias("_times"))
+    sample = cut_lineage(counted.join(rows, "pos").select("replicate", "_x", F.col("_hit").cast("int").alias("_y"), "_times"))
+    fits = logistic_fits(sample, ["replicate"], "_x", "_y", "_times").agg(
+        F.count(F.lit(1)).alias("_b"), F.count_if("converged").alias("_c"), F.percentile("ed50", 0.025).alias("_low"), F.percentile("ed50", 0.975).alias("_high"))
+    fit = logistic_fits(rows.withColumn("_y", F.col("_hit").cast("int")), ["_all"], "_x", "_y").agg(F.first("converged").alias("_ok"), F.first("ed50").alias("_fit"))
+    bracket = dose_bracket(rows, ["_all"], "_dose", "_hit").agg(F.first("ed50").alias("_middle"))
+    some = F.col("_b") > 0
+    usable = some & F.col("_ok") & (F.col("_c") / F.col("_b") > least)
+    return fits.join(F.broadcast(fit)).join(F.broadcast(bracket)).select(
+        F.when(some, F.col("_b")).alias("n_boot"), F.when(some, F.col("_c")).alias("n_converged"),
+        F.when(usable, "logistic").when(some, "interpolation_fallback").alias("method"), F.when(usable, F.col("_fit")).otherwise(F.col("_middle")).alias("ed50"),
+        F.when(usable, F.col("_low")).alias("ed50_low"), F.when(usable, F.col("_high")).alias("ed50_high"))

@@ -99,19 +99,27 @@ def logistic_fits(spark, sf):
     return R.logistic_fits(cut_lineage(doses(spark, sf)), ["event_type"], "x", "hit")
 
 
-@query("bootstrap_dose", "ML10")
+SQL_VIEWS["devdose"] = "SELECT *, log10(m) AS x, row_number() OVER (ORDER BY user_id) - 1 AS pos, count(*) OVER () AS n FROM (SELECT user_id, avg(value) AS m, max(value) + max(k) > 330 AS hit FROM ev GROUP BY user_id)"
+
+
+@query("bootstrap_dose", "ML10", f"""
+WITH RECURSIVE w AS (SELECT b, pos, count(*) AS w FROM (SELECT b, {DRAW.format(seed=20260918, parts="b || ':' || pos")} % n AS pos FROM devdose, (SELECT unnest(range(0, 2000)) AS b)) GROUP BY ALL UNION ALL SELECT -1, pos, 1 FROM devdose),
+d AS MATERIALIZED (SELECT b, x, CASE WHEN hit THEN 1.0 ELSE 0.0 END AS y, w FROM w JOIN devdose USING (pos)),
+f AS (SELECT b, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0 AS i, CASE WHEN min(y) = max(y) THEN 'one_class' ELSE 'live' END AS s, min(x) AS x0, max(x) AS x1 FROM d GROUP BY b
+ UNION ALL SELECT b, b0 + d0, b1 + d1, i + 1, CASE WHEN v < 1e-10 THEN 'separation' WHEN d0 IS NULL THEN 'singular' WHEN greatest(abs(b0 + d0), abs(b1 + d1)) > 1e3 THEN 'diverged' WHEN greatest(abs(d0), abs(d1)) >= 1e-10 THEN 'live'
+   WHEN b1 + d1 <= 0 THEN 'slope' WHEN -(b0 + d0) / (b1 + d1) BETWEEN x0 - 1 AND x1 + 1 THEN 'ok' ELSE 'extrapolated' END, x0, x1
+  FROM (SELECT *, (c * g0 - h * g1) / nullif(a * c - h * h, 0) AS d0, (a * g1 - h * g0) / nullif(a * c - h * h, 0) AS d1 FROM (
+   SELECT f.b, f.b0, f.b1, f.i, f.x0, f.x1, min(p * (1 - p)) AS v, sum(w * p * (1 - p)) AS a, sum(w * p * (1 - p) * x) AS h, sum(w * p * (1 - p) * x * x) AS c, sum(w * (y - p)) AS g0, sum(w * (y - p) * x) AS g1
+   FROM f JOIN d USING (b), LATERAL (SELECT 1 / (1 + exp(-greatest(least(f.b0 + f.b1 * x, 35.0), -35.0))) AS p) WHERE f.s = 'live' AND f.i < 100 GROUP BY f.b, f.b0, f.b1, f.i, f.x0, f.x1))),
+e AS (SELECT b, pow(10.0, -b0 / b1) AS ed50 FROM f WHERE s = 'ok'),
+r AS (SELECT count(*) FILTER (WHERE b >= 0) AS n_converged, max(ed50) FILTER (WHERE b < 0) AS fit, quantile_cont(ed50, 0.025) FILTER (WHERE b >= 0) AS low, quantile_cont(ed50, 0.975) FILTER (WHERE b >= 0) AS high FROM e),
+k AS (SELECT max(m) FILTER (WHERE NOT hit) AS miss, min(m) FILTER (WHERE hit) AS hit FROM devdose), u AS (SELECT *, fit IS NOT NULL AND n_converged > 1000 AS good FROM r)
+SELECT 2000 AS n_boot, n_converged, CASE WHEN good THEN 'logistic' ELSE 'interpolation_fallback' END AS method, {r6("CASE WHEN good THEN fit WHEN miss < k.hit THEN pow(10.0, (log10(miss) + log10(k.hit)) / 2) END")} AS ed50,
+  {r6('CASE WHEN good THEN low END')} AS ed50_low, {r6('CASE WHEN good THEN high END')} AS ed50_high FROM u, k""")
 def bootstrap_dose(spark, sf):
     """Bootstrap over devices: one dose point per device, drawn by hash, one fit per replicate."""
     per = V.ev(spark, sf).groupBy("user_id").agg(F.avg("value").alias("m"), (F.max("value") + F.max("k") > 330).alias("hit"))
-    points = cut_lineage(R.numbered(per.withColumn("s", F.lit(0)), ["s"], "user_id"))
-    size = points.count()
-    reps = spark.range(20).withColumnRenamed("id", "replicate")
-    draws = points.select("s", "pos").join(F.broadcast(reps), how="cross").select(
-        "s", "replicate", (R.draw(5, F.col("replicate"), F.col("pos")) % F.lit(max(size, 1))).alias("pos")
-    ).groupBy("s", "replicate", "pos").agg(F.count(F.lit(1)).alias("w"))
-    rows = cut_lineage(draws.join(points, ["s", "pos"]).select("replicate", F.log10("m").alias("x"), "hit", "w"))
-    fits = cut_lineage(R.logistic_fits(rows, ["replicate"], "x", "hit", "w"))
-    return fits.agg(F.count(F.lit(1)).alias("n_boot"), F.count_if("converged").alias("n_converged"), F.percentile("ed50", 0.025).alias("ed50_low"), F.percentile("ed50", 0.975).alias("ed50_high"))
+    return R.bootstrap_ed50(R.numbered(per.withColumn("s", F.lit(0)), ["s"], "user_id"), "m", "hit", "pos")
 
 
 SQL_VIEWS["tscore"] = "SELECT run_id, profile, split, tick, sum(v) AS score FROM lab WHERE tick >= 1 GROUP BY ALL HAVING count(v) = 5"

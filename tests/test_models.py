@@ -38,6 +38,23 @@ def test_logistic_fails_closed(spark):
     assert not got["apart"].converged and got["one"].why == "one_class" and got["falls"].why == "slope"
 
 
+def test_dose_bootstrap_falls_back_to_the_bracket(spark):
+    import duckdb
+
+    from gaugeline.plans.registry import QUERIES
+    from tools_check import TABLES
+
+    one = lambda rows, **k: resampling.bootstrap_ed50(spark.createDataFrame(rows, "pos long, v double, hit boolean"), "v", "hit", "pos", **k).first()
+    apart = one([(0, 4.0, False), (1, 9.0, False), (2, 16.0, True), (3, 50.0, True)], replicates=40)
+    assert (apart.method, apart.n_boot, apart.ed50_low, apart.ed50_high) == ("interpolation_fallback", 40, None, None) and abs(apart.ed50 - 12) < 1e-9
+    assert set(one([]).asDict().values()) == {None}
+    base, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
+    got = tuple(QUERIES["bootstrap_dose"].run(spark, base).first())
+    assert got[0] == 2000 and got == con.execute(QUERIES["bootstrap_dose"].sql).fetchone()
+
+
 def test_dose_bracket_kinds(spark):
     rows = [("b", 1.0, False), ("b", 100.0, True), ("o", 5.0, True), ("o", 5.0, False), ("o", 9.0, False), ("m", 1.0, False)]
     got = {r.k: r for r in resampling.dose_bracket(spark.createDataFrame(rows, "k string, v double, hit boolean"), ["k"], "v", "hit").collect()}
