@@ -25,7 +25,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14)) and "pipeline" in E.queries()
 
 
 def test_stages_against_brute_force(spark):
