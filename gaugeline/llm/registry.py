@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("rules", "mixing", "topk", "warc", "bpe", "packing", "quality", "near_dups", "passages", "licences", "periods", "ranking")
+MODULES = ("rules", "mixing", "topk", "warc", "bpe", "packing", "quality", "near_dups", "passages", "licences", "periods", "ranking", "jaccard")
 
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
