@@ -4,24 +4,24 @@ A plain window over one key puts all rows of that key into one task. Here every
 into chunks along its order (tick ranges, time buckets, value buckets). Each chunk gets its
 own window, each chunk is also reduced to one summary row, and a window over the summary rows
 gives the value carried into the chunk. The large side is shuffled once on (keys, chunk), and
-no task holds more than one chunk of detail rows.
+no task holds more than one chunk of detail rows. Keys and chunk are one struct column: it is never
+NULL, NULL keys are equal inside it, and window and carry join need the same plain hash of it.
 
 Both passes start from the same input, so a chain of k scans would read its source 2^k times.
 With ``settle=True`` the small carry table is written to the shared folder first; a chain then
 reads its source k + 1 times, and the written table has a known size for the join.
 
-``chunk`` may also name a column of the input. It is then kept, and a following scan on the same
-keys and column finds its rows already in place and does not shuffle them again.
+``chunk`` may also name a column of the input. It comes back as that struct, and a following scan
+on the same keys and column finds its rows already in place and does not shuffle them again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeline.session import cut_lineage
 
@@ -70,10 +70,11 @@ def following(value: Column) -> Running:
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join in which a NULL key meets a NULL key; the key columns of ``left`` remain."""
-    renamed = right.select(*[F.col(c).alias(f"_of_{c}" if c in keys else c) for c in right.columns])
-    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
-    return left.join(renamed, match, how).drop(*[f"_of_{k}" for k in keys])
+    """Join in which a NULL key meets a NULL key; the key columns of ``left`` remain. Both sides are
+    dealt by one struct of the keys."""
+    key = F.struct(*[F.col(k).alias(k) for k in keys])
+    renamed = right.select(key.alias("_key"), *[c for c in right.columns if c not in keys])
+    return left.withColumn("_key", key).join(renamed, "_key", how).drop("_key")
 
 
 def tick_chunk(tick: str | Column, width: int = TICKS_PER_CHUNK) -> Column:
@@ -97,8 +98,18 @@ def range_chunk(at: str | Column, width: float) -> Column:
     return F.lit(0).cast("bigint") if width == float("inf") else F.floor(column / F.lit(width)).cast("bigint")
 
 
-def _place(df: DataFrame, chunk: Column | str) -> tuple[DataFrame, str]:
-    return (df, chunk) if isinstance(chunk, str) else (df.withColumn(CHUNK, chunk), CHUNK)
+def _place(df: DataFrame, keys: list[str], chunk: Column | str) -> tuple[DataFrame, str]:
+    """``df`` with keys and chunk in one struct, and the name of that column."""
+    name, number = (chunk, F.col(chunk)) if isinstance(chunk, str) else (CHUNK, chunk)
+    if isinstance(chunk, str) and isinstance(df.schema[chunk].dataType, T.StructType):
+        if df.schema[chunk].dataType.names == [*keys, CHUNK]:
+            return df, name
+        number = number[CHUNK]
+    return df.withColumn(name, F.struct(*[F.col(k).alias(k) for k in keys], number.alias(CHUNK))), name
+
+
+def _across(keys: list[str], at: str):
+    return Window.partitionBy(*[F.col(at)[k] for k in keys]).orderBy(F.col(at)[CHUNK])
 
 
 def _frame(window, before: bool):
@@ -110,9 +121,9 @@ def scan(
 ) -> DataFrame:
     """``df`` with one more column per spec. ``order`` must be a total order inside a key and
     ``chunk`` must not fall along it."""
-    df, at = _place(df, chunk)
-    inside = Window.partitionBy(*keys, at).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(at)
+    df, at = _place(df, keys, chunk)
+    inside = Window.partitionBy(at).orderBy(*order)
+    across = _across(keys, at)
     position = F.struct(*order)
 
     local, reduced, carried, result = [], [], [], {}
@@ -151,12 +162,12 @@ def scan(
         else:
             raise ValueError(f"unknown running value: {spec.how}")
 
-    summary = df.groupBy(*keys, at).agg(*reduced)
-    carry = summary.select(*keys, at, *carried)
+    summary = df.groupBy(at).agg(*reduced)
+    carry = summary.select(at, *carried)
     if settle:
         carry = cut_lineage(carry)
     detail = df.select("*", *local)
-    joined = join_null_safe(detail, carry, [*keys, at])
+    joined = detail.join(carry, at, "left")
     kept = [c for c in df.columns if c != CHUNK and c not in specs]
     return joined.select(*kept, *[value.alias(name) for name, value in result.items()])
 
@@ -168,19 +179,19 @@ def streaks(
     """Length of the current run of consecutive rows on which each condition holds (0 where it
     does not), and on request the 0-based row index inside the key. A NULL condition breaks."""
     flags = {f"_b_{name}": F.coalesce(cond, F.lit(False)) for name, cond in conditions.items()}
-    df, at = _place(df.withColumns(flags) if flags else df, chunk)
-    inside = Window.partitionBy(*keys, at).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(at)
+    df, at = _place(df.withColumns(flags) if flags else df, keys, chunk)
+    inside = Window.partitionBy(at).orderBy(*order)
+    across = _across(keys, at)
     past = across.rowsBetween(Window.unboundedPreceding, -1)
 
     placed = df.withColumn("_pos", F.row_number().over(inside).cast("bigint"))
     breaks = {name: F.when(~F.col(f"_b_{name}"), F.col("_pos")) for name in conditions}
-    summary = placed.groupBy(*keys, at).agg(
+    summary = placed.groupBy(at).agg(
         F.count(F.lit(1)).alias("_n"), *[F.max(b).alias(f"_x_{n}") for n, b in breaks.items()]
     )
     summary = summary.withColumn("_before", F.coalesce(F.sum("_n").over(past), F.lit(0)))
     carry = summary.select(
-        *keys, at, "_before",
+        at, "_before",
         *[
             (F.col("_before") - F.coalesce(F.max(F.col("_before") + F.col(f"_x_{n}")).over(past), F.lit(0)))
             .alias(f"_c_{n}")
@@ -191,7 +202,7 @@ def streaks(
         carry = cut_lineage(carry)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     detail = placed.select("*", *[F.max(b).over(running).alias(f"_r_{n}") for n, b in breaks.items()])
-    joined = join_null_safe(detail, carry, [*keys, at])
+    joined = detail.join(carry, at, "left")
     out = {
         n: F.when(F.col(f"_r_{n}").isNull(), F.col("_pos") + F.col(f"_c_{n}"))
         .otherwise(F.col("_pos") - F.col(f"_r_{n}"))

@@ -73,3 +73,27 @@ def test_even_width_follows_the_crowded_key(spark):
     assert 95 <= width <= 105
     biggest = df.groupBy("k", S.range_chunk("t", width).alias("c")).count().agg(F.max("count")).first()[0]
     assert biggest <= 105
+
+
+def test_chained_scans_shuffle_their_rows_once(spark, rows):
+    """Two scans on one chunk column: one exchange of the rows and one for each carry, NULL keys or not."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        one = S.scan(rows.withColumn("_k", S.tick_chunk("tick", 7)), ["key"], ["tick"], "_k", True, a=S.total(F.col("v")))
+        two = S.scan(one, ["key"], ["tick"], "_k", True, b=S.highest(F.col("a")))
+        plan = two._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("SortMergeJoin") == 2
+
+
+def test_null_keys_are_one_key(spark):
+    df = spark.createDataFrame([(None, t) for t in range(9)] + [("a", t) for t in range(5)], "key string, tick long")
+    got = S.scan(df, ["key"], ["tick"], S.tick_chunk("tick", 2), n=S.count())
+    assert sorted((r.key or "", r.tick, r.n) for r in got.collect()) == [("", t, t + 1) for t in range(9)] + [("a", t, t + 1) for t in range(5)]
+    other = S.join_null_safe(df, df.withColumnRenamed("tick", "t").groupBy("key").agg(F.max("t").alias("m")), ["key"])
+    assert {(r.key, r.m) for r in other.collect()} == {(None, 8), ("a", 4)}
