@@ -242,8 +242,8 @@ SQL_VIEWS["acts"] = """SELECT run_id, event_id AS id, tick::DOUBLE AS s, CASE k
 SQL_VIEWS["viol"] = "SELECT run_id, g, tick, entity FROM cells JOIN bounds USING (entity) WHERE ok AND (rate < lo OR rate > hi)"
 SQL_VIEWS["covered"] = """SELECT v.run_id, v.g, v.tick, count(*) AS n_violating, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM acts a WHERE a.run_id = v.run_id AND a.entity = v.entity AND a.s <= v.tick AND v.tick < a.e)) AS n_covered
   FROM viol v GROUP BY ALL"""
-SQL_VIEWS["readings_r"] = """SELECT r.*, coalesce((suspect OR act) AND n_covered = n_violating, false) AS held FROM readings_n r LEFT JOIN covered c ON c.g = r.user_id AND c.tick = r.us"""
-SQL_VIEWS["trace_r"] = _machine("readings_r", "trace_r", "(r.status = 'scored' AND NOT r.held)")
+SQL_VIEWS["readings_z"] = """SELECT r.*, coalesce((suspect OR act) AND n_covered = n_violating, false) AS held FROM readings_n r LEFT JOIN covered c ON c.g = r.user_id AND c.tick = r.us"""
+SQL_VIEWS["trace_z"] = _machine("readings_z", "trace_z", "(r.status = 'scored' AND NOT r.held)")
 
 
 def radius_cover(spark, sf):
@@ -261,7 +261,7 @@ def radius_suppression(spark, sf):
     return radius_cover(spark, sf)
 
 
-@query("radius_suppressed_states", "ST4 ST14", """SELECT 'R' || lpad(CAST(t.user_id AS VARCHAR), 6, '0') AS run_id, t.us AS tick, t.state, t.prev, r.held FROM trace_r t JOIN readings_r r USING (user_id, tick)""")
+@query("radius_suppressed_states", "ST4 ST14", """SELECT 'R' || lpad(CAST(t.user_id AS VARCHAR), 6, '0') AS run_id, t.us AS tick, t.state, t.prev, r.held FROM trace_z t JOIN readings_z r USING (user_id, tick)""")
 def radius_suppressed_states(spark, sf):
     told = run_readings(spark, sf).join(radius_cover(spark, sf).select("run_id", "tick", "suppressed"), ["run_id", "tick"], "left")
     held = (F.col("suspect") | F.col("act")) & F.coalesce("suppressed", F.lit(False))

@@ -8,9 +8,11 @@ from gaugeline.plans import alarm as PA
 from gaugeline.plans import ingest as PI
 from gaugeline.plans import views as V
 from gaugeline.plans.registry import query, r6
+from gaugeline.plans.views import SQL_VIEWS
 from gaugeline.session import fresh_path
 from gaugeline.streaming import feeds as D
 from gaugeline.streaming import machines as G
+from gaugeline.streaming import timers as T
 
 
 def event_feed(spark, sf):
@@ -35,20 +37,31 @@ def staged(spark, rows, label, cuts):
     return D.file_feed(spark, path, rows.schema, files_per_trigger=8)
 
 
+DAY_US = 86400 * 10**6
 CUTS = (V.T0_US + 10 * 2 * V.TICK_US, V.T0_US + 20 * 2 * V.TICK_US)
 
 
-def folded(spark, stream, keys, step, order, schema, label):
+def drained(spark, stream, schema, label, checkpoint=None):
+    """All rows of a stateful stream, drained to a table."""
     out, provider = fresh_path(spark, label), "spark.sql.streaming.stateStore.providerClass"
-    names, before = [c.split()[0] for c in schema.split(", ")], spark.conf.get(provider, None)
+    before = spark.conf.get(provider, None)
     spark.conf.set(provider, D.ROCKSDB)  # a session setting only; the caller's is put back
     try:
-        D.run_available(G.fold(stream, keys, step, order, schema, names), D.append_batches(out), label=label)
+        D.run_available(stream, D.append_batches(out), label=label, checkpoint=checkpoint)
     finally:
         spark.conf.set(provider, before) if before else spark.conf.unset(provider)
     return spark.read.schema(schema).parquet(f"{out}/epoch=*")
 
 
+def folded(spark, stream, keys, step, order, schema, label):
+    return drained(spark, G.fold(stream, keys, step, order, schema, [c.split()[0] for c in schema.split(", ")]), schema, label)
+
+
+def watched(rows, delay):
+    """Rows with ``us`` as event time, behind a watermark of ``delay``."""
+    return rows.withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
+
+
 @query("stream_alarm_states", "ST3 ST1 SRC10", "SELECT user_id, tick, state, prev, false AS rejected FROM trace")
 def stream_alarm_states(spark, sf):
     rows = V.readings(spark, sf).select("user_id", "tick", "us", "status", "suspect", "act")
@@ -64,14 +77,24 @@ def stream_range_guard(spark, sf):
     return folded(spark, staged(spark, rows, "loads", CUTS), ["run_id"], G.guard_step(50.0), "tick", schema, "guard").select("run_id", "tick", "guard")
 
 
-@query("stream_monotone_reads", "ST7", "SELECT user_id, tick, accepted, conf AS confirmed_at FROM mono")
+IDLE_US = 4 * DAY_US
+SQL_VIEWS["idle_msgs"] = """SELECT user_id, tick, us, 'b' || CAST(tick // 6 - CASE WHEN k % 10 = 0 AND tick >= 6 THEN 1 ELSE 0 END AS VARCHAR) AS boot, tick * 2 + k % 5 AS seq,
+  coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY tick) > 345600000000, true) AS anew FROM series"""
+SQL_VIEWS["idle_reads"] = """SELECT user_id, tick, us, boot, seq, true AS accepted, CAST(NULL AS BIGINT) AS confirmed, CAST([] AS VARCHAR[]) AS retired FROM idle_msgs WHERE tick = 0
+  UNION ALL SELECT user_id, tick, us, CASE WHEN taken THEN boot ELSE pb END AS boot, CASE WHEN taken THEN seq ELSE ps END AS seq, taken AS accepted,
+    CASE WHEN anew THEN NULL WHEN taken THEN us ELSE pc END AS confirmed, CASE WHEN anew THEN [] WHEN taken AND boot <> pb THEN list_append(pr, pb) ELSE pr END AS retired
+  FROM (SELECT m.*, f.boot AS pb, f.seq AS ps, f.confirmed AS pc, f.retired AS pr, m.anew OR CASE WHEN m.boot = f.boot THEN m.seq > f.seq ELSE NOT list_contains(f.retired, m.boot) END AS taken
+    FROM idle_reads f JOIN idle_msgs m ON m.user_id = f.user_id AND m.tick = f.tick + 1)"""
+
+
+@query("stream_monotone_reads", "ST7", "SELECT user_id, tick, accepted, confirmed AS confirmed_at FROM idle_reads")
 def stream_monotone_reads(spark, sf):
+    """A device that was silent for four days starts anew, so its state, left boots included, ends."""
     s = V.series(spark, sf)
     back = F.when((F.col("k") % 10 == 0) & (F.col("tick") >= 6), 1).otherwise(0)
     rows = s.select("user_id", "tick", "us", F.concat(F.lit("b"), (F.floor(F.col("tick") / 6) - back).cast("string")).alias("boot"), (F.col("tick") * 2 + F.col("k") % 5).alias("seq"))
-    schema = "user_id bigint, tick bigint, us bigint, boot string, seq bigint, accepted boolean, confirmed_at double, rejected boolean"
-    out = folded(spark, staged(spark, rows, "messages", CUTS), ["user_id"], G.freshness_step(), "tick", schema, "fresh")
-    return out.select("user_id", "tick", "accepted", F.col("confirmed_at").cast("bigint").alias("confirmed_at"))
+    schema = "user_id bigint, tick bigint, accepted boolean, confirmed_at bigint"
+    return drained(spark, T.ending(watched(staged(spark, rows, "messages", CUTS), "6 hours"), T.Freshness(["user_id"], IDLE_US), schema), schema, "fresh")
 
 
 @query("stream_changed_values", "ST8", """
@@ -110,12 +133,16 @@ def stream_sessions(spark, sf):
     return D.last_epoch(spark, path)
 
 
-@query("stream_first_deliveries", "ST17 ST1", "SELECT DISTINCT user_id, k FROM ev")
+HORIZON_US = 3 * DAY_US
+SQL_VIEWS["kept_msgs"] = """SELECT user_id, k, min(us) AS us FROM ev GROUP BY user_id, k
+  UNION ALL SELECT d.user_id, d.k, min(e.us) AS us FROM kept_msgs d JOIN ev e ON e.user_id = d.user_id AND e.k = d.k AND e.us >= d.us + 259200000000 GROUP BY d.user_id, d.k"""
+
+
+@query("stream_first_deliveries", "ST17 ST1", "SELECT user_id, k, us FROM kept_msgs")
 def stream_first_deliveries(spark, sf):
-    path = fresh_path(spark, "first")
-    kept = D.first_deliveries(timed(event_feed(spark, sf)).select("user_id", "k", "at"), ["user_id", "k"], "at", "60 days")
-    D.run_available(kept.select("user_id", "k"), D.append_batches(path), label="first")
-    return spark.read.schema("user_id bigint, k bigint").parquet(f"{path}/epoch=*")
+    """A message that comes again within three days of the delivery that was kept is dropped."""
+    rows, schema = V.ev(spark, sf).select("user_id", "k", "us"), "user_id bigint, k bigint, us bigint"
+    return drained(spark, T.ending(watched(staged(spark, rows, "deliveries", CUTS), "6 hours"), T.FirstDeliveries(["user_id", "k"], HORIZON_US), schema), schema, "first")
 
 
 @query("stream_snapshots", "SRC10 PRJ1", f"SELECT run_id, tick, entity, {r6('CASE WHEN n % 7 <> 3 THEN rate END')} AS tx_rate FROM cells")
@@ -130,9 +157,9 @@ def stream_snapshots(spark, sf):
 
 
 @query("stream_expired_leases", "ST18", """
-SELECT user_id, event_type AS target, pv + 172800000000 AS expired_at FROM (SELECT *, lag(us) OVER (PARTITION BY user_id, event_type ORDER BY us) AS pv FROM ev) WHERE us > pv + 172800000000""")
+WITH n AS (SELECT user_id, event_type AS target, us, lead(us) OVER (PARTITION BY user_id, event_type ORDER BY us) AS nx, max(us) OVER () // 1000 * 1000 - 21600000000 AS watermark FROM ev)
+SELECT user_id, target, us + 172800000000 AS expired_at FROM n WHERE nx > us + 172800000000 OR (nx IS NULL AND us + 172800000000 <= watermark)""")
 def stream_expired_leases(spark, sf):
-    rows = V.ev(spark, sf).select("user_id", "event_type", "us")
-    schema = "user_id bigint, event_type string, us bigint, expired_at double, rejected boolean"
-    out = folded(spark, staged(spark, rows, "renewals", CUTS), ["user_id", "event_type"], G.lease_step(172800000000), "us", schema, "leases")
-    return out.where("expired_at is not null").select("user_id", F.col("event_type").alias("target"), F.col("expired_at").cast("bigint").alias("expired_at"))
+    """Leases of two days, renewed by events; also those that are never renewed, up to the final watermark."""
+    rows, schema = V.ev(spark, sf).select("user_id", F.col("event_type").alias("target"), "us"), "user_id bigint, target string, expired_at bigint"
+    return drained(spark, T.ending(watched(staged(spark, rows, "renewals", CUTS), "6 hours"), T.Leases(["user_id", "target"], 2 * DAY_US), schema), schema, "leases")

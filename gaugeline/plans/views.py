@@ -20,7 +20,17 @@ TICK_US = 43200000000
 ENTITIES = ("link-click", "link-error", "link-purchase", "link-signup", "link-view")
 INDICATORS = ("link-error", "link-signup")
 
-SQL_VIEWS = {
+
+class Views(dict):
+    """SQL text by view name; a name has one definition."""
+
+    def __setitem__(self, name: str, sql: str) -> None:
+        if name in self:
+            raise ValueError(f"view defined twice: {name}")
+        super().__setitem__(name, sql)
+
+
+SQL_VIEWS = Views({
     "ev": f"""SELECT event_id, epoch_us(ts) AS us, user_id, event_type, value,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
   'R' || lpad(CAST(user_id // 16 AS VARCHAR), 6, '0') AS run_id, user_id // 16 AS g,
@@ -53,7 +63,7 @@ SQL_VIEWS = {
   CASE WHEN o_orderstatus <> 'P' THEN max(epoch_us(l_shipdate) // 86400000000) END AS t_revert
   FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
   GROUP BY o_orderkey, o_custkey, o_orderdate, o_orderstatus""",
-}
+})
 
 
 def _machine(source: str, name: str, live: str = "r.status = 'scored'") -> str:

@@ -88,8 +88,3 @@ def windowed_counts(stream: DataFrame, at: str, keys: list[str], width: str, del
 
 def sessions(stream: DataFrame, at: str, keys: list[str], gap: str, delay: str, measures: list[Column]) -> DataFrame:
     return stream.withWatermark(at, delay).groupBy(F.session_window(at, gap).alias("w"), *keys).agg(*measures)
-
-
-def first_deliveries(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
-    """Drop re-deliveries of a key that arrive within the watermark."""
-    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)

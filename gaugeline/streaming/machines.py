@@ -1,4 +1,4 @@
-"""Stateful steps per key: the alarm machine, guard, freshness, deltas and capacity.
+"""Stateful steps per key: the alarm machine, guard and deltas.
 
 One processor keeps one small dictionary per key and folds the rows of a batch through a step
 function in event-time order. A row that is not later than the last one taken is rejected and
@@ -80,22 +80,6 @@ def guard_step(limit: float, exit_ticks: int = 3) -> Step:
     return step
 
 
-def freshness_step() -> Step:
-    def step(state: dict, row: dict) -> dict:
-        boot, seq, first = row["boot"], row["seq"], "boot" not in state
-        retired = state.setdefault("retired", [])
-        taken = first or (seq > state["seq"] if boot == state["boot"] else boot not in retired)
-        if taken:
-            if not first and boot != state["boot"]:
-                retired.append(state["boot"])
-            state["boot"], state["seq"] = boot, int(seq)
-            if not first:
-                state["confirmed"] = int(row["us"])
-        return {"accepted": bool(taken), "confirmed_at": state.get("confirmed")}
-
-    return step
-
-
 def delta_step(tolerance: float, refresh: int) -> Step:
     def step(state: dict, row: dict) -> dict:
         last, now = state.get("value"), row["value"]
@@ -103,14 +87,3 @@ def delta_step(tolerance: float, refresh: int) -> Step:
         return {"send": last is None or abs(now - last) >= tolerance or row["tick"] % refresh == 0}
 
     return step
-
-
-def lease_step(lease: int) -> Step:
-    """A renewal after the deadline shows that the lease ran out at the deadline."""
-
-    def step(state: dict, row: dict) -> dict:
-        deadline = state.get("deadline")
-        state["deadline"] = int(row["us"]) + lease
-        return {"expired_at": deadline if deadline is not None and row["us"] > deadline else None}
-
-    return step
