@@ -77,9 +77,9 @@ class Bpe:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.known_ids = np.zeros(0, np.int32)
-        self.known_start = self.known_count = np.zeros(0, np.int64)
+        """Known pieces by ascending hash: their bytes, for the proof that a hit is one, and their ids."""
+        self.known = {n: np.zeros(0, np.uint64 if n == "hash" else np.int64) for n in ("hash", "byte", "length", "start", "count")}
+        self.known_bytes, self.known_ids = np.zeros(0, np.uint8), np.zeros(0, np.int32)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of each pair in the sorted keys, or -1."""
@@ -179,13 +179,16 @@ class Bpe:
         starts = place[at]
         ends = np.append(starts[1:], len(block.data))
         lengths = ends - starts
-        _, first, same = np.unique(range_hashes(block.data, starts, ends), return_index=True, return_inverse=True)
+        hashes, first, same = np.unique(range_hashes(block.data, starts, ends), return_index=True, return_inverse=True)
         if (lengths != lengths[first][same]).any() or (block.data != block.data[ragged(starts[first][same], lengths)]).any():
             raw = block.data.tobytes()  # two pieces share a hash: tell them apart by their bytes
             number: dict[bytes, int] = {}
             same = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
             first = np.unique(same, return_index=True)[1]
-        flat, count = self.remembered(block.data, starts[first], ends[first])
+            hashes = range_hashes(block.data, starts[first], ends[first])
+            order = np.argsort(hashes, kind="stable")
+            hashes, first, same = hashes[order], first[order], np.argsort(order)[same]
+        flat, count = self.remembered(block.data, starts[first], ends[first], hashes)
         begin = np.cumsum(count) - count
         if (special >= 0).any():
             flat = np.concatenate([flat, special[special >= 0].astype(np.int32)])
@@ -197,23 +200,37 @@ class Bpe:
         ahead = np.concatenate([[0], np.cumsum(count[same])])
         return ids, ahead[np.searchsorted(starts, block.bounds)]
 
-    def remembered(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def remembered(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number for different pieces, from memory where they were met before."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known["hash"]) > REMEMBERED:
             self.forget()
-        raw, known = data.tobytes(), self.known
-        words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        new = [i for i, w in enumerate(words) if w not in known]
-        if new:
-            lengths = (ends - starts)[new]
-            ids, count = self.merge(data[ragged(starts[new], lengths)], lengths)
-            known.update(zip((words[i] for i in new), range(len(known), len(known) + len(new)), strict=True))
-            self.known_start = np.concatenate([self.known_start, len(self.known_ids) + np.cumsum(count) - count])
-            self.known_count = np.concatenate([self.known_count, count])
-            self.known_ids = np.concatenate([self.known_ids, ids])
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        count = self.known_count[at]
-        return self.known_ids[ragged(self.known_start[at], count)], count
+        known, lengths = self.known, ends - starts
+        at = np.searchsorted(known["hash"], hashes)
+        slot = np.minimum(at, max(0, len(known["hash"]) - 1))
+        hit = np.zeros(len(hashes), bool)
+        if len(known["hash"]):
+            hit = (known["hash"][slot] == hashes) & (known["length"][slot] == lengths)
+            some = np.flatnonzero(hit)
+            if len(some):
+                other = data[ragged(starts[some], lengths[some])] != self.known_bytes[ragged(known["byte"][slot[some]], lengths[some])]
+                hit[some] = np.add.reduceat(other, np.cumsum(lengths[some]) - lengths[some]) == 0
+        new, old = np.flatnonzero(~hit), slot[hit]
+        raw = data[ragged(starts[new], lengths[new])]
+        ids, count = self.merge(raw, lengths[new])
+        total = np.zeros(len(hashes), np.int64)
+        total[hit], total[new] = known["count"][old], count
+        flat, begin = np.empty(int(total.sum()), np.int32), np.cumsum(total) - total
+        flat[ragged(begin[hit], total[hit])] = self.known_ids[ragged(known["start"][old], total[hit])]
+        flat[ragged(begin[new], count)] = ids
+        # a piece whose hash belongs to another one is not remembered
+        free = np.ones(len(new), bool)
+        if len(known["hash"]):
+            free = known["hash"][slot[new]] != hashes[new]
+        free[1:] &= hashes[new][1:] != hashes[new][:-1]
+        rows = {"hash": hashes[new], "byte": len(self.known_bytes) + np.cumsum(lengths[new]) - lengths[new], "length": lengths[new], "start": len(self.known_ids) + np.cumsum(count) - count, "count": count}
+        self.known = {n: np.insert(known[n], at[new][free], rows[n][free]) for n in known}
+        self.known_bytes, self.known_ids = np.concatenate([self.known_bytes, raw]), np.concatenate([self.known_ids, ids])
+        return flat, total
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
