@@ -57,27 +57,20 @@ def test_odd_rows(odd, empty, library):
 
 
 def brute_best_fit(lengths, capacity):
+    """The row with the least room that holds an item; of rows with equal room the one opened first."""
     rows, room = [], []
     for item, need in enumerate(lengths):
         fitting = [(r, i) for i, r in enumerate(room) if r >= need]
         if fitting:
-            least = min(r for r, _ in fitting)
-            at = brute_best_fit.order(rows, room, least)
+            at = min(fitting)[1]
             rows[at].append(item)
             room[at] -= need
-            brute_best_fit.since[at] = item
         else:
             rows.append([item])
             room.append(capacity - need)
-            brute_best_fit.since[len(rows) - 1] = item
     return rows
 
 
-brute_best_fit.since = {}
-# of rows with equal room the one that has had it longest
-brute_best_fit.order = lambda rows, room, least: min((i for i, r in enumerate(room) if r == least), key=lambda i: brute_best_fit.since[i])
-
-
 @pytest.mark.parametrize("seed", range(8))
 def test_best_fit_decreasing_against_brute_force(seed):
     pick = random.Random(seed)
@@ -111,3 +104,17 @@ def test_packed_rows_hold_every_token_once(odd, empty, library):
             want.setdefault((r.doc_id, piece), []).append(ids[a : a + 64])
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
     assert pack(empty, PATH).count() == 0
+
+
+def test_a_repeated_id_and_a_long_text_are_spread(spark, library):
+    text = " ".join(f"word{i}" for i in range(6000))
+    docs = spark.createDataFrame([(7, f"{i} short text") for i in range(400)] + [(8, text)], "doc_id bigint, text string").coalesce(1)
+    rows = pack(docs, PATH, capacity=64, shard_bytes=4000).collect()
+    tokens = {}
+    for r in rows:
+        for d, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            tokens.setdefault(d, {}).setdefault(r.shard, 0)
+            tokens[d][r.shard] += b - a
+    for d, own in tokens.items():
+        assert len(own) > 5 and max(own.values()) < sum(own.values()) / 3, d
+    assert sum(tokens[8].values()) == len(library.encode(text, add_special_tokens=False).ids)
