@@ -58,16 +58,25 @@ def path_arrays(hops: DataFrame) -> DataFrame:
     return hops.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_hops"), F.transform(steps, lambda s: s["b"]).alias("via"))
 
 
-def zone(hops: DataFrame, touched: DataFrame) -> DataFrame:
-    """(link, entity) for every entity on a path that shares the touched link. Grows with
-    pairs x hops^2, hops being bounded by the path length."""
-    keyed = hops.withColumn("link", link_key(F.col("a"), F.col("b")))
-    hit = keyed.select("src", "dst", "link").distinct().join(touched.select("link").distinct(), "link", "left_semi")
-    parts = keyed.select("src", "dst", F.explode(F.array(
-        F.struct(F.lit("link").alias("kind"), F.col("link").alias("entity")),
-        F.struct(F.lit("node").alias("kind"), F.col("a").alias("entity")), F.struct(F.lit("node").alias("kind"), F.col("b").alias("entity")),
-    )).alias("_x")).select("src", "dst", "_x.kind", "_x.entity").distinct()
-    return hit.join(parts, ["src", "dst"]).select("link", "kind", "entity").distinct()
+def elements(hops: DataFrame) -> DataFrame:
+    """(src, dst, kind, entity): links and nodes of each route."""
+    pair = link_key(F.col("a"), F.col("b"))
+    parts = [("link", pair), ("node", F.col("a")), ("node", F.col("b"))]
+    return hops.select("src", "dst", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), e.alias("entity")) for k, e in parts])).alias("_x")).select("src", "dst", "_x.*")
+
+
+def zones(hops: DataFrame, numbers: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """(link, kind, bucket, bits, first_entity): all entities on a route that shares the link, per kind, as
+    bitmaps of ``numbers`` (kind, entity, number).
+
+    A route is one bitmap; a link is the OR of those of its routes, in one aggregation with partial
+    results before the shuffle. No pair of elements of a route is formed."""
+    route = elements(hops).join(numbers, ["kind", "entity"])
+    bucket = F.bitmap_bucket_number("number").alias("bucket")
+    own = route.groupBy("src", "dst", "kind", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"), F.min("entity").alias("first_entity"))
+    on = hops.select("src", "dst", link_key(F.col("a"), F.col("b")).alias("link")).distinct()
+    on = on if touched is None else on.join(touched.select("link").distinct(), "link", "left_semi")
+    return on.join(own, ["src", "dst"]).groupBy("link", "kind", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.min("first_entity").alias("first_entity"))
 
 
 def detours(edges: DataFrame, cuts: DataFrame) -> DataFrame:

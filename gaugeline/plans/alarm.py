@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.operators import alarm as A
+from gaugeline.operators import bitmaps as B
 from gaugeline.operators import capacity as P
 from gaugeline.operators import freshness as R
 from gaugeline.operators import intervals as I
 from gaugeline.operators import quantiles as Q
 from gaugeline.operators import scan as S
 from gaugeline.plans import envelope as E
+from gaugeline.plans import network as N
 from gaugeline.plans import views as V
 from gaugeline.plans.registry import query, r6
 from gaugeline.plans.views import SQL_VIEWS, _machine
@@ -50,23 +52,6 @@ def suppressed_states(spark, sf):
     return A.transitions(stepped, USER, ["tick"], chunk()).select("user_id", "tick", "state", "prev")
 
 
-@query("suppression_window", "ST14", f"""
-WITH w AS (SELECT user_id, arg_max(tick, value) AS t0 FROM readings GROUP BY user_id)
-SELECT t.user_id, count(*) FILTER (WHERE t.state = 'act' AND t.prev <> 'act') AS act_entries,
-  count(*) FILTER (WHERE r.held AND t.status = 'scored') AS n_suppressed, count(*) FILTER (WHERE t.state = 'unknown') AS n_unknown
-FROM trace_s t JOIN readings_s r USING (user_id, tick) JOIN w ON w.user_id = t.user_id WHERE t.tick BETWEEN t0 AND t0 + 16 GROUP BY t.user_id""")
-def suppression_window(spark, sf):
-    stepped = A.states(held_readings(spark, sf), USER, ["tick"], chunk(), suppressed=F.col("held"))
-    moved = A.transitions(stepped, USER, ["tick"], chunk())
-    start = V.readings(spark, sf).groupBy("user_id").agg(F.max_by("tick", "value").alias("t0"))
-    inside = moved.join(start, "user_id").where("tick between t0 and t0 + 16")
-    return inside.groupBy("user_id").agg(
-        F.count_if((F.col("state") == "act") & (F.col("prev") != "act")).alias("act_entries"),
-        F.count_if(F.col("held") & (F.col("status") == "scored")).alias("n_suppressed"),
-        F.count_if(F.col("state") == "unknown").alias("n_unknown"),
-    )
-
-
 @query("alarm_entries", "WIN7", f"""
 WITH x AS (SELECT *, lag(status = 'scored' AND (suspect OR act)) OVER (PARTITION BY user_id ORDER BY tick) AS praw FROM trace)
 SELECT user_id, count(*) FILTER (WHERE state IN {ALARM_SQL} AND prev NOT IN {ALARM_SQL}) AS n_entries,
@@ -234,39 +219,68 @@ def run_readings(spark, sf):
     return told.select("run_id", "tick", status.alias("status"), (good & (F.col("k") > 0)).alias("suspect"), (good & (F.col("k") > 1)).alias("act"))
 
 
-# Every 20th event of a run is an intervention on its entity, transient or lasting; a lasting one is
-# reverted two ticks later or stays an open lease. Its radius is the entity and the next by name.
-SQL_VIEWS["acts"] = """SELECT run_id, event_id AS id, tick::DOUBLE AS s, CASE k % 3 WHEN 0 THEN tick + 2 WHEN 1 THEN tick + 2 + 2 ELSE tick + 6 END::DOUBLE AS e,
-  unnest([entity, CASE entity WHEN 'link-click' THEN 'link-error' WHEN 'link-error' THEN 'link-purchase' WHEN 'link-purchase' THEN 'link-signup' WHEN 'link-signup' THEN 'link-view' ELSE 'link-click' END]) AS entity
-  FROM ev WHERE event_id % 20 = 5"""
-SQL_VIEWS["viol"] = "SELECT run_id, g, tick, entity FROM cells JOIN bounds USING (entity) WHERE ok AND (rate < lo OR rate > hi)"
-SQL_VIEWS["covered"] = """SELECT v.run_id, v.g, v.tick, count(*) AS n_violating, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM acts a WHERE a.run_id = v.run_id AND a.entity = v.entity AND a.s <= v.tick AND v.tick < a.e)) AS n_covered
-  FROM viol v GROUP BY ALL"""
-SQL_VIEWS["readings_z"] = """SELECT r.*, coalesce((suspect OR act) AND n_covered = n_violating, false) AS held FROM readings_n r LEFT JOIN covered c ON c.g = r.user_id AND c.tick = r.us"""
+# Every 20th event of a run is an intervention on a link, transient or lasting; a lasting one is reverted
+# two ticks later or stays an open lease. Its zone is the radius of the link over the routes of heavy flows.
+SQL_VIEWS["covered"] = """SELECT v.run_id, v.g, v.tick, count(*) AS n_violating, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM acts_z a JOIN zone_z z USING (target)
+    WHERE a.run_id = v.run_id AND z.entity = v.entity AND a.s <= v.tick AND v.tick < a.e)) AS n_covered
+  FROM viol_z v GROUP BY ALL"""
+SQL_VIEWS["readings_y"] = """SELECT g AS user_id, row_number() OVER (PARTITION BY g ORDER BY tick) - 1 AS tick, tick AS us, CASE WHEN lag(tick) OVER (PARTITION BY g ORDER BY tick) IS NULL THEN 'warming_up'
+  WHEN tick - lag(tick) OVER (PARTITION BY g ORDER BY tick) > 1 THEN 'unknown' ELSE 'scored' END AS status, high > 60 AS suspect, high > 100 AS act FROM (SELECT g, tick, max(value) AS high FROM ev GROUP BY g, tick)"""
+SQL_VIEWS["readings_z"] = """SELECT r.*, coalesce((suspect OR act) AND n_covered = n_violating, false) AS held FROM readings_y r LEFT JOIN covered c ON c.g = r.user_id AND c.tick = r.us"""
 SQL_VIEWS["trace_z"] = _machine("readings_z", "trace_z", "(r.status = 'scored' AND NOT r.held)")
 
 
-def radius_cover(spark, sf):
-    event = V.ev(spark, sf).where("event_id % 20 = 5")
-    following = F.element_at(F.create_map(*[F.lit(x) for pair in zip(V.ENTITIES, (*V.ENTITIES[1:], V.ENTITIES[0])) for x in pair]), F.col("entity"))
-    kind = F.when(F.col("k") % 3 == 0, "transient").otherwise("lasting")
-    end = I.active_until(kind, F.col("tick"), F.when(F.col("k") % 3 == 1, F.col("tick") + 2), 2.0, 6.0)
-    spans = event.select("run_id", F.col("tick").cast("double").alias("s"), end.cast("double").alias("e"), F.array("entity", following).alias("radius"))
-    cells = V.cells(spark, sf).join(E.bounds(spark, sf), "entity").where(F.col("ok") & ((F.col("rate") < F.col("lo")) | (F.col("rate") > F.col("hi"))))
-    return cut_lineage(I.all_covered(cells, spans, ["run_id"], "tick", "entity", "s", "e", "radius"))
+def zone_cover(spark, sf):
+    """(run_id, tick, n_violating, n_covered, suppressed): all violating switches lie in the union of the
+    zones of the active interventions."""
+    zones, numbers = N.switch_zones(spark, sf)
+    spans = N.link_acts(spark, sf).select("run_id", "target", "s", "e")
+    violating = N.violating_switches(spark, sf)
+    sets = B.bitmaps(violating.join(numbers, "entity"), ["run_id", "tick"])
+    active = B.active_zones(violating, spans, zones, ["run_id"], "tick", "s", "e", "target")
+    told = B.contained(sets, active, ["run_id", "tick"]).withColumnsRenamed({"n_members": "n_violating", "n_inside": "n_covered"})
+    return cut_lineage(told.withColumn("suppressed", F.col("n_covered") == F.col("n_violating")))
 
 
-@query("radius_suppression", "ST4 JN4", "SELECT run_id, tick, n_violating, n_covered, n_covered = n_violating AS suppressed FROM covered")
+@query("radius_suppression", "ST4 JN4 GR3", "SELECT run_id, tick, n_violating, n_covered, n_covered = n_violating AS suppressed FROM covered")
 def radius_suppression(spark, sf):
-    return radius_cover(spark, sf)
+    return zone_cover(spark, sf)
 
 
-@query("radius_suppressed_states", "ST4 ST14", """SELECT 'R' || lpad(CAST(t.user_id AS VARCHAR), 6, '0') AS run_id, t.us AS tick, t.state, t.prev, r.held FROM trace_z t JOIN readings_z r USING (user_id, tick)""")
-def radius_suppressed_states(spark, sf):
-    told = run_readings(spark, sf).join(radius_cover(spark, sf).select("run_id", "tick", "suppressed"), ["run_id", "tick"], "left")
+def switch_readings(spark, sf):
+    """(run_id, tick, status, suspect, act) over the devices of a run."""
+    ticks = V.ev(spark, sf).groupBy("run_id", "tick").agg(F.max("value").alias("high"))
+    told = S.scan(cut_lineage(ticks), ["run_id"], ["tick"], chunk(), True, p=S.previous(F.col("tick")))
+    status = F.when(F.col("p").isNull(), "warming_up").when(F.col("tick") - F.col("p") > 1, "unknown").otherwise("scored")
+    return told.select("run_id", "tick", status.alias("status"), (F.col("high") > 60).alias("suspect"), (F.col("high") > 100).alias("act"))
+
+
+def zone_trace(spark, sf):
+    told = switch_readings(spark, sf).join(zone_cover(spark, sf).select("run_id", "tick", "suppressed"), ["run_id", "tick"], "left")
     held = (F.col("suspect") | F.col("act")) & F.coalesce("suppressed", F.lit(False))
     stepped = A.states(cut_lineage(told.withColumn("held", held)), ["run_id"], ["tick"], chunk(), suppressed=F.col("held"))
-    return A.transitions(stepped, ["run_id"], ["tick"], chunk()).select("run_id", "tick", "state", "prev", "held")
+    return A.transitions(stepped, ["run_id"], ["tick"], chunk())
+
+
+@query("radius_suppressed_states", "ST4 ST14", """SELECT 'R' || lpad(CAST(t.user_id AS VARCHAR), 6, '0') AS run_id, t.us AS tick, t.state, t.prev, r.held FROM trace_z t JOIN readings_z r USING (user_id, tick)""")
+def radius_suppressed_states(spark, sf):
+    return zone_trace(spark, sf).select("run_id", "tick", "state", "prev", "held")
+
+
+@query("suppression_window", "ST14", """
+WITH w AS (SELECT run_id, min(s) AS t0 FROM acts_z GROUP BY run_id)
+SELECT w.run_id, count(*) FILTER (WHERE t.state = 'act' AND t.prev <> 'act') AS act_entries, count(*) FILTER (WHERE r.held AND t.status = 'scored') AS n_suppressed,
+  count(*) FILTER (WHERE (t.suspect OR t.act) AND NOT r.held AND t.status = 'scored') AS n_spoke, count(*) FILTER (WHERE t.state = 'unknown') AS n_unknown
+FROM trace_z t JOIN readings_z r USING (user_id, tick) JOIN w ON w.run_id = 'R' || lpad(CAST(t.user_id AS VARCHAR), 6, '0') WHERE t.us BETWEEN t0 AND t0 + 16 GROUP BY w.run_id""")
+def suppression_window(spark, sf):
+    """Act entries and suppressed ticks of each run within 16 ticks of its first intervention."""
+    start = N.link_acts(spark, sf).groupBy("run_id").agg(F.min("s").alias("t0"))
+    inside = zone_trace(spark, sf).join(start, "run_id").where("tick between t0 and t0 + 16")
+    scored, alarming = F.col("status") == "scored", F.col("suspect") | F.col("act")
+    return inside.groupBy("run_id").agg(
+        F.count_if((F.col("state") == "act") & (F.col("prev") != "act")).alias("act_entries"), F.count_if(F.col("held") & scored).alias("n_suppressed"),
+        F.count_if(alarming & ~F.col("held") & scored).alias("n_spoke"), F.count_if(F.col("state") == "unknown").alias("n_unknown"),
+    )
 
 
 @query("guard_feasibility", "AG41", f"""

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import stats
 from gaugeline.functions.names import link_key
+from gaugeline.operators import bitmaps as B
+from gaugeline.operators import intervals as I
 from gaugeline.operators import quantiles as Q
 from gaugeline.operators import routing as G
 from gaugeline.operators import whatif as W
@@ -94,16 +96,36 @@ def flows_through_links(spark, sf):
     return used.join(flows, ["src", "dst"]).groupBy("link").agg(F.count(F.lit(1)).alias("n_flows"), F.sum("mbps").alias("mbps"))
 
 
+# Switches in the radius of a link: on a route that shares it, or on its detour.
+SQL_VIEWS["edge_z"] = "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM hop WHERE b LIKE 's%'"
+SQL_VIEWS["step_z"] = "SELECT a, b FROM edge_z UNION SELECT b, a FROM edge_z"
+SQL_VIEWS["walk_z"] = """SELECT e.a, e.b, e.a AS node, [e.a] AS path FROM edge_z e
+  UNION ALL SELECT w.a, w.b, u.b AS node, list_append(w.path, u.b) AS path FROM walk_z w JOIN step_z u ON u.a = w.node WHERE NOT list_contains(w.path, u.b) AND w.node <> w.b AND NOT (u.a = w.a AND u.b = w.b)"""
+SQL_VIEWS["detour_z"] = "SELECT a || '-' || b AS link, path FROM walk_z WHERE node = b QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY len(path), path) = 1"
+SQL_VIEWS["heavy_z"] = "SELECT * FROM hopl SEMI JOIN (SELECT src, dst FROM demand WHERE mbps > (SELECT avg(mbps) FROM demand)) USING (src, dst)"
+SQL_VIEWS["zone_z"] = """SELECT DISTINCT t.link AS target, unnest([h.a, h.b]) AS entity FROM (SELECT DISTINCT src, dst, link FROM heavy_z) t JOIN heavy_z h USING (src, dst)
+  UNION SELECT link AS target, unnest(path) AS entity FROM detour_z"""
+# A device is on a switch; a reading above 60 violates there. An intervention acts on a host's access
+# link or on the link of the device's switch to its core switch; a host that nobody knows has no zone.
+SQL_VIEWS["viol_z"] = "SELECT DISTINCT run_id, g, tick, 's' || CAST(user_id % 25 AS VARCHAR) AS entity FROM ev WHERE value > 60"
+SQL_VIEWS["acts_z"] = """SELECT e.run_id, e.event_id AS iid, e.us, e.tick AS s, CASE e.k % 3 WHEN 0 THEN e.tick + 2 WHEN 1 THEN e.tick + 4 ELSE e.tick + 6 END AS e,
+  CASE WHEN e.k % 4 < 3 THEN 'h' || CAST(e.k AS VARCHAR) || '-s' || CAST(p.s_nationkey AS VARCHAR)
+    ELSE least('s' || CAST(sw.n AS VARCHAR), 's' || CAST(sw.head AS VARCHAR)) || '-' || greatest('s' || CAST(sw.n AS VARCHAR), 's' || CAST(sw.head AS VARCHAR)) END AS target
+  FROM ev e LEFT JOIN supplier p ON p.s_suppkey = e.k JOIN sw ON sw.n = e.user_id % 25 WHERE e.event_id % 20 = 5"""
+
+
 @query("influence_zones", "GR3 GR5", f"""
 WITH t AS (SELECT DISTINCT src, dst, link FROM hopl), z AS (SELECT DISTINCT t.link, h.link AS entity, 'link' AS kind FROM t JOIN hopl h USING (src, dst)
  UNION SELECT DISTINCT t.link, unnest([h.a, h.b]) AS entity, 'node' AS kind FROM t JOIN hopl h USING (src, dst))
 SELECT link, count(*) FILTER (WHERE kind = 'link') AS n_links, count(*) FILTER (WHERE kind = 'node') AS n_nodes, min(entity) AS first_entity, {r6("count(*) FILTER (WHERE kind = 'link') / (SELECT count(DISTINCT link) FROM hopl)")} AS local_share FROM z GROUP BY link""")
 def influence_zones(spark, sf):
     _, hops = routed(spark, sf)
-    links = hops.select(link_key(F.col("a"), F.col("b")).alias("link")).distinct()
-    total = F.broadcast(links.agg(F.count(F.lit(1)).alias("n_all")))
-    per = G.zone(hops, links).groupBy("link").agg(
-        F.count_if(F.col("kind") == "link").alias("n_links"), F.count_if(F.col("kind") == "node").alias("n_nodes"), F.min("entity").alias("first_entity")
+    hops = cut_lineage(hops)
+    numbers = B.numbered(G.elements(hops).select("kind", "entity"), ["kind"], "entity")
+    total = F.broadcast(numbers.where("kind = 'link'").agg(F.count(F.lit(1)).alias("n_all")))  # one row
+    size = F.bitmap_count("bits")
+    per = G.zones(hops, numbers).groupBy("link").agg(
+        F.sum(F.when(F.col("kind") == "link", size)).alias("n_links"), F.sum(F.when(F.col("kind") == "node", size)).alias("n_nodes"), F.min("first_entity").alias("first_entity")
     )
     return per.join(total).select("link", "n_links", "n_nodes", "first_entity", (F.col("n_links") / F.col("n_all")).alias("local_share"))
 
@@ -130,15 +152,56 @@ x AS (SELECT coalesce(z.link, k.link) AS link, z.link IS NOT NULL AS r, k.link I
 SELECT link, count(*) FILTER (WHERE r) AS n_radius, count(*) FILTER (WHERE c) AS n_corridor, count(*) AS n_all FROM x WHERE link NOT LIKE 'h%' GROUP BY link""")
 def radius_with_detour(spark, sf):
     """The radius of each trunk link: all on a path that shares it, and the corridor of its detour."""
+    radius, corridor = link_zones(spark, sf)
+    trunk = radius.where("link not like 'h%'")
+    rows = trunk.select("link", "kind", "bucket", "bits", F.lit("r").alias("part")).unionByName(corridor.withColumn("part", F.lit("c")))
+    bits = lambda part: F.coalesce(F.bitmap_count(F.bitmap_or_agg(F.when(F.col("part") == part, F.col("bits")))), F.lit(0))
+    per = rows.groupBy("link", "kind", "bucket").agg(bits("r").alias("r"), bits("c").alias("c"), F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    return per.groupBy("link").agg(F.sum("r").alias("n_radius"), F.sum("c").alias("n_corridor"), F.sum("n").alias("n_all"))
+
+
+def link_zones(spark, sf):
+    """Bitmaps of the radius of every link, and of the detour corridor of every trunk link."""
     _, hops = routed(spark, sf)
     hops = cut_lineage(hops)
     edges = hops.where(F.col("b").startswith("s")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    trunk = edges.select(link_key(F.col("a"), F.col("b")).alias("link"))
     path = F.col("path")
     steps = F.zip_with(F.slice(path, F.lit(1), F.size(path) - 1), F.slice(path, F.lit(2), F.size(path) - 1), lambda x, y: link_key(x, y))
-    corridor = G.detours(edges, edges).select(link_key(F.col("a"), F.col("b")).alias("link"), F.explode(F.concat(path, steps)).alias("entity")).withColumn("c", F.lit(True))
-    both = G.zone(hops, trunk).select("link", "entity", F.lit(True).alias("r")).join(corridor, ["link", "entity"], "full")
-    return both.groupBy("link").agg(F.count("r").alias("n_radius"), F.count("c").alias("n_corridor"), F.count(F.lit(1)).alias("n_all"))
+    kinds = F.concat(F.transform(path, lambda e: F.struct(F.lit("node").alias("kind"), e.alias("entity"))), F.transform(steps, lambda e: F.struct(F.lit("link").alias("kind"), e.alias("entity"))))
+    corridor = cut_lineage(G.detours(edges, edges).select(link_key(F.col("a"), F.col("b")).alias("link"), F.explode(kinds).alias("_x")).select("link", "_x.*"))
+    numbers = B.numbered(G.elements(hops).select("kind", "entity").unionByName(corridor.select("kind", "entity")), ["kind"], "entity")
+    return G.zones(hops, numbers).drop("first_entity"), B.bitmaps(corridor.join(numbers, ["kind", "entity"]), ["link", "kind"])
+
+
+def switch_zones(spark, sf):
+    """(target, bucket, bits) of the switches in the radius and corridor of every link, over the routes of
+    flows above the mean, and their numbers."""
+    flows, hops = routed(spark, sf)
+    hops = cut_lineage(hops)
+    edges = hops.where(F.col("b").startswith("s")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    corridor = G.detours(edges, edges).select(link_key(F.col("a"), F.col("b")).alias("target"), F.explode("path").alias("entity"))
+    nodes = switches(spark, sf).select(F.lit("node").alias("kind"), tag("s", F.col("n")).alias("entity"))
+    numbers = B.numbered(nodes, ["kind"], "entity")
+    mean = F.broadcast(flows.agg(F.avg("mbps").alias("mean")))  # one row
+    heavy = flows.join(mean).where(F.col("mbps") > F.col("mean")).select("src", "dst")
+    radius = G.zones(hops.join(heavy, ["src", "dst"], "left_semi"), numbers).select(F.col("link").alias("target"), "bucket", "bits")
+    both = radius.unionByName(B.bitmaps(corridor.join(numbers, "entity"), ["target"]))
+    return cut_lineage(both.groupBy("target", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))), numbers.select("entity", "number")
+
+
+def violating_switches(spark, sf):
+    return V.ev(spark, sf).where("value > 60").select("run_id", "tick", tag("s", F.col("user_id") % 25).alias("entity")).distinct()
+
+
+def link_acts(spark, sf):
+    """(run_id, iid, us, s, e, target) of the interventions on links."""
+    hosts = V.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("bigint").alias("k"), tag("s", F.col("s_nationkey")).alias("at"))
+    home = switches(spark, sf).select(F.col("n").cast("bigint").alias("n"), tag("s", F.col("n")).alias("own"), tag("s", F.col("head")).alias("core"))
+    event = V.ev(spark, sf).where("event_id % 20 = 5").withColumn("n", F.col("user_id") % 25).join(hosts, "k", "left").join(home, "n")
+    target = F.when(F.col("k") % 4 < 3, link_key(tag("h", F.col("k")), F.col("at"))).otherwise(link_key(F.col("own"), F.col("core")))
+    kind = F.when(F.col("k") % 3 == 0, "transient").otherwise("lasting")
+    end = I.active_until(kind, F.col("tick"), F.when(F.col("k") % 3 == 1, F.col("tick") + 2), 2.0, 6.0)
+    return event.select("run_id", F.col("event_id").alias("iid"), "us", F.col("tick").alias("s"), end.cast("bigint").alias("e"), target.alias("target"))
 
 
 @query("routing_loops", "GR6", """

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeline.functions import names as N
+from gaugeline.functions import names as FN
 from gaugeline.functions import stats
 from gaugeline.functions.health import host_health, path_health
+from gaugeline.operators import bitmaps as B
 from gaugeline.operators import intervals as I
 from gaugeline.operators import matching as M
 from gaugeline.operators import scan as S
+from gaugeline.plans import network as N
 from gaugeline.plans import views as V
 from gaugeline.plans.registry import query, r6
 from gaugeline.plans.views import SQL_VIEWS
+from gaugeline.session import cut_lineage
 from gaugeline.sources import logs as L
 from gaugeline.sources import sinks as K
 
@@ -111,23 +114,33 @@ def source_time_lookup(spark, sf):
     return rows.where("event_type = 'click'").join(index, ["user_id", "k"], "left").select("event_id", "t_source")
 
 
-@query("act_attribution", "JN12", """
-WITH iv AS (SELECT user_id, event_id AS iid, event_type AS zone, us AS s, us + 86400000000 AS e FROM ev WHERE k % 10 = 5), a AS (SELECT user_id, event_id, event_type, us FROM ev WHERE value > 100),
-j AS (SELECT a.event_id, arg_min(iv.iid, (iv.s, iv.iid)) AS owner, arg_min(iv.zone, (iv.s, iv.iid)) AS zone, any_value(a.event_type) AS et FROM a JOIN iv ON iv.user_id = a.user_id AND iv.s <= a.us AND a.us < iv.e GROUP BY a.event_id),
-nb AS (SELECT a.event_id, min(abs(a.us - iv.s)) AS d FROM a JOIN iv ON iv.user_id = a.user_id GROUP BY a.event_id)
-SELECT a.event_id, CASE WHEN owner IS NULL THEN 'unattributed' WHEN zone = et THEN 'type_i' ELSE 'type_ii' END AS class, owner, CASE WHEN owner IS NULL THEN nb.d END AS nearest_us FROM a LEFT JOIN j ON j.event_id = a.event_id LEFT JOIN nb ON nb.event_id = a.event_id""")
+@query("act_attribution", "JN12 GR4", """
+WITH a AS (SELECT run_id, tick, min(us) AS us FROM ev WHERE value > 100 GROUP BY ALL),
+o AS (SELECT a.run_id, a.tick, arg_min(x.iid, (x.us, x.iid)) AS owner, arg_min(coalesce(x.target, ''), (x.us, x.iid)) AS target FROM a JOIN acts_z x ON x.run_id = a.run_id AND x.us <= a.us AND a.us < x.us + 86400000000 GROUP BY ALL),
+nb AS (SELECT a.run_id, a.tick, min(abs(a.us - x.us)) AS d FROM a JOIN acts_z x USING (run_id) GROUP BY ALL),
+c AS (SELECT v.run_id, v.tick, count(*) AS n, count(z.entity) AS i FROM viol_z v JOIN a USING (run_id, tick) LEFT JOIN o USING (run_id, tick) LEFT JOIN zone_z z ON z.target = o.target AND z.entity = v.entity GROUP BY ALL)
+SELECT a.run_id, a.tick, CASE WHEN owner IS NULL THEN 'unattributed' WHEN c.n = c.i THEN 'type_i' ELSE 'type_ii' END AS class, owner, c.n AS n_affected, CASE WHEN owner IS NOT NULL THEN c.i END AS n_inside,
+  CASE WHEN owner IS NULL THEN nb.d END AS nearest_us FROM a JOIN c USING (run_id, tick) LEFT JOIN o USING (run_id, tick) LEFT JOIN nb USING (run_id, tick)""")
 def act_attribution(spark, sf):
-    rows = V.ev(spark, sf)
-    spans = rows.where("k % 10 = 5").select("user_id", F.col("event_id").alias("iid"), F.col("event_type").alias("zone"), F.col("us").alias("s"), (F.col("us") + 86400000000).alias("e"))
-    acts = rows.where("value > 100").select("user_id", "event_id", "event_type", "us")
-    held = I.owners(acts, spans, ["user_id"], "us", "s", "e", ["iid", "zone"])
-    starts = spans.select("user_id", F.col("s").alias("us"), F.col("s").alias("t"))
-    before = M.as_of(held, starts, ["user_id"], "us", ["t"]).withColumnRenamed("_hit", "_b")
-    near = M.as_of(before, starts, ["user_id"], "us", ["t"], forward=True)
+    """Act ticks of a run: the first intervention whose window holds them, and whether all affected switches
+    lie in its zone."""
+    acts = V.ev(spark, sf).where("value > 100").groupBy("run_id", "tick").agg(F.min("us").alias("us"))
+    done = cut_lineage(N.link_acts(spark, sf))
+    spans = done.select("run_id", "iid", "target", F.col("us").alias("s"), (F.col("us") + DAY).alias("e"))
+    held = I.owners(acts, spans, ["run_id"], "us", "s", "e", ["iid", "target"])
+    starts = spans.select("run_id", F.col("s").alias("us"), F.col("s").alias("t"))
+    before = M.as_of(held, starts, ["run_id"], "us", ["t"]).withColumnRenamed("_hit", "_b")
+    near = cut_lineage(M.as_of(before, starts, ["run_id"], "us", ["t"], forward=True))
     gap = F.least(F.col("us") - F.col("_b.at"), F.col("_hit.at") - F.col("us"))
-    out = near.withColumnRenamed("owner", "o")
-    kind = F.when(F.col("o").isNull(), "unattributed").when(F.col("o.zone") == F.col("event_type"), "type_i").otherwise("type_ii")
-    return out.select("event_id", kind.alias("class"), F.col("o.iid").alias("owner"), F.when(F.col("o").isNull(), gap).alias("nearest_us"))
+    zones, numbers = N.switch_zones(spark, sf)
+    tick = ["run_id", "tick"]
+    sets = B.bitmaps(N.violating_switches(spark, sf).join(near.select(*tick), tick, "left_semi").join(numbers, "entity"), tick)
+    own = near.where("owner is not null").select(*tick, F.col("owner.target").alias("target")).join(zones, "target").drop("target")
+    told = near.join(B.contained(sets, own, tick), tick)
+    owner = F.col("owner.iid")
+    kind = F.when(owner.isNull(), "unattributed").when(F.col("n_inside") == F.col("n_members"), "type_i").otherwise("type_ii")
+    return told.select(
+        *tick, kind.alias("class"), owner.alias("owner"), F.col("n_members").alias("n_affected"), F.when(owner.isNotNull(), F.col("n_inside")).alias("n_inside"), F.when(owner.isNull(), gap).alias("nearest_us"))
 
 
 @query("capacity_reconcile", "JN18", f"""
@@ -165,7 +178,7 @@ def node_edge_tables(spark, sf):
     nodes = s.select(host.alias("id"), F.lit("host").alias("type")).unionByName(n.select(F.concat(F.lit("org:switch-s"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("switch").alias("type")))
     things = nodes.unionByName(links, allowMissingColumns=True)
     kind = F.when(F.col("type").isin("host", "switch", "controller"), "node").when(F.col("a").isNotNull() & F.col("b").isNotNull(), "edge")
-    name = F.regexp_replace(N.short_name(F.col("id")), "^(host|switch|link)-", "")
+    name = F.regexp_replace(FN.short_name(F.col("id")), "^(host|switch|link)-", "")
     return things.select(kind.alias("kind"), name.alias("nm")).where("kind is not null").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("nm").alias("n_names"))
 
 
