@@ -10,6 +10,7 @@ from gaugeline.functions.health import host_health, path_health
 from gaugeline.operators import bitmaps as B
 from gaugeline.operators import intervals as I
 from gaugeline.operators import matching as M
+from gaugeline.operators import patches as PT
 from gaugeline.operators import scan as S
 from gaugeline.plans import network as N
 from gaugeline.plans import views as V
@@ -253,7 +254,16 @@ def pool_counts(spark, sf):
     return counts(rows, ["pool"], extra=[ok.alias("poll_ok"), F.when(ok, F.max("us")).alias("t_source")])
 
 
-@query("latest_twin_state", "FN8 SRC11", f"SELECT user_id, event_type AS path, {r6('arg_max(value, (us, event_id))')} AS value, max(us) AS us FROM ev GROUP BY 1, 2")
+@query("merged_documents", "FN8", """
+SELECT user_id, path, value, us FROM twin_writes w WHERE value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM twin_writes l WHERE l.user_id = w.user_id AND (l.us, l.event_id) > (w.us, w.event_id)
+  AND (l.path = w.path OR starts_with(w.path, l.path || '/') OR starts_with(l.path, w.path || '/')))""")
+def merged_documents(spark, sf):
+    keys, order = ["user_id"], ["us", "event_id"]
+    log = PT.leaves(V.twin_patches(spark, sf), keys, order, "patch")
+    return PT.document(log, keys, order).select("user_id", F.array_join("path", "/").alias("path"), "value", "us")
+
+
+@query("latest_twin_state", "SRC11", f"SELECT user_id, event_type AS path, {r6('arg_max(value, (us, event_id))')} AS value, max(us) AS us FROM ev GROUP BY 1, 2")
 def latest_twin_state(spark, sf):
     return K.latest_state(V.ev(spark, sf), ["user_id", "event_type"], ["us", "event_id"], ["value"]).select("user_id", F.col("event_type").alias("path"), "value", "us")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugeline.operators import patches as P
 from gaugeline.plans import alarm as PA
 from gaugeline.plans import ingest as PI
 from gaugeline.plans import views as V
@@ -27,17 +28,19 @@ def timed(stream):
 def staged(spark, rows, label, cuts):
     """Write rows as consecutive time slices, so the feed sees them in several batches."""
     path = fresh_path(spark, label)
+    files = 1 + rows.count() // ROWS_PER_FILE  # of each slice, so that a batch is a slice
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         part = rows
         if lo is not None:
             part = part.where(F.col("us") >= lo)
         if hi is not None:
             part = part.where(F.col("us") < hi)
-        part.repartition(8).write.mode("append").parquet(path)
-    return D.file_feed(spark, path, rows.schema, files_per_trigger=8)
+        part.repartition(files).write.mode("append").parquet(path)
+    return D.file_feed(spark, path, rows.schema, files_per_trigger=files)
 
 
 DAY_US = 86400 * 10**6
+ROWS_PER_FILE = 1_000_000
 CUTS = (V.T0_US + 10 * 2 * V.TICK_US, V.T0_US + 20 * 2 * V.TICK_US)
 
 
@@ -114,6 +117,32 @@ def stream_latest_state(spark, sf):
     return D.read_latest(spark, path, ["user_id", "event_type"], ["us", "event_id"]).select("user_id", "event_type", "value", "us")
 
 
+def patch_log(spark, sf):
+    """Leaves of the patches that events make to their device's document."""
+    return P.leaves(V.twin_patches(spark, sf), ["user_id"], ["us", "event_id"], "patch")
+
+
+def refuses(entities, number):
+    """A seventh of the devices does not answer in a batch."""
+    return entities.where((F.col("user_id") + number) % 7 != 0)
+
+
+@query("stream_merge_patches", "SRC11 FN8", """
+SELECT user_id, path, value, us FROM twin_writes w WHERE value IS NOT NULL AND taken AND NOT EXISTS (SELECT 1 FROM twin_writes l WHERE l.user_id = w.user_id AND l.taken AND (l.us, l.event_id) > (w.us, w.event_id)
+  AND (l.path = w.path OR starts_with(w.path, l.path || '/') OR starts_with(l.path, w.path || '/')))""")
+def stream_merge_patches(spark, sf):
+    """Documents as the devices have them: patches of a device that did not answer come again with the next
+    batch, those of the last batch are still waiting."""
+    keys, order, schema = ["user_id"], ["us", "event_id"], "user_id bigint, us bigint, event_id bigint, path array<string>, value string"
+    path, outbox = fresh_path(spark, "twins"), fresh_path(spark, "outbox")
+    shrink = lambda log: P.compact(log, keys, order)
+    tiers = D.Tiers(spark, path, schema, shrink)
+    feed = staged(spark, V.twin_patches(spark, sf), "patches", CUTS)
+    write = D.delivered_batches(tiers, outbox, keys, schema, refuses, shrink)
+    D.run_available(feed, lambda batch, number: write(P.leaves(batch, keys, order, "patch"), number), label="patches")
+    return P.document(tiers.read(), keys, order).select("user_id", F.array_join("path", "/").alias("path"), "value", "us")
+
+
 @query("stream_window_counts", "AG50 SRC10", f"SELECT us // 86400000000 AS day, event_type, count(*) AS n, {r6('sum(value)')} AS total FROM ev GROUP BY 1, 2")
 def stream_window_counts(spark, sf):
     path = fresh_path(spark, "windows")

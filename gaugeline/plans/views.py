@@ -81,6 +81,12 @@ def _machine(source: str, name: str, live: str = "r.status = 'scored'") -> str:
     FROM {name} m JOIN {source} r ON r.user_id = m.user_id AND r.tick = m.tick + 1)"""
 
 
+# Patches of events to the document of their device: most write two leaves, some replace an object by a value,
+# some delete an object or everything. A device that does not answer in the last slice keeps what it had.
+SQL_VIEWS["twin_writes"] = f"""SELECT user_id, us, event_id, unnest(CASE WHEN k % 17 = 3 THEN ['features'] WHEN k % 10 = 0 OR k % 13 = 1 THEN ['features/' || event_type]
+    ELSE ['features/' || event_type || '/value', 'features/' || event_type || '/k'] END) AS path,
+  unnest(CASE WHEN k % 17 = 3 OR k % 10 = 0 THEN [NULL] WHEN k % 13 = 1 THEN [CAST(k AS VARCHAR)] ELSE [CAST(CAST(round(value * 10) AS BIGINT) AS VARCHAR), CAST(k AS VARCHAR)] END) AS value,
+  (user_id + 2) % 7 <> 0 OR us < {T0_US + 20 * 2 * TICK_US} AS taken FROM ev"""
 SQL_VIEWS["trace"] = _machine("readings", "trace")
 SQL_VIEWS["zones"] = "SELECT user_id, event_type, us AS z0, us + 86400000000 AS z1 FROM readings WHERE k % 20 = 5"
 SQL_VIEWS["readings_s"] = """SELECT r.*, coalesce((suspect OR act) AND EXISTS (SELECT 1 FROM zones z WHERE z.user_id = r.user_id
@@ -159,6 +165,15 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def twin_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """(user_id, us, event_id, patch): JSON merge patches."""
+    k, quoted = F.col("k").cast("string"), F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    value = F.round(F.col("value") * 10).cast("bigint").cast("string")
+    inner = F.when(F.col("k") % 10 == 0, F.lit("null")).when(F.col("k") % 13 == 1, k).otherwise(F.concat(F.lit('{"value": '), value, F.lit(', "k": '), k, F.lit("}")))
+    patch = F.when(F.col("k") % 17 == 3, F.lit('{"features": null}')).otherwise(F.concat(F.lit('{"features": {'), quoted, F.lit(": "), inner, F.lit("}}")))
+    return ev(spark, sf).select("user_id", "us", "event_id", patch.alias("patch"))
+
+
 def interventions(spark: SparkSession, sf: str) -> DataFrame:
     orders, items = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     day = 86400 * 10**6
