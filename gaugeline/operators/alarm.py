@@ -1,4 +1,4 @@
-"""Alarm machine over ordered readings, written as latches over running values.
+"""Alarm machine over ordered readings, as a finite machine of composed maps; guard and ordered ingest as latches.
 
 States: warming_up, normal, suspect, act, unknown. A reading that is not scored, or is
 suppressed, clears everything. ``act`` is set after n_act acting readings in a row, ``suspect``
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.operators import automata as M
 from gaugeline.operators import scan as S
 
 ALARM = ("suspect", "act")
@@ -28,50 +29,59 @@ class Debounce:
             raise ValueError("counts must be positive and release_m above n_act")
 
 
+WARMING, BLIND, CALM, SUSPECT, ACT = range(5)
+
+
+def machine(rule: Debounce) -> M.Automaton:
+    """The alarm machine: both latches and the three streaks, each counted as far as the rule looks."""
+
+    def step(state: tuple, symbol: int) -> tuple:
+        if symbol in (WARMING, BLIND):
+            return ("warming_up" if symbol == WARMING else "unknown", False, False, 0, 0, 0)
+        _, act, suspect, n_act, n_loud, n_calm = state
+        n_act = min(n_act + 1, rule.n_act) if symbol == ACT else 0
+        n_loud = 0 if symbol == CALM else min(n_loud + 1, rule.n_suspect)
+        n_calm = min(n_calm + 1, rule.release_m) if symbol == CALM else 0
+        free = n_calm >= rule.release_m
+        act, suspect = n_act >= rule.n_act or (act and not free), n_loud >= rule.n_suspect or (suspect and not free)
+        return ("act" if act else "suspect" if suspect else "normal", act, suspect, n_act, n_loud, n_calm)
+
+    return M.Automaton.of(("warming_up", False, False, 0, 0, 0), 5, step, lambda state: state[0])
+
+
+def symbol(suspect: Column, act: Column, suppressed: Column | None = None) -> Column:
+    """Step of a reading with ``status``; a rejected one is none."""
+    alarming = suspect | act
+    live = F.col("status") == "scored"
+    live = live if suppressed is None else live & ~(F.coalesce(suppressed, F.lit(False)) & alarming)
+    heard = F.when(F.coalesce(act, F.lit(False)), ACT).when(F.coalesce(suspect, F.lit(False)), SUSPECT).otherwise(CALM)
+    return F.when(F.col("status") == "rejected", F.lit(None)).when(F.col("status") == "warming_up", WARMING).when(live, heard).otherwise(BLIND)
+
+
 def states(
     readings: DataFrame, keys: list[str], order: list[str], chunk: Column,
     rule: Debounce = Debounce(), suppressed: Column | None = None,
 ) -> DataFrame:
-    """Add ``state`` to readings with columns status, suspect, act. Rejected readings keep the
-    state they arrive in; they are no step of the machine."""
-    held = F.coalesce(suppressed, F.lit(False)) if suppressed is not None else F.lit(False)
-    alarming = F.col("suspect") | F.col("act")
-    live = (F.col("status") == "scored") & ~(held & alarming)
-    stepped = readings.withColumns({"_live": live, "_step": F.col("status") != "rejected", "_k": chunk})
-    run = S.streaks(
-        stepped.where("_step"), keys, order, "_k",
-        {"_ca": F.col("_live") & F.col("act"), "_cs": F.col("_live") & alarming, "_calm": F.col("_live") & ~alarming},
-        settle=True,
-    )
-    off = ~F.col("_live") | (F.col("_calm") >= rule.release_m)
-    latch = lambda on: F.when(on, 1).when(off, 0)
-    run = S.scan(
-        run, keys, order, "_k", True,
-        _a=S.last_known(latch(F.col("_ca") >= rule.n_act)), _s=S.last_known(latch(F.col("_cs") >= rule.n_suspect)),
-    )
-    level = F.when(F.col("_a") == 1, "act").when(F.col("_s") == 1, "suspect").otherwise("normal")
-    run = run.withColumn(
-        "state",
-        F.when(F.col("status") == "warming_up", "warming_up").when(~F.col("_live"), "unknown").otherwise(level),
-    )
-    return run.drop("_k", "_live", "_step", "_ca", "_cs", "_calm", "_a", "_s")
+    """Add ``state``, ``prev`` (warming_up before the first reading), ``changed`` and ``entry`` to readings
+    with columns status, suspect, act. A rejected reading is no step and keeps the state it arrives in."""
+    out = M.run(readings, keys, order, chunk, {"state": (machine(rule), symbol(F.col("suspect"), F.col("act"), suppressed))})
+    return out.withColumnRenamed("state_prev", "prev").withColumns(moves("state", "prev"))
+
+
+def channels(readings: DataFrame, keys: list[str], order: list[str], chunk: Column, symbols: dict[str, Column], rule: Debounce = Debounce()) -> DataFrame:
+    """Several machines on the same readings in one pass: ``name`` and ``name_prev`` for each symbol."""
+    return M.run(readings, keys, order, chunk, {name: (machine(rule), s) for name, s in symbols.items()})
 
 
-def with_rejected(stepped: DataFrame, rejected: DataFrame, keys: list[str], order: list[str], chunk: Column) -> DataFrame:
-    """Put rejected readings back with the state carried to them."""
-    both = stepped.unionByName(rejected, allowMissingColumns=True)
-    out = S.scan(both, keys, order, chunk, _carried=S.last_known(F.col("state")))
-    return out.withColumn("state", F.coalesce("state", "_carried", F.lit("warming_up"))).drop("_carried")
+def moves(state: str, prev: str) -> dict[str, Column]:
+    return {"changed": F.col(state) != F.col(prev), "entry": F.col(state).isin(*ALARM) & ~F.col(prev).isin(*ALARM)}
 
 
 def transitions(trace: DataFrame, keys: list[str], order: list[str], chunk: Column) -> DataFrame:
     """Add ``prev`` (warming_up before the first reading), ``changed`` and ``entry``."""
     out = S.scan(trace, keys, order, chunk, True, _p=S.previous(F.col("state")))
     out = out.withColumn("prev", F.coalesce("_p", F.lit("warming_up"))).drop("_p")
-    return out.withColumns({
-        "changed": F.col("state") != F.col("prev"),
-        "entry": F.col("state").isin(*ALARM) & ~F.col("prev").isin(*ALARM),
-    })
+    return out.withColumns(moves("state", "prev"))
 
 
 def range_guard(df: DataFrame, keys: list[str], order: list[str], chunk: Column, load: str, limit: Column, exit_ticks: int, name: str = "guard") -> DataFrame:

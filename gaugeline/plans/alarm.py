@@ -29,13 +29,12 @@ def chunk():
 def trace(spark, sf):
     """State per reading, written once because the figures below read it several times."""
     stepped = A.states(V.readings(spark, sf), USER, ["tick"], chunk())
-    return cut_lineage(stepped.select("user_id", "tick", "us", "status", "suspect", "act", "state"))
+    return cut_lineage(stepped.select("user_id", "tick", "us", "status", "suspect", "act", "state", "prev", "entry"))
 
 
 @query("alarm_states", "ST3", "SELECT user_id, tick, state, prev FROM trace")
 def alarm_states(spark, sf):
-    stepped = A.states(V.readings(spark, sf), USER, ["tick"], chunk())
-    return A.transitions(stepped, USER, ["tick"], chunk()).select("user_id", "tick", "state", "prev")
+    return A.states(V.readings(spark, sf), USER, ["tick"], chunk()).select("user_id", "tick", "state", "prev")
 
 
 def held_readings(spark, sf):
@@ -48,8 +47,7 @@ def held_readings(spark, sf):
 
 @query("suppressed_states", "ST4 JN4", "SELECT user_id, tick, state, prev FROM trace_s")
 def suppressed_states(spark, sf):
-    stepped = A.states(held_readings(spark, sf), USER, ["tick"], chunk(), suppressed=F.col("held"))
-    return A.transitions(stepped, USER, ["tick"], chunk()).select("user_id", "tick", "state", "prev")
+    return A.states(held_readings(spark, sf), USER, ["tick"], chunk(), suppressed=F.col("held")).select("user_id", "tick", "state", "prev")
 
 
 @query("alarm_entries", "WIN7", f"""
@@ -58,7 +56,7 @@ SELECT user_id, count(*) FILTER (WHERE state IN {ALARM_SQL} AND prev NOT IN {ALA
  count(*) FILTER (WHERE status = 'scored' AND (suspect OR act) AND NOT coalesce(praw, false)) AS n_raw_runs,
  count(*) FILTER (WHERE status = 'scored' AND prev NOT IN {ALARM_SQL}) AS at_risk FROM x GROUP BY user_id""")
 def alarm_entries(spark, sf):
-    moved = A.transitions(trace(spark, sf), USER, ["tick"], chunk())
+    moved = trace(spark, sf)
     raw = (F.col("status") == "scored") & (F.col("suspect") | F.col("act"))
     told = S.scan(moved, USER, ["tick"], chunk(), praw=S.previous(raw))
     return told.groupBy("user_id").agg(
@@ -104,18 +102,16 @@ SELECT user_id // 4 AS user_id, CASE WHEN user_id % 4 // 2 = 0 THEN 'full' ELSE
  count(*) FILTER (WHERE state IN {ALARM_SQL} AND prev NOT IN {ALARM_SQL}) AS n_entries, count(*) FILTER (WHERE status = 'scored' AND prev NOT IN {ALARM_SQL}) AS at_risk,
  count(*) FILTER (WHERE state IN {ALARM_SQL}) AS alarm_ticks, count(*) FILTER (WHERE status = 'scored' AND (suspect OR act)) AS raw_ticks FROM trace_c GROUP BY 1, 2, 3""")
 def channel_machines(spark, sf):
-    machines = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("channel"), F.lit(m).alias("mode")) for c in ("full", "act_only") for m in ("with_log", "no_log")
+    """Four machines over one read of the readings."""
+    named = {("full", "no_log"): (F.col("suspect"), None), ("full", "with_log"): (F.col("suspect"), F.col("held")),
+             ("act_only", "no_log"): (F.col("act"), None), ("act_only", "with_log"): (F.col("act"), F.col("held"))}
+    symbols = {f"{c}_{m}": A.symbol(suspect, F.col("act"), held) for (c, m), (suspect, held) in named.items()}
+    rows = A.channels(held_readings(spark, sf), USER, ["tick"], chunk(), symbols)
+    told = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("channel"), F.lit(m).alias("mode"), suspect.alias("suspect"), F.col(f"{c}_{m}").alias("state"), F.col(f"{c}_{m}_prev").alias("prev")) for (c, m), (suspect, _) in named.items()
     ])).alias("_m")
-    rows = held_readings(spark, sf).select("user_id", "tick", "status", "suspect", "act", "held", machines)
-    rows = rows.select(
-        "user_id", "_m.channel", "_m.mode", "tick", "status", "act",
-        F.when(F.col("_m.channel") == "full", F.col("suspect")).otherwise(F.col("act")).alias("suspect"),
-        (F.col("held") & (F.col("_m.mode") == "with_log")).alias("held"),
-    )
-    keys = ["user_id", "channel", "mode"]
-    moved = A.transitions(A.states(rows, keys, ["tick"], chunk(), suppressed=F.col("held")), keys, ["tick"], chunk())
-    return moved.groupBy(*keys).agg(
+    moved = rows.select("user_id", "status", "act", told).select("user_id", "status", "act", "_m.*").withColumns(A.moves("state", "prev"))
+    return moved.groupBy("user_id", "channel", "mode").agg(
         F.count_if("entry").alias("n_entries"), F.count_if((F.col("status") == "scored") & ~F.col("prev").isin(*A.ALARM)).alias("at_risk"),
         F.count_if(F.col("state").isin(*A.ALARM)).alias("alarm_ticks"),
         F.count_if((F.col("status") == "scored") & (F.col("suspect") | F.col("act"))).alias("raw_ticks"),
@@ -258,8 +254,7 @@ def switch_readings(spark, sf):
 def zone_trace(spark, sf):
     told = switch_readings(spark, sf).join(zone_cover(spark, sf).select("run_id", "tick", "suppressed"), ["run_id", "tick"], "left")
     held = (F.col("suspect") | F.col("act")) & F.coalesce("suppressed", F.lit(False))
-    stepped = A.states(cut_lineage(told.withColumn("held", held)), ["run_id"], ["tick"], chunk(), suppressed=F.col("held"))
-    return A.transitions(stepped, ["run_id"], ["tick"], chunk())
+    return A.states(told.withColumn("held", held), ["run_id"], ["tick"], chunk(), suppressed=F.col("held"))
 
 
 @query("radius_suppressed_states", "ST4 ST14", """SELECT 'R' || lpad(CAST(t.user_id AS VARCHAR), 6, '0') AS run_id, t.us AS tick, t.state, t.prev, r.held FROM trace_z t JOIN readings_z r USING (user_id, tick)""")
@@ -402,8 +397,7 @@ SELECT r.grp, l.run_id, count(*) AS n_ticks, count(*) FILTER (WHERE m.active) AS
  count(*) FILTER (WHERE t.state IN ('suspect', 'act') AND NOT m.active) AS published_alarm_ticks, count(*) FILTER (WHERE t.state IN ('suspect', 'act') AND t.prev NOT IN ('suspect', 'act')) AS n_entries
 FROM loads l JOIN trace_n t ON t.user_id = l.g AND t.tick = l.rn JOIN guards m ON m.g = l.g AND m.rn = l.rn JOIN runs r ON r.run_id = l.run_id GROUP BY r.grp, l.run_id""")
 def scored_set(spark, sf):
-    stepped = A.states(run_readings(spark, sf), ["run_id"], ["tick"], chunk())
-    moved = A.transitions(stepped, ["run_id"], ["tick"], chunk()).select("run_id", "tick", "state", "entry")
+    moved = A.states(run_readings(spark, sf), ["run_id"], ["tick"], chunk()).select("run_id", "tick", "state", "entry")
     guarded = A.range_guard(run_loads(spark, sf), ["run_id"], ["tick"], chunk(), "load", F.lit(50.0), 3).select("run_id", "tick", "guard")
     rows = moved.join(guarded, ["run_id", "tick"]).join(V.runs(spark, sf).select("run_id", "grp"), "run_id")
     alarm = F.col("state").isin(*A.ALARM)

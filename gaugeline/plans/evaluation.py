@@ -205,8 +205,7 @@ SQL_VIEWS["incidents"] = """SELECT r.run_id, any_value(r.fault) AS fault, min(e.
 
 
 def run_trace(spark, sf):
-    stepped = A.states(PA.run_readings(spark, sf), ["run_id"], ["tick"], S.tick_chunk("tick"))
-    return A.transitions(stepped, ["run_id"], ["tick"], S.tick_chunk("tick"))
+    return A.states(PA.run_readings(spark, sf), ["run_id"], ["tick"], S.tick_chunk("tick"))
 
 
 def incidents(spark, sf):

@@ -52,9 +52,9 @@ def test_release_must_outlast_act():
 def test_rejected_rows_keep_the_carried_state(spark):
     rows = [("r", 0, "warming_up", False, False, False), ("r", 1, "scored", True, False, False), ("r", 2, "rejected", False, False, False), ("r", 3, "scored", False, False, False)]
     df = spark.createDataFrame(rows, SCHEMA)
-    stepped = A.states(df, ["run"], ["tick"], S.tick_chunk("tick", 2))
-    out = A.with_rejected(stepped, df.where("status = 'rejected'"), ["run"], ["tick"], S.tick_chunk("tick", 2)).orderBy("tick").collect()
+    out = A.states(df, ["run"], ["tick"], S.tick_chunk("tick", 2)).orderBy("tick").collect()
     assert [r.state for r in out] == ["warming_up", "suspect", "suspect", "suspect"]
+    assert [(r.prev, r.entry) for r in out] == [("warming_up", False), ("warming_up", True), ("suspect", False), ("suspect", False)]
 
 
 def test_guard_keeps_state_on_missing_load(spark):
