@@ -73,6 +73,16 @@ def channels(readings: DataFrame, keys: list[str], order: list[str], chunk: Colu
     return M.run(readings, keys, order, chunk, {name: (machine(rule), s) for name, s in symbols.items()})
 
 
+def with_status(rows: DataFrame, keys: list[str], order: list[str], chunk: Column, at: str, unusable: Column, warm: int = 1, max_gap: int = 1) -> DataFrame:
+    """Add ``status`` and ``cause`` of accepted readings by the rule: the first ``warm`` of a key are
+    warming_up, one that is more than ``max_gap`` after the one before is unknown, so is one that
+    cannot be judged; the others are scored. A restart or a cut needs nothing else."""
+    told = S.scan(rows, keys, order, chunk, True, _i=S.count(before=True), _p=S.previous(F.col(at)))
+    cause = F.when(F.col("_i") < warm, "start").when(F.col(at) - F.col("_p") > max_gap, "gap").when(unusable, "missing")
+    status = F.when(cause == "start", "warming_up").when(cause.isNotNull(), "unknown").otherwise("scored")
+    return told.withColumns({"cause": cause, "status": status}).drop("_i", "_p")
+
+
 def moves(state: str, prev: str) -> dict[str, Column]:
     return {"changed": F.col(state) != F.col(prev), "entry": F.col(state).isin(*ALARM) & ~F.col(prev).isin(*ALARM)}
 

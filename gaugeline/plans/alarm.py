@@ -118,40 +118,41 @@ def channel_machines(spark, sf):
     )
 
 
-SQL_VIEWS["readings_r"] = """SELECT user_id * 2 + i AS user_id, tick - cp AS tick, us, CASE WHEN tick = cp THEN 'warming_up' WHEN k % 11 = 0 THEN 'unknown' ELSE 'scored' END AS status, suspect, act
-  FROM readings CROSS JOIN (VALUES (0, 5), (1, 15)) v(i, cp) WHERE tick >= cp"""
+# Replays apply the rule of the statuses to the rows that are left; no status is written where they are cut.
+SQL_VIEWS["readings_r"] = """SELECT user_id * 2 + i AS user_id, row_number() OVER (PARTITION BY user_id, i ORDER BY tick) - 1 AS tick, us, CASE WHEN row_number() OVER (PARTITION BY user_id, i ORDER BY tick) = 1 THEN 'warming_up'
+  WHEN tick - lag(tick) OVER (PARTITION BY user_id, i ORDER BY tick) > 1 OR k % 11 = 0 THEN 'unknown' ELSE 'scored' END AS status, suspect, act FROM readings CROSS JOIN (VALUES (0, 5), (1, 15)) v(i, cp) WHERE tick >= cp"""
 SQL_VIEWS["trace_r"] = _machine("readings_r", "trace_r")
-SQL_VIEWS["readings_g"] = """SELECT user_id, CASE WHEN tick < 10 THEN tick ELSE tick - 5 END AS tick, us, CASE WHEN tick = 15 THEN 'unknown' ELSE status END AS status, suspect, act
-  FROM readings WHERE tick < 10 OR tick >= 15"""
+SQL_VIEWS["readings_g"] = """SELECT user_id, row_number() OVER w - 1 AS tick, tick AS us, CASE WHEN row_number() OVER w = 1 THEN 'warming_up' WHEN tick - lag(tick) OVER w > 1 OR k % 11 = 0 THEN 'unknown' ELSE 'scored' END AS status,
+  suspect, act FROM readings WHERE tick < 10 OR tick >= 15 WINDOW w AS (PARTITION BY user_id ORDER BY tick)"""
 SQL_VIEWS["trace_g"] = _machine("readings_g", "trace_g")
 
 
 @query("restart_replay", "ST12", """
 SELECT user_id // 2 AS user_id, CASE WHEN user_id % 2 = 0 THEN 5 ELSE 15 END AS restart, bool_or(tick = 0 AND state = 'warming_up') AS starts_warming,
- coalesce(bool_or(tick < 2 AND state = 'act'), false) AS early_act, count(*) FILTER (WHERE state = 'act') AS act_ticks FROM trace_r GROUP BY ALL""")
+ coalesce(bool_or(tick = 1 AND state = 'act'), false) AS early_act, count(*) FILTER (WHERE state = 'act') AS act_ticks FROM trace_r GROUP BY ALL""")
 def restart_replay(spark, sf):
     points = F.explode(F.array(F.lit(5), F.lit(15))).alias("restart")
-    rows = V.readings(spark, sf).select("*", points).where("tick >= restart").withColumn("tick", F.col("tick") - F.col("restart"))
-    rows = rows.withColumn("status", F.when(F.col("tick") == 0, "warming_up").when(F.col("k") % 11 == 0, "unknown").otherwise("scored"))
+    rows = V.readings(spark, sf).drop("status").select("*", points).where("tick >= restart")
     keys = ["user_id", "restart"]
-    return A.states(rows, keys, ["tick"], chunk()).groupBy(*keys).agg(
-        F.bool_or((F.col("tick") == 0) & (F.col("state") == "warming_up")).alias("starts_warming"),
-        F.bool_or((F.col("tick") < 2) & (F.col("state") == "act")).alias("early_act"),
+    judged = A.with_status(rows, keys, ["tick"], chunk(), "tick", F.col("k") % 11 == 0)
+    first = F.col("tick") == F.col("restart")
+    return A.states(judged, keys, ["tick"], chunk()).groupBy(*keys).agg(
+        F.bool_or(first & (F.col("state") == "warming_up")).alias("starts_warming"),
+        F.bool_or((F.col("tick") == F.col("restart") + 1) & (F.col("state") == "act")).alias("early_act"),
         F.count_if(F.col("state") == "act").alias("act_ticks"),
     )
 
 
 @query("gap_replay", "ST13", """
-SELECT user_id, coalesce(bool_or(tick = 10 AND state = 'unknown'), false) AS gap_unknown, count(*) FILTER (WHERE state = 'act') AS act_ticks,
- count(*) FILTER (WHERE state IN ('suspect', 'act') AND tick >= 10) AS alarms_after FROM trace_g GROUP BY user_id""")
+SELECT user_id, coalesce(bool_or(us = 15 AND state = 'unknown'), false) AS gap_unknown, count(*) FILTER (WHERE state = 'act') AS act_ticks,
+ count(*) FILTER (WHERE state IN ('suspect', 'act') AND us >= 15) AS alarms_after FROM trace_g GROUP BY user_id""")
 def gap_replay(spark, sf):
-    rows = V.readings(spark, sf).where("tick < 10 or tick >= 15")
-    rows = rows.withColumn("status", F.when(F.col("tick") == 15, "unknown").otherwise(F.col("status")))
-    rows = rows.withColumn("tick", F.when(F.col("tick") < 10, F.col("tick")).otherwise(F.col("tick") - 5))
-    return A.states(rows, USER, ["tick"], chunk()).groupBy("user_id").agg(
-        F.bool_or((F.col("tick") == 10) & (F.col("state") == "unknown")).alias("gap_unknown"),
+    rows = V.readings(spark, sf).drop("status").where("tick < 10 or tick >= 15")
+    judged = A.with_status(rows, USER, ["tick"], chunk(), "tick", F.col("k") % 11 == 0)
+    return A.states(judged, USER, ["tick"], chunk()).groupBy("user_id").agg(
+        F.coalesce(F.bool_or((F.col("cause") == "gap") & (F.col("state") == "unknown")), F.lit(False)).alias("gap_unknown"),
         F.count_if(F.col("state") == "act").alias("act_ticks"),
-        F.count_if(F.col("state").isin(*A.ALARM) & (F.col("tick") >= 10)).alias("alarms_after"),
+        F.count_if(F.col("state").isin(*A.ALARM) & (F.col("tick") >= 15)).alias("alarms_after"),
     )
 
 

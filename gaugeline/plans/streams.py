@@ -56,8 +56,8 @@ def drained(spark, stream, schema, label, checkpoint=None):
     return spark.read.schema(schema).parquet(f"{out}/epoch=*")
 
 
-def folded(spark, stream, keys, step, order, schema, label):
-    return drained(spark, G.fold(stream, keys, step, order, schema, [c.split()[0] for c in schema.split(", ")]), schema, label)
+def folded(spark, stream, keys, step, order, schema, label, checkpoint=None, initial=None):
+    return drained(spark, G.fold(stream, keys, step, order, schema, [c.split()[0] for c in schema.split(", ")], initial), schema, label, checkpoint)
 
 
 def watched(rows, delay):
@@ -73,6 +73,28 @@ def stream_alarm_states(spark, sf):
     return out.select("user_id", "tick", "state", "prev", "rejected")
 
 
+SQL_VIEWS["readings_f"] = f"""SELECT user_id, row_number() OVER w - 1 AS tick, us, CASE WHEN row_number() OVER w = 1 THEN 'warming_up' WHEN k % 11 = 0 THEN 'unknown' ELSE 'scored' END AS status, suspect, act
+  FROM readings WHERE us >= {CUTS[0]} WINDOW w AS (PARTITION BY user_id ORDER BY tick)"""
+SQL_VIEWS["trace_f"] = V._machine("readings_f", "trace_f")
+
+
+@query("stream_forked_replay", "ST12 ST19", f"""
+SELECT 'forked' AS mode, user_id, us, state, prev FROM trace WHERE us >= {CUTS[0]} UNION ALL SELECT 'cold' AS mode, user_id, us, state, prev FROM trace_f""")
+def stream_forked_replay(spark, sf):
+    """A stream stopped at a cut: a new one that starts from the state in its checkpoint goes on as if nothing
+    had happened, and one that starts without it warms up again."""
+    keys = ["user_id"]
+    rows = V.readings(spark, sf).select("user_id", "tick", "us", "suspect", "act", (F.col("k") % 11 != 0).alias("usable"))
+    schema = "user_id bigint, tick bigint, us bigint, suspect boolean, act boolean, usable boolean, status string, state string, prev string, rejected boolean"
+    step, checkpoint = G.replayed(G.alarm_step()), fresh_path(spark, "stopped")
+    folded(spark, staged(spark, rows.where(F.col("us") < CUTS[0]), "before", ()), keys, step, "tick", schema, "before", checkpoint)
+    rest, out = rows.where(F.col("us") >= CUTS[0]), []
+    for mode, initial in (("forked", G.stored_state(spark, checkpoint, keys)), ("cold", None)):
+        told = folded(spark, staged(spark, rest, mode, CUTS[1:]), keys, step, "tick", schema, mode, initial=initial)
+        out.append(told.select(F.lit(mode).alias("mode"), "user_id", "us", "state", "prev"))
+    return out[0].unionByName(out[1])
+
+
 @query("stream_range_guard", "ST5", "SELECT 'R' || lpad(CAST(l.g AS VARCHAR), 6, '0') AS run_id, l.tick, active AS guard FROM loads l JOIN guards m ON m.g = l.g AND m.rn = l.rn")
 def stream_range_guard(spark, sf):
     rows = PA.run_loads(spark, sf).select("run_id", "tick", "load", (F.lit(V.T0_US) + F.col("tick") * V.TICK_US).alias("us"))

@@ -11,7 +11,8 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 Step = Callable[[dict, dict], dict]
@@ -41,12 +42,24 @@ class Folding(StatefulProcessor):
         self.kept.update((json.dumps(state),))
         yield pd.DataFrame(out).reindex(columns=self.outputs)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.kept.update((initialState["body"].iloc[0],))
+
     def close(self) -> None:
         pass
 
 
-def fold(stream: DataFrame, keys: list[str], step: Step, order: str, schema: str, outputs: list[str]) -> DataFrame:
-    return stream.groupBy(*keys).transformWithStateInPandas(Folding(step, order, outputs), schema, "Append", "None")
+def fold(stream: DataFrame, keys: list[str], step: Step, order: str, schema: str, outputs: list[str], initial: DataFrame | None = None) -> DataFrame:
+    """``initial`` (keys, body) is the state that a new stream starts from, as :func:`stored_state` reads it."""
+    begin = None if initial is None else initial.groupBy(*keys)
+    return stream.groupBy(*keys).transformWithStateInPandas(Folding(step, order, outputs), schema, "Append", "None", initialState=begin)
+
+
+def stored_state(spark: SparkSession, checkpoint: str, keys: list[str], batch: int | None = None) -> DataFrame:
+    """(keys, body): the state that a folded stream left in its checkpoint, at its end or after a batch."""
+    reader = spark.read.format("statestore").option("stateVarName", "kept")
+    reader = reader if batch is None else reader.option("batchId", batch)
+    return reader.load(checkpoint).select(*[F.col(f"key.{k}").alias(k) for k in keys], F.col("value.body").alias("body"))
 
 
 def alarm_step(n_suspect: int = 1, n_act: int = 2, release_m: int = 3) -> Step:
@@ -68,6 +81,19 @@ def alarm_step(n_suspect: int = 1, n_act: int = 2, release_m: int = 3) -> Step:
     return step
 
 
+def replayed(step: Step, warm: int = 1, max_gap: int = 1) -> Step:
+    """A step whose status follows the rule: the first ``warm`` readings since there is a state are
+    warming_up, one more than ``max_gap`` ticks after the last is unknown, and so is one that is not usable."""
+
+    def ruled(state: dict, row: dict) -> dict:
+        seen, gap = state.get("seen", 0), row["tick"] - state["_at"] if "_at" in state else 0
+        status = "warming_up" if seen < warm else "unknown" if gap > max_gap or not row["usable"] else "scored"
+        state["seen"] = seen + 1
+        return {"status": status, **step(state, {**row, "status": status})}
+
+    return ruled
+
+
 def guard_step(limit: float, exit_ticks: int = 3) -> Step:
     def step(state: dict, row: dict) -> dict:
         load = row["load"]
