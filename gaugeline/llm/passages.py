@@ -11,7 +11,7 @@ With ``run_words`` every run of that many words goes too that occurs in a docume
 earlier in the same text without overlap, wherever sentences and lines end; runs that overlap go as one,
 so a passage goes to its last equal word. The smallest hash of the half-length word groups in a run, its
 key, is the same wherever the run occurs; neighbouring runs with one key are a segment. A segment that
-occurs as a whole in an earlier document goes at once. Only where segments with one key differ, their
+occurs as a whole in an earlier document goes at once. Equal means equal in two 64-bit hashes, everywhere. Only where segments with one key differ, their
 runs are hashed one by one, of each such segment in the first document that has it. That finds every
 repeated run; what goes is the union of both kinds of spans.
 
@@ -127,25 +127,41 @@ def runs_of(block: Block, run_words: int) -> tuple[np.ndarray, ...]:
     return starts, ends, range_hashes(LOWER[block.data], starts, ends), first, place, owner[place]
 
 
+PAIR = np.dtype([("a", np.int64), ("b", np.int64)])
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """128-bit values from two 64-bit ones."""
+    out = np.empty(len(a), PAIR)
+    out["a"], out["b"] = a, b
+    return out
+
+
+def listed(hashes: pa.ListScalar) -> np.ndarray:
+    return paired(*(child.to_numpy() for child in hashes.values.flatten()))
+
+
 def segments_of(one: np.ndarray, place: np.ndarray, owner: np.ndarray, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number (in ``place``) of the first run of each segment, its key, and the hash of all its words."""
+    """Number (in ``place``) of the first run of each segment, its key, and two hashes of all its words."""
     n = max(1, run_words // 2)
     key = smallest(rolled(one, n, ROLL[0]), run_words - n + 1)[place]
     if not len(key):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, PAIR)
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
     head = place[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
     new |= (place - head) % run_words == 0  # so that a word said over and over gives more than one
     heads = np.flatnonzero(new)
     first, last = place[heads], place[np.append(heads[1:], len(key)) - 1] + run_words
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(one * powers(ROLL[1], len(one)))])
-    whole = mixed((sums[last] - sums[first]) * powers(pow(ROLL[1], -1, 1 << 64), len(one))[first] + (last - first).astype(np.uint64))
-    return heads, key[heads].view(np.int64), (whole ^ key[heads]).view(np.int64)
+    whole = []
+    for factor in ROLL:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(one * powers(factor, len(one)))])
+        whole.append(mixed((sums[last] - sums[first]) * powers(pow(factor, -1, 1 << 64), len(one))[first] + (last - first).astype(np.uint64)))
+    return heads, key[heads].view(np.int64), paired((whole[1] ^ key[heads]).view(np.int64), whole[0].view(np.int64))
 
 
 def run_segments(docs: DataFrame, run_words: int) -> DataFrame:
-    """(doc_id, key, seg) of all segments."""
+    """(doc_id, key, seg, seg2) of all segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,9 +169,9 @@ def run_segments(docs: DataFrame, run_words: int) -> DataFrame:
             for block in blocks(batch.column("text")):
                 _, _, one, _, place, owner = runs_of(block, run_words)
                 heads, key, seg = segments_of(one, place, owner, run_words)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[block.first + owner[heads]]), pa.array(key), pa.array(seg)], names=["doc_id", "key", "seg"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[block.first + owner[heads]]), pa.array(key), pa.array(seg["a"].copy()), pa.array(seg["b"].copy())], names=["doc_id", "key", "seg", "seg2"])
 
-    return docs.mapInArrow(run, "doc_id bigint, key bigint, seg bigint")
+    return docs.mapInArrow(run, "doc_id bigint, key bigint, seg bigint, seg2 bigint")
 
 
 def hashed_runs(docs: DataFrame, run_words: int) -> DataFrame:
@@ -167,7 +183,7 @@ def hashed_runs(docs: DataFrame, run_words: int) -> DataFrame:
             for block in blocks(batch.column("text")):
                 _, _, one, _, place, owner = runs_of(block, run_words)
                 heads, _, seg = segments_of(one, place, owner, run_words)
-                some = np.isin(seg, wanted.slice(block.first, block.last - block.first).flatten().to_numpy())
+                some = np.isin(seg["a"], wanted.slice(block.first, block.last - block.first).flatten().to_numpy())
                 some = np.repeat(some, np.diff(np.append(heads, len(place))))
                 h1, h2 = (rolled(one, run_words, f)[place[some]].view(np.int64) for f in ROLL)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[block.first + owner[some]]), pa.array(h1), pa.array(h2)], names=["doc_id", "h1", "h2"])
@@ -180,15 +196,15 @@ def marked_runs(docs: DataFrame, run_words: int) -> DataFrame:
     and whether one of its texts may have a run twice."""
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     segments = cut_lineage(run_segments(known, run_words))
-    kinds = segments.groupBy("key").agg(F.count("*").alias("n"), (F.min("seg") != F.max("seg")).alias("differ")).where("n > 1").select("key", "differ")
+    kinds = segments.groupBy("key").agg(F.count("*").alias("n"), ((F.min("seg") != F.max("seg")) | (F.min("seg2") != F.max("seg2"))).alias("differ")).where("n > 1").select("key", "differ")
     shared = cut_lineage(segments.join(cut_lineage(kinds), "key"))
-    first = shared.groupBy("seg").agg(F.min("doc_id").alias("first"))
-    shared = cut_lineage(shared.join(cut_lineage(first), "seg"))
+    first = shared.groupBy("seg", "seg2").agg(F.min("doc_id").alias("first"))
+    shared = cut_lineage(shared.join(cut_lineage(first), ["seg", "seg2"]))
     opened = shared.where("differ and doc_id = first").groupBy("doc_id").agg(F.collect_set("seg").alias("open"))
     runs = cut_lineage(hashed_runs(known.join(cut_lineage(opened), "doc_id"), run_words))
     repeated = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
-    later = runs.join(cut_lineage(repeated.select("h1", "h2", "first")), ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("_runs"))
-    whole = shared.where("doc_id > first").groupBy("doc_id").agg(F.collect_set("seg").alias("_segs"))
+    later = runs.join(cut_lineage(repeated.select("h1", "h2", "first")), ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_runs"))
+    whole = shared.where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("seg", "seg2")).alias("_segs"))
     again = shared.groupBy("doc_id", "key").count().where("count > 1").select("doc_id").distinct().withColumn("_again", F.lit(True))
     return cut_lineage(whole.join(later, "doc_id", "full").join(again, "doc_id", "full"))
 
@@ -242,7 +258,7 @@ def without_repeats(docs: DataFrame, min_words: int = 25, unit_words: int = 4, r
     ``run_words`` only stretches of whole units."""
     marked = marked_units(docs, unit_words)
     none = F.lit(None)
-    marked = marked.join(marked_runs(docs, run_words), "doc_id", "full") if run_words else marked.withColumns({"_segs": none.cast("array<bigint>"), "_runs": none.cast("array<bigint>"), "_again": none.cast("boolean")})
+    marked = marked.join(marked_runs(docs, run_words), "doc_id", "full") if run_words else marked.withColumns({"_segs": none.cast("array<struct<seg: bigint, seg2: bigint>>"), "_runs": none.cast("array<struct<h1: bigint, h2: bigint>>"), "_again": none.cast("boolean")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +273,7 @@ def without_repeats(docs: DataFrame, min_words: int = 25, unit_words: int = 4, r
                 if any(some):
                     starts, ends, one, _, place, owner = runs_of(block, run_words)
                     heads, _, seg = segments_of(one, place, owner, run_words)
-                    seg, h = np.repeat(seg, np.diff(np.append(heads, len(place)))), rolled(one, run_words, ROLL[0])[place].view(np.int64)
+                    seg, h = np.repeat(seg, np.diff(np.append(heads, len(place)))), paired(*(rolled(one, run_words, f)[place].view(np.int64) for f in ROLL))
                 elif any(marks):
                     starts, _, _ = word_ranges(block.data, block.bounds)
                 for i, units in enumerate(marks):
@@ -272,7 +288,7 @@ def without_repeats(docs: DataFrame, min_words: int = 25, unit_words: int = 4, r
                         mark = np.zeros(len(place[own]), bool)
                         for values, hashes in ((seg[own], segs[i]), (h[own], runs[i])):
                             if hashes.is_valid:
-                                mark |= np.isin(values, hashes.values.to_numpy())
+                                mark |= np.isin(values, listed(hashes))
                         if again[i]:
                             mark |= occurred(place[own], h[own], run_words)
                         gone += [(int(starts[a]), int(ends[b - 1])) for a, b in ranges(place[own][mark], run_words)]

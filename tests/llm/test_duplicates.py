@@ -154,3 +154,19 @@ def test_runs_go_wherever_sentences_and_lines_end(spark, odd):
             left = left[:a] + left[b:]
         assert spans[i, left] == want
     assert sum(map(bool, spans.values())) >= 6
+
+
+def brute_both(rows, min_words, unit_words, run_words):
+    """(doc_id, text) without the spans of both rules; doc_ids are different."""
+    units = {i: spans for i, _, spans in brute_passages(rows, min_words, unit_words)}
+    out = []
+    for (i, text), gone in zip(rows, brute_runs(rows, run_words), strict=True):
+        places = [m.span() for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text or "")]
+        drop = [False] * len(text or "")
+        for a, b, _ in units[i]:
+            drop[a:b] = [True] * (b - a)
+        for k in gone:
+            end = places[k + 1][0] if k + 1 in gone else places[k][1]
+            drop[places[k][0] : end] = [True] * (end - places[k][0])
+        out.append((i, text if text is None else "".join(c for c, d in zip(text, drop, strict=True) if not d)))
+    return out

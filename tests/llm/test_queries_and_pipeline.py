@@ -7,7 +7,7 @@ import __spark_entry__ as E
 import corpus_pipeline
 from gaugeline.llm.mixing import document_size
 from gaugeline.llm.registry import oracle_sql, queries
-from test_duplicates import brute_components, brute_passages
+from test_duplicates import brute_both, brute_components
 from tools_check import TABLES, rows
 
 BASE = "/root/testdata/sf0.001"
@@ -43,7 +43,7 @@ def test_stages_against_brute_force(spark):
     assert {r.doc_id for r in two.collect()} == kept and two.columns == docs.columns
 
     three = cut(stage["substring dedup"](spark, two, BASE))
-    want = {(i, t) for i, t, _ in brute_passages([(r.doc_id, r.text) for r in two.collect()], 25, 4)}
+    want = set(brute_both([(r.doc_id, r.text) for r in two.collect()], 25, 4, 50))
     assert {(r.doc_id, r.text) for r in three.collect()} == want and three.columns == docs.columns
     assert three.where(F.length("text") != F.col("n_chars")).count() == 0
 
