@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gaugeline.llm.bpe import round_trip
 from gaugeline.llm.mixing import mix
 from gaugeline.llm.near_dups import deduplicated
-from gaugeline.llm.passages import without_repeats
+from gaugeline.llm.passages import RUN_WORDS, without_repeats
 from gaugeline.llm.quality import accepted
 from gaugeline.session import cut_lineage
 
@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur earlier; n_chars follows the text."""
-    kept = without_repeats(docs)
+    kept = without_repeats(docs, run_words=RUN_WORDS)
     kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
