@@ -1,14 +1,19 @@
 """WARC records and a Merkle audit of their replicas.
 
-``records_of`` writes pages as WARC/1.0 resource records, grouped into files by page id. A replica's
-catalogue holds record id, offset, length and SHA-256 of each record; only this travels, the payload
-is hashed where it is read. ``audit`` numbers the records of the primary in offset order, hashes them
-into trees with a fan-out of 16 over ordered ranges, compares the roots of the files and goes down
-only through ranges whose digests differ, so equal files cost one comparison.
+``records_of`` writes pages as WARC/1.0 resource records, grouped into files by page id. A catalogue holds
+what one side has: record id, own offset, length and SHA-256 of each record; only this travels, the
+payload is hashed where it is read. ``audit`` hashes each side's records, with their offsets, into its own
+tree: a leaf is the records that start in one range of bytes, in the order of their offsets, and nodes
+have a fan-out of 16. Roots are compared and only ranges whose digests differ are opened, so equal
+files cost one comparison. Records of open ranges, and no others, are then aligned by record id.
+
+Verdicts: ``missing``; ``extra``, or ``duplicate`` where the primary has the record fewer times; ``changed``
+bytes; ``moved``, if its place among the records that both sides have differs; and ``shifted``, if only its
+offset does. Shifted records that follow each other by one distance are one row with their number.
 
 Defined results: null url or html is empty; a null page_id puts a record into a file by its hash;
-equal records are told apart by their copy number; a record missing from the replica, changed in
-it or found only there is one row each; equal or empty replicas give no rows.
+equal records are told apart by their copy number in offset order; equal or empty replicas give no rows. A
+file is laid out and numbered in one task, so it has at most about ``per_file`` records.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from pyspark.sql import functions as F
 from gaugeline.session import cut_lineage
 
 FAN = 16
-LEVELS = 3  # FAN ** LEVELS records are under one root; a file with more has several roots
+LEVELS = 3  # FAN ** LEVELS ranges are under one root; a file with more has several roots
+RANGE_BYTES = 64 << 10
 RECORDS_PER_FILE = 4096
 END = "\r\n"
 
@@ -68,17 +74,33 @@ def read_warc(spark, path: str) -> DataFrame:
     return content.mapInPandas(parse, "file string, record_id string, offset bigint, record string")
 
 
-def catalogue(records: DataFrame) -> DataFrame:
-    """(file, record_id, copy, page_id, length, digest), without payload."""
-    thin = records.select("file", "record_id", "page_id", F.octet_length("record").cast("bigint").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
-    same = Window.partitionBy("file", "record_id").orderBy("digest")
-    return thin.withColumn("copy", F.row_number().over(same))
+def laid_out(records: DataFrame, order: list[str]) -> DataFrame:
+    """``records`` with ``offset``, as if each file had been written in ``order``."""
+    in_file = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return records.withColumn("offset", F.coalesce(F.sum(F.octet_length("record").cast("bigint")).over(in_file), F.lit(0)))
 
 
-def tree(leaves: DataFrame) -> list[DataFrame]:
-    """Levels of (file, node, digest), leaves first. A node hashes the numbers and digests of the
-    children it has, so a missing leaf changes every range above it."""
-    levels = [leaves.select("file", F.col("slot").alias("node"), F.sha2(F.concat_ws(" ", "length", "digest"), 256).alias("digest"))]
+def catalogue(records: DataFrame) -> DataFrame:
+    """(file, record_id, copy, page_id, offset, slot, length, digest), without payload; ``slot`` numbers the
+    records of a file by their own offsets. Records without ``offset`` are laid out in page order."""
+    records = records if "offset" in records.columns else laid_out(records, ["page_id", "record_id"])
+    page = F.col("page_id") if "page_id" in records.columns else F.lit(None).cast("bigint").alias("page_id")
+    thin = records.select("file", "record_id", page, "offset", F.octet_length("record").cast("bigint").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("offset")).cast("bigint")
+    return thin.withColumns({"slot": place("file") - 1, "copy": place("file", "record_id")})
+
+
+def byte_range(offset: Column) -> Column:
+    return F.floor(offset / RANGE_BYTES)
+
+
+def tree(records: DataFrame) -> list[DataFrame]:
+    """Levels of (file, node, digest), ranges of bytes first. A range hashes its records by offset, with their
+    offsets and lengths; a node hashes the numbers and digests of the children it has."""
+    entry = F.struct("offset", "length", "record_id", "digest")
+    ranges = records.groupBy("file", byte_range(F.col("offset")).alias("node")).agg(F.sort_array(F.collect_list(entry)).alias("c"))
+    text = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["offset"], x["length"], x["record_id"], x["digest"])), " ")
+    levels = [cut_lineage(ranges.select("file", "node", F.sha2(text, 256).alias("digest")))]
     for _ in range(LEVELS):
         child = F.struct("node", "digest")
         parents = levels[-1].groupBy("file", F.floor(F.col("node") / FAN).alias("node")).agg(F.sort_array(F.collect_list(child)).alias("c"))
@@ -92,31 +114,56 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where(~F.col("_a").eqNullSafe(F.col("_b")))
 
 
-def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """Damaged records between two catalogues: (file, slot, page_id, offset, length, replica_length,
-    digest, replica_digest, verdict); offsets are those in the primary."""
-    in_file = Window.partitionBy("file").orderBy("page_id", "record_id", "copy")
-    ahead = F.coalesce(F.sum("length").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ours = cut_lineage(primary.select("*", (F.row_number().over(in_file) - 1).cast("bigint").alias("slot"), ahead.alias("offset")))
-    key = ["file", "record_id", "copy"]
-    theirs = cut_lineage(replica.select(*key, "length", "digest", F.col("page_id").alias("_page")).join(ours.select(*key, "slot"), key, "left"))
-    up, down = tree(ours), tree(theirs.where("slot is not null"))
-    open_nodes = differing(up[-1], down[-1])
+def open_ranges(up: list[DataFrame], down: list[DataFrame]) -> DataFrame:
+    """(file, node) of the ranges that differ, found from the roots down."""
+    found = differing(up[-1], down[-1])
     for a, b in zip(up[-2::-1], down[-2::-1], strict=True):
-        parents = open_nodes.select("file", F.col("node").alias("_parent"))
+        parents = found.select("file", F.col("node").alias("_parent"))
         below = lambda x: x.withColumn("_parent", F.floor(F.col("node") / FAN)).join(parents, ["file", "_parent"], "left_semi").drop("_parent")  # noqa: E731, B023
-        open_nodes = differing(below(a), below(b))
-    found = open_nodes.select("file", F.col("node").alias("slot"), F.when(F.col("_b").isNull(), "missing").otherwise("changed").alias("verdict"))
-    located = found.join(ours.drop("copy", "record_id"), ["file", "slot"]).join(
-        theirs.select("file", "slot", F.col("length").alias("replica_length"), F.col("digest").alias("replica_digest")), ["file", "slot"], "left")
-    extra = theirs.where("slot is null").select(
-        "file", "slot", F.col("_page").alias("page_id"), F.lit(None).cast("bigint").alias("offset"), F.lit(None).cast("bigint").alias("length"), F.col("length").alias("replica_length"),
-        F.lit(None).cast("string").alias("digest"), F.col("digest").alias("replica_digest"), F.lit("extra").alias("verdict"))
-    return located.select(*extra.columns).unionByName(extra)
+        found = differing(below(a), below(b))
+    return found.select("file", "node")
+
+
+def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
+    """Differences between two catalogues: (file, page_id, offset, length, replica_offset, replica_length,
+    digest, replica_digest, verdict, n_records). A row of shifted records gives the first offsets and
+    the sum of lengths."""
+    ours, theirs = cut_lineage(primary), cut_lineage(replica)
+    ranges = cut_lineage(open_ranges(tree(ours), tree(theirs)))
+    key = ["file", "record_id", "copy"]
+    held = [x.withColumn("node", byte_range(F.col("offset"))).join(ranges, ["file", "node"], "left_semi") for x in (ours, theirs)]
+    names = ("page_id", "offset", "slot", "length", "digest")
+    a = held[0].select(*key, *[F.col(c).alias(f"a_{c}") for c in names])
+    b = held[1].select(*key, *[F.col(c).alias(f"b_{c}") for c in names])
+    both = cut_lineage(a.join(b, key, "full"))
+    # place among the records of both sides: the own number less the records before that only this side has
+    before = lambda own, other: F.col(f"{own}_slot") - F.coalesce(F.sum(F.col(f"{other}_offset").isNull().cast("bigint")).over(
+        Window.partitionBy("file", F.col(f"{own}_offset").isNull()).orderBy(f"{own}_offset").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = both.withColumns({"a_place": before("a", "b"), "b_place": before("b", "a")})
+    known = told.join(ours.select("file", "record_id").distinct().withColumn("_known", F.lit(True)), ["file", "record_id"], "left")
+    verdict = (
+        F.when(F.col("b_offset").isNull(), "missing").when(F.col("a_offset").isNull(), F.when(F.col("_known"), "duplicate").otherwise("extra"))
+        .when(F.col("a_digest") != F.col("b_digest"), "changed").when(F.col("a_place") != F.col("b_place"), "moved").when(F.col("a_offset") != F.col("b_offset"), "shifted"))
+    found = cut_lineage(known.withColumn("verdict", verdict).where("verdict is not null"))
+    out = [F.coalesce("a_page_id", "b_page_id").alias("page_id"), F.col("a_offset").alias("offset"), F.col("a_length").alias("length"), F.col("b_offset").alias("replica_offset"),
+           F.col("b_length").alias("replica_length"), F.col("a_digest").alias("digest"), F.col("b_digest").alias("replica_digest"), "verdict", F.lit(1).cast("bigint").alias("n_records")]
+    single = found.where("verdict <> 'shifted'").select("file", *out)
+    distance = (F.col("b_offset") - F.col("a_offset")).alias("by")
+    moved = found.where("verdict = 'shifted'").select("file", distance, "a_place", "a_page_id", "a_offset", "b_offset", "a_length", "b_length")
+    run = F.col("a_place") - F.row_number().over(Window.partitionBy("file", "by").orderBy("a_place"))
+    runs = moved.withColumn("_run", run).groupBy("file", "by", "_run").agg(
+        F.min_by("a_page_id", "a_offset").alias("page_id"), F.min("a_offset").alias("offset"), F.sum("a_length").alias("length"), F.min("b_offset").alias("replica_offset"),
+        F.sum("b_length").alias("replica_length"), F.count(F.lit(1)).alias("n_records"))
+    none = F.lit(None).cast("string")
+    return single.unionByName(runs.select("file", "page_id", "offset", "length", "replica_offset", "replica_length", none.alias("digest"), none.alias("replica_digest"), F.lit("shifted").alias("verdict"), "n_records"))
 
 
 def damaged(records: DataFrame, number: Column) -> DataFrame:
-    """A replica with damage chosen by ``number``: one in 61 is lost, one in 53 is cut short, one in 47
-    has a changed byte."""
+    """A replica with damage chosen by ``number``: one in 61 is lost, one in 53 is cut short, one in 47 has a
+    changed byte, one in 97 has changed places with its neighbour, one in 89 is there twice."""
     record = F.when(number % 53 == 1, F.expr("left(record, length(record) - 9)")).when(number % 47 == 2, F.concat(F.expr("left(record, length(record) - 5)"), F.lit("~"), F.expr("right(record, 4)"))).otherwise(F.col("record"))
-    return records.where(~F.coalesce(number % 61 == 0, F.lit(False))).withColumn("record", record)
+    kept = records.where(~F.coalesce(number % 61 == 0, F.lit(False))).withColumn("record", record)
+    place = F.when(number % 97 == 3, number + 1).when(number % 97 == 4, number - 1).otherwise(number)
+    times = F.when(number % 89 == 5, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    placed = kept.withColumns({"_place": place, "_time": F.explode(times)})
+    return laid_out(placed, ["_place", "record_id", "_time"]).drop("_place", "_time")

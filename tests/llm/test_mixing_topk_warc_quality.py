@@ -95,15 +95,88 @@ def pages(spark):
     return spark.createDataFrame([(*r, "d") for r in rows], "page_id bigint, url string, html string, digest string").repartition(4)
 
 
-def test_audit_finds_the_damage_and_nothing_else(spark):
+def brute_audit(ours, theirs):
+    """Verdicts from plain lists of (file, record_id, record) in file order; shifted records one by one."""
+    out = []
+    for file in sorted({r[0] for r in ours + theirs}):
+        sides = []
+        for side in (ours, theirs):
+            at, seen, own = 0, {}, {}
+            for _, name, record in (r for r in side if r[0] == file):
+                seen[name] = seen.get(name, 0) + 1
+                own[name, seen[name]] = (at, record)
+                at += len(record.encode())
+            sides.append(own)
+        a, b = sides
+        common = [k for k in a if k in b], [k for k in b if k in a]
+        for k in {**a, **b}:
+            if k not in b:
+                out.append((k[0], "missing"))
+            elif k not in a:
+                out.append((k[0], "duplicate" if any(x[0] == k[0] for x in a) else "extra"))
+            elif a[k][1] != b[k][1]:
+                out.append((k[0], "changed"))
+            elif common[0].index(k) != common[1].index(k):
+                out.append((k[0], "moved"))
+            elif a[k][0] != b[k][0]:
+                out.append((k[0], "shifted"))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("how", ["equal", "reversed", "swapped", "shifted", "twice", "lost", "bytes", "much"])
+def test_audit_names_every_difference(spark, monkeypatch, how):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 3000)
+    base = [(r.file, r.record_id, r.record) for r in warc.records_of(pages(spark), per_file=64).orderBy("file", "page_id", "record_id").collect()]
+    other = list(base)
+    if how == "reversed":
+        other.reverse()
+    elif how in ("swapped", "much"):
+        other[10], other[11] = other[11], other[10]
+        other[70], other[90] = other[90], other[70]
+    if how in ("shifted", "much"):
+        other.insert(100, (other[100][0], "new", "WARC/1.0 new record"))
+    if how in ("twice", "much"):
+        other.insert(40, other[37])
+    if how in ("lost", "much"):
+        del other[200], other[3]
+    if how in ("bytes", "much"):
+        other[20] = (*other[20][:2], other[20][2][:-5] + "~" + other[20][2][-4:])
+        other[150] = (*other[150][:2], other[150][2] + "longer")
+    frame = lambda rows: warc.laid_out(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "file string, record_id string, record string, at bigint").repartition(5), ["at"])
+    ours, theirs = warc.catalogue(frame(base)), warc.catalogue(frame(other))
+    found = warc.audit(ours, theirs).collect()
+    by_place = {(r.file, r.offset): r.record_id for r in ours.collect()} | {(r.file, "r", r.offset): r.record_id for r in theirs.collect()}
+    got = []
+    for r in found:
+        if r.verdict == "shifted":
+            run = sorted(o for f, o in (k for k in by_place if len(k) == 2) if f == r.file and r.offset <= o < r.offset + r.length)
+            assert len(run) == r.n_records and r.length == r.replica_length
+            got += [(by_place[r.file, o], "shifted") for o in run]
+        else:
+            got.append((by_place[(r.file, r.offset) if r.offset is not None else (r.file, "r", r.replica_offset)], r.verdict))
+    assert sorted(got) == brute_audit(base, other)
+    if how in ("equal", "swapped", "bytes"):
+        kinds = {"equal": set(), "swapped": {"moved", "shifted"}, "bytes": {"changed", "shifted"}}[how]
+        assert {v for _, v in got} <= kinds
+
+
+def test_only_differing_ranges_are_opened(spark):
+    records = warc.laid_out(warc.records_of(pages(spark), per_file=4096), ["page_id", "record_id"])
+    other = records.withColumn("record", F.when(F.col("page_id") == 150, F.regexp_replace("record", "150 é", "151 é")).otherwise(F.col("record")))
+    a, b = (warc.tree(warc.catalogue(x)) for x in (records, other))
+    opened = warc.open_ranges(a, b).collect()
+    assert len(opened) == 1 and a[0].count() > 1
+    assert [(r.page_id, r.verdict) for r in warc.audit(warc.catalogue(records), warc.catalogue(other)).collect()] == [(150, "changed")]
+
+
+def test_audit_of_planted_damage(spark):
     records = warc.records_of(pages(spark), per_file=64)
-    assert warc.audit(warc.catalogue(records), warc.catalogue(records)).count() == 0
-    got = {(r.page_id, r.verdict) for r in warc.audit(warc.catalogue(records), warc.catalogue(warc.damaged(records, F.col("page_id")))).collect()}
-    assert got == {(i, "missing") for i in range(0, 300, 61)} | {(i, "changed") for i in range(300) if i % 61 and (i % 53 == 1 or i % 47 == 2)}
-    swapped = warc.audit(warc.catalogue(records.where("page_id <> 9")), warc.catalogue(records.where("page_id <> 8 or page_id is null"))).collect()
-    assert {(r.page_id, r.verdict) for r in swapped} == {(8, "missing"), (9, "extra"), (None, "extra")}
+    got = {(r.page_id, r.verdict) for r in warc.audit(warc.catalogue(records), warc.catalogue(warc.damaged(records, F.col("page_id")))).where("verdict <> 'shifted'").collect()}
+    assert got >= {(i, "missing") for i in range(0, 300, 61)} | {(i, "changed") for i in range(300) if i % 61 and (i % 53 == 1 or i % 47 == 2)}
+    assert {(3, "moved"), (4, "moved"), (5, "duplicate"), (94, "duplicate")} <= got
     none = records.limit(0)
     assert warc.audit(warc.catalogue(none), warc.catalogue(none)).count() == 0
+    assert {r.verdict for r in warc.audit(warc.catalogue(none), warc.catalogue(records)).collect()} == {"extra"}
 
 
 def test_warc_files_round_trip(spark, tmp_path):
@@ -113,6 +186,8 @@ def test_warc_files_round_trip(spark, tmp_path):
     assert sorted(r.record for r in back.collect()) == sorted(r.record for r in records.collect())
     one = [r for r in back.collect() if r.offset == 0]
     assert len(one) == records.select("file").distinct().count()
+    own = warc.laid_out(records, ["page_id", "record"])  # the order in which the files are written
+    assert warc.audit(warc.catalogue(own), warc.catalogue(back)).count() == 0
 
 
 def test_statistics_by_plain_python(odd):
