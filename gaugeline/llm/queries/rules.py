@@ -7,7 +7,7 @@ from gaugeline.session import cut_lineage
 VALUES = ", ".join(f"({i}, {c}::DOUBLE)" for i, r in enumerate(RULES) for c in r.grid)
 RATIOS = ", ".join(f"({r.value})::DOUBLE" for r in RULES)
 BROKEN = " OR ".join(f"coalesce(v[{i + 1}] > c{i}, false)" for i in range(len(RULES)))
-CUTS = ", ".join(f"min(cutoff) FILTER (WHERE rule = {i} AND p <= 0.05 / (m * {sum(len(r.grid) for r in RULES)})) AS c{i}" for i in range(len(RULES)))
+CUTS = ", ".join(f"min(cutoff) FILTER (WHERE rule = {i} AND p <= 0.05 / (m * {len(RULES)})) AS c{i}" for i in range(len(RULES)))
 SHARE = 0.02 / len(RULES)
 
 SQL = rf"""
@@ -23,12 +23,14 @@ s AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w,
       FROM d JOIN w USING (r) LEFT JOIN c USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [{RATIOS}] AS v FROM s),
 h AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
-k AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE v[rule + 1] > cutoff) AS k
-      FROM h, (VALUES {VALUES}) AS q(rule, cutoff) GROUP BY ALL),
+z AS (SELECT lang, count(*) AS n, count(*) OVER () AS m FROM h GROUP BY lang),
+y AS (SELECT lang, m, n < ceil(ln(0.05 / (m * {len(RULES)})) / ln(1 - {SHARE})) AS pooled FROM z),
+k AS (SELECT pooled, CASE WHEN NOT pooled THEN h.lang END AS own, any_value(m) AS m, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE v[rule + 1] > cutoff) AS k
+      FROM h JOIN y ON y.lang IS NOT DISTINCT FROM h.lang, (VALUES {VALUES}) AS q(rule, cutoff) GROUP BY ALL),
 p AS (SELECT *, CASE WHEN k <= n * {SHARE} THEN list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
-        + i * ln({SHARE}) + (n - i) * ln(1 - {SHARE})) for i in range(0, k + 1)]) ELSE 1 END AS p,
-        (SELECT count(*) FROM (SELECT DISTINCT lang FROM h)) AS m FROM k),
-e AS (SELECT lang, {CUTS} FROM p GROUP BY lang)
+        + i * ln({SHARE}) + (n - i) * ln(1 - {SHARE})) for i in range(0, k + 1)]) ELSE 1 END AS p FROM k),
+c2 AS (SELECT pooled, own, {CUTS} FROM p GROUP BY pooled, own),
+e AS (SELECT y.lang, c2.* FROM y JOIN c2 ON c2.pooled = y.pooled AND (y.pooled OR c2.own IS NOT DISTINCT FROM y.lang))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({BROKEN}) AS kept
 FROM b LEFT JOIN e ON b.lang IS NOT DISTINCT FROM e.lang
 """

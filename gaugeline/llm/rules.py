@@ -4,8 +4,8 @@
 inside one row, so the texts are neither exploded nor shuffled. ``certify`` takes the labelled good
 documents as holdout: for a rule and a stratum it counts how many of them each cutoff of a fixed
 grid would reject, tests "more than ``alpha`` of the good documents are rejected" with the exact
-binomial distribution, corrects the level for all rules, strata and cutoffs tried, and keeps the
-strictest cutoff of an unbroken row of certified ones. A rule without one is off in that stratum.
+binomial distribution from lax to strict until one fails, corrects the level for all rules and strata, and keeps
+the strictest certified cutoff. Strata too small for any cutoff are tested together. A rule without one is off.
 
 Defined results: a null or blank text has zero counts and fails the base rule; a null stratum is a
 stratum of its own; a stratum without labels has no thresholds, so only the base rule speaks there;
@@ -113,24 +113,31 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def certify(holdout: DataFrame, stratum: str, rules: tuple[Rule, ...] = RULES, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """Cutoffs per stratum from good documents: columns ``stratum``, ``n_good`` and ``cut_<rule>`` (null:
-    off). With probability 1 - ``delta`` at least, no stratum loses more than ``alpha`` of its good
-    documents: every rule gets an equal part of ``alpha``, and the level is divided by the number
-    of tests made."""
+    """Cutoffs per stratum from good documents: columns ``stratum``, ``n_good``, ``pooled`` and ``cut_<rule>``
+    (null: off). With probability 1 - ``delta`` at least, no stratum loses more than ``alpha`` of its
+    good documents: every rule gets an equal part of ``alpha``, and the level is divided by rules and strata.
+
+    The cutoffs of a rule are tested from lax to strict up to the first failure, which costs no more
+    than one test; as a stricter cutoff never rejects fewer, those that pass are always the first ones. Strata
+    too small to certify any cutoff are tested together, and the bound holds for them together."""
     share = alpha / len(rules)
     over = [F.count_if(F.expr(r.value) > F.lit(c)).alias(f"{i}_{j}") for i, r in enumerate(rules) for j, c in enumerate(r.grid)]
     counted = holdout.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n_good"), *over)
+    every = counted.agg((F.lit(delta) / F.greatest(F.count(F.lit(1)) * len(rules), F.lit(1))).alias("level"))
+    counted = cut_lineage(counted.join(F.broadcast(every)).withColumn("pooled", F.col("n_good") < F.ceil(F.log("level") / F.log1p(F.lit(-share)))))  # one row
+    group = ["pooled", F.when(~F.col("pooled"), F.col("stratum")).alias("own")]
+    pools = counted.groupBy(*group).agg(F.sum("n_good").alias("n"), F.max("level").alias("level"), *[F.sum(f"{i}_{j}").alias(f"{i}_{j}") for i, r in enumerate(rules) for j in range(len(r.grid))])
     cells = F.array(*[
         F.struct(F.lit(i).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{i}_{j}").alias("k"))
         for i, r in enumerate(rules) for j, c in enumerate(r.grid)
     ])
-    tests = counted.select("stratum", "n_good", F.explode(cells).alias("t")).select("stratum", "n_good", "t.*")
-    every = counted.agg((F.lit(delta) / F.greatest(F.count(F.lit(1)) * sum(len(r.grid) for r in rules), F.lit(1))).alias("level"))
-    p_value = F.when(F.col("k") <= F.col("n_good") * F.lit(share), binomial_cdf(F.col("k"), F.col("n_good"), share)).otherwise(1.0)
-    tests = tests.withColumn("p_value", p_value).join(F.broadcast(every))  # one row
-    return tests.groupBy("stratum", "n_good").agg(*[
+    tests = pools.select("pooled", "own", "n", "level", F.explode(cells).alias("t")).select("pooled", "own", "n", "level", "t.*")
+    p_value = F.when(F.col("k") <= F.col("n") * F.lit(share), binomial_cdf(F.col("k"), F.col("n"), share)).otherwise(1.0)
+    cuts = tests.withColumn("p_value", p_value).groupBy(F.col("pooled").alias("_pooled"), "own").agg(*[
         F.min(F.when((F.col("rule") == i) & (F.col("p_value") <= F.col("level")), F.col("cutoff"))).alias(f"cut_{r.name}") for i, r in enumerate(rules)
     ])
+    same = (F.col("pooled") == F.col("_pooled")) & (F.col("pooled") | F.col("stratum").eqNullSafe(F.col("own")))
+    return counted.select("stratum", "n_good", "pooled").join(F.broadcast(cuts), same).drop("_pooled", "own")  # one row per stratum
 
 
 def judge(statistics: DataFrame, labels: DataFrame, stratum: str = "lang", rules: tuple[Rule, ...] = RULES, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
@@ -139,7 +146,7 @@ def judge(statistics: DataFrame, labels: DataFrame, stratum: str = "lang", rules
     base rule. ``statistics`` is read twice, so store it first."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q = 1").select(F.col("doc_id").alias("_good"))
     holdout = statistics.where(~base_failed()).join(good, F.col("doc_id") == F.col("_good"), "left_semi")
-    cuts = cut_lineage(certify(holdout, stratum, rules, alpha, delta)).withColumnRenamed("stratum", "_stratum").drop("n_good")
+    cuts = cut_lineage(certify(holdout, stratum, rules, alpha, delta)).withColumnRenamed("stratum", "_stratum").drop("n_good", "pooled")
     joined = statistics.join(cuts, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
     broken = F.filter(F.array(*[F.when(F.expr(r.value) > F.col(f"cut_{r.name}"), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
     out = joined.withColumns({"base_failed": base_failed(), "broken": broken})

@@ -46,6 +46,18 @@ def test_thresholds_hold_their_guarantee(spark):
     assert rules.judge(stats.withColumn("n_symbols", F.lit(60)), good.limit(0)).where("kept").count() == n  # no labels: no cutoffs
 
 
+def test_small_strata_are_tested_together(spark):
+    """1 495 good documents certify a cutoff that rejects none of them at two strata or fewer tests, 700 alone do not."""
+    row = ["100L as n_words", "500L as word_chars", "if(id % 25 = 0 and lang = 'en', 30L, 1L) as n_symbols", "0L as n_dup_lines", "0L as n_repeat_words", "1L as n_lines", "0L as n_shouts"]
+    base = spark.range(6000 + 3 * 700).selectExpr("id", "case when id < 6000 then 'en' when id % 3 = 0 then 'a' when id % 3 = 1 then 'b' end as lang")
+    stats = cut_lineage(base.selectExpr("id as doc_id", "lang", *row))
+    cuts = {r.stratum: r for r in rules.certify(stats, "lang").collect()}
+    assert {k: c.pooled for k, c in cuts.items()} == {"en": False, "a": True, "b": True, None: True}
+    assert cuts["en"].cut_symbols == 0.35 and all(cuts[k].cut_symbols == 0.1 for k in ("a", "b", None))
+    few = {r.stratum: r for r in rules.certify(stats.where("lang = 'a'"), "lang").collect()}
+    assert few["a"].pooled and few["a"].cut_symbols is None
+
+
 def test_judging_odd_and_empty_tables(odd, labels, empty):
     stats = cut_lineage(rules.base_statistics(odd))
     rows = rules.judge(stats, labels).collect()
