@@ -11,7 +11,8 @@ With ``run_words`` every run of that many words goes too that occurs in a docume
 earlier in the same text without overlap, wherever sentences and lines end; runs that overlap go as one,
 so a passage goes to its last equal word. The smallest hash of the half-length word groups in a run, its
 key, is the same wherever the run occurs; neighbouring runs with one key are a segment. A segment that
-occurs as a whole in an earlier document goes at once. Equal means equal in two 64-bit hashes, everywhere. Only where segments with one key differ, their
+occurs as a whole in an earlier document goes at once. Over the corpus equal
+means equal in two 64-bit hashes; which of its own runs a document loses is then told by the first one. Only where segments with one key differ, their
 runs are hashed one by one, of each such segment in the first document that has it. That finds every
 repeated run; what goes is the union of both kinds of spans.
 
@@ -137,10 +138,6 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def listed(hashes: pa.ListScalar) -> np.ndarray:
-    return paired(*(child.to_numpy() for child in hashes.values.flatten()))
-
-
 def segments_of(one: np.ndarray, place: np.ndarray, owner: np.ndarray, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number (in ``place``) of the first run of each segment, its key, and two hashes of all its words."""
     n = max(1, run_words // 2)
@@ -203,8 +200,8 @@ def marked_runs(docs: DataFrame, run_words: int) -> DataFrame:
     opened = shared.where("differ and doc_id = first").groupBy("doc_id").agg(F.collect_set("seg").alias("open"))
     runs = cut_lineage(hashed_runs(known.join(cut_lineage(opened), "doc_id"), run_words))
     repeated = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
-    later = runs.join(cut_lineage(repeated.select("h1", "h2", "first")), ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_runs"))
-    whole = shared.where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("seg", "seg2")).alias("_segs"))
+    later = runs.join(cut_lineage(repeated.select("h1", "h2", "first")), ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("_runs"))
+    whole = shared.where("doc_id > first").groupBy("doc_id").agg(F.collect_set("seg").alias("_segs"))
     again = shared.groupBy("doc_id", "key").count().where("count > 1").select("doc_id").distinct().withColumn("_again", F.lit(True))
     return cut_lineage(whole.join(later, "doc_id", "full").join(again, "doc_id", "full"))
 
@@ -258,7 +255,7 @@ def without_repeats(docs: DataFrame, min_words: int = 25, unit_words: int = 4, r
     ``run_words`` only stretches of whole units."""
     marked = marked_units(docs, unit_words)
     none = F.lit(None)
-    marked = marked.join(marked_runs(docs, run_words), "doc_id", "full") if run_words else marked.withColumns({"_segs": none.cast("array<struct<seg: bigint, seg2: bigint>>"), "_runs": none.cast("array<struct<h1: bigint, h2: bigint>>"), "_again": none.cast("boolean")})
+    marked = marked.join(marked_runs(docs, run_words), "doc_id", "full") if run_words else marked.withColumns({"_segs": none.cast("array<bigint>"), "_runs": none.cast("array<bigint>"), "_again": none.cast("boolean")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +270,7 @@ def without_repeats(docs: DataFrame, min_words: int = 25, unit_words: int = 4, r
                 if any(some):
                     starts, ends, one, _, place, owner = runs_of(block, run_words)
                     heads, _, seg = segments_of(one, place, owner, run_words)
-                    seg, h = np.repeat(seg, np.diff(np.append(heads, len(place)))), paired(*(rolled(one, run_words, f)[place].view(np.int64) for f in ROLL))
+                    seg, h = np.repeat(seg["a"], np.diff(np.append(heads, len(place)))), rolled(one, run_words, ROLL[0])[place].view(np.int64)
                 elif any(marks):
                     starts, _, _ = word_ranges(block.data, block.bounds)
                 for i, units in enumerate(marks):
@@ -288,7 +285,7 @@ def without_repeats(docs: DataFrame, min_words: int = 25, unit_words: int = 4, r
                         mark = np.zeros(len(place[own]), bool)
                         for values, hashes in ((seg[own], segs[i]), (h[own], runs[i])):
                             if hashes.is_valid:
-                                mark |= np.isin(values, listed(hashes))
+                                mark |= np.isin(values, hashes.values.to_numpy())
                         if again[i]:
                             mark |= occurred(place[own], h[own], run_words)
                         gone += [(int(starts[a]), int(ends[b - 1])) for a, b in ranges(place[own][mark], run_words)]
