@@ -1,7 +1,8 @@
 """Exact order statistics without one task per group.
 
-Ties are folded first, each key is cut into value buckets at approximate quantiles, and only
-the buckets that hold a wanted rank are sorted.
+Ties are folded first. A key with more distinct values than a task should hold is cut into value buckets
+at approximate quantiles, and buckets that are still too large are cut again, so the largest one is
+below a number of rows at any size and any distribution. Only buckets that hold a wanted rank are sorted.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from gaugeline.operators.scan import join_null_safe
 from gaugeline.session import cut_lineage
 
-BUCKETS = 128
+ROWS_PER_BUCKET = 200_000  # distinct values that one task sorts
+FAN = 128  # parts of a bucket that is cut
 
 # Rank rules: position(s) counted from 0 in the sorted values of a key with n values.
 RULES = {
@@ -26,18 +28,27 @@ RULES = {
 }
 
 
-def with_buckets(folded: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``_bucket``, which never falls as ``value`` grows, with about equal distinct values."""
-    grid = [i / buckets for i in range(1, buckets)]
-    cuts = folded.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, grid, 10000)).alias("_cuts"))
-    joined = join_null_safe(folded, cut_lineage(cuts), keys, "inner") if keys else folded.join(cut_lineage(cuts))  # written, so the join sees its real size
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    return joined.withColumn("_bucket", below.cast("bigint")).drop("_cuts")
+def with_buckets(folded: DataFrame, keys: list[str], value: str, rows: int | None = None) -> DataFrame:
+    """Add ``_bucket``, which never falls as ``value`` grows, with at most ``rows`` rows (distinct values) of a
+    key in one bucket. Rounds grow with the logarithm of the largest key to base :data:`FAN`."""
+    rows = rows or ROWS_PER_BUCKET
+    grid = [i / FAN for i in range(1, FAN)]
+    group, placed, first = [*keys, "_bucket"], folded.withColumn("_bucket", F.lit(0).cast("bigint")), True
+    while True:
+        large = cut_lineage(placed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).drop("_n"))
+        if large.isEmpty():
+            return placed
+        if first:
+            placed, first = cut_lineage(placed), False  # ties are folded once, whatever the rounds
+        cuts = join_null_safe(placed, large, group, "inner").groupBy(*group).agg(F.array_distinct(F.percentile_approx(value, grid, 10000)).alias("_cuts"))
+        told = join_null_safe(placed, cut_lineage(cuts), group)
+        below = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
+        placed = told.withColumn("_bucket", F.col("_bucket") * FAN + F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
 
 
 def quantiles(
     df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[str, float]],
-    buckets: int = BUCKETS, count_as: str | None = None,
+    rows: int | None = None, count_as: str | None = None,
 ) -> DataFrame:
     """One row per key with the wanted quantiles, each given as ``(rule, q)``. NULL and NaN
     values are left out; keys without values are absent."""
@@ -46,7 +57,7 @@ def quantiles(
     if not keys:
         keys, clean = ["_all"], clean.withColumn("_all", F.lit(0))
     folded = clean.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    placed = with_buckets(folded, keys, "_v", buckets)
+    placed = with_buckets(folded, keys, "_v", rows)
 
     sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_bw"))
     by_key = Window.partitionBy(*keys)
