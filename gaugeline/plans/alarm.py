@@ -186,7 +186,7 @@ def reading_status(spark, sf):
 
 
 SQL_VIEWS["loads"] = """SELECT run_id, g, row_number() OVER (PARTITION BY run_id ORDER BY tick) - 1 AS rn, tick, load, affected FROM (
-  SELECT run_id, g, tick, CASE WHEN count(*) FILTER (WHERE ok) = 5 THEN min(rate) END AS load,
+  SELECT run_id, g, tick, CASE WHEN count(*) FILTER (WHERE ok) = (SELECT count(DISTINCT entity) FROM ev) THEN min(rate) END AS load,
   coalesce(string_agg(CASE WHEN ok AND (rate < lo OR rate > hi) THEN entity END, ',' ORDER BY entity), '') AS affected FROM cells JOIN bounds USING (entity) GROUP BY run_id, g, tick)"""
 SQL_VIEWS["guards"] = """SELECT g, rn, tick, coalesce(load > 50, false) AS active, CAST(0 AS BIGINT) AS calm FROM loads WHERE rn = 0
   UNION ALL SELECT r.g, r.rn, r.tick, CASE WHEN load IS NULL THEN active WHEN load > 50 THEN true WHEN active AND calm + 1 >= 3 THEN false ELSE active END AS active,
@@ -201,7 +201,7 @@ def run_loads(spark, sf):
     cells = V.cells(spark, sf).join(E.bounds(spark, sf), "entity")
     out = F.col("ok") & ((F.col("rate") < F.col("lo")) | (F.col("rate") > F.col("hi")))
     return cut_lineage(cells.groupBy("run_id", "tick").agg(
-        F.when(F.count_if("ok") == len(V.ENTITIES), F.min("rate")).alias("load"),
+        F.when(F.count_if("ok") == V.n_entities(spark, sf), F.min("rate")).alias("load"),
         F.array_join(F.array_sort(F.collect_set(F.when(out, F.col("entity")))), ",").alias("affected"),
     ))
 

@@ -25,7 +25,7 @@ def bounds(spark, sf):
 
 
 def scores(spark, sf):
-    return O.score(V.valid_rates(spark, sf), bounds(spark, sf), ["run_id", "tick"], "entity", "rate", len(V.ENTITIES), FAMILIES)
+    return O.score(V.valid_rates(spark, sf), bounds(spark, sf), ["run_id", "tick"], "entity", "rate", V.n_entities(spark, sf), FAMILIES)
 
 
 @query("run_alarm_summary", "AG5 AG6 AG7 SRC1 PRJ8", f"""
@@ -81,7 +81,7 @@ HELDOUT = """
 WITH c AS (SELECT profile, run_id, tick, entity, CASE WHEN ok THEN rate END AS rate FROM cells JOIN runs USING (run_id) WHERE split = 'train' AND tick >= 1),
 b AS (SELECT f.profile, c.entity, min(c.rate) AS flo, max(c.rate) AS fhi FROM (SELECT DISTINCT profile FROM c) f JOIN c ON c.profile <> f.profile GROUP BY ALL),
 h AS (SELECT c.profile, run_id, tick, count(*) FILTER (WHERE rate < flo OR rate > fhi) AS k,
-  sum(coalesce(greatest(flo - rate, rate - fhi, 0.0) / greatest(fhi - flo, 1.0), 0.0)) AS excess, count(rate) = 5 AS judgeable
+  sum(coalesce(greatest(flo - rate, rate - fhi, 0.0) / greatest(fhi - flo, 1.0), 0.0)) AS excess, count(rate) = (SELECT count(DISTINCT entity) FROM ev) AS judgeable
   FROM c JOIN b ON b.profile = c.profile AND b.entity = c.entity GROUP BY c.profile, run_id, tick)
 """
 
@@ -90,7 +90,7 @@ h AS (SELECT c.profile, run_id, tick, count(*) FILTER (WHERE rate < flo OR rate
 SELECT profile, max(k) AS k_limit, {r6('max(excess)')} AS e_limit, count(*) AS n_rows, count(*) FILTER (WHERE k > 0) AS n_outside
 FROM h WHERE judgeable GROUP BY profile""")
 def heldout_calibration(spark, sf):
-    held = O.heldout_scores(train_cells(spark, sf), ["run_id", "tick"], "profile", "entity", "rate", len(V.ENTITIES))
+    held = O.heldout_scores(train_cells(spark, sf), ["run_id", "tick"], "profile", "entity", "rate", V.n_entities(spark, sf))
     return held.where("judgeable").groupBy("profile").agg(
         F.max("k").alias("k_limit"), F.max("excess").alias("e_limit"), F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("k") > 0).alias("n_outside"),
@@ -101,7 +101,7 @@ def heldout_calibration(spark, sf):
 SELECT profile, {r6('excess')} AS excess, run_id, tick FROM h WHERE judgeable
 QUALIFY row_number() OVER (PARTITION BY profile ORDER BY excess DESC, run_id, tick) = 1""")
 def threshold_owners(spark, sf):
-    held = O.heldout_scores(train_cells(spark, sf), ["run_id", "tick"], "profile", "entity", "rate", len(V.ENTITIES))
+    held = O.heldout_scores(train_cells(spark, sf), ["run_id", "tick"], "profile", "entity", "rate", V.n_entities(spark, sf))
     return O.owner_of_max(held.where("judgeable"), ["profile"], "excess", ["run_id", "tick"])
 
 

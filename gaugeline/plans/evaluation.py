@@ -42,13 +42,15 @@ def label_table(spark, sf):
 
 
 @query("label_coverage", "JN1 SET2", """
-WITH s AS (SELECT run_id, tick, count(*) AS n FROM cells GROUP BY ALL HAVING count(*) = 5),
+WITH s AS (SELECT run_id, tick, count(*) AS n FROM cells GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT entity) FROM cells)),
 l AS (SELECT run_id, unnest(range(0, n_ticks)) AS tick FROM runs)
 SELECT coalesce(s.run_id, l.run_id) AS run_id, count(*) FILTER (WHERE s.tick IS NOT NULL AND l.tick IS NOT NULL) AS n_matched,
  count(*) FILTER (WHERE l.tick IS NULL) AS n_unlabelled, count(*) FILTER (WHERE s.tick IS NULL) AS n_label_only
 FROM s FULL JOIN l ON s.run_id = l.run_id AND s.tick = l.tick GROUP BY 1""")
 def label_coverage(spark, sf):
-    snaps = V.cells(spark, sf).groupBy("run_id", "tick").agg(F.count(F.lit(1)).alias("n")).where("n = 5")
+    cells = V.cells(spark, sf)
+    whole = F.broadcast(cells.agg(F.count_distinct("entity").alias("n_all")))  # one row
+    snaps = cells.groupBy("run_id", "tick").agg(F.count(F.lit(1)).alias("n")).join(whole).where("n = n_all").drop("n_all")
     labels = V.runs(spark, sf).select("run_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_ticks") - 1)).alias("tick"), F.lit(1).alias("l"))
     both = snaps.join(labels, ["run_id", "tick"], "full_outer")
     return both.groupBy("run_id").agg(

@@ -141,7 +141,7 @@ def sidecar_check(spark, sf):
 WITH s AS (SELECT entity, avg(v) AS mu, CASE WHEN stddev_samp(v) > 0 THEN stddev_samp(v) ELSE 1.0 END AS sd FROM lab WHERE split = 'train' AND tick >= 1 GROUP BY entity),
 d AS (SELECT l.run_id, split, tick, entity, (v - mu) / sd AS z, (v - lag(v) OVER (PARTITION BY l.run_id, entity ORDER BY tick)) AS dv FROM lab l JOIN s USING (entity)),
 t AS (SELECT run_id, split, tick, max(abs(z)) AS zmax, max(abs(dv)) AS dmax, count(z) AS nz FROM d WHERE tick >= 1 GROUP BY ALL)
-SELECT run_id, tick, split, {r6('zmax')} AS zmax, {r6('dmax')} AS dmax, 5 - nz AS n_missing FROM t WHERE split = 'test' OR nz = 5""")
+SELECT run_id, tick, split, {r6('zmax')} AS zmax, {r6('dmax')} AS dmax, (SELECT count(DISTINCT entity) FROM ev) - nz AS n_missing FROM t WHERE split = 'test' OR nz = (SELECT count(DISTINCT entity) FROM ev)""")
 def load_split(spark, sf):
     from gaugeline.operators import counters as C
     from gaugeline.operators import scan as S
@@ -152,7 +152,7 @@ def load_split(spark, sf):
     scaler = rows.where("split = 'train' and tick >= 1").groupBy("entity").agg(F.avg("v").alias("mu"), F.when(sd > 0, sd).otherwise(1.0).alias("sd"))
     moved = C.delta(rows, ["run_id", "entity"], ["tick"], S.tick_chunk("tick"), "v", "dv").join(scaler, "entity").where("tick >= 1")
     per = moved.groupBy("run_id", "tick", "split").agg(
-        F.max(F.abs((F.col("v") - F.col("mu")) / F.col("sd"))).alias("zmax"), F.max(F.abs("dv")).alias("dmax"), (len(V.ENTITIES) - F.count("v")).alias("n_missing")
+        F.max(F.abs((F.col("v") - F.col("mu")) / F.col("sd"))).alias("zmax"), F.max(F.abs("dv")).alias("dmax"), (V.n_entities(spark, sf) - F.count("v")).alias("n_missing")
     )
     return per.where("split = 'test' or n_missing = 0").orderBy("run_id", "tick")
 

@@ -122,12 +122,12 @@ def bootstrap_dose(spark, sf):
     return R.bootstrap_ed50(R.numbered(per.withColumn("s", F.lit(0)), ["s"], "user_id"), "m", "hit", "pos")
 
 
-SQL_VIEWS["tscore"] = "SELECT run_id, profile, split, tick, sum(v) AS score FROM lab WHERE tick >= 1 GROUP BY ALL HAVING count(v) = 5"
+SQL_VIEWS["tscore"] = "SELECT run_id, profile, split, tick, sum(v) AS score FROM lab WHERE tick >= 1 GROUP BY ALL HAVING count(v) = (SELECT count(DISTINCT entity) FROM ev)"
 
 
 def tick_scores(spark, sf):
     rows = PQ.labelled(spark, sf).where("tick >= 1").groupBy("run_id", "profile", "split", "tick").agg(F.round(F.sum("v"), 4).alias("score"), F.count("v").alias("n"))
-    return rows.where(F.col("n") == len(V.ENTITIES)).drop("n")
+    return rows.where(F.col("n") == V.n_entities(spark, sf)).drop("n")
 
 
 @query("score_threshold", "ML2", """

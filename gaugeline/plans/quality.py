@@ -119,7 +119,7 @@ SQL_VIEWS["gate_sig"] = """SELECT run_id, max(abs(m1 - m0) / greatest(s0, 1e-6))
 @query("run_gates", "AG21", """
 WITH t AS (SELECT run_id, tick, max(us) AS us, count(*) AS n, count(v) AS nv, any_value(grp) AS grp, any_value(fault) AS fault, any_value(inject) AS inject, any_value(revert) AS revert FROM lab JOIN (SELECT run_id, fault FROM runs) f USING (run_id) GROUP BY run_id, tick),
 o AS (SELECT *, row_number() OVER w - 1 AS i, lag(us) OVER w AS pus FROM t WINDOW w AS (PARTITION BY run_id ORDER BY tick)),
-g AS (SELECT run_id, any_value(grp) AS grp, any_value(fault) AS fault, count(*) AS n_snapshots, bool_and(i = tick) AS seq, abs(count(*) - 60) <= 1 AS cnt, coalesce(bool_and(us > pus), true) AS mono, min(n) = 5 AS present,
+g AS (SELECT run_id, any_value(grp) AS grp, any_value(fault) AS fault, count(*) AS n_snapshots, bool_and(i = tick) AS seq, abs(count(*) - 60) <= 1 AS cnt, coalesce(bool_and(us > pus), true) AS mono, min(n) = (SELECT count(DISTINCT entity) FROM ev) AS present,
  coalesce(sum(n - nv) FILTER (WHERE inject IS NULL OR tick <= inject) / sum(n) FILTER (WHERE inject IS NULL OR tick <= inject) < 0.05, false) AS valid, coalesce(any_value(revert) < count(*), any_value(grp) = 'C') AS ev FROM o GROUP BY run_id)
 SELECT run_id, n_snapshots, concat_ws(',', CASE WHEN NOT seq THEN 'ticks_ok' END, CASE WHEN NOT cnt THEN 'count_ok' END, CASE WHEN NOT mono THEN 'monotonic' END, CASE WHEN NOT present THEN 'links_present' END, CASE WHEN NOT valid THEN 'rate_invalid_ok' END, CASE WHEN NOT ev THEN 'events_ok' END,
  CASE WHEN n_versions <> 1 THEN 'version_uniform' END, CASE WHEN grp = 'F' AND NOT coalesce(sep > 0.5, false) THEN 'signal_present' END, CASE WHEN fault = 'admin_down' AND NOT down_in_fault THEN 'down_observed' END, CASE WHEN grp = 'C' AND any_down THEN 'no_unexpected_down' END) AS failed_gates
@@ -131,7 +131,7 @@ def run_gates(spark, sf):
     quiet = F.col("inject").isNull() | (F.col("tick") <= F.col("inject"))
     per = told.groupBy("run_id", "grp", "fault", "revert").agg(
         F.count(F.lit(1)).alias("n_snapshots"), F.bool_and(F.col("i") == F.col("tick")).alias("seq"), F.bool_and(F.coalesce(F.col("us") > F.col("p"), F.lit(True))).alias("mono"),
-        (F.min("n") == len(V.ENTITIES)).alias("present"), F.try_divide(F.sum(F.when(quiet, F.col("n") - F.col("nv"))).cast("double"), F.sum(F.when(quiet, F.col("n")))).alias("bad"),
+        (F.min("n") == V.n_entities(spark, sf)).alias("present"), F.try_divide(F.sum(F.when(quiet, F.col("n") - F.col("nv"))).cast("double"), F.sum(F.when(quiet, F.col("n")))).alias("bad"),
     )
     before, during = (F.col("tick") >= 1) & (F.col("tick") <= F.col("inject")), (F.col("tick") > F.col("inject")) & (F.col("tick") <= F.col("revert"))
     moved = cells.where("inject is not null").groupBy("run_id", "entity").agg(
@@ -321,10 +321,10 @@ def residual_verdicts(spark, sf):
 
 
 @query("load_floor_threshold", "AG40", f"""
-WITH t AS (SELECT run_id, tick, CASE WHEN count(v) = 5 THEN min(v) END AS g FROM lab WHERE split = 'train' GROUP BY run_id, tick)
+WITH t AS (SELECT run_id, tick, CASE WHEN count(v) = (SELECT count(DISTINCT entity) FROM ev) THEN min(v) END AS g FROM lab WHERE split = 'train' GROUP BY run_id, tick)
 SELECT run_id, {r6('max(g)')} AS g_max, arg_min(tick, (-g, tick)) AS owner_tick, count(*) AS n_rows, count(*) FILTER (WHERE g IS NULL) AS n_unjudgeable FROM t GROUP BY run_id""")
 def load_floor_threshold(spark, sf):
-    ticks = labelled(spark, sf).where("split = 'train'").groupBy("run_id", "tick").agg(F.when(F.count("v") == len(V.ENTITIES), F.min("v")).alias("g"))
+    ticks = labelled(spark, sf).where("split = 'train'").groupBy("run_id", "tick").agg(F.when(F.count("v") == V.n_entities(spark, sf), F.min("v")).alias("g"))
     best = F.min(F.when(F.col("g").isNotNull(), F.struct((-F.col("g")).alias("n"), F.col("tick"))))
     out = ticks.groupBy("run_id").agg(best.alias("b"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("g").isNull()).alias("n_unjudgeable"))
     return out.select("run_id", (-F.col("b.n")).alias("g_max"), F.col("b.tick").alias("owner_tick"), "n_rows", "n_unjudgeable")

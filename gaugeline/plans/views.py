@@ -49,7 +49,7 @@ SQL_VIEWS = Views({
   count(*) FILTER (WHERE ok AND (rate < lo OR rate > hi) AND entity IN ('link-error', 'link-signup')) AS k_indicator,
   count(*) FILTER (WHERE ok AND (rate < lo OR rate > hi) AND entity NOT IN ('link-error', 'link-signup')) AS k_rate,
   sum(CASE WHEN ok THEN greatest(lo - rate, rate - hi, 0.0) / greatest(hi - lo, 1.0) ELSE 0.0 END) AS excess,
-  count(*) FILTER (WHERE ok) = 5 AS judgeable
+  count(*) FILTER (WHERE ok) = (SELECT count(DISTINCT entity) FROM ev) AS judgeable
   FROM cells JOIN bounds USING (entity) GROUP BY run_id, tick""",
     "evalframe": """SELECT s.run_id, s.tick, r.grp, r.fault, coalesce(s.tick > r.inject AND s.tick <= r.revert, false) AS y,
   s.tick >= 1 AS in_eval, s.judgeable, s.judgeable AND s.k > 0 AS alarm, s.k, r.inject, r.revert
@@ -144,6 +144,11 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def n_entities(spark: SparkSession, sf: str) -> int:
+    """How many entities a whole tick has."""
+    return ev(spark, sf).select("entity").distinct().count()
+
+
 def valid_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Cells with the rate masked where it is not valid."""
     return cells(spark, sf).withColumn("rate", F.when(F.col("ok"), F.col("rate")))
