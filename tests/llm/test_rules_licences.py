@@ -85,10 +85,45 @@ def test_headers_and_inheritance(spark):
 
 def test_the_filter_before_the_cosine_loses_nothing(spark):
     weights = licences.term_weights(files(spark), licences.TEMPLATES)
-    needed = set(licences.needed_terms(licences.TEMPLATES, weights, 0.7))
-    for text in licences.TEMPLATES.values():
-        vector = licences.template_vector(text, weights)
-        assert sum(v * v for t, v in vector.items() if t not in needed) < 0.49
+    keys = set(licences.key_terms(licences.TEMPLATES, weights))
+    for _, naming, text in licences.TEMPLATES:
+        assert set(naming.split()) <= set(licences.terms_of(text)) and keys & set(naming.split())
+
+
+MIT_TEXT = """The title of nothing
+
+Copyright (c) 2020 Foo Inc. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+
+
+@pytest.mark.parametrize("text,licence", [
+    ("Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0; see the LICENSE file for details.", "Apache-2.0"),
+    ("This file is part of Foo. Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Foo and all of its parts are licensed to you under the Apache License, Version 2.0 and come without any warranty", "Apache-2.0"),
+    ("// Licensed under the\n// Apache License,\n// Version 2.0", "Apache-2.0"),
+    ("# SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: ISC", None), ("/* _MIT_ License */", "MIT"), (MIT_TEXT, "MIT"),
+    ("        GNU GENERAL PUBLIC LICENSE\n          Version 3, 29 June 2007\n\n Copyright", "GPL-3.0"), ("GNU LESSER GENERAL PUBLIC LICENSE\n\nVersion 3, 29 June 2007", "LGPL-3.0"),
+    ("GNU General Public License, version 2", None), ("Copyright 2020 Foo Inc. All rights reserved.", "Proprietary"), ("We went with the crowd under the bridge to get a license.", None),
+    ("All seats are taken, a version of the work is under way for the apache helicopters of source 2.", None)])
+def test_statements_in_their_surroundings(spark, text, licence):
+    """Beside a thousand files of prose, as weights are of the corpus."""
+    prose = spark.range(1000).selectExpr("concat('the work of all in this place is under the version of a source, with code ', id) as text", "cast(null as string) as path")
+    table = cut_lineage(prose.union(spark.createDataFrame([(text, "x")], "text string, path string")))
+    got = licences.headers(table, path="path").where("path = 'x'").first().header
+    assert (got and got.licence) == licence
+
+
+def test_whole_licence_files(spark):
+    text = "\n".join(f"{w}." for w in "Released under the MIT License".split())  # one word a unit, wider than any window
+    table = cut_lineage(spark.createDataFrame([("a/LICENSE", text.replace("\n", "\n\n")), ("a/x.txt", text.replace("\n", "\n\n"))], "path string, text string"))
+    got = {r.path: r.header for r in licences.headers(table, path="path").collect()}
+    assert got["a/LICENSE"].licence == "MIT" and got["a/LICENSE"].size == -1 and got["a/x.txt"] is None
 
 
 def test_licences_of_no_files(spark):
