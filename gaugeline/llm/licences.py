@@ -126,7 +126,7 @@ def headers(files: DataFrame, least: float = 0.7, templates: list[Template] | No
     Where ``path`` names a column, licence files by that path are also compared as a whole."""
     templates = templates or TEMPLATES
     weights = term_weights(files, templates)
-    keys = "|".join(key_terms(templates, weights))
+    keys = "(?<![a-z0-9])(?:" + "|".join(key_terms(templates, weights)) + ")(?![a-z0-9])"
     known = F.array(*map(F.lit, sorted(weights)))
     weight = F.create_map(*[F.lit(v) for pair in weights.items() for v in pair])
     vectors = F.array(*[
