@@ -120,7 +120,7 @@ def test_statements_in_their_surroundings(spark, text, licence):
 
 
 def test_whole_licence_files(spark):
-    text = "\n".join(f"{w}." for w in "Released under the MIT License".split())  # one word a unit, wider than any window
+    text = "\n".join(f"{w}." for w in "Released under the MIT one two License".split())  # one word a unit, no stretch of three holds both naming terms
     table = cut_lineage(spark.createDataFrame([("a/LICENSE", text.replace("\n", "\n\n")), ("a/x.txt", text.replace("\n", "\n\n"))], "path string, text string"))
     got = {r.path: r.header for r in licences.headers(table, path="path").collect()}
     assert got["a/LICENSE"].licence == "MIT" and got["a/LICENSE"].size == -1 and got["a/x.txt"] is None
