@@ -26,3 +26,16 @@ def test_sampled_sign_flips_are_dealt_and_repeatable(spark):
     sums = [sum(d if number(f"20260920:{m}:{i}") % 2 == 0 else -d for i, d in enumerate(diffs)) for m in range(1200)]
     assert got.n_perm == 1200 and not got.exact
     assert abs(got.p_two_sided - np.mean([abs(s) >= abs(sum(diffs)) - 1e-10 for s in sums])) < 1e-12
+
+
+def test_bootstrap_sums_over_several_ranges_and_pieces(spark, monkeypatch):
+    monkeypatch.setattr(R, "RANGE", 8), monkeypatch.setattr(R, "DRAWS", 5), monkeypatch.setattr(R, "REPLICATES", 3)
+    size = {"a": 21, "b": 4}
+    rows = [(s, i, float(i * i) - 3, 1) for s, n in size.items() for i in range(n)] + [(None, 0, 1e9, 1)]
+    df = spark.createDataFrame(rows, "s string, pos long, v double, one int")
+    got = {r.replicate: (r.v, r.one) for r in R.bootstrap_sums(df, "s", "pos", ["v", "one"], 7, 11).collect()}
+    for b in range(7):
+        drawn = [number(f"11:{s}:{b}:{i}") % n for s, n in size.items() for i in range(n)]
+        assert got[b] == (sum(float(p * p) - 3 for p in drawn), 25)
+    pieces = R._drawn(spark.createDataFrame(list(size.items()), "s string, n long"), "s", "n", 7, 11)
+    assert pieces.rdd.getNumPartitions() == 3 * (5 + 1)  # no task draws for all
