@@ -39,3 +39,16 @@ def test_bootstrap_sums_over_several_ranges_and_pieces(spark, monkeypatch):
         assert got[b] == (sum(float(p * p) - 3 for p in drawn), 25)
     pieces = R._drawn(spark.createDataFrame(list(size.items()), "s string, n long"), "s", "n", 7, 11)
     assert pieces.rdd.getNumPartitions() == 3 * (5 + 1)  # no task draws for all
+
+
+def test_dose_bootstrap_weighs_each_device_as_often_as_it_is_drawn(spark, monkeypatch):
+    seen = []
+    fits = R.logistic_fits
+    monkeypatch.setattr(R, "logistic_fits", lambda points, keys, *more: seen.append(points) or fits(points, keys, *more, rounds=1))
+    monkeypatch.setattr(R, "RANGE", 8)
+    rows = [(i, 1.0 + i, i > 9) for i in range(20)]
+    R.bootstrap_ed50(spark.createDataFrame(rows, "pos long, v double, hit boolean"), "v", "hit", "pos", replicates=6)
+    times = Counter()
+    for r in seen[0].collect():
+        times[r.replicate, round(10**r._x - 1), r._y] += r._times
+    assert times == Counter((b, p, float(p > 9)) for b in range(6) for p in (number(f"20260918:{b}:{i}") % 20 for i in range(20)))
