@@ -14,9 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -37,9 +35,6 @@ class Ending(StatefulProcessor):
         self.handle = handle
         self.kept = handle.getValueState("kept", f"{self.schema}, ends bigint")
 
-    def load(self) -> tuple | None:
-        return self.kept.get() if self.kept.exists() else None
-
     def store(self, values: tuple, ends: int, before: tuple | None) -> None:
         """Keep ``values`` until ``ends`` (microseconds), moving the timer."""
         timer = milliseconds(ends)
@@ -49,15 +44,14 @@ class Ending(StatefulProcessor):
             self.handle.registerTimer(timer)
         self.kept.update((*values, timer))
 
-    def rows(self, key: tuple, columns: dict[str, list]) -> pd.DataFrame:
-        n = len(next(iter(columns.values())))
-        return pd.DataFrame({**{name: pd.Series([value] * n, dtype="object") for name, value in zip(self.keys, key, strict=True)}, **columns})
+    def row(self, key: tuple, **columns) -> Row:
+        return Row(**dict(zip(self.keys, key, strict=True)), **columns)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.ended(key, self.kept.get())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self.ended(key)
         self.kept.clear()
 
-    def ended(self, key: tuple, kept: tuple) -> Iterator[pd.DataFrame]:
+    def ended(self, key: tuple) -> Iterator[Row]:
         return iter(())
 
     def close(self) -> None:
@@ -72,17 +66,17 @@ class Leases(Ending):
         super().__init__(keys)
         self.lease = lease
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.load()
-        at = np.unique(np.concatenate([frame["us"].to_numpy(np.int64) for frame in rows]))
-        if before is not None:
-            at = np.append(before[0], at[at > before[0]])
-        gone = at[:-1][np.diff(at) > self.lease] + self.lease
-        self.store((int(at[-1]),), int(at[-1]) + self.lease, before)
-        yield self.rows(key, {"expired_at": gone.tolist()})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.kept.get()
+        last = None if before is None else before[0]
+        for us in sorted(row["us"] for row in rows):
+            if last is not None and us > last + self.lease:
+                yield self.row(key, expired_at=last + self.lease)
+            last = us if last is None else max(last, us)
+        self.store((last,), last + self.lease, before)
 
-    def ended(self, key: tuple, kept: tuple) -> Iterator[pd.DataFrame]:
-        yield self.rows(key, {"expired_at": [int(kept[0]) + self.lease]})
+    def ended(self, key: tuple) -> Iterator[Row]:
+        yield self.row(key, expired_at=self.kept.get()[0] + self.lease)
 
 
 class FirstDeliveries(Ending):
@@ -93,16 +87,15 @@ class FirstDeliveries(Ending):
         super().__init__(keys)
         self.horizon = horizon
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.load()
-        last, kept = None if before is None else int(before[0]), []
-        for us in np.sort(np.concatenate([frame["us"].to_numpy(np.int64) for frame in rows])).tolist():
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.kept.get()
+        last = first = None if before is None else before[0]
+        for us in sorted(row["us"] for row in rows):
             if last is None or us >= last + self.horizon:
                 last = us
-                kept.append(us)
-        if kept:
+                yield self.row(key, us=us)
+        if last != first:
             self.store((last,), last + self.horizon, before)
-        yield self.rows(key, {"us": kept})
 
 
 class Freshness(Ending):
@@ -116,12 +109,11 @@ class Freshness(Ending):
         super().__init__(keys)
         self.idle = idle
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.load()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.kept.get()
         at, boot, seq, confirmed, retired = (None, None, None, None, []) if before is None else (before[0], before[1], before[2], before[3], list(before[4]))
-        out: dict[str, list] = {"tick": [], "accepted": [], "confirmed_at": []}
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("tick", kind="stable")
-        for tick, us, its_boot, its_seq in zip(batch["tick"].tolist(), batch["us"].tolist(), batch["boot"].tolist(), batch["seq"].tolist(), strict=True):
+        for row in sorted(rows, key=lambda r: r["tick"]):
+            us, its_boot, its_seq = row["us"], row["boot"], row["seq"]
             if at is not None and us - at > self.idle:
                 boot, seq, confirmed, retired = None, None, None, []
             first = boot is None
@@ -133,12 +125,10 @@ class Freshness(Ending):
                         retired.append(boot)
                 boot, seq = its_boot, its_seq
             at = us
-            out["tick"].append(tick), out["accepted"].append(bool(taken)), out["confirmed_at"].append(confirmed)
+            yield self.row(key, tick=row["tick"], accepted=bool(taken), confirmed_at=confirmed)
         self.store((at, boot, seq, confirmed, retired), at + self.idle + 1, before)
-        frame = self.rows(key, out)
-        yield frame.assign(confirmed_at=frame["confirmed_at"].astype("Int64"))
 
 
 def ending(stream: DataFrame, processor: Ending, schema: str) -> DataFrame:
     """The rows that ``processor`` emits for the keys of ``stream``, which has a watermark."""
-    return stream.groupBy(*processor.keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return stream.groupBy(*processor.keys).transformWithState(processor, schema, "Append", "EventTime")
