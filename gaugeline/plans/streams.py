@@ -27,8 +27,13 @@ def timed(stream):
 
 def staged(spark, rows, label, cuts):
     """Write rows as consecutive time slices, so the feed sees them in several batches."""
-    path = fresh_path(spark, label)
-    files = 1 + rows.count() // ROWS_PER_FILE  # of each slice, so that a batch is a slice
+    return staged_rows(spark, rows, label, cuts)[0]
+
+
+def staged_rows(spark, rows, label, cuts):
+    """The feed of :func:`staged`, and the number of its rows."""
+    path, count = fresh_path(spark, label), rows.count()
+    files = 1 + count // ROWS_PER_FILE  # of each slice, so that a batch is a slice
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         part = rows
         if lo is not None:
@@ -36,11 +41,18 @@ def staged(spark, rows, label, cuts):
         if hi is not None:
             part = part.where(F.col("us") < hi)
         part.repartition(files).write.mode("append").parquet(path)
-    return D.file_feed(spark, path, rows.schema, files_per_trigger=files)
+    return D.file_feed(spark, path, rows.schema, files_per_trigger=files), count
+
+
+def ended(spark, rows, label, processor, schema):
+    """What ``processor`` emits for rows that come in the slices, its keys in bundles of a few thousand rows."""
+    feed, count = staged_rows(spark, rows, label, CUTS)
+    return drained(spark, T.ending(watched(feed, "6 hours"), processor, schema, 64 + count // ROWS_PER_BUNDLE), schema, label)
 
 
 DAY_US = 86400 * 10**6
 ROWS_PER_FILE = 1_000_000
+ROWS_PER_BUNDLE = 10_000
 CUTS = (V.T0_US + 10 * 2 * V.TICK_US, V.T0_US + 20 * 2 * V.TICK_US)
 
 
@@ -193,7 +205,7 @@ SQL_VIEWS["kept_msgs"] = """SELECT user_id, k, min(us) AS us FROM ev GROUP BY us
 def stream_first_deliveries(spark, sf):
     """A message that comes again within three days of the delivery that was kept is dropped."""
     rows, schema = V.ev(spark, sf).select("user_id", "k", "us"), "user_id bigint, k bigint, us bigint"
-    return drained(spark, T.ending(watched(staged(spark, rows, "deliveries", CUTS), "6 hours"), T.FirstDeliveries(["user_id", "k"], HORIZON_US), schema), schema, "first")
+    return ended(spark, rows, "deliveries", T.FirstDeliveries(["user_id", "k"], HORIZON_US), schema)
 
 
 @query("stream_snapshots", "SRC10 PRJ1", f"SELECT run_id, tick, entity, {r6('CASE WHEN n % 7 <> 3 THEN rate END')} AS tx_rate FROM cells")
@@ -213,4 +225,4 @@ SELECT user_id, target, us + 172800000000 AS expired_at FROM n WHERE nx > us + 1
 def stream_expired_leases(spark, sf):
     """Leases of two days, renewed by events; also those that are never renewed, up to the final watermark."""
     rows, schema = V.ev(spark, sf).select("user_id", F.col("event_type").alias("target"), "us"), "user_id bigint, target string, expired_at bigint"
-    return drained(spark, T.ending(watched(staged(spark, rows, "renewals", CUTS), "6 hours"), T.Leases(["user_id", "target"], 2 * DAY_US), schema), schema, "leases")
+    return ended(spark, rows, "renewals", T.Leases(["user_id", "target"], 2 * DAY_US), schema)

@@ -15,6 +15,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -44,15 +46,30 @@ class Ending(StatefulProcessor):
             self.handle.registerTimer(timer)
         self.kept.update((*values, timer))
 
+    def told(self, key: tuple, before: tuple | None, rows: list[Row]) -> tuple[list[Row], tuple, int]:
+        """Rows to emit, the new values and when they end (microseconds)."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.kept.get()
+        out, values, ends = self.told(key, before, list(rows))
+        if before is None or values != tuple(before[:-1]):
+            self.store(values, ends, before)
+        yield from out
+
     def row(self, key: tuple, **columns) -> Row:
         return Row(**dict(zip(self.keys, key, strict=True)), **columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self.ended(key)
+        if self.speaks:
+            yield from self.ended(key, self.kept.get())
         self.kept.clear()
 
-    def ended(self, key: tuple) -> Iterator[Row]:
-        return iter(())
+    #: Whether the end of a state means anything.
+    speaks = False
+
+    def ended(self, key: tuple, kept: tuple) -> list[Row]:
+        return []
 
     def close(self) -> None:
         pass
@@ -66,17 +83,18 @@ class Leases(Ending):
         super().__init__(keys)
         self.lease = lease
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self.kept.get()
-        last = None if before is None else before[0]
+    speaks = True
+
+    def told(self, key: tuple, before: tuple | None, rows: list[Row]) -> tuple[list[Row], tuple, int]:
+        last, out = None if before is None else before[0], []
         for us in sorted(row["us"] for row in rows):
             if last is not None and us > last + self.lease:
-                yield self.row(key, expired_at=last + self.lease)
+                out.append(self.row(key, expired_at=last + self.lease))
             last = us if last is None else max(last, us)
-        self.store((last,), last + self.lease, before)
+        return out, (last,), last + self.lease
 
-    def ended(self, key: tuple) -> Iterator[Row]:
-        yield self.row(key, expired_at=self.kept.get()[0] + self.lease)
+    def ended(self, key: tuple, kept: tuple) -> list[Row]:
+        return [self.row(key, expired_at=kept[0] + self.lease)]
 
 
 class FirstDeliveries(Ending):
@@ -87,15 +105,13 @@ class FirstDeliveries(Ending):
         super().__init__(keys)
         self.horizon = horizon
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self.kept.get()
-        last = first = None if before is None else before[0]
+    def told(self, key: tuple, before: tuple | None, rows: list[Row]) -> tuple[list[Row], tuple, int]:
+        last, out = None if before is None else before[0], []
         for us in sorted(row["us"] for row in rows):
             if last is None or us >= last + self.horizon:
                 last = us
-                yield self.row(key, us=us)
-        if last != first:
-            self.store((last,), last + self.horizon, before)
+                out.append(self.row(key, us=us))
+        return out, (last,), last + self.horizon
 
 
 class Freshness(Ending):
@@ -109,8 +125,8 @@ class Freshness(Ending):
         super().__init__(keys)
         self.idle = idle
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self.kept.get()
+    def told(self, key: tuple, before: tuple | None, rows: list[Row]) -> tuple[list[Row], tuple, int]:
+        out = []
         at, boot, seq, confirmed, retired = (None, None, None, None, []) if before is None else (before[0], before[1], before[2], before[3], list(before[4]))
         for row in sorted(rows, key=lambda r: r["tick"]):
             us, its_boot, its_seq = row["us"], row["boot"], row["seq"]
@@ -125,10 +141,65 @@ class Freshness(Ending):
                         retired.append(boot)
                 boot, seq = its_boot, its_seq
             at = us
-            yield self.row(key, tick=row["tick"], accepted=bool(taken), confirmed_at=confirmed)
-        self.store((at, boot, seq, confirmed, retired), at + self.idle + 1, before)
+            out.append(self.row(key, tick=row["tick"], accepted=bool(taken), confirmed_at=confirmed))
+        return out, (at, boot, seq, confirmed, retired), at + self.idle + 1
+
+
+class Bundle(StatefulProcessor):
+    """Many keys of an :class:`Ending` in one call: their states are one list, with one timer at its first end.
+
+    A call costs some exchanges with the state store whatever it does, so few rows a key are dear one key at a
+    time. Here a batch reads and writes the live states of a bundle at once; those that ended are gone."""
+
+    def __init__(self, ending: Ending, schema: T.StructType) -> None:
+        self.ending, self.schema, self.width = ending, schema, len(ending.keys)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", self.schema)
+
+    def load(self) -> dict[tuple, tuple]:
+        return {tuple(row[: self.width]): tuple(row[self.width :]) for row in self.kept.get()}
+
+    def store(self, live: dict[tuple, tuple], timer: int | None) -> None:
+        """Keep ``live``; ``timer`` is the one that is set."""
+        first = min((values[-1] for values in live.values()), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if live:
+            self.kept.put([(*key, *values) for key, values in live.items()])
+        else:
+            self.kept.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        live, come = self.load(), {}
+        timer = min((values[-1] for values in live.values()), default=None)
+        for row in rows:
+            come.setdefault(tuple(row[k] for k in self.ending.keys), []).append(row)
+        for one, some in come.items():
+            out, values, ends = self.ending.told(one, live.get(one), some)
+            live[one] = (*values, milliseconds(ends))
+            yield from out
+        self.store(live, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        live, now = self.load(), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        for one in [k for k, values in live.items() if values[-1] <= now]:
+            yield from self.ending.ended(one, live.pop(one))
+        self.store(live, None)
+
+    def close(self) -> None:
+        pass
 
 
-def ending(stream: DataFrame, processor: Ending, schema: str) -> DataFrame:
-    """The rows that ``processor`` emits for the keys of ``stream``, which has a watermark."""
-    return stream.groupBy(*processor.keys).transformWithState(processor, schema, "Append", "EventTime")
+def ending(stream: DataFrame, processor: Ending, schema: str, bundles: int | None = None) -> DataFrame:
+    """The rows that ``processor`` emits for the keys of ``stream``, which has a watermark. With ``bundles``
+    keys are dealt by hash to that many calls a batch; it stays the same as long as a checkpoint is used."""
+    if not bundles:
+        return stream.groupBy(*processor.keys).transformWithState(processor, schema, "Append", "EventTime")
+    held = T.StructType([*[stream.schema[k] for k in processor.keys], *T.StructType.fromDDL(f"{processor.schema}, ends bigint").fields])
+    dealt = stream.withColumn("_bundle", F.pmod(F.xxhash64(*processor.keys), F.lit(bundles)))
+    return dealt.groupBy("_bundle").transformWithState(Bundle(processor, held), schema, "Append", "EventTime")

@@ -65,3 +65,18 @@ def test_silence_ends_what_is_known_of_a_device(spark):
     # b0 was left for b1, but after the silence it is a first message again
     assert got == [(0, True, None), (1, True, HOUR), (2, False, HOUR), (3, True, None), (4, False, None)]
     assert kept(spark, checkpoint).select(F.col("value.retired")).first()[0] == []
+
+
+@pytest.mark.parametrize("bundles", [1, 3])
+def test_bundled_keys_emit_what_single_keys_emit(spark, bundles):
+    slices = [[("a", 0), ("b", 0), ("c", HOUR)], [("a", 2 * HOUR), ("b", 9 * HOUR), ("b", 9 * HOUR), (None, 9 * HOUR)], [("d", 30 * HOUR), ("a", 29 * HOUR)]]
+    checkpoint, leases = fresh_path(spark, "checkpoint"), "key string, expired_at bigint"
+    rows = feed(spark, slices, "key string, us bigint")
+    out = drained(spark, T.ending(watched(rows, "1 hour"), T.Leases(["key"], 3 * HOUR), leases, bundles), leases, "leases", checkpoint)
+    got = sorted((r.key or "", (r.expired_at - START) // HOUR) for r in out.collect())
+    assert got == [("", 12), ("a", 5), ("b", 3), ("b", 12), ("c", 4)]
+    assert {r.list_element.key for r in kept(spark, checkpoint).collect()} == {"a", "d"}  # ended states are gone
+    first = "key string, us bigint"
+    rows = feed(spark, [[("m", t * HOUR) for t in part] for part in itertools.batched([0, 1, 2, 3, 4, 7, 8, 11, 12, 20], 3)] + [[("other", 60 * HOUR)]], first)
+    out = drained(spark, T.ending(watched(rows, "1 hour"), T.FirstDeliveries(["key"], 3 * HOUR), first, bundles), first, "first")
+    assert sorted((r.us - START) // HOUR for r in out.where("key = 'm'").collect()) == [0, 3, 7, 11, 20]
