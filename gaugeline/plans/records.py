@@ -281,8 +281,7 @@ def leaf_queue_counters(spark, sf):
     )
     texts = items.groupBy(F.col("l_orderkey").alias("port")).agg(F.to_json(F.collect_list(row)).alias("t"), ((F.min("l_discount") == 0) & (F.count(F.lit(1)) > 5)).alias("cut"))
     text = F.when(F.col("cut"), F.substring("t", 1, 25)).otherwise(F.col("t"))
-    q = L.leaf_queues(text)
-    return texts.select("port", q["drops"].alias("drops"), q["packets"].alias("packets"))
+    return texts.select("port", L.leaf_queues(text).alias("q")).select("port", "q.drops", "q.packets")
 
 
 @query("counter_texts", "FN11 PRJ13", f"""

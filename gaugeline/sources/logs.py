@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,11 +80,22 @@ def switch_state(text: Column) -> Column:
     return F.when(low == "", "unknown").when(down, "down").when(low.contains("port"), "up").otherwise("unknown")
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def leaf_queues(text: Column) -> Column:
-    """Sums over queues whose handle is no parent prefix; NULL on any defect."""
-    rows = F.from_json(text, QDISC)
-    parents = F.transform(F.filter(rows, lambda r: r["parent"].isNotNull()), lambda r: F.concat(F.split_part(r["parent"], F.lit(":"), F.lit(1)), F.lit(":")))
-    leaves = F.filter(rows, lambda r: ~F.array_contains(parents, r["handle"]))
+    """Sums over queues whose handle is no parent prefix; NULL on any defect. The text is parsed once."""
+    return _once(F.from_json(text, QDISC), lambda rows: _once(_parents(rows), lambda parents: _once(
+        F.filter(rows, lambda r: ~F.array_contains(parents, r["handle"])), _leaf_sums)))
+
+
+def _parents(rows: Column) -> Column:
+    return F.transform(F.filter(rows, lambda r: r["parent"].isNotNull()), lambda r: F.concat(F.split_part(r["parent"], F.lit(":"), F.lit(1)), F.lit(":")))
+
+
+def _leaf_sums(leaves: Column) -> Column:
     broken = F.exists(leaves, lambda r: r["drops"].isNull() | r["packets"].isNull() | r["kind"].isNull() | r["handle"].isNull())
     add = lambda name: F.aggregate(leaves, F.lit(0).cast("bigint"), lambda acc, r: acc + r[name])
     signature = F.array_join(F.array_sort(F.transform(leaves, lambda r: F.concat_ws("/", r["kind"], r["handle"], F.coalesce(r["parent"], F.lit("root"))))), ";")
