@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.names import link_key
-from gaugeline.session import cut_lineage
+from gaugeline.session import by_sort, cut_lineage
 
 OK, NO_ROUTE, LOOP = "ok", "no route", "loop"
 
@@ -27,7 +27,7 @@ def resolve(next_hop: DataFrame) -> DataFrame:
     hops = 1
     while hops <= most and not jump.where("status is null").isEmpty():
         ahead = jump.select(F.col("node").alias("at"), "dst", F.col("at").alias("_at"), F.coalesce("status", F.lit("")).alias("_status"))
-        under_way = jump.where("status is null").join(ahead, ["at", "dst"], "left")
+        under_way = jump.where("status is null").join(by_sort(ahead), ["at", "dst"], "left")
         known = F.when(F.col("_status").isNull(), NO_ROUTE).when(F.col("_status") != "", F.col("_status"))
         jump = cut_lineage(jump.where("status is not null").unionByName(under_way.select("node", "dst", F.col("_at").alias("at"), known.alias("status"))))
         hops *= 2
@@ -41,12 +41,12 @@ def expand(pairs: DataFrame, next_hop: DataFrame) -> tuple[DataFrame, DataFrame]
     Only pairs that are known to arrive are followed, so the rounds end with the longest path; each
     is written to the shared folder, so a lost executor never replays earlier rounds."""
     table = cut_lineage(next_hop.select("node", "dst", "next"))
-    known = pairs.select("src", "dst").distinct().join(resolve(table).withColumnRenamed("node", "src"), ["src", "dst"], "left")
+    known = pairs.select("src", "dst").distinct().join(by_sort(resolve(table).withColumnRenamed("node", "src")), ["src", "dst"], "left")
     known = cut_lineage(known.select("src", "dst", F.when(F.col("src") == F.col("dst"), OK).otherwise(F.coalesce("status", F.lit(NO_ROUTE))).alias("status")))
     front = known.where((F.col("status") == OK) & (F.col("src") != F.col("dst"))).select("src", "dst", F.col("src").alias("node"))
     rounds = []
     while not rounds or not front.isEmpty():
-        moved = cut_lineage(front.join(table, ["node", "dst"]).select("src", "dst", F.lit(len(rounds)).alias("hop"), F.col("node").alias("a"), F.col("next").alias("b")))
+        moved = cut_lineage(front.join(by_sort(table), ["node", "dst"]).select("src", "dst", F.lit(len(rounds)).alias("hop"), F.col("node").alias("a"), F.col("next").alias("b")))
         rounds.append(moved)
         front = moved.where(F.col("b") != F.col("dst")).select("src", "dst", F.col("b").alias("node"))
     return reduce(DataFrame.unionByName, rounds), known.where(F.col("status") != OK).select("src", "dst", F.col("status").alias("reason"))
@@ -69,14 +69,15 @@ def zones(hops: DataFrame, numbers: DataFrame, touched: DataFrame | None = None)
     """(link, kind, bucket, bits, first_entity): all entities on a route that shares the link, per kind, as
     bitmaps of ``numbers`` (kind, entity, number).
 
-    A route is one bitmap; a link is the OR of those of its routes, in one aggregation with partial
-    results before the shuffle. No pair of elements of a route is formed."""
-    route = elements(hops).join(numbers, ["kind", "entity"])
-    bucket = F.bitmap_bucket_number("number").alias("bucket")
-    own = route.groupBy("src", "dst", "kind", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"), F.min("entity").alias("first_entity"))
+    A route is the short list of its numbers. Its links meet that list, repeats go before and after the
+    shuffle, and bits are set once per link; a bitmap of 4 KB for a route of a few hops is never made."""
+    route = elements(hops).distinct().join(by_sort(numbers), ["kind", "entity"])
+    own = route.groupBy("src", "dst").agg(F.collect_list(F.struct("kind", "number", "entity")).alias("_route"))
     on = hops.select("src", "dst", link_key(F.col("a"), F.col("b")).alias("link")).distinct()
     on = on if touched is None else on.join(touched.select("link").distinct(), "link", "left_semi")
-    return on.join(own, ["src", "dst"]).groupBy("link", "kind", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.min("first_entity").alias("first_entity"))
+    held = on.join(by_sort(own), ["src", "dst"]).select("link", F.explode("_route").alias("_x")).select("link", "_x.*").distinct()
+    bucket = F.bitmap_bucket_number("number").alias("bucket")
+    return held.groupBy("link", "kind", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"), F.min("entity").alias("first_entity"))
 
 
 def detours(edges: DataFrame, cuts: DataFrame) -> DataFrame:

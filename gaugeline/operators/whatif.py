@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.names import link_key
+from gaugeline.session import by_sort
 
 EPS = 1e-9
 
@@ -15,8 +16,8 @@ def link_loads(flows: DataFrame, hops: DataFrame, capacity: DataFrame, keys: lis
     partial aggregation, so a trunk used by most flows does not collect them in one task. A link
     that is down (capacity 0) or has no capacity row has no utilisation and loses everything."""
     keys = keys or []
-    used = flows.join(hops, ["src", "dst"]).groupBy(*keys, "a", "b").agg(F.sum("mbps").alias("load"), F.count(F.lit(1)).alias("n_flows"))
-    priced = used.withColumn("link", link_key(F.col("a"), F.col("b"))).join(capacity, [*keys, "link"], "left")
+    used = flows.join(by_sort(hops), ["src", "dst"]).groupBy(*keys, "a", "b").agg(F.sum("mbps").alias("load"), F.count(F.lit(1)).alias("n_flows"))
+    priced = used.withColumn("link", link_key(F.col("a"), F.col("b"))).join(by_sort(capacity), [*keys, "link"], "left")
     rho = F.when(F.col("capacity") > 0, F.col("load") / F.col("capacity"))
     return priced.withColumns({"rho": rho, "loss": F.when(rho.isNull(), 1.0).when(rho > 1 + EPS, 1 - 1 / rho).otherwise(0.0)})
 

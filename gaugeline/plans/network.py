@@ -16,7 +16,7 @@ from gaugeline.plans import quality as PQ
 from gaugeline.plans import views as V
 from gaugeline.plans.registry import query, r6
 from gaugeline.plans.views import SQL_VIEWS
-from gaugeline.session import cut_lineage
+from gaugeline.session import by_sort, cut_lineage
 
 # Suppliers are hosts on the switch of their nation; the lowest nation of a region is its core
 # switch. Demands run from the customer's switch to the supplier. Core switches of other regions do
@@ -63,8 +63,8 @@ def next_hops(spark, sf):
 
 def demands(spark, sf):
     items, orders, cust = (V.table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
-    src = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "c_nationkey")
-    rows = items.join(src, items.l_orderkey == src.o_orderkey)
+    src = orders.join(by_sort(cust), orders.o_custkey == cust.c_custkey).select("o_orderkey", "c_nationkey")
+    rows = items.join(by_sort(src), items.l_orderkey == src.o_orderkey)
     kind = F.when(F.count(F.lit(1)) % 2 == 0, "tcp").otherwise("udp")
     return rows.groupBy(tag("s", F.col("c_nationkey")).alias("src"), tag("h", F.col("l_suppkey")).alias("dst")).agg(
         F.round(F.sum("l_quantity") / 100.0, 4).alias("mbps"), kind.alias("kind")
@@ -305,7 +305,7 @@ def prediction_errors(spark, sf):
     pred = W.link_loads(flows, hops, capacities(hops)).select("a", "b", F.least("load", "capacity").alias("pred"), "rho")
     items, orders, cust = (V.table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
     src = orders.join(cust.where("c_mktsegment <> 'BUILDING'"), orders.o_custkey == cust.c_custkey).select("o_orderkey", "c_nationkey")
-    seen = items.join(src, items.l_orderkey == src.o_orderkey).groupBy(tag("s", F.col("c_nationkey")).alias("src"), tag("h", F.col("l_suppkey")).alias("dst")).agg(
+    seen = items.join(by_sort(src), items.l_orderkey == src.o_orderkey).groupBy(tag("s", F.col("c_nationkey")).alias("src"), tag("h", F.col("l_suppkey")).alias("dst")).agg(
         (F.sum(F.col("l_quantity") * (1 - F.col("l_discount"))) / 100.0).alias("m")
     )
     meas = seen.join(hops, ["src", "dst"]).groupBy("a", "b").agg(F.sum("m").alias("meas"))

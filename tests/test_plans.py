@@ -19,3 +19,13 @@ def test_queue_texts_are_parsed_once(spark):
     df = spark.createDataFrame([(text,), ("[{",), ("[]",)], "t string").select(leaf_queues(F.col("t")).alias("q"))
     assert [r.q and (r.q.drops, r.q.packets, r.q.signature) for r in df.collect()] == [(3, 4, "netem/2:/1:1"), None, None]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_zones_make_no_bitmap_of_a_route(spark):
+    hops = spark.createDataFrame(HOPS, "src string, dst string, hop int, a string, b string")
+    numbers = B.numbered(G.elements(hops).select("kind", "entity"), ["kind"], "entity")
+    got = G.zones(hops, numbers)
+    assert {(r.link, r.kind): (r.n, r.first_entity) for r in got.select("link", "kind", F.bitmap_count("bits").alias("n"), "first_entity").collect()} == {
+        ("h9-s2", "link"): (3, "h9-s2"), ("h9-s2", "node"): (4, "h9"), ("s1-s2", "link"): (2, "h9-s2"), ("s1-s2", "node"): (3, "h9"),
+        ("s2-s3", "link"): (2, "h9-s2"), ("s2-s3", "node"): (3, "h9")}
+    assert "bitmap_or_agg" not in plan(got)
