@@ -29,3 +29,11 @@ def test_zones_make_no_bitmap_of_a_route(spark):
         ("h9-s2", "link"): (3, "h9-s2"), ("h9-s2", "node"): (4, "h9"), ("s1-s2", "link"): (2, "h9-s2"), ("s1-s2", "node"): (3, "h9"),
         ("s2-s3", "link"): (2, "h9-s2"), ("s2-s3", "node"): (3, "h9")}
     assert "bitmap_or_agg" not in plan(got)
+
+
+def test_loads_send_no_side_through_the_driver(spark):
+    hops = spark.createDataFrame(HOPS, "src string, dst string, hop int, a string, b string")
+    flows = spark.createDataFrame([("s1", "h9", 2.0), ("s3", "h9", 5.0)], "src string, dst string, mbps double")
+    loads = W.link_loads(flows, hops, spark.createDataFrame([("h9-s2", 10.0)], "link string, capacity double"))
+    assert {(r.a, r.b): (r.load, r.n_flows, r.rho) for r in loads.collect()} == {("s1", "s2"): (2.0, 1, None), ("s3", "s2"): (5.0, 1, None), ("s2", "h9"): (7.0, 2, 0.7)}
+    assert "Broadcast" not in plan(loads)
