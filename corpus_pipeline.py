@@ -15,7 +15,7 @@ from gaugeline.llm.mixing import mix
 from gaugeline.llm.near_dups import deduplicated
 from gaugeline.llm.passages import RUN_WORDS, without_repeats
 from gaugeline.llm.quality import accepted
-from gaugeline.session import cut_lineage
+from gaugeline.session import settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +61,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs

@@ -8,7 +8,8 @@ the shards hold disjoint ranges of each source's permuted blocks and no block is
 Inside a shard the documents are ordered by a second hash.
 
 Only counts travel through the tree: a node is one row with one entry per source. Documents are
-shuffled once, to (source, block), whose size does not depend on the source's.
+shuffled once, to (source, block), whose size does not depend on the source's, or for the mix itself to
+its shards: all documents of a block that one pass takes lie in one shard, which tells where it ends.
 
 Defined results: a null or blank text has size 0 and is never taken; a null source is a source of
 its own, last in order; rows with a null or repeated doc_id are separate documents; a source
@@ -106,9 +107,9 @@ def shard_blocks(spark, quotas: DataFrame, n_shards: int, seed: int) -> DataFram
     return leaf.select("p.source_id", "shard", F.explode(F.sequence(F.col("p.start"), F.col("p.start") + F.col("p.n") - 1)).alias("v"))
 
 
-def draw_mix(sized: DataFrame, sources: DataFrame, seed: int = 1, block_docs: int = 256, shard_words: int = 5_000_000) -> DataFrame:
-    """``sized`` (with source and size) with source_size, target and ``drawn``: an array of
-    (shard, pass), one for each time the mix takes the document. ``sized`` is read twice."""
+def block_draws(sized: DataFrame, sources: DataFrame, seed: int = 1, block_docs: int = 256, shard_words: int = 5_000_000) -> tuple[DataFrame, DataFrame]:
+    """``sized`` (with source and size) with the figures of its source, ``_key`` and ``_block``; and of each
+    block the words before it (``_offset``) and ``_draws``, the (pass, shard) that take it. ``sized`` is read twice."""
     spark = sized.sparkSession
     sources = cut_lineage(sources.withColumns({
         "n_blocks": F.ceil(F.col("n_docs") / block_docs),
@@ -128,13 +129,22 @@ def draw_mix(sized: DataFrame, sources: DataFrame, seed: int = 1, block_docs: in
     drawn = shard_blocks(spark, quotas, max(1, math.ceil(words / shard_words)), seed)
     drawn = drawn.join(sources.select("source_id", "n_blocks"), "source_id").groupBy("source_id", (F.col("v") % F.col("n_blocks")).alias("_block")).agg(
         F.sort_array(F.collect_list(F.struct(F.floor(F.col("v") / F.col("n_blocks")).alias("pass"), F.col("shard")))).alias("_draws"))
-    drawn = offsets.select("source_id", "_block", "_offset").join(drawn, ["source_id", "_block"], "left")
+    return placed, offsets.select("source_id", "_block", "_offset").join(drawn, ["source_id", "_block"], "left")
+
+
+def early(before: Column) -> Column:
+    """Whether the last pass takes a document with ``before`` words of its block before it."""
+    return 2 * (F.col("_offset") + before) + F.col("size") <= 2 * F.col("rest")
 
+
+def draw_mix(sized: DataFrame, sources: DataFrame, seed: int = 1, **settings) -> DataFrame:
+    """``sized`` (with source and size) with source_size, target and ``drawn``: an array of
+    (shard, pass), one for each time the mix takes the document."""
+    placed, drawn = block_draws(sized, sources, seed, **settings)
     inside = Window.partitionBy("source_id", "_block").orderBy("_key", "doc_id", "size")
     ahead = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = placed.withColumn("_ahead", ahead).join(drawn, ["source_id", "_block"], "left")
-    early = 2 * (F.col("_offset") + F.col("_ahead")) + F.col("size") <= 2 * F.col("rest")
-    taken = F.filter("_draws", lambda d: (F.col("size") > 0) & ((d["pass"] < F.col("passes")) | ((d["pass"] == F.col("passes")) & early)))
+    taken = F.filter("_draws", lambda d: (F.col("size") > 0) & ((d["pass"] < F.col("passes")) | ((d["pass"] == F.col("passes")) & early(F.col("_ahead")))))
     taken = F.coalesce(taken, F.array().cast("array<struct<pass: bigint, shard: bigint>>"))
     return out.select(*sized.columns, "source_size", "target", taken.alias("drawn"), "_key")
 
@@ -149,7 +159,13 @@ def mix(docs: DataFrame, seed: int = 1, **settings) -> DataFrame:
     two names are replaced."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "pass")]
     sized = docs.select(F.struct(*kept).alias("_row"), "doc_id", "source", document_size(F.col("text")).alias("size"))
-    drawn = draw_mix(sized, with_targets(sized.select("source", "size")), seed, **settings)
-    rows = drawn.select("_row", "_key", F.explode("drawn").alias("_d"))
-    rows = rows.select("_row", F.col("_d.shard").alias("_shard"), F.col("_d.pass").alias("_pass"), F.xxhash64(F.lit(seed), "_key", F.col("_d.shard"), F.col("_d.pass")).alias("_order"))
-    return rows.repartition("_shard").sortWithinPartitions("_shard", "_order").select("_row.*", F.col("_shard").alias("shard"), F.col("_pass").alias("pass"))
+    placed, drawn = block_draws(sized, with_targets(sized.select("source", "size")), seed, **settings)
+    # written first, so that its size is known: a short table of blocks is sent to the texts, and not they to it
+    rows = placed.where("size > 0").join(cut_lineage(drawn.where("_draws is not null")), ["source_id", "_block"])
+    rows = rows.select("_row", "_key", "doc_id", "size", "source_id", "_block", "_offset", "passes", "rest", F.explode("_draws").alias("_d"))
+    rows = rows.where("_d.pass <= passes").withColumns({"_shard": F.col("_d.shard"), "_pass": F.col("_d.pass")}).drop("_d").repartition("_shard")
+    inside = Window.partitionBy("_shard", "source_id", "_block", "_pass").orderBy("_key", "doc_id", "size")
+    ahead = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_ahead", ahead).where((F.col("_pass") < F.col("passes")) | early(F.col("_ahead")))
+    rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "_key", "_shard", "_pass"))
+    return rows.sortWithinPartitions("_shard", "_order").select("_row.*", F.col("_shard").alias("shard"), F.col("_pass").alias("pass"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm.blocks import LOWER, Block, blocks, mixed, numbers, range_hashes, word_ranges
 from gaugeline.llm.joins import components, join_ids, runs
-from gaugeline.session import cut_lineage
+from gaugeline.session import cut_lineage, settled
 
 WIDTH = 64  # coordinates of a signature
 MISS = 2e-6  # chance that a pair at the threshold has fewer equal coordinates than a candidate needs
@@ -386,5 +386,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id."""
-    gone = cut_lineage(near_duplicates(docs, **settings).where("not kept").select("doc_id").distinct())
+    gone = settled(docs.sparkSession, lambda: near_duplicates(docs, **settings).where("not kept").select("doc_id").distinct())
     return join_ids(docs, gone, "doc_id", "left_anti")

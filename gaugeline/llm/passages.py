@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.llm.blocks import LOWER, SPACE, Block, blocks, mixed, range_hashes, word_ranges
-from gaugeline.session import cut_lineage
+from gaugeline.session import by_sort, cut_lineage, settled
 
 STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
@@ -92,9 +92,9 @@ def marked_units(docs: DataFrame, unit_words: int) -> DataFrame:
     units = cut_lineage(hashed_units(docs, unit_words))
     place = F.struct("doc_id", "unit")
     repeated = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    # a plain join: both sides grow with the input, and a digest that many texts hold is split as a skewed key
-    found = units.join(cut_lineage(repeated.select("h1", "h2", "first")), ["h1", "h2"]).where(F.struct("doc_id", "unit") != F.col("first"))
-    return cut_lineage(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("unit")).alias("_units")))
+    # both sides grow with the input, and a digest that many texts hold is split as a skewed key
+    found = units.join(by_sort(cut_lineage(repeated.select("h1", "h2", "first"))), ["h1", "h2"]).where(F.struct("doc_id", "unit") != F.col("first"))
+    return found.groupBy("doc_id").agg(F.sort_array(F.collect_set("unit")).alias("_units"))
 
 
 def powers(factor: int, n: int) -> np.ndarray:
@@ -194,16 +194,16 @@ def marked_runs(docs: DataFrame, run_words: int) -> DataFrame:
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     segments = cut_lineage(run_segments(known, run_words))
     kinds = segments.groupBy("key").agg(F.count("*").alias("n"), ((F.min("seg") != F.max("seg")) | (F.min("seg2") != F.max("seg2"))).alias("differ")).where("n > 1").select("key", "differ")
-    shared = cut_lineage(segments.join(cut_lineage(kinds), "key"))
+    shared = cut_lineage(segments.join(by_sort(cut_lineage(kinds)), "key"))
     first = shared.groupBy("seg", "seg2").agg(F.min("doc_id").alias("first"))
-    shared = cut_lineage(shared.join(cut_lineage(first), ["seg", "seg2"]))
+    shared = cut_lineage(shared.join(by_sort(cut_lineage(first)), ["seg", "seg2"]))
     opened = shared.where("differ and doc_id = first").groupBy("doc_id").agg(F.collect_set("seg").alias("open"))
-    runs = cut_lineage(hashed_runs(known.join(cut_lineage(opened), "doc_id"), run_words))
+    runs = cut_lineage(hashed_runs(known.join(by_sort(cut_lineage(opened)), "doc_id"), run_words))
     repeated = runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
-    later = runs.join(cut_lineage(repeated.select("h1", "h2", "first")), ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("_runs"))
+    later = runs.join(by_sort(cut_lineage(repeated.select("h1", "h2", "first"))), ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h1").alias("_runs"))
     whole = shared.where("doc_id > first").groupBy("doc_id").agg(F.collect_set("seg").alias("_segs"))
     again = shared.groupBy("doc_id", "key").count().where("count > 1").select("doc_id").distinct().withColumn("_again", F.lit(True))
-    return cut_lineage(whole.join(later, "doc_id", "full").join(again, "doc_id", "full"))
+    return whole.join(later, "doc_id", "full").join(again, "doc_id", "full")
 
 
 def ranges(at: np.ndarray, run_words: int) -> list[tuple[int, int]]:
@@ -253,9 +253,9 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, min_words: int = 25, unit_words: int = 4, run_words: int | None = None) -> DataFrame:
     """``docs`` with repeated passages removed from ``text`` and their spans in ``removed``; without
     ``run_words`` only stretches of whole units."""
-    marked = marked_units(docs, unit_words)
-    none = F.lit(None)
-    marked = marked.join(marked_runs(docs, run_words), "doc_id", "full") if run_words else marked.withColumns({"_segs": none.cast("array<bigint>"), "_runs": none.cast("array<bigint>"), "_again": none.cast("boolean")})
+    spark, none = docs.sparkSession, F.lit(None)
+    marked = settled(spark, lambda: marked_units(docs, unit_words))
+    marked = marked.join(settled(spark, lambda: marked_runs(docs, run_words)), "doc_id", "full") if run_words else marked.withColumns({"_segs": none.cast("array<bigint>"), "_runs": none.cast("array<bigint>"), "_again": none.cast("boolean")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,7 +306,7 @@ def without_repeats(docs: DataFrame, min_words: int = 25, unit_words: int = 4, r
 
     fields = {f.name: f for f in docs.schema.fields}
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), "text", F.col("doc_id").cast("bigint").alias("_id"))
-    joined = held.join(marked.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
+    joined = held.join(by_sort(marked.withColumnRenamed("doc_id", "_id")), "_id", "left").drop("_id")
     out = joined.mapInArrow(run, T.StructType([joined.schema["_row"], fields["text"], T.StructField("removed", SPAN)]))
     columns = [F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "removed"]
     return out.select(*columns, "removed")

@@ -1,7 +1,9 @@
+import os
 import re
 
 import pytest
 
+from gaugeline import session
 from gaugeline.llm.near_dups import deduplicated, near_duplicates
 from gaugeline.llm.passages import without_repeats
 from llm_texts import prose
@@ -170,3 +172,15 @@ def brute_both(rows, min_words, unit_words, run_words):
             drop[places[k][0] : end] = [True] * (end - places[k][0])
         out.append((i, text if text is None else "".join(c for c, d in zip(text, drop, strict=True) if not d)))
     return out
+
+
+def test_marks_leave_no_files_but_their_own(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(i, f"head {i} " + text) for i in range(4)], "doc_id bigint, text string")
+    written = lambda: set(session._WRITTEN.get(spark.sparkContext.applicationId, []))
+    before = written()
+    out = without_repeats(docs, run_words=50)
+    left = written() - before
+    assert len(left) == 2 and all(os.path.isdir(p) for p in left)  # of the units and of the runs that are marked
+    assert [len(r.removed) for r in out.orderBy("doc_id").collect()] == [0, 1, 1, 1]
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().toString()  # marks and texts grow together

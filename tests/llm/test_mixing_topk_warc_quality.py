@@ -234,3 +234,18 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{base}/labels.parquet")
     rows = quality.quality(spark.read.parquet(f"{base}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").collect()
     assert sum(r.predicted == r.quality for r in rows) / len(rows) >= 0.95
+
+
+def test_the_mix_deals_texts_once_and_takes_what_is_drawn(spark):
+    rows = [(i, f"s{i % 3}", " ".join(["w"] * (i * 7 % 23)) or None) for i in range(400)] + [(None, None, "a b c")] * 5 + [(7, "s1", "twice here")] * 4
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    settings = {"block_docs": 16, "shard_words": 500}
+    mixed = mixing.mix(docs, 3, **settings)
+    plan = mixed._jdf.queryExecution().toString()
+    wide = [line for line in plan[plan.index("Physical Plan"):].splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("hashpartitioning(source_id" in line for line in wide) and sum("hashpartitioning(_shard" in line for line in wide) == 1
+    sized = docs.withColumn("size", mixing.document_size(F.col("text")))
+    drawn = mixing.draw_mix(sized, mixing.with_targets(sized), 3, **settings)
+    want = drawn.select("doc_id", "source", "text", F.explode("drawn").alias("d")).select("doc_id", "source", "text", "d.shard", "d.pass")
+    count = lambda df: sorted(map(str, df.groupBy(*df.columns).count().collect()))
+    assert count(mixed.select(want.columns)) == count(want) and want.count() > 400
