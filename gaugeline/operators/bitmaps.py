@@ -59,17 +59,21 @@ def dyadic_cover(start: Column, end: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), level))
 
 
-def dyadic_path(at: Column) -> Column:
-    """The aligned spans that hold a tick, one of each level."""
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.cast("int").alias("level"), F.call_function("shiftright", at.cast("bigint"), k).alias("node")))
+def dyadic_path(at: Column, levels: list[int] | None = None) -> Column:
+    """The aligned spans that hold a tick, one of each level or of each of ``levels``."""
+    wanted = F.sequence(F.lit(0), F.lit(LEVELS)) if levels is None else F.array(*map(F.lit, levels)).cast("array<int>")
+    return F.transform(wanted, lambda k: F.struct(k.cast("int").alias("level"), F.call_function("shiftright", at.cast("bigint"), k).alias("node")))
 
 
 def active_zones(points: DataFrame, spans: DataFrame, zones: DataFrame, keys: list[str], at: str, start: str, end: str, target: str) -> DataFrame:
     """(keys, at, bucket, bits): for each point the union of the zones of the spans [start, end) that hold it.
 
     A span is cut into aligned pieces, the zones of all spans with one piece are OR-ed once, and a point
-    reads the pieces above it. No point meets a span, however many overlap. ``zones`` is (target, bucket, bits)."""
+    reads the pieces above it, of the levels that there are: short spans have few. No point meets a span,
+    however many overlap. ``zones`` is (target, bucket, bits)."""
     pieces = spans.select(*keys, target, F.explode(dyadic_cover(F.col(start), F.col(end))).alias("_p")).select(*keys, target, "_p.level", "_p.node").distinct()
-    held = pieces.join(zones, target).groupBy(*keys, "level", "node", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    asked = points.select(*keys, at).distinct().select(*keys, at, F.explode(dyadic_path(F.col(at))).alias("_p")).select(*keys, at, "_p.level", "_p.node")
+    pieces = cut_lineage(pieces)
+    levels = sorted(r["level"] for r in pieces.select("level").distinct().collect())  # 25 at most
+    held = pieces.repartition(*keys, "level", "node").join(zones, target).groupBy(*keys, "level", "node", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    asked = points.select(*keys, at).distinct().select(*keys, at, F.explode(dyadic_path(F.col(at), levels)).alias("_p")).select(*keys, at, "_p.level", "_p.node")
     return asked.join(held, [*keys, "level", "node"]).groupBy(*keys, at, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))

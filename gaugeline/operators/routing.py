@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions.names import link_key
@@ -65,17 +66,21 @@ def elements(hops: DataFrame) -> DataFrame:
     return hops.select("src", "dst", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), e.alias("entity")) for k, e in parts])).alias("_x")).select("src", "dst", "_x.*")
 
 
-def zones(hops: DataFrame, numbers: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+def zones(hops: DataFrame, numbers: DataFrame, touched: DataFrame | None = None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """(link, kind, bucket, bits, first_entity): all entities on a route that shares the link, per kind, as
-    bitmaps of ``numbers`` (kind, entity, number).
-
-    A route is the short list of its numbers. Its links meet that list, repeats go before and after the
-    shuffle, and bits are set once per link; a bitmap of 4 KB for a route of a few hops is never made."""
-    route = elements(hops).distinct().join(by_sort(numbers), ["kind", "entity"])
-    own = route.groupBy("src", "dst").agg(F.collect_list(F.struct("kind", "number", "entity")).alias("_route"))
-    on = hops.select("src", "dst", link_key(F.col("a"), F.col("b")).alias("link")).distinct()
+    bitmaps of ``numbers`` (kind, entity, number); ``keep`` tells early which (kind, entity) have a number.
+
+    A route is the short list of its hops, dealt once. Its links meet its entities there, repeats go before and
+    after the shuffle by link, and what is left gets its numbers. Bits are set once per link; a bitmap of 4 KB
+    for a route of a few hops is never made."""
+    named = lambda kind, entity: F.struct(F.lit(kind).alias("kind"), entity.alias("entity"))
+    hop = F.struct(link_key(F.col("a"), F.col("b")).alias("link"), "a", "b")
+    routes = hops.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.collect_set(hop).alias("_hops"))
+    own = F.array_distinct(F.flatten(F.transform("_hops", lambda h: F.array(named("link", h["link"]), named("node", h["a"]), named("node", h["b"])))))
+    routes = routes.select(F.array_distinct("_hops.link").alias("_links"), (own if keep is None else F.filter(own, keep)).alias("_own"))
+    on = routes.select(F.explode("_links").alias("link"), "_own")
     on = on if touched is None else on.join(touched.select("link").distinct(), "link", "left_semi")
-    held = on.join(by_sort(own), ["src", "dst"]).select("link", F.explode("_route").alias("_x")).select("link", "_x.*").distinct()
+    held = on.select("link", F.explode("_own").alias("_x")).select("link", "_x.*").distinct().join(by_sort(numbers), ["kind", "entity"])
     bucket = F.bitmap_bucket_number("number").alias("bucket")
     return held.groupBy("link", "kind", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"), F.min("entity").alias("first_entity"))
 

@@ -232,7 +232,7 @@ def zone_cover(spark, sf):
     zones of the active interventions."""
     zones, numbers = N.switch_zones(spark, sf)
     spans = N.link_acts(spark, sf).select("run_id", "target", "s", "e")
-    violating = N.violating_switches(spark, sf)
+    violating = cut_lineage(N.violating_switches(spark, sf))
     sets = B.bitmaps(violating.join(numbers, "entity"), ["run_id", "tick"])
     active = B.active_zones(violating, spans, zones, ["run_id"], "tick", "s", "e", "target")
     told = B.contained(sets, active, ["run_id", "tick"]).withColumnsRenamed({"n_members": "n_violating", "n_inside": "n_covered"})

@@ -66,9 +66,9 @@ def demands(spark, sf):
     src = orders.join(by_sort(cust), orders.o_custkey == cust.c_custkey).select("o_orderkey", "c_nationkey")
     rows = items.join(by_sort(src), items.l_orderkey == src.o_orderkey)
     kind = F.when(F.count(F.lit(1)) % 2 == 0, "tcp").otherwise("udp")
-    return rows.groupBy(tag("s", F.col("c_nationkey")).alias("src"), tag("h", F.col("l_suppkey")).alias("dst")).agg(
-        F.round(F.sum("l_quantity") / 100.0, 4).alias("mbps"), kind.alias("kind")
-    )
+    # keys become names after the sums: once a pair and not once an item
+    pairs = rows.groupBy("c_nationkey", "l_suppkey").agg(F.round(F.sum("l_quantity") / 100.0, 4).alias("mbps"), kind.alias("kind"))
+    return pairs.select(tag("s", F.col("c_nationkey")).alias("src"), tag("h", F.col("l_suppkey")).alias("dst"), "mbps", "kind")
 
 
 def routed(spark, sf):
@@ -184,7 +184,8 @@ def switch_zones(spark, sf):
     numbers = B.numbered(nodes, ["kind"], "entity")
     mean = F.broadcast(flows.agg(F.avg("mbps").alias("mean")))  # one row
     heavy = flows.join(mean).where(F.col("mbps") > F.col("mean")).select("src", "dst")
-    radius = G.zones(hops.join(heavy, ["src", "dst"], "left_semi"), numbers).select(F.col("link").alias("target"), "bucket", "bits")
+    switch = lambda e: (e["kind"] == "node") & e["entity"].startswith("s")
+    radius = G.zones(hops.join(heavy, ["src", "dst"], "left_semi"), numbers, keep=switch).select(F.col("link").alias("target"), "bucket", "bits")
     both = radius.unionByName(B.bitmaps(corridor.join(numbers, "entity"), ["target"]))
     return cut_lineage(both.groupBy("target", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))), numbers.select("entity", "number")
 

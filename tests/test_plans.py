@@ -37,3 +37,23 @@ def test_loads_send_no_side_through_the_driver(spark):
     loads = W.link_loads(flows, hops, spark.createDataFrame([("h9-s2", 10.0)], "link string, capacity double"))
     assert {(r.a, r.b): (r.load, r.n_flows, r.rho) for r in loads.collect()} == {("s1", "s2"): (2.0, 1, None), ("s3", "s2"): (5.0, 1, None), ("s2", "h9"): (7.0, 2, 0.7)}
     assert "Broadcast" not in plan(loads)
+
+
+def test_zones_deal_the_hops_once(spark):
+    hops = spark.createDataFrame(HOPS, "src string, dst string, hop int, a string, b string")
+    numbers = B.numbered(G.elements(hops).select("kind", "entity"), ["kind"], "entity")
+    assert plan(G.zones(hops, numbers)).count("hashpartitioning(src") == 1
+    nodes = G.zones(hops, numbers, keep=lambda e: (e["kind"] == "node") & e["entity"].startswith("s"))
+    assert {(r.link, r.kind): (r.n, r.first_entity) for r in nodes.select("link", "kind", F.bitmap_count("bits").alias("n"), "first_entity").collect()} == {
+        ("h9-s2", "node"): (3, "s1"), ("s1-s2", "node"): (2, "s1"), ("s2-s3", "node"): (2, "s2")}
+
+
+def test_a_point_asks_only_levels_that_spans_have(spark):
+    points = spark.createDataFrame([("r", 3), ("r", 9), ("r", 40)], "run string, tick bigint")
+    spans = spark.createDataFrame([("r", "z", 2, 5)], "run string, target string, s bigint, e bigint")
+    zone = B.bitmaps(spark.createDataFrame([("z", 7)], "target string, number bigint"), ["target"])
+    got = B.active_zones(points, spans, zone, ["run"], "tick", "s", "e", "target")
+    assert [(r.run, r.tick) for r in got.select("run", "tick").collect()] == [("r", 3)]
+    asked = spark.range(1).select(B.dyadic_path(F.lit(3), [0, 1]).alias("p")).first().p
+    assert [(p.level, p.node) for p in asked] == [(0, 3), (1, 1)]
+    assert "[0,1]" in plan(got).replace(" ", "")
